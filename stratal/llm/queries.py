@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratal.llm import packing, token_output
+from stratal.llm import decontamination, packing, repetition, token_output
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_repetition(spark, sf_dir):
+    return repetition.repetition_rules(_read(spark, sf_dir, "documents"))
+
+
 def op5_token_output(spark, sf_dir):
     return token_output.ids_digest(token_output.token_output(_read(spark, sf_dir, "documents")))
 
 
+def op9_greedy_string_tiling(spark, sf_dir):
+    return decontamination.tile(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(_read(spark, sf_dir, "documents"))
 
