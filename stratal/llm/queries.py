@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratal.llm import decontamination, packing, repetition, token_output
+from stratal.llm import decontamination, packing, quality, repetition, token_output, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op5_token_output(spark, sf_dir):
     return token_output.ids_digest(token_output.token_output(_read(spark, sf_dir, "documents")))
 
 
+def op6_random_indexing_quality(spark, sf_dir):
+    return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op8_naive_bayes_toxicity(spark, sf_dir):
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_greedy_string_tiling(spark, sf_dir):
     return decontamination.tile(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 

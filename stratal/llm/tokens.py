@@ -5,6 +5,7 @@ from __future__ import annotations
 END_ID = 2
 MEMO_PIECES = 1_000_000
 LONGEST_PIECE = 48
+TAILS = ".,;:!?*$%#&|"  # after a letter or digit, a run of these is a pre-token of its own
 
 
 def default_tokenizer() -> str:
@@ -52,12 +53,23 @@ class PieceEncoder:
         """Adds the pieces; returns those to forget after this batch."""
         missing = [p for p in pieces if p not in memo]
         room = MEMO_PIECES - len(memo)
-        plain = [p for p in missing if lead and "\n" not in p and p]
-        for k in range(0, len(plain), 2_000):
-            memo.update(zip(part := plain[k : k + 2_000], self._joined(part), strict=True))
-        other = [p for p in missing if not lead or "\n" in p or not p]
-        memo.update(zip(other, self._library([p if p[:1] == "\n" or not lead else lead + p for p in other]), strict=True))
-        return [p for p in missing if len(p) > LONGEST_PIECE] if room >= len(missing) else missing
+        if not lead:
+            memo.update(zip(missing, self._library(missing), strict=True))
+            return self._forget(missing, room)
+        plain = {p: core for p in missing if (core := p.rstrip(TAILS)) and core[-1].isalnum() and "\n" not in p}
+        cores = [c for c in {*plain.values()} if c not in memo]
+        tails = {p[len(c) :] for p, c in plain.items()}
+        ends = dict(zip(tails, self._library([*tails]), strict=True))
+        for k in range(0, len(cores), 2_000):
+            memo.update(zip(part := cores[k : k + 2_000], self._joined(part), strict=True))
+        memo.update([(p, memo[c] + ends[p[len(c) :]]) for p, c in plain.items()])
+        other = [p for p in missing if p not in plain]
+        memo.update(zip(other, self._library([p if p[:1] == "\n" else lead + p for p in other]), strict=True))
+        return self._forget([*{*missing, *cores}], room)
+
+    @staticmethod
+    def _forget(added: list[str], room: int) -> list[str]:
+        return [p for p in added if len(p) > LONGEST_PIECE] if room >= len(added) else added
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
