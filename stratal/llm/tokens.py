@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 END_ID = 2
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 800_000
 LONGEST_PIECE = 48
 TAILS = ".,;:!?*$%#&|"  # after a letter or digit, a run of these is a pre-token of its own
 
@@ -28,14 +28,17 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
+        # a byte-level vocabulary spells the bytes that don't print as characters from 256 on
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+        self.characters = {b: 256 + k for k, b in enumerate(odd)}
+        self.space = chr(self.characters[32])
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+        from array import array
 
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _joined(self, pieces: list[str]) -> list[bytes]:
         """The pieces after a space each, in one call: a line feed between them is a token of its own and nothing else holds one."""
@@ -49,48 +52,60 @@ class PieceEncoder:
             start = end + 4
         return out
 
-    def _learn(self, memo: dict[str, bytes], pieces: set[str], lead: str) -> list[str]:
-        """Adds the pieces; returns those to forget after this batch."""
-        missing = [p for p in pieces if p not in memo]
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words of letters only, after a space each: every one is a pre-token, so the model itself takes it, bytes as its characters."""
+        from array import array
+
+        merge, table = self.tokenizer.model.tokenize, self.characters
+        spelt = [w if w.isascii() else w.encode().decode("latin-1").translate(table) for w in words]
+        return [array("I", [t.id for t in merge(self.space + w)]).tobytes() for w in spelt]
+
+    def _learn(self, pieces: set[str]) -> list[str]:
+        """Adds pieces that follow a space or are led by a line feed; returns those to forget after this batch."""
+        memo = self.later
+        missing = pieces.difference(memo)
         room = MEMO_PIECES - len(memo)
-        if not lead:
-            memo.update(zip(missing, self._library(missing), strict=True))
-            return self._forget(missing, room)
-        plain = {p: core for p in missing if (core := p.rstrip(TAILS)) and core[-1].isalnum() and "\n" not in p}
-        cores = [c for c in {*plain.values()} if c not in memo]
-        tails = {p[len(c) :] for p, c in plain.items()}
-        ends = dict(zip(tails, self._library([*tails]), strict=True))
-        for k in range(0, len(cores), 2_000):
-            memo.update(zip(part := cores[k : k + 2_000], self._joined(part), strict=True))
-        memo.update([(p, memo[c] + ends[p[len(c) :]]) for p, c in plain.items()])
-        other = [p for p in missing if p not in plain]
-        memo.update(zip(other, self._library([p if p[:1] == "\n" else lead + p for p in other]), strict=True))
-        return self._forget([*{*missing, *cores}], room)
-
-    @staticmethod
-    def _forget(added: list[str], room: int) -> list[str]:
-        return [p for p in added if len(p) > LONGEST_PIECE] if room >= len(added) else added
+        new, whole, tailed = [], [], []
+        for p in missing:
+            core = p.rstrip(TAILS)
+            if p[:1] == "\n" or not p:
+                whole.append(p)
+            elif len(core) == len(p) or not core[-1:].isalnum():
+                new.append(p)
+            else:
+                tailed.append((p, core))
+        cores = {c for _, c in tailed if c not in memo}.difference(new)
+        new.extend(cores)
+        words = [p for p in new if p.isalpha()]
+        memo.update(zip(words, self._words(words), strict=True))
+        other = [p for p in new if not p.isalpha()]
+        for k in range(0, len(other), 2_000):
+            memo.update(zip(part := other[k : k + 2_000], self._joined(part), strict=True))
+        memo.update(zip(whole, self._library([p or " " for p in whole]), strict=True))
+        ends = [*{p[len(c) :] for p, c in tailed}]
+        end = dict(zip(ends, self._library(ends), strict=True))
+        for p, c in tailed:
+            memo[p] = memo[c] + end[p[len(c) :]]
+        added = missing | cores
+        return [p for k, p in enumerate(added) if k >= room or len(p) > LONGEST_PIECE]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+        out: list[bytes] = [b""] * len(texts)
+        cut: list[tuple[int, str, list[str]]] = []
         whole: list[int] = []
         for k, text in enumerate(texts):
             pieces = text.replace("\n", " \n").split(" ")
             if not text:
-                out[k] = b""
-            elif len(pieces) == len(text.split()):
-                cut.append((k, pieces))
+                continue
+            if len(pieces) == len(text.split()):
+                cut.append((k, pieces.pop(0), pieces))
             else:
                 whole.append(k)
-        heads = self._learn(self.first, {p[0] for _, p in cut}, "")
-        rest = self._learn(self.later, set().union(*(p[1:] for _, p in cut)), " ")
-        first, later = self.first, self.later.__getitem__
-        for k, pieces in cut:
-            out[k] = first[pieces[0]] + b"".join(map(later, pieces[1:]))
-        for p in heads:
-            del self.first[p]
-        for p in rest:
+        forget = self._learn(set().union(*(p for _, _, p in cut)))
+        get = self.later.__getitem__
+        for (k, _, pieces), head in zip(cut, self._library([h for _, h, _ in cut]), strict=True):
+            out[k] = head + b"".join(map(get, pieces))
+        for p in forget:
             del self.later[p]
         for k, ids in zip(whole, self._library([texts[k] for k in whole]), strict=True):
             out[k] = ids
