@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratal.llm import decontamination, packing, quality, repetition, token_output, toxicity
+from stratal.llm import decontamination, jaccard_join, packing, quality, repetition, token_output, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op6_random_indexing_quality(spark, sf_dir):
     return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_universe_partition_jaccard(spark, sf_dir):
+    return jaccard_join.jaccard_join(_read(spark, sf_dir, "documents"))
+
+
 def op8_naive_bayes_toxicity(spark, sf_dir):
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
