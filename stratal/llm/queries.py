@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratal.llm import decontamination, jaccard_join, packing, quality, repetition, token_output, toxicity
+import corpus_pipeline
+from stratal.llm import decontamination, jaccard_join, main_text, packing, quality, repetition, sharding, token_output, toxicity, url_lists
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,19 @@ def op1_suffix_array_repetition(spark, sf_dir):
     return repetition.repetition_rules(_read(spark, sf_dir, "documents"))
 
 
+def op2_temporal_list_join(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_lists.judge(url_lists.captures_of(pages), url_lists.demonstration_entries(pages))
+
+
+def op3_boosted_tree_extraction(spark, sf_dir):
+    return main_text.main_text(_read(spark, sf_dir, "pages"))
+
+
+def op4_extendible_hashing(spark, sf_dir):
+    return sharding.extendible_shards(_read(spark, sf_dir, "documents"))
+
+
 def op5_token_output(spark, sf_dir):
     return token_output.ids_digest(token_output.token_output(_read(spark, sf_dir, "documents")))
 
@@ -40,8 +54,8 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 def queries():
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_temporal_list_join": url_lists.SQL, "op4_extendible_hashing": sharding.SQL}
