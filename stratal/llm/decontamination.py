@@ -186,16 +186,17 @@ def tile(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, min_
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs, all columns, whose text covers no item by min_coverage; rows without a text stay."""
+    column = docs.columns.index("text")
     for block in benchmark_blocks(benchmark, block_words):
 
         def run(batches, block=block):
+            import pyarrow as pa
+
             seeds = Seeds(block, min_match)
-            for batch in by_bytes(batches, column=docs.columns.index("text"), limit=4_000_000):
+            for batch in by_bytes(batches, column=column, limit=4_000_000):
                 keep = np.ones(batch.num_rows, dtype=bool)
-                for d, _, size, tiles in overlaps([t or "" for t in batch.column("text").to_pylist()], seeds):
+                for d, _, size, tiles in overlaps([t or "" for t in batch.column(column).to_pylist()], seeds):
                     keep[d] &= sum(t[0] for t in tiles) < min_coverage * size
-                import pyarrow as pa
-
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -22,6 +22,7 @@ REACH = 2  # units to either side that are context
 BACK = 8  # words back that make a word a repeated one
 HIDDEN = 32
 THRESHOLD = 0.3
+SLICE_BYTES = 600_000  # of text at a time: a vector for every unit of it is held
 SUM_BLOCK = 256  # units of a matrix block that is summed as one row
 SUM_SPREAD = 1024  # partial sums of a block in the first of two rounds
 _U = np.uint64
@@ -31,6 +32,8 @@ EDGES = bytes(c for c in range(33, 128) if not chr(c).isalnum())
 class Units(WordHashes):
     """A word's core unit, its form unit as new and as repeated word, and bits of its hash, in 64 bits."""
 
+    BOUND = 600_000
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
@@ -92,7 +95,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
         places, signs = index_vectors()
         total = np.zeros(UNITS * DIMENSIONS)
-        for batch in by_bytes(batches, limit=6_000_000):
+        for batch in by_bytes(batches, limit=SLICE_BYTES):
             total += context_sums(batch.column(1).to_pylist(), places, signs)
         if total.any():
             blocks = total.astype("<i8" if np.abs(total).max() > 2**30 else "<i4").reshape(-1, SUM_BLOCK * DIMENSIONS)
@@ -176,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     def features(batches):
         import pyarrow as pa
 
-        for batch in by_bytes(batches, limit=4_000_000):
+        for batch in by_bytes(batches, limit=SLICE_BYTES):
             x = pooled(batch.column(1).to_pylist(), vectors)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "label", "x"])
 
@@ -201,9 +204,9 @@ def scorer_of(model: dict):
 
 def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every document (see scoring.scored for nulls and repeats)."""
-    return scored(docs, scorer_of(train(docs, labels, max_rows)), THRESHOLD)
+    return scored(docs, scorer_of(train(docs, labels, max_rows)), THRESHOLD, SLICE_BYTES)
 
 
 def good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """The rows of docs that are not predicted of low quality, all columns."""
-    return kept_by_score(docs, scorer_of(train(docs, labels, max_rows)), lambda p: p >= THRESHOLD)
+    return kept_by_score(docs, scorer_of(train(docs, labels, max_rows)), lambda p: p >= THRESHOLD, SLICE_BYTES)

@@ -25,7 +25,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     return texts_of(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
 
 
-def scored(docs: DataFrame, scorer, threshold: float) -> DataFrame:
+def scored(docs: DataFrame, scorer, threshold: float, slice_bytes: int = 4_000_000) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; scorer() gives, on the executor, texts -> probabilities.
 
     Null texts are scored as empty ones; null and repeated ids are rows like any other (a null id is not held out).
@@ -35,14 +35,14 @@ def scored(docs: DataFrame, scorer, threshold: float) -> DataFrame:
         import pyarrow as pa
 
         score = scorer()
-        for batch in by_bytes(batches, limit=4_000_000):
+        for batch in by_bytes(batches, limit=slice_bytes):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     out = texts_of(docs).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(fold_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def kept_by_score(docs: DataFrame, scorer, keep) -> DataFrame:
+def kept_by_score(docs: DataFrame, scorer, keep, slice_bytes: int = 4_000_000) -> DataFrame:
     """The rows of docs, all columns, whose score keep() accepts; nothing is shuffled."""
     column = docs.columns.index("text")
 
@@ -50,7 +50,7 @@ def kept_by_score(docs: DataFrame, scorer, keep) -> DataFrame:
         import pyarrow as pa
 
         score = scorer()
-        for batch in by_bytes(batches, column=column, limit=4_000_000):
+        for batch in by_bytes(batches, column=column, limit=slice_bytes):
             yield batch.filter(pa.array(keep(score([t or "" for t in batch.column(column).to_pylist()]))))
 
     return docs.mapInArrow(run, docs.schema)

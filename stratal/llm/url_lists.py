@@ -27,7 +27,7 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 
 def capture_keys(captures: DataFrame, depth: int) -> DataFrame:
     """kind and pattern of everything an entry could say about a capture: its host and those above, prefixes up to depth segments."""
-    host = F.rtrim(F.lit("."), F.lower(F.regexp_extract("url", HOST, 1)))
+    host = F.rtrim(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("."))
     labels = F.split("host", "\\.")
     segments = F.filter(F.split(F.lower(F.regexp_extract("url", PATH, 1)), "/"), lambda x: x != "")
     parts = captures.withColumn("host", host).select("url", "day", "host", labels.alias("labels"), F.slice(segments, 1, max(depth, 1)).alias("segments"))
@@ -58,7 +58,7 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     verdicts = active.groupBy("url", "day").agg(F.count(F.lit(1)).alias("n_active"), best.alias("best")).select("url", "day", "n_active", F.when(F.col("best.allowed"), "allow").otherwise("block").alias("verdict"))
     out = captures.join(verdicts, ["url", "day"], "left")
     verdict = F.coalesce("verdict", F.lit("none"))
-    return out.withColumns({"host": F.coalesce(F.rtrim(F.lit("."), F.lower(F.regexp_extract("url", HOST, 1))), F.lit("")), "n_active": F.coalesce("n_active", F.lit(0)), "verdict": verdict, "kept": verdict != "block"})
+    return out.withColumns({"host": F.coalesce(F.rtrim(F.lower(F.regexp_extract("url", HOST, 1)), F.lit(".")), F.lit("")), "n_active": F.coalesce("n_active", F.lit(0)), "verdict": verdict, "kept": verdict != "block"})
 
 
 def demonstration_entries(pages: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ daily AS (SELECT list, kind, lower(pattern) AS pattern, day, max(action) AS acti
 intervals AS (SELECT * FROM (SELECT *, lead(day) OVER (PARTITION BY list, kind, pattern ORDER BY day) AS valid_to FROM daily) WHERE action = 'add'),
 captures AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 365 AS INT) AS day,
-    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)) AS host,
+    rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '.') AS host,
     list_filter(split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)), '/'), lambda x: x <> '') AS segments FROM pages),
 keys AS (
   SELECT page_id, day, 'host' AS kind, unnest(list_transform(range(1, len(split(host, '.')) + 1), lambda i: array_to_string(split(host, '.')[i:], '.'))) AS pattern FROM captures WHERE host <> ''
