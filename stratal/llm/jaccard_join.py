@@ -11,8 +11,9 @@ good ones as the pigeonhole needs; both documents walk the segments in the same
 stops, the bound holds for the other as well. A document that runs out of segments indexes all of them.
 
 Documents that index the same subset are candidates. Each group names one hub; every member is verified against its
-hub on the whole sets. Groups that still hold several components afterwards get the pairs across components that the
-sizes and the distances to the common hub (Jaccard distance is a metric) leave possible, verified as well.
+hub on the whole sets. Groups that still hold several components afterwards get the pairs across components that three
+bounds leave possible, verified as well: the sizes, the distances to the common hub (Jaccard distance is a metric),
+and parity sketches, which differ in no more bits than the sets in shingles.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ PERCENT = 85
 GROWTH = 1.6  # of band edges
 SHARED = 0.1  # assumed chance that another document of the band holds a given shingle, for the costs
 BROADCAST_ROWS = 1_000_000
+BYTES_A_SHINGLE = 6  # about, to estimate how many sets there are of a size
+SKETCH_WORDS = 16
 _U = np.uint64
 
 
@@ -91,6 +94,19 @@ def class_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return keys[0], keys[1]
 
 
+def parity_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """SKETCH_WORDS signed integers a set: the parity of its shingles in each of 64 * SKETCH_WORDS bins.
+
+    A shingle in which two sets differ flips one bin, so the sketches differ in no more bins than the sets in shingles.
+    """
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    flat = np.concatenate([np.empty(0, dtype=_U), *sets])
+    bins = 64 * SKETCH_WORDS
+    at = np.repeat(np.arange(len(sets)), n) * bins + (mix64(flat ^ _U(0xA0761D6478BD642F)) % _U(bins)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(sets) * bins) & 1).astype(np.uint8).reshape(len(sets), bins)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(set number, signature) of every indexed subset and neighbour."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -131,32 +147,22 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
     return doc[np.concatenate(out_doc)], np.concatenate(out_sig).view(np.int64)
 
 
-def _classes(docs: DataFrame, width: int) -> DataFrame:
-    def run(batches):
-        import pyarrow as pa
+def _indexed(docs: DataFrame, bands: Bands, width: int) -> DataFrame:
+    """doc_id, n, class keys and signatures of every document; copies within a slice carry no signatures again."""
 
-        for batch in by_bytes(batches, limit=6_000_000):
-            sets = sets_of(batch.column(1).to_pylist(), width)
-            a, b = class_keys(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n", "c1", "c2"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, c1 long, c2 long")
-
-
-def _index(docs: DataFrame, bands: Bands, width: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
         for batch in by_bytes(batches, limit=6_000_000):
             sets = sets_of(batch.column(1).to_pylist(), width)
-            node, _ = class_keys(sets)
-            _, first = np.unique(node, return_index=True)  # copies in a slice are indexed once
-            sets, node = [sets[k] for k in first.tolist()], node[first]
-            which, sig = signatures(sets, bands)
-            for k in range(0, len(sig), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(sig[k : k + 500_000]), pa.array(node[which[k : k + 500_000]])], names=["sig", "node"])
+            a, b = class_keys(sets)
+            _, first = np.unique(a, return_index=True)
+            which, sig = signatures([sets[k] for k in first.tolist()], bands)
+            order = np.argsort(first[which], kind="stable")
+            bounds = np.searchsorted(first[which][order], np.arange(len(sets) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), pa.ListArray.from_arrays(bounds, pa.array(sig[order]))], names=["doc_id", "n", "c1", "c2", "sigs"])
 
-    return docs.mapInArrow(run, "sig long, node long")
+    return docs.mapInArrow(run, "doc_id long, n long, c1 long, c2 long, sigs array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -167,9 +173,9 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             sets = sets_of(batch.column(1).to_pylist(), width)
             bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate([np.empty(0, dtype=_U), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(flat))], names=["node", "rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(flat)), pa.array(list(parity_sketches(sets)), pa.list_(pa.int64()))], names=["node", "rep", "shingles", "sketch"])
 
-    return docs.mapInArrow(run, "node long, rep long, shingles array<long>")
+    return docs.mapInArrow(run, "node long, rep long, shingles array<long>, sketch array<long>")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -196,13 +202,18 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     Verification compares 64-bit hashes of shingles.
     """
     docs = texts_of(docs)
-    classes, _ = written(_classes(docs, width), "classes")
-    counts = {r["p"]: r["n"] for r in classes.where("n > 0").groupBy(F.floor(F.log2(F.col("n"))).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    power = F.floor(F.log2(F.octet_length("text") / BYTES_A_SHINGLE)).cast("int")
+    counts = {r["p"]: r["n"] for r in docs.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect() if r["p"] is not None}
     bands = Bands(counts, percent)
-    index = _index(docs, bands, width)
-    hubs = index.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("sig", "hub")
-    hubs, _ = written(hubs, "hubs")
-    members, _ = written(index.join(_small(hubs, hubs.count()), "sig").distinct(), "members")
+    classes, _ = written(_indexed(docs, bands, width), "classes")
+    index = classes.select(F.col("c1").alias("node"), F.explode("sigs").alias("sig"))
+    shared = index.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("sig")
+    shared, _ = written(shared, "shared")
+    grouped, _ = written(index.join(_small(shared, shared.count()), "sig").distinct(), "grouped")
+    # a node that shares most of its subsets stands in the middle of its copies: the best hub of every group it is in
+    score = grouped.groupBy("node").agg(F.count(F.lit(1)).alias("score"))
+    hubs = grouped.join(score, "node").groupBy("sig").agg(F.max(F.struct("score", "node"))["node"].alias("hub"))
+    members, _ = written(grouped.join(hubs, "sig").select("node", "hub").distinct(), "members")
 
     nodes = members.select("node").distinct()
     reps = classes.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
@@ -217,17 +228,22 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
 
 def _finish(classes, members, sets, scores, linked, percent) -> DataFrame:
-    sized = sets.select("node", "rep", F.size("shingles").alias("n"))
-    part = sized.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("node", "n", F.coalesce("component", "rep").alias("component"))
+    sized = sets.select("node", "rep", F.size("shingles").alias("n"), "sketch")
+    part = sized.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("node", "n", "sketch", F.coalesce("component", "rep").alias("component"))
     near = scores.select(F.col("a").alias("node"), F.col("b").alias("hub"), "similarity")
-    placed = members.join(part, "node").join(near, ["node", "hub"], "left").select("sig", "node", "n", "component", F.when(F.col("node") == F.col("hub"), 1.0).otherwise(F.col("similarity")).alias("near"))
+    placed = members.join(part, "node").join(near, ["node", "hub"], "left").select("hub", "node", "n", "sketch", "component", F.when(F.col("node") == F.col("hub"), 1.0).otherwise(F.col("similarity")).alias("near"))
     placed, _ = written(placed, "placed")
-    open_groups = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    rest = placed.join(open_groups, "sig", "left_semi")
-    x = rest.select("sig", *(F.col(c).alias(c + "_a") for c in ("node", "n", "component", "near")))
-    y = rest.select("sig", *(F.col(c).alias(c + "_b") for c in ("node", "n", "component", "near")))
-    possible = (F.col("component_a") < F.col("component_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.abs(F.col("near_a") - F.col("near_b")) <= 1 - percent / 100 + 1e-9)
-    cross = x.join(y, (x["sig"] == y["sig"]) & possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    # those that are in the hub's component already need no look at each other, only at the rest
+    main = placed.where("node = hub").select("hub", F.col("component").alias("main"))
+    placed = placed.join(main, "hub").withColumn("apart", F.col("component") != F.col("main"))
+    words = [f"k{k}" for k in range(SKETCH_WORDS)]
+    placed = placed.select("*", *(F.col("sketch")[k].alias(w) for k, w in enumerate(words)))
+    strays = placed.where("apart").select("hub", *(F.col(c).alias(c + "_a") for c in ("node", "n", "component", "near", *words)))
+    others = placed.join(strays.select("hub").distinct(), "hub", "left_semi").select("hub", *(F.col(c).alias(c + "_b") for c in ("node", "n", "component", "near", "apart", *words)))
+    possible = (F.col("component_a") != F.col("component_b")) & (~F.col("apart_b") | (F.col("node_a") < F.col("node_b"))) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.abs(F.col("near_a") - F.col("near_b")) <= 1 - percent / 100 + 1e-9)
+    apart = sum((F.bit_count(F.col(w + "_a").bitwiseXOR(F.col(w + "_b"))) for w in words), F.lit(0))
+    possible = possible & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    cross = strays.join(others, (strays["hub"] == others["hub"]) & possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     known = scores.select("a", "b").unionByName(scores.select(F.col("b").alias("a"), F.col("a").alias("b")))
     cross, _ = written(cross.join(known, ["a", "b"], "left_anti"), "cross")
     more = _verified(cross, sets, percent).where("linked").select("rep_a", "rep_b")
