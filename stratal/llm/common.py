@@ -50,7 +50,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written to the shared folder and read again: later stages survive the loss of the executors that made it."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -51,9 +51,10 @@ def extendible_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
         fits = by_cut.join(totals.where(F.col("total") <= limit), ["depth", "q"])
         # the shallowest cut that fits: all above it are too large
         leaf = fits.groupBy("p").agg(F.min(F.struct("depth", "q", "total")).alias("leaf")).select("p", "leaf.*")
-        leaf, _ = written(leaf, "directory")
+        directory, _ = written(sums.select("p").join(leaf, "p", "left"), "directory")
+        leaf = directory.where("total IS NOT NULL")
         found.append(sized.join(leaf, _prefix(depth) == leaf["p"]).select("doc_id", "n_bytes", F.expr("lpad(conv(q, 10, 2), depth, '0')").alias("shard"), "depth", F.col("total").alias("shard_bytes")))
-        open_, _ = written(sums.join(leaf, "p", "left_anti").select(F.col("p").alias("open")), "open")
+        open_ = directory.where("total IS NULL").select(F.col("p").alias("open"))
         if not open_.limit(1).count():
             break
     else:
