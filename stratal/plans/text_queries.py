@@ -1,0 +1,423 @@
+"""Queries on text, URLs, HTML, dates, hashes, JSON and nested values."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from stratal.catalogue import register
+from stratal.functions import nested as N
+from stratal.functions import text as X
+from stratal.functions import times as T
+from stratal.operators import classify as C
+from stratal.operators import selection as S
+from stratal.sources.observations import table
+
+HOST_SQL = "nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '')"
+PATH_SQL = "regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), ';[^/]*$', '')"
+QUERY_SQL = "array_to_string(list_transform(list_filter(split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_full_match(lower(split_part(p, '=', 1)), 'utm_.*|ref|source|fbclid|gclid')), lambda p: split_part(p, '=', 1) || '=' || split_part(p, '=', 2)), '&')"
+CANON_SQL = f"""lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)) || CASE WHEN {PATH_SQL} IN ('', '/') THEN '/' ELSE regexp_replace({PATH_SQL}, '/+$', '') END || CASE WHEN {QUERY_SQL} = '' THEN '' ELSE '?' || {QUERY_SQL} END"""
+
+
+@register("url_canonical", f"SELECT page_id, {CANON_SQL} AS canonical FROM pages")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.canonical_url("url").alias("canonical"))
+
+
+@register("url_host_allow", f"SELECT page_id, {HOST_SQL} AS host FROM pages WHERE {HOST_SQL} IN (SELECT {HOST_SQL} FROM pages WHERE page_id % 10 = 0)")
+def _(spark, sf):
+    """The allow-list is the hosts of every tenth page."""
+    p = table(spark, sf, "pages").select("page_id", X.host("url").alias("host"))
+    return p.join(p.where("page_id % 10 = 0").select("host").distinct(), "host", "left_semi").select("page_id", "host")
+
+
+@register("path_needles", "SELECT page_id FROM pages WHERE contains(url, '/fr/') OR contains(url, 'page=')")
+def _(spark, sf):
+    return table(spark, sf, "pages").where(X.contains_any("url", ["/fr/", "page="])).select("page_id")
+
+
+@register("age_filter", "SELECT event_id FROM (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN ts END AS t FROM events) WHERE t IS NULL OR t >= TIMESTAMP '2024-01-20'")
+def _(spark, sf):
+    t = F.when(F.col("event_id") % 5 != 0, F.col("ts"))
+    return table(spark, sf, "events").where(t.isNull() | (t >= F.expr("TIMESTAMP_NTZ'2024-01-20'"))).select("event_id")
+
+
+@register("unchanged_skip", "SELECT e.event_id FROM events e LEFT JOIN events b ON b.event_id = e.event_id - 100 WHERE e.event_type IS DISTINCT FROM b.event_type")
+def _(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    known = e.select((F.col("event_id") + 100).alias("event_id"), F.col("event_type").alias("before"))
+    return e.join(known, "event_id", "left").where(~F.col("event_type").eqNullSafe(F.col("before"))).select("event_id")
+
+
+@register("html_title", "SELECT page_id, left(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), 500) AS title FROM pages WHERE NOT regexp_matches(html, '(?is)<title[^>]*>[^<]*&(lt|gt|nbsp);')")
+def _(spark, sf):
+    p = table(spark, sf, "pages").where(~F.col("html").rlike("(?is)<title[^>]*>[^<]*&(lt|gt|nbsp);"))
+    return p.select("page_id", X.html_title("html").alias("title"))
+
+
+@register("html_text", r"""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages WHERE NOT contains(html, '&nbsp;')""")
+def _(spark, sf):
+    return table(spark, sf, "pages").where(~F.contains(F.col("html"), F.lit("&nbsp;"))).select("page_id", X.html_text("html").alias("text"))
+
+
+@register("html_links", """SELECT page_id, CAST(i - 1 AS INT) AS at, links[i] AS href FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]*href="([^"]*)"', 1) AS links FROM pages))""")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.posexplode(X.html_hrefs("html")).alias("at", "href"))
+
+
+@register("html_links_dedup_topn", """
+WITH l AS (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]*href="([^"]*)"', 1) AS links FROM pages)),
+f AS (SELECT page_id, links[i] AS href, min(i) AS i FROM l WHERE NOT contains(links[i], ',') GROUP BY ALL)
+SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY i) AS rank FROM f QUALIFY rank <= 3""")
+def _(spark, sf):
+    """Anchors of a page in order, filtered, the first of equal ones, three at most (the feature: the newest entries of an index)."""
+    links = F.array_distinct(F.filter(X.html_hrefs("html"), lambda h: ~F.contains(h, F.lit(","))))
+    p = table(spark, sf, "pages").select("page_id", F.posexplode(F.slice(links, 1, 3)).alias("at", "href"))
+    return p.select("page_id", "href", (F.col("at") + 1).cast("long").alias("rank"))
+
+
+@register("absolute_links", f"""
+WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a[^>]*href="([^"]*)"', 1)) AS href FROM pages)
+SELECT page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href AS target FROM l WHERE href[1] = '/' AND href[2] <> '/'""")
+def _(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", "url", F.explode(X.html_hrefs("html")).alias("href")).where("href LIKE '/%' AND href NOT LIKE '//%' AND length(href) > 1")
+    return p.select("page_id", X.absolute_url("href", "url").alias("target"))
+
+
+@register("ws_collapse_preview", r"SELECT doc_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 240) AS preview FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.left(X.collapse("text"), F.lit(240)).alias("preview"))
+
+
+@register("md_title", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN nullif(trim(split_part(text, chr(10), 1)), '') END AS title FROM documents WHERE NOT contains(text, '# ')")
+def _(spark, sf):
+    d = table(spark, sf, "documents").where(~F.contains(F.col("text"), F.lit("# ")))
+    content = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("intro\n# "), "text")).otherwise(F.col("text"))
+    return d.select("doc_id", X.markdown_title(content).alias("title"))
+
+
+@register("md_replace_title", "SELECT doc_id, '# New $1' || chr(10) || 'body ' || doc_id AS content FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, '# New $1' || chr(10) || chr(10) || 'plain ' || doc_id FROM documents WHERE doc_id % 2 = 1")
+def _(spark, sf):
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# Old\nbody "), "doc_id")).otherwise(F.concat(F.lit("plain "), "doc_id"))
+    return table(spark, sf, "documents").select("doc_id", X.replace_title(text, F.lit("New $1")).alias("content"))
+
+
+@register("post_id", "SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN CAST(conv_id * 100 + turn AS VARCHAR) END AS post FROM conversations")
+def _(spark, sf):
+    c = table(spark, sf, "conversations")
+    n = F.col("conv_id") * 100 + F.col("turn")
+    path = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("/u/status/"), n, F.lit("?x=1"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("/u/status/"), n, F.lit("/photo/1"))).otherwise(F.concat(F.lit("/home/"), n))
+    return c.select("conv_id", "turn", X.post_id(path).alias("post"))
+
+
+@register("repository_name", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'o/r' || event_id END AS name FROM events")
+def _(spark, sf):
+    href = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("/o/r"), "event_id", F.lit("/"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("/o/r/x"), "event_id")).otherwise(F.concat(F.lit("/solo"), "event_id"))
+    return table(spark, sf, "events").select("event_id", X.repository_name(href).alias("name"))
+
+
+_PAPERS = "SELECT doc_id, '2601.' || lpad(CAST(doc_id % 90000 AS VARCHAR), 5, '0') AS paper, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS version, doc_id % 4 = 0 AS explicit, ['new', 'replace', 'withdraw', 'cross', 'cross-list'][1 + doc_id % 5] AS announce, TIMESTAMP '2024-03-01 10:00:00' + INTERVAL (doc_id) MINUTE AS stamp FROM documents"
+
+
+def _papers(spark, sf):
+    d = table(spark, sf, "documents")
+    paper = F.concat(F.lit("2601."), F.lpad((F.col("doc_id") % 90000).cast("string"), 5, "0"))
+    url = F.concat(F.lit("https://arxiv.org/abs/"), paper, F.when(F.col("doc_id") % 4 == 0, "v2").otherwise(""))
+    names = F.array(*map(F.lit, ["new", "replace", "withdraw", "cross", "cross-list"]))
+    at = F.expr("TIMESTAMP_NTZ'2024-03-01 10:00:00'") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
+    return d.select("doc_id", url.alias("url"), F.element_at(names, (1 + F.col("doc_id") % 5).cast("int")).alias("announce"), at.alias("at"))
+
+
+@register("arxiv_id", f"SELECT doc_id, paper, CASE WHEN explicit THEN version END AS version FROM ({_PAPERS})")
+def _(spark, sf):
+    return _papers(spark, sf).select("doc_id", X.arxiv_id("url").alias("paper"), X.arxiv_version("url").alias("version"))
+
+
+@register("arxiv_typing", f"""
+SELECT doc_id, CASE WHEN announce IN ('replace', 'withdraw') AND NOT explicit THEN 'arxiv:' || paper || ':' || announce || ':' || strftime(stamp, '%Y%m%dT%H%M%S') WHEN announce IN ('cross', 'cross-list') THEN 'arxiv:' || paper || ':cross:' || strftime(stamp, '%Y%m%d') ELSE 'arxiv:' || paper || ':v' || version END AS item_id,
+CASE WHEN announce = 'withdraw' THEN 'withdrawn' WHEN announce = 'replace' OR version > 1 THEN 'version' WHEN announce IN ('cross', 'cross-list') THEN 'cross_listed' ELSE 'announced' END AS change FROM ({_PAPERS})""")
+def _(spark, sf):
+    p = _papers(spark, sf)
+    version = F.coalesce(X.arxiv_version("url"), F.lit(1))
+    return p.select("doc_id", C.paper_item_id(X.arxiv_id("url"), version, X.arxiv_version("url").isNotNull(), F.col("announce"), F.col("at")).alias("item_id"), C.paper_change(version, F.col("announce")).alias("change"))
+
+
+@register("safe_ids", "SELECT page_id, replace(replace(url, '/', '_'), ':', '_') AS safe, regexp_replace(lower(url), '[^a-z0-9_-]+', '_', 'g') AS slug FROM pages WHERE length(regexp_replace(lower(url), '[^a-z0-9_-]+', '_', 'g')) <= 48")
+def _(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", X.safe_id("url").alias("safe"), X.key_slug("url").alias("slug"), "url")
+    return p.where(F.length(F.regexp_replace(F.lower("url"), "[^a-z0-9_-]+", "_")) <= 48).drop("url")
+
+
+@register("long_keys", "SELECT page_id, left(regexp_replace(lower(url || url), '[^a-z0-9_-]+', '_', 'g'), 41) || '-' || left(sha256(url || url), 6) AS slug FROM pages WHERE length(url) > 40")
+def _(spark, sf):
+    return table(spark, sf, "pages").where("length(url) > 40").select("page_id", X.key_slug(F.concat("url", "url")).alias("slug"))
+
+
+@register("id_validity", "SELECT doc_id, doc_id % 3 = 0 AS valid FROM documents")
+def _(spark, sf):
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("pkg-"), "doc_id")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("-pkg"), "doc_id")).otherwise(F.concat(F.lit("pkg\n"), "doc_id"))
+    return table(spark, sf, "documents").select("doc_id", X.valid_id(name).alias("valid"))
+
+
+@register("link_rewrite", "SELECT doc_id, 'see https://w/agent-tools, https://w/agent. subreport://agent ' || doc_id AS content, TRUE AS has_agent FROM documents")
+def _(spark, sf):
+    urls = F.create_map(*map(F.lit, ["agent", "https://w/agent", "agent-tools", "https://w/agent-tools"]))
+    content = F.concat(F.lit("see report://agent-tools, report://agent. subreport://agent "), "doc_id")
+    d = table(spark, sf, "documents").select("doc_id", content.alias("raw"))
+    return d.select("doc_id", X.rewrite_links("raw", F.map_keys(urls), urls).alias("content"), X.has_link("raw", F.lit("agent")).alias("has_agent"))
+
+
+@register("leaked_ids", "SELECT doc_id, contains(text, 'the') OR contains(text, 'que') AS leaked FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.contains_any("text", ["the", "que"]).alias("leaked"))
+
+
+@register("topic_scores", f"SELECT doc_id, CAST({' + '.join(f'''(length(t) - length(replace(t, '{t}', ''))) // {len(t)}''' for t in X.TOPIC_TERMS)} AS INT) AS score FROM (SELECT doc_id, lower(text) || CASE WHEN doc_id % 7 = 0 THEN ' humanoid robot, world model' ELSE '' END AS t FROM documents)")
+def _(spark, sf):
+    t = F.concat("text", F.when(F.col("doc_id") % 7 == 0, " humanoid robot, world model").otherwise(""))
+    return table(spark, sf, "documents").select("doc_id", X.topic_score(t).cast("int").alias("score"))
+
+
+@register("error_classes", "SELECT event_id, ['capacity', 'quota', 'authentication', 'network', 'process_error'][1 + event_id % 5] AS class, event_id % 5 = 3 AS retryable FROM events")
+def _(spark, sf):
+    texts = F.array(*map(F.lit, ["The selected Model is at capacity, network", "Usage limit reached", "Unauthorized: token expired", "Connection timed out", "exit code 3"]))
+    e = table(spark, sf, "events").select("event_id", F.element_at(texts, (1 + F.col("event_id") % 5).cast("int")).alias("m"))
+    return e.select("event_id", X.error_class("m").alias("class"), (X.retryable("m") & ~F.contains(F.col("m"), F.lit("capacity"))).alias("retryable"))
+
+
+@register("sha256_refs", "SELECT doc_id, 'sha256:' || sha256(text) || '.txt' AS ref, 'blobs/' || left(sha256(text), 2) || '/' || sha256(text) || '.txt' AS path, 'u_' || left(sha256(CAST(doc_id AS VARCHAR)), 20) AS unit FROM documents")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", X.blob_ref("text", ".txt").alias("ref"))
+    return d.select("doc_id", "ref", X.blob_path("ref").alias("path"), X.unit_id(F.col("doc_id").cast("string")).alias("unit"))
+
+
+@register("blob_store_append", "SELECT sha256(text) AS digest, min(doc_id) AS doc_id FROM documents GROUP BY 1 HAVING min(doc_id) >= 100")
+def _(spark, sf):
+    """Contents that are not stored yet (those of the first hundred documents are), once each."""
+    d = table(spark, sf, "documents").select(F.sha2("text", 256).alias("digest"), "doc_id")
+    new = d.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    return new.join(d.where("doc_id < 100").select("digest").distinct(), "digest", "left_anti").select("digest", "doc_id")
+
+
+@register("snapshot_ids_valid", "SELECT doc_id, doc_id % 2 = 0 AS valid FROM documents")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.sha2("text", 256)).otherwise(F.concat(F.sha2("text", 256), F.lit("Z"))).alias("snapshot_id"))
+    return d.select("doc_id", F.col("snapshot_id").rlike(r"\A[0-9a-f]{64}\z").alias("valid"))
+
+
+@register("batch_input_hash", "SELECT source, sha256('v1' || chr(31) || source || chr(31) || string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS input_hash FROM documents GROUP BY source")
+def _(spark, sf):
+    d = table(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))).alias("r"))
+    return d.select("source", F.sha2(F.concat_ws("\x1f", F.lit("v1"), "source", F.array_join(F.transform("r", lambda x: x["h"]), "\n")), 256).alias("input_hash"))
+
+
+@register("idempotency_key", "SELECT doc_id, left(sha256('dm:' || source || ':2024-01-01:' || sha256(text)), 48) AS key FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.left(F.sha2(F.concat_ws(":", F.lit("dm"), "source", F.lit("2024-01-01"), F.sha2("text", 256)), 256), F.lit(48)).alias("key"))
+
+
+@register("artifact_hash", "SELECT source, sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || text, chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE doc_id < 400 GROUP BY source")
+def _(spark, sf):
+    d = table(spark, sf, "documents").where("doc_id < 400").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.concat_ws(":", "doc_id", "text").alias("line")))).alias("r"))
+    return d.select("source", F.sha2(F.array_join(F.transform("r", lambda x: x["line"]), "\n"), 256).alias("digest"))
+
+
+@register("json_path", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
+def _(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@register("json_tolerant", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(props->>'$.k' AS BIGINT) ELSE -1 END AS k FROM events")
+def _(spark, sf):
+    raw = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat(F.lit("{broken "), "props"))
+    return table(spark, sf, "events").select("event_id", F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$.k", "bigint"), F.lit(-1)).alias("k"))
+
+
+@register("jsonl_roundtrip", "SELECT user_id, count(*) AS n, sum(CAST(props->>'$.k' AS BIGINT))::BIGINT AS k FROM events GROUP BY 1")
+def _(spark, sf):
+    """A file of lines per user, with a line separator inside a string; only line feeds end a record."""
+    from stratal.sources.files import parse_jsonl
+
+    e = table(spark, sf, "events")
+    line = F.to_json(F.struct(F.col("event_id").alias("id"), F.lit("a b").alias("s"), F.get_json_object("props", "$.k").cast("long").alias("k")))
+    files = e.groupBy("user_id").agg(F.array_join(F.collect_list(line), "\n").alias("content"))
+    rows = parse_jsonl(files, "content", "id long, s string, k long", ["user_id"])
+    return rows.where("s = 'a b'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+
+
+@register("agent_events", "SELECT user_id, max(CASE WHEN event_type = 'view' THEN event_id END) AS thread, sum(CASE WHEN event_type = 'click' THEN event_id ELSE 0 END)::BIGINT AS used FROM events WHERE event_id % 4 <> 0 GROUP BY 1")
+def _(spark, sf):
+    """An event stream of JSON lines and noise: the last thread id and the sum of usage."""
+    from stratal.sources.files import parse_jsonl
+
+    e = table(spark, sf, "events")
+    line = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("warning: "), "event_id")).otherwise(F.to_json(F.struct(F.col("event_type").alias("type"), F.col("event_id").alias("n"))))
+    rows = parse_jsonl(e.select("user_id", line.alias("content")), "content", "type string, n long", ["user_id"])
+    return rows.groupBy("user_id").agg(F.max(F.when(F.col("type") == "view", F.col("n"))).alias("thread"), F.sum(F.when(F.col("type") == "click", F.col("n")).otherwise(0)).alias("used"))
+
+
+@register("readme_decode", "SELECT doc_id, left(text, 4000) AS readme FROM documents")
+def _(spark, sf):
+    encoded = F.base64(F.encode("text", "utf-8"))
+    wrapped = F.concat(F.left(encoded, F.lit(60)), F.lit("\n"), F.substr(encoded, F.lit(61)))
+    d = table(spark, sf, "documents").select("doc_id", wrapped.alias("content"))
+    return d.select("doc_id", F.left(F.decode(F.try_to_binary(F.replace(F.col("content"), F.lit("\n"), F.lit("")), F.lit("base64")), "utf-8"), F.lit(4000)).alias("readme"))
+
+
+@register("map_redact", "SELECT event_id, '<redacted>' AS token, 'v' || event_id AS plain FROM events")
+def _(spark, sf):
+    m = F.create_map(F.lit("X-Auth-Token"), F.col("props"), F.lit("plain"), F.concat(F.lit("v"), "event_id"))
+    return table(spark, sf, "events").select("event_id", X.redacted(m).alias("m")).select("event_id", F.element_at("m", "X-Auth-Token").alias("token"), F.element_at("m", "plain").alias("plain"))
+
+
+@register("header_allow_list", "SELECT event_id, 1 AS n, event_type AS etag FROM events")
+def _(spark, sf):
+    m = F.create_map(F.lit("etag"), F.col("event_type"), F.lit("set-cookie"), F.col("props"))
+    kept = F.map_filter(m, lambda k, v: k.isin("etag", "last-modified", "content-type"))
+    return table(spark, sf, "events").select("event_id", F.size(kept).alias("n"), F.element_at(kept, "etag").alias("etag"))
+
+
+@register("map_strip_nulls", "SELECT event_id, 1 + (event_id % 2 = 0)::INT AS n FROM events")
+def _(spark, sf):
+    m = F.create_map(F.lit("likes"), F.col("value"), F.lit("views"), F.when(F.col("event_id") % 2 == 0, F.col("value")))
+    return table(spark, sf, "events").select("event_id", F.size(N.without_nulls(m)).alias("n"))
+
+
+@register("truthy_fallback", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a' || event_id WHEN event_id % 3 = 1 THEN 'b' ELSE '' END AS v FROM events")
+def _(spark, sf):
+    a = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("a"), "event_id")).when(F.col("event_id") % 3 == 1, "")
+    b = F.when(F.col("event_id") % 3 == 1, "b").otherwise("")
+    return table(spark, sf, "events").select("event_id", X.truthy(a, b).alias("v"))
+
+
+@register("compact_projection", "SELECT conv_id, turn, 'x_list' AS source, left(text, 1200) AS text, NULL::VARCHAR AS title FROM conversations UNION ALL SELECT doc_id, 0, 'article', left(text, 1800), source FROM documents")
+def _(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.lit("x_list").alias("source"), F.left("text", F.lit(1200)).alias("text"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("article").alias("source"), F.left("text", F.lit(1800)).alias("text"), F.col("source").alias("title"))
+    return c.unionByName(d, allowMissingColumns=True)
+
+
+@register("snapshot_projection", "SELECT p_partkey, coalesce(CASE WHEN p_size % 2 = 0 THEN p_size END, 0)::BIGINT AS stars, p_brand AS owner, list_sort([p_type, p_brand]) AS topics FROM part")
+def _(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", F.coalesce(F.when(F.col("p_size") % 2 == 0, F.col("p_size")), F.lit(0)).cast("long").alias("stars"), F.col("p_brand").alias("owner"), F.array_sort(F.array("p_type", "p_brand")).alias("topics"))
+
+
+@register("today_index", "SELECT conv_id, turn, left(coalesce(nullif(CASE WHEN turn % 2 = 0 THEN '' ELSE role END, ''), nullif(text, ''), CAST(conv_id AS VARCHAR)), 240) AS label FROM conversations")
+def _(spark, sf):
+    title = F.when(F.col("turn") % 2 == 0, "").otherwise(F.col("role"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.left(X.truthy(title, F.col("text"), F.col("conv_id").cast("string")), F.lit(240)).alias("label"))
+
+
+@register("array_distinct_ordered", "SELECT user_id, list_transform(list_sort(list_transform(list_distinct(l), lambda x: {'p': list_position(l, x), 'x': x})), lambda s: s.x) AS kinds FROM (SELECT user_id, list(event_type ORDER BY event_id) AS l FROM events GROUP BY 1)")
+def _(spark, sf):
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("r"))
+    return e.select("user_id", F.array_distinct(F.transform("r", lambda x: x["event_type"])).alias("kinds"))
+
+
+@register("expanded_links", "SELECT page_id, [url, 'https://short/' || page_id] AS links FROM pages")
+def _(spark, sf):
+    link = lambda a, b, c: F.struct(a.alias("expanded_url"), b.alias("expandedUrl"), c.alias("url"))
+    none, short = F.lit(None).cast("string"), F.concat(F.lit("https://short/"), "page_id")
+    urls = F.array(link(F.col("url"), none, short), link(none, F.col("url"), short), link(F.lit(""), none, short), link(none, none, none))
+    return table(spark, sf, "pages").select("page_id", N.expanded_links(urls).alias("links"))
+
+
+@register("reference_lists", "SELECT conv_id, turn, 1 + (turn > 0)::INT AS n_refs, CASE WHEN turn > 0 THEN 'quoted' ELSE 'replied_to' END AS first_type, length(text) > 0 AS has_text FROM conversations")
+def _(spark, sf):
+    c = table(spark, sf, "conversations")
+    quoted = F.when(F.col("turn") > 0, F.struct((F.col("turn") - 1).alias("id"), F.col("text").alias("text")))
+    none = F.lit(None).cast("struct<id:bigint,text:string>")
+    rows = c.select("conv_id", "turn", N.references(quoted, none, F.col("conv_id")).alias("r"), "text")
+    return rows.select("conv_id", "turn", F.size("r").alias("n_refs"), F.col("r")[0]["type"].alias("first_type"), (F.size(N.text_candidates(F.lit(""), F.col("text"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("r"))) > 0).alias("has_text"))
+
+
+@register("member_samples", "SELECT source, list_transform(list_sort(list(doc_id))[1:3], lambda x: CAST(x AS VARCHAR)) AS sample FROM documents GROUP BY source")
+def _(spark, sf):
+    d = table(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    return d.select("source", F.transform(F.slice("ids", 1, 3), lambda x: x.cast("string")).alias("sample"))
+
+
+@register("history_tail", "SELECT user_id, l[greatest(len(l) - 19, 1):] AS last_ids FROM (SELECT user_id, list(event_id ORDER BY event_id) AS l FROM events GROUP BY 1)")
+def _(spark, sf):
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("l"))
+    return e.select("user_id", N.last_entries("l", 20).alias("last_ids"))
+
+
+@register("dt_lenient_parse", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN TIMESTAMP '1970-01-01' + INTERVAL (event_id) SECOND WHEN 2 THEN TIMESTAMP '2026-08-30' END AS t FROM events")
+def _(spark, sf):
+    raw = F.when(F.col("event_id") % 5 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(F.col("event_id") % 5 == 1, F.col("event_id").cast("string")).when(F.col("event_id") % 5 == 2, "Sun Aug 30 00:00:00 +0000 2026").when(F.col("event_id") % 5 == 3, "not-a-date").otherwise("")
+    return table(spark, sf, "events").select("event_id", T.provider_timestamp(raw).cast("timestamp_ntz").alias("t"))
+
+
+@register("date_backfill_seq", """
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 1 WHEN doc_id % 4 = 1 THEN 0 ELSE least(3, 10 - (doc_id % 4)) END::INT AS to_fetch, CASE WHEN doc_id % 4 IN (0, 1) THEN 0 ELSE least(3, 9 - (doc_id % 4)) END::INT AS to_backfill FROM documents""")
+def _(spark, sf):
+    target = F.expr("DATE'2024-05-11'")
+    previous = F.when(F.col("doc_id") % 4 == 1, target).when(F.col("doc_id") % 4 > 1, F.date_add(F.expr("DATE'2024-05-01'"), (F.col("doc_id") % 4).cast("int")))
+    d = table(spark, sf, "documents").select("doc_id", previous.alias("p"))
+    return d.select("doc_id", F.size(T.dates_to_fetch("p", target, 3)).alias("to_fetch"), F.size(T.dates_to_backfill("p", target, 3)).alias("to_backfill"))
+
+
+@register("schedule_events", """
+SELECT h AS hour, m AS minute, CASE WHEN h = 13 AND m = 30 THEN 'papers' WHEN h = 7 THEN 'daily' WHEN m = 0 AND h IN (1, 13) THEN 'incremental' WHEN m = 0 AND h = 3 THEN 'recover' WHEN m = 0 AND h = 19 THEN 'incremental,papers' WHEN m = 0 AND h = 20 THEN 'x-for-you' ELSE '' END AS events,
+CASE WHEN h * 60 + m >= 420 AND h % 2 = 0 THEN 'daily' WHEN h * 60 + m >= 1200 THEN 'incremental,papers,x-for-you' WHEN h * 60 + m >= 810 THEN 'incremental,papers' WHEN h * 60 + m >= 780 THEN 'incremental' WHEN h * 60 + m >= 420 THEN 'recover' WHEN h * 60 + m >= 60 THEN 'incremental' ELSE 'recover' END AS catch_up
+FROM (SELECT DISTINCT hour(ts)::INT AS h, (minute(ts) // 30 * 30)::INT AS m FROM events)""")
+def _(spark, sf):
+    e = table(spark, sf, "events").select(F.hour("ts").alias("hour"), (F.floor(F.minute("ts") / 30) * 30).cast("int").alias("minute")).distinct()
+    return e.select("hour", "minute", F.array_join(T.scheduled_events("hour", "minute"), ",").alias("events"), F.array_join(T.catch_up_events(F.col("hour") * 60 + F.col("minute"), F.col("hour") % 2 == 1), ",").alias("catch_up"))
+
+
+@register("retry_due", "SELECT event_id FROM (SELECT event_id, ts + INTERVAL 1 SECOND * [600, 3600, 21600, 86400][least(1 + event_id % 6, 4)] AS due FROM events) WHERE due <= TIMESTAMP '2024-01-15'")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    due = F.col("ts") + F.make_dt_interval(secs=T.retry_delay((1 + F.col("event_id") % 6).cast("int"), T.AGENT_DELAYS))
+    return e.where(due <= F.expr("TIMESTAMP_NTZ'2024-01-15'")).select("event_id")
+
+
+@register("retry_exhausted", "SELECT event_id, CASE WHEN event_id % 7 < 4 THEN [300, 1800, 7200, 21600][1 + event_id % 7] END AS delay FROM events")
+def _(spark, sf):
+    return table(spark, sf, "events").select("event_id", T.retry_delay((1 + F.col("event_id") % 7).cast("int"), T.PUBLISH_DELAYS, clamp=False).alias("delay"))
+
+
+@register("local_dates", "SELECT event_id, CAST(ts + INTERVAL 8 HOUR AS DATE) AS local_date, hour(ts + INTERVAL 8 HOUR)::INT AS local_hour FROM events")
+def _(spark, sf):
+    local = F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Asia/Shanghai")
+    return table(spark, sf, "events").select("event_id", F.to_date(local).alias("local_date"), F.hour(local).alias("local_hour"))
+
+
+@register("expiry_and_stamp", "SELECT event_id, ts + INTERVAL 30 DAY AS expires_at, strftime(ts, '%Y%m%dT%H%M%S') AS stamp, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))::INT AS backlog FROM events")
+def _(spark, sf):
+    return table(spark, sf, "events").select("event_id", (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("expires_at"), T.stamp("ts").alias("stamp"), F.greatest(F.datediff(F.to_date("ts"), F.expr("DATE'2024-01-01'")), F.lit(0)).alias("backlog"))
+
+
+@register("history_cutoff", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 7 DAY")
+def _(spark, sf):
+    return table(spark, sf, "events").where(F.col("ts") >= F.expr("TIMESTAMP_NTZ'2024-01-30'") - F.expr("INTERVAL 7 DAYS")).select("event_id")
+
+
+@register("query_builder", "SELECT n_nationkey, n_name || ' stars:500..5000 created:>=2023-06-02 pushed:>=2024-04-17 fork:false archived:false' AS q FROM nation")
+def _(spark, sf):
+    now = F.expr("DATE'2024-06-01'")
+    return table(spark, sf, "nation").select("n_nationkey", F.format_string("%s stars:%s created:>=%s pushed:>=%s fork:false archived:false", F.col("n_name"), F.lit("500..5000"), F.date_sub(now, 365).cast("string"), F.date_sub(now, 45).cast("string")).alias("q"))
+
+
+@register("search_rotation", """
+WITH s AS (SELECT DISTINCT epoch(ts)::BIGINT // 21600 AS slot FROM events), r AS (
+SELECT slot, k, k % 5 AS o, ['a', 'b', 'c', 'd', 'e'][1 + (slot + k % 5) % 5] AS query FROM s, (SELECT unnest(range(0, 12)) AS k))
+SELECT slot, k::INT AS at, query, CASE WHEN k < 5 AND (slot + o) % 2 = 0 THEN 'stars' ELSE 'updated' END AS sort, CASE WHEN k BETWEEN 5 AND 9 THEN 'early' ELSE 'emerging' END AS lane FROM r""")
+def _(spark, sf):
+    s = table(spark, sf, "events").select(F.floor(T.micros("ts") / 21_600_000_000).alias("slot")).distinct()
+    return s.select("slot", F.posexplode(S.rotation(["a", "b", "c", "d", "e"], F.col("slot"), 12)).alias("at", "r")).select("slot", "at", "r.query", "r.sort", "r.lane")
+
+
+@register("link_budget", "SELECT page_id, url FROM (SELECT min(page_id) AS page_id, url FROM pages GROUP BY url) ORDER BY page_id LIMIT 40")
+def _(spark, sf):
+    """The first distinct urls within a run's budget of external look-ups (the feature)."""
+    return table(spark, sf, "pages").groupBy("url").agg(F.min("page_id").alias("page_id")).orderBy("page_id").limit(40)
+
+
+@register("running_rank_gap", "SELECT event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM events")
+def _(spark, sf):
+    return table(spark, sf, "events").select("event_id", (F.col("event_id") - F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))).alias("gap"))
