@@ -103,7 +103,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of a word (bytes); keeps what it has seen, up to a bound."""
 
-    BOUND = 1_000_000
+    BOUND = 400_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
