@@ -1,0 +1,140 @@
+"""Queries on publishing, generic engine checks, and streams run to their end."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stratal.catalogue import register
+from stratal.functions.text import breadcrumb
+from stratal.operators import checks as K
+from stratal.operators import publish as P
+from stratal.operators import selection as S
+from stratal.sources import files
+from stratal.sources.observations import table
+
+
+def _tree(spark, sf):
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    desired = r.select(F.concat(F.lit("report:"), "r_name").alias("key"), F.sha2("r_name", 256).alias("content_hash")).unionByName(n.select(F.concat(F.lit("subreport:"), "n_name").alias("key"), F.sha2("n_name", 256).alias("content_hash")))
+    recorded = n.where("n_nationkey % 2 = 0").select(F.concat(F.lit("subreport:"), "n_name").alias("key"), F.sha2(F.when(F.col("n_nationkey") % 4 == 0, F.col("n_name")).otherwise("old"), 256).alias("content_hash"))
+    old = n.where("n_nationkey < 3").select(F.concat(F.lit("report:gone"), "n_nationkey").alias("key"), F.lit("x").alias("content_hash"))
+    return desired, recorded.unionByName(old)
+
+
+@register("tree_diff", """
+SELECT 'report:' || r_name AS key, 'create' AS action FROM region UNION ALL SELECT 'subreport:' || n_name, CASE WHEN n_nationkey % 2 = 1 THEN 'create' WHEN n_nationkey % 4 = 0 THEN 'skip' ELSE 'update' END FROM nation UNION ALL SELECT 'report:gone' || n_nationkey, 'delete' FROM nation WHERE n_nationkey < 3""")
+def _(spark, sf):
+    return S.desired_diff(*_tree(spark, sf))
+
+
+@register("stale_nodes", "SELECT 'report:gone' || n_nationkey AS key, 1 AS deletion_order FROM nation WHERE n_nationkey < 3")
+def _(spark, sf):
+    desired, recorded = _tree(spark, sf)
+    return S.stale(recorded, desired).select("key", "deletion_order")
+
+
+@register("nav_index", "SELECT n_regionkey AS parent, string_agg('- [' || n_name || '](https://w/t' || n_nationkey || ')', chr(10) ORDER BY n_name DESC) AS index FROM nation GROUP BY 1")
+def _(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("parent"), "n_name", F.concat(F.lit("t"), "n_nationkey").alias("token"))
+    return P.navigation(n.unionAll(n), "parent", "n_name", "token", "https://w/")
+
+
+@register("status_block", """
+SELECT user_id, count(*) FILTER (event_type <> 'error') AS n_ok, count(*) FILTER (event_type = 'error') AS n_failed,
+'ok: ' || count(*) FILTER (event_type <> 'error') || '; failed: ' || count(*) FILTER (event_type = 'error') || CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN ' (' || string_agg('s' || event_id, ', ' ORDER BY 's' || event_id) FILTER (event_type = 'error') || ')' ELSE '' END AS block FROM events WHERE event_id % 10 = 0 GROUP BY 1""")
+def _(spark, sf):
+    e = table(spark, sf, "events").where("event_id % 10 = 0").select("user_id", F.concat(F.lit("s"), "event_id").alias("source"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"))
+    return P.status_block(e, "user_id")
+
+
+@register("brief_assembly", "SELECT source, string_agg(CASE WHEN doc_id % 2 = 0 THEN '- [d' || doc_id || '](/r/' || doc_id || ')' ELSE '- d' || doc_id END, chr(10) ORDER BY doc_id) AS brief FROM documents GROUP BY 1")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("source", "doc_id", F.concat(F.lit("d"), "doc_id").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/r/"), "doc_id")).alias("link"))
+    return P.brief(d, "source", "doc_id", "title", "link")
+
+
+@register("breadcrumbs", "SELECT n_nationkey, '[' || r_name || '](/r/' || r_regionkey || ') / [' || n_name || '](/n/' || n_nationkey || ')' AS crumb FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(spark, sf):
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = n.select("n_nationkey", F.array("r_name", "n_name").alias("t"), F.array(F.concat(F.lit("/r/"), "r_regionkey"), F.concat(F.lit("/n/"), "n_nationkey")).alias("u"))
+    return n.select("n_nationkey", breadcrumb("t", "u").alias("crumb"))
+
+
+@register("referenced_blobs", "SELECT DISTINCT sha256(text) AS ref FROM documents WHERE doc_id % 2 = 0 UNION SELECT DISTINCT sha256(lang) FROM documents")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select(F.array(F.sha2("lang", 256)).alias("refs"), F.when(F.col("doc_id") % 2 == 0, F.sha2("text", 256)).alias("full"))
+    return P.referenced_blobs(d, "refs", "full")
+
+
+@register("wiki_links_closed", "SELECT 'dead link' AS problem, 'n' || n_nationkey AS id FROM nation WHERE n_nationkey % 6 = 5 UNION ALL SELECT 'unreachable', 'n' || n_nationkey FROM nation WHERE n_nationkey % 5 = 4 AND n_nationkey % 6 <> 5")
+def _(spark, sf):
+    n = table(spark, sf, "nation")
+    page = F.concat(F.lit("n"), "n_nationkey")
+    pages = n.where("n_nationkey % 6 <> 5").select(page.alias("page"), F.lit(False).alias("root"))
+    links = n.where("n_nationkey % 5 <> 4 OR n_nationkey % 6 = 5").select(F.lit("root").alias("source"), page.alias("target"))
+    return K.links_closed(links, pages)
+
+
+@register("sitemap_rows", """
+WITH p AS (SELECT url, CASE WHEN page_id % 3 = 0 THEN TIMESTAMP '2024-01-10' + INTERVAL (page_id % 9) DAY WHEN page_id % 3 = 1 THEN TIMESTAMP '2023-06-01' END AS t, page_id FROM pages WHERE contains(url, '/en/') AND NOT contains(url, '&'))
+SELECT 1::BIGINT AS map_id, url, t AS updated_at, row_number() OVER (ORDER BY t DESC NULLS LAST, url)::INT AS rank FROM p WHERE t IS NULL OR t >= TIMESTAMP '2024-01-13' QUALIFY rank <= 30""")
+def _(spark, sf):
+    """A sitemap made of the pages, then read again; the newest 30 are the feature."""
+    p = table(spark, sf, "pages").where("contains(url, '/en/') AND NOT contains(url, '&')")
+    day = F.when(F.col("page_id") % 3 == 0, F.date_format(F.expr("TIMESTAMP_NTZ'2024-01-10'") + F.make_dt_interval(days=(F.col("page_id") % 9).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(F.col("page_id") % 3 == 1, "2023-06-01T00:00:00Z")
+    entry = F.concat_ws("", F.lit("<url><loc>"), "url", F.lit("</loc>"), F.when(day.isNotNull(), F.concat(F.lit("<lastmod>"), day, F.lit("</lastmod>"))), F.lit("</url>"))
+    xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>"))
+    maps = p.agg(xml.alias("xml")).select(F.lit(1).cast("long").alias("map_id"), "xml")
+    out = files.sitemap_rows(maps, "map_id", "xml", F.expr("TIMESTAMP'2024-01-20'"), ["/en/"], 30)
+    return out.select("map_id", "url", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"), "rank")
+
+
+@register("feed_rows", "SELECT conv_id, count(*) AS n, min('post ' || turn) AS first_title FROM conversations WHERE turn % 4 <> 3 GROUP BY 1")
+def _(spark, sf):
+    c = table(spark, sf, "conversations")
+    link = F.when(F.col("turn") % 4 != 3, F.concat(F.lit("<link>http://f/"), "turn", F.lit("</link>")))
+    item = F.concat_ws("", F.lit("<item><title>post \n "), "turn", F.lit("</title>"), link, F.lit("<pubDate>x</pubDate></item>"))
+    feeds = c.groupBy("conv_id").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("xml"))
+    return files.feed_rows(feeds, "conv_id", "xml").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min("title").alias("first_title"))
+
+
+@register("cli_envelope", "SELECT event_id, event_id AS n FROM events WHERE event_id % 2 = 0")
+def _(spark, sf):
+    e = table(spark, sf, "events").where("event_id % 2 = 0").select("event_id", F.concat(F.lit('log line\n{"note":1}\n{"ok":true,"n":'), "event_id", F.lit("}\n")).alias("out"))
+    return files.envelope(e, "event_id", "out").select("event_id", F.get_json_object("envelope", "$.n").cast("long").alias("n"))
+
+
+@register("pricing_summary", """
+SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
+def _(spark, sf):
+    x = table(spark, sf, "lineitem").where("l_shipdate <= TIMESTAMP_NTZ'1998-09-02'")
+    return x.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc"), F.count(F.lit(1)).alias("n"))
+
+
+@register("top_customers", """
+SELECT c_custkey, r_name, round(sum(o_totalprice), 2) AS spent FROM customer JOIN orders ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL ORDER BY spent DESC, c_custkey LIMIT 20""")
+def _(spark, sf):
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("s"))
+    x = o.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return x.select("c_custkey", "r_name", F.round("s", 2).alias("spent")).orderBy(F.desc("spent"), "c_custkey").limit(20)
+
+
+@register("cross_regions", "SELECT r.r_name AS a, n.n_name AS b FROM region r CROSS JOIN nation n")
+def _(spark, sf):
+    return table(spark, sf, "region").select(F.col("r_name").alias("a")).crossJoin(table(spark, sf, "nation").select(F.col("n_name").alias("b")))
+
+
+@register("stream_ledger_available_now")
+def _(spark, sf):
+    """The first-write ledger fed by a stream that runs to its end; equal to the batch query put_items_revisions."""
+    from stratal.streaming.ledger import run_events
+
+    return run_events(spark, sf)
+
+
+@register("stream_cooldown")
+def _(spark, sf):
+    """Events with a cooldown, state by user, in a stream that runs to its end; equal to growth_cooldown."""
+    from stratal.streaming.cooldown import run_events
+
+    return run_events(spark, sf)

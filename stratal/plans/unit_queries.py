@@ -1,0 +1,350 @@
+"""Queries on units, batches, joins, set operators, constraints and health."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stratal.catalogue import register
+from stratal.functions import nested as N
+from stratal.functions.text import canonical_url, topic_score, unit_id
+from stratal.operators import checks as K
+from stratal.operators import health as H
+from stratal.operators import selection as S
+from stratal.operators import units as U
+from stratal.plans.text_queries import CANON_SQL
+from stratal.sources import observations as O
+from stratal.sources.files import last_wins
+from stratal.sources.observations import table
+
+READY = "TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * turn"
+
+
+def _posts(spark, sf):
+    p = O.posts(spark, sf)
+    key = U.entity_key(F.col("source"), F.col("post_id"), F.col("conversation_id"), F.lit(None).cast("string"), F.lit("x"))
+    ready = F.expr("TIMESTAMP_NTZ'2024-01-01'") + F.make_dt_interval(mins=(F.col("seq") % 1000).cast("int"))
+    return p.select(key.alias("entity_key"), "item_id", F.when(F.col("role") == "user", "x_list").otherwise("x_for_you").alias("source"), ready.alias("ready_at"), ready.alias("occurred_at"), "text")
+
+
+@register("unitize_conversations", f"""
+WITH p AS (SELECT 'x-conversation:' || conv_id AS entity_key, 'x_list:' || conv_id || ':' || turn AS item_id, CASE WHEN role = 'user' THEN 'x_list' ELSE 'x_for_you' END AS source, {READY} AS ready_at, text FROM conversations)
+SELECT 'u_' || left(sha256(entity_key), 20) AS unit_id, entity_key, list(item_id ORDER BY ready_at, item_id) AS item_ids, list_sort(list_distinct(list(source))) AS sources, max(ready_at) AS occurred_at,
+left(coalesce(arg_max(text, (length(text), text)) FILTER (text <> ''), entity_key), 500) AS summary FROM p GROUP BY entity_key""")
+def _(spark, sf):
+    return U.unitise(_posts(spark, sf))
+
+
+@register("unitize_pages", f"SELECT {CANON_SQL} AS entity_key, count(*) AS n_items, min(page_id) AS first_page FROM pages GROUP BY 1")
+def _(spark, sf):
+    p = table(spark, sf, "pages").select(canonical_url("url").alias("entity_key"), F.lpad(F.col("page_id").cast("string"), 12, "0").alias("item_id"), F.lit("web").alias("source"), F.lit(0).alias("ready_at"), F.lit(0).alias("occurred_at"), "url")
+    u = U.unitise(p.withColumnRenamed("url", "text"))
+    return u.select("entity_key", F.size("item_ids").cast("long").alias("n_items"), F.col("item_ids")[0].cast("long").alias("first_page"))
+
+
+@register("greedy_batches", """
+WITH RECURSIVE r AS (SELECT source, doc_id, strlen(text) AS b, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+w(source, n, doc_id, k, held, batch) AS (
+  SELECT source, n, doc_id, 1, b, 0 FROM r WHERE n = 1
+  UNION ALL SELECT r.source, r.n, r.doc_id, CASE WHEN w.k >= 12 OR w.held + r.b > 20000 THEN 1 ELSE w.k + 1 END, CASE WHEN w.k >= 12 OR w.held + r.b > 20000 THEN r.b ELSE w.held + r.b END, CASE WHEN w.k >= 12 OR w.held + r.b > 20000 THEN w.batch + 1 ELSE w.batch END
+  FROM w JOIN r ON r.source = w.source AND r.n = w.n + 1)
+SELECT source, doc_id, batch::INT AS batch FROM w""")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("b"))
+    return U.greedy_batches(d, "source", "doc_id", "b", 12, 20000).drop("b")
+
+
+@register("catalog_shards", """
+WITH RECURSIVE r AS (SELECT lang, doc_id, length(source) + 8 + 1 AS b, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents),
+w(lang, n, doc_id, k, held, shard) AS (
+  SELECT lang, n, doc_id, 1, b, 0 FROM r WHERE n = 1
+  UNION ALL SELECT r.lang, r.n, r.doc_id, CASE WHEN w.k >= 160 OR w.held + r.b > 1500 THEN 1 ELSE w.k + 1 END, CASE WHEN w.k >= 160 OR w.held + r.b > 1500 THEN r.b ELSE w.held + r.b END, CASE WHEN w.k >= 160 OR w.held + r.b > 1500 THEN w.shard + 1 ELSE w.shard END
+  FROM w JOIN r ON r.lang = w.lang AND r.n = w.n + 1)
+SELECT lang, shard::INT AS shard, count(*) AS n, min(doc_id) AS first_doc FROM w GROUP BY ALL""")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("lang", "doc_id", (F.length("source") + 9).cast("long").alias("b"))
+    shards = U.greedy_batches(d, "lang", "doc_id", "b", U.MAX_UNITS, 1500)
+    return shards.groupBy("lang", F.col("batch").alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@register("stratified_batches", """
+WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
+b AS (SELECT min(b) AS b FROM (SELECT unnest(range(1, 100000)) AS b) t WHERE b >= ceil((SELECT sum(n) FROM c) / 40.0) AND b <= (SELECT max(n) FROM c) + ceil((SELECT sum(n) FROM c) / 40.0) AND (SELECT sum((n + b - 1) // b) FROM c) <= 40)
+SELECT doc_id, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % (SELECT b FROM b) AS INT) AS batch FROM documents""")
+def _(spark, sf):
+    return U.stratified_batches(table(spark, sf, "documents").select("doc_id", "source"), 40, "source", "doc_id").select("doc_id", "batch")
+
+
+@register("repair_batches", """
+WITH m AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
+SELECT doc_id, CAST(n // 40 AS INT) AS batch FROM m""")
+def _(spark, sf):
+    units = table(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), F.lit("all").alias("scope"), F.lit(1).cast("long").alias("b"))
+    left = U.missing_only(units, table(spark, sf, "labels").select(F.col("doc_id").alias("unit_id")))
+    return U.greedy_batches(left, "scope", "unit_id", "b", U.REPAIR_UNITS, U.REPAIR_BYTES).select(F.col("unit_id").alias("doc_id"), "batch")
+
+
+@register("item_unit_package", """
+SELECT 'x_list:' || conv_id || ':' || turn AS item_id, 'u_' || left(sha256('x-conversation:' || conv_id), 20) AS unit_id, CASE WHEN conv_id % 11 <> 0 THEN 'pkg-' || (conv_id % 5) END AS package_id FROM conversations""")
+def _(spark, sf):
+    units = U.unitise(_posts(spark, sf))
+    number = F.regexp_extract("entity_key", ":([0-9]+)$", 1).cast("long")
+    packages = units.select(F.concat(F.lit("pkg-"), number % 5).alias("package_id"), "unit_id", number.alias("n")).where("n % 11 <> 0").groupBy("package_id").agg(F.collect_list("unit_id").alias("unit_ids"))
+    return U.route_items(units, packages)
+
+
+@register("catalog_join", "SELECT doc_id, 'pkg-' || source AS package_id, quality FROM labels JOIN documents USING (doc_id)")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("pkg-"), "source").alias("package_id"))
+    return table(spark, sf, "labels").join(d, "doc_id").select("doc_id", "package_id", "quality")
+
+
+@register("ordered_expand", """
+SELECT p.package_id, list(d.doc_id ORDER BY p.pos, d.doc_id) AS unit_ids FROM (
+  SELECT 'odd' AS package_id, unnest(['src3', 'src1']) AS source, unnest([0, 1]) AS pos UNION ALL SELECT 'even', unnest(['src4', 'src2', 'src0']), unnest([0, 1, 2])) p JOIN documents d ON d.source = p.source GROUP BY 1""")
+def _(spark, sf):
+    plans = spark.createDataFrame([("odd", ["src3", "src1"]), ("even", ["src4", "src2", "src0"])], "package_id string, group_ids array<string>")
+    return U.materialise_packages(plans, table(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), F.col("source").alias("group_id")))
+
+
+@register("package_workspace", """
+SELECT d.source AS package_id, count(*) AS n_units, sum((q.doc_id IS NOT NULL)::INT)::BIGINT AS n_labelled, list(d.doc_id ORDER BY d.doc_id)[1:5] AS first_units FROM documents d LEFT JOIN labels q USING (doc_id) GROUP BY 1""")
+def _(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    return d.groupBy(F.col("source").alias("package_id")).agg(F.count(F.lit(1)).alias("n_units"), F.count_if(F.col("quality").isNotNull()).alias("n_labelled"), F.slice(F.array_sort(F.collect_list("doc_id")), 1, 5).alias("first_units"))
+
+
+@register("paper_pairs", "SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.doc_id = b.doc_id - 50 WHERE a.doc_id % 2 = 0 AND b.source <> a.source")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    a = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 50).alias("paper"), F.col("source").alias("s"))
+    return a.join(d.withColumnRenamed("doc_id", "paper"), "paper").where("source <> s").select("a", F.col("paper").alias("b"))
+
+
+@register("surface_left_join", "SELECT c_custkey, coalesce(list_sort(list(o_orderpriority) FILTER (o_orderkey IS NOT NULL)), []) AS surfaces FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0) ON o_custkey = c_custkey GROUP BY 1")
+def _(spark, sf):
+    s = table(spark, sf, "orders").where("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list("o_orderpriority")).alias("s"))
+    return table(spark, sf, "customer").select("c_custkey").join(s, "c_custkey", "left").select("c_custkey", F.coalesce("s", F.expr("CAST(array() AS array<string>)")).alias("surfaces"))
+
+
+@register("anti_watch", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def _(spark, sf):
+    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@register("candidate_merge", """
+SELECT user_id, arg_max(value, event_id) FILTER (event_id % 3 <> 0) AS value, arg_max(props, event_id) FILTER (event_id % 2 = 0) AS props, list_sort(list_distinct(list(event_type))) AS lanes FROM events GROUP BY 1""")
+def _(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("props"), "event_type")
+    return S.merge_candidates(e, "user_id", "event_id", ["value", "props"], "event_type")
+
+
+@register("list_merge", "SELECT user_id AS post_id, arg_min(props, event_id) AS text, list_sort(list_distinct(list(event_type))) AS list_ids FROM events GROUP BY 1")
+def _(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("post_id"), "event_id", F.col("props").alias("text"), "event_type")
+    return S.merge_lists(e, "post_id", "event_id", "event_type", ["text"])
+
+
+@register("last_wins_scan", "SELECT user_id, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY 1")
+def _(spark, sf):
+    return last_wins(table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", "ts").select("user_id", "event_id", "event_type")
+
+
+@register("watched_semi", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def _(spark, sf):
+    return table(spark, sf, "documents").join(table(spark, sf, "labels").where("quality = 0"), "doc_id", "left_semi").select("doc_id")
+
+
+@register("topic_remap", "SELECT source, list_sort(list_distinct(list(CASE lang WHEN 'en' THEN 'g1' WHEN 'de' THEN 'g1' ELSE 'g2' END))) AS topics FROM documents GROUP BY 1")
+def _(spark, sf):
+    to = F.create_map(*map(F.lit, ["en", "g1", "de", "g1", "fr", "g2", "es", "g2"]))
+    d = table(spark, sf, "documents").groupBy("source").agg(F.collect_set("lang").alias("t"))
+    return d.select("source", F.array_sort(F.array_distinct(F.transform("t", lambda x: F.element_at(to, x)))).alias("topics"))
+
+
+@register("bundle_rebuild", "SELECT source AS bundle_id, list(doc_id ORDER BY doc_id) AS item_ids FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY 1")
+def _(spark, sf):
+    a = table(spark, sf, "labels").where("quality = 1").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return a.groupBy(F.col("source").alias("bundle_id")).agg(F.array_sort(F.collect_list("doc_id")).alias("item_ids"))
+
+
+@register("set_union", "SELECT c_nationkey AS n FROM customer UNION SELECT s_nationkey FROM supplier")
+def _(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_nationkey").alias("n")).union(table(spark, sf, "supplier").select("s_nationkey")).distinct()
+
+
+@register("set_intersect", "SELECT c_nationkey AS n FROM customer WHERE c_custkey < 40 INTERSECT SELECT s_nationkey FROM supplier")
+def _(spark, sf):
+    return table(spark, sf, "customer").where("c_custkey < 40").select(F.col("c_nationkey").alias("n")).intersect(table(spark, sf, "supplier").select("s_nationkey"))
+
+
+@register("set_except", "SELECT n_nationkey AS n FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_custkey < 20")
+def _(spark, sf):
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("n")).subtract(table(spark, sf, "customer").where("c_custkey < 20").select("c_nationkey"))
+
+
+@register("set_predicates", "SELECT user_id, NOT bool_or(event_type NOT IN ('view', 'click', 'purchase')) AS within, count(*) <> count(DISTINCT event_type) AS repeated FROM events WHERE user_id < 60 AND event_id % 40 = 0 GROUP BY 1")
+def _(spark, sf):
+    e = table(spark, sf, "events").where("user_id < 60 AND event_id % 40 = 0").groupBy("user_id").agg(F.collect_list("event_type").alias("a"))
+    return e.select("user_id", N.subset("a", F.array(*map(F.lit, ["view", "click", "purchase"]))).alias("within"), N.has_duplicates("a").alias("repeated"))
+
+
+def _cover(name, actual_sql, actual):
+    @register(name, f"""
+WITH e AS (SELECT doc_id FROM labels), a AS ({actual_sql}), c AS (SELECT doc_id, count(*) AS n FROM a GROUP BY 1)
+SELECT coalesce(e.doc_id, c.doc_id) AS doc_id, CASE WHEN c.doc_id IS NULL THEN 'missing' WHEN e.doc_id IS NULL THEN 'extra' ELSE 'duplicate' END AS problem
+FROM e FULL JOIN c USING (doc_id) WHERE c.doc_id IS NULL OR e.doc_id IS NULL OR n > 1""")
+    def _(spark, sf):
+        return K.exact_cover(table(spark, sf, "labels").select("doc_id"), actual(table(spark, sf, "labels"), table(spark, sf, "documents")), "doc_id")
+
+
+_cover("exact_cover_ok", "SELECT doc_id FROM labels", lambda lab, d: lab.select("doc_id"))
+_cover("exact_cover_missing", "SELECT doc_id FROM labels WHERE doc_id % 9 <> 0", lambda lab, d: lab.where("doc_id % 9 <> 0").select("doc_id"))
+_cover("exact_cover_extra", "SELECT doc_id FROM documents", lambda lab, d: d.select("doc_id"))
+_cover("exact_cover_dup", "SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 8 = 0", lambda lab, d: lab.select("doc_id").unionAll(lab.where("doc_id % 8 = 0").select("doc_id")))
+
+
+@register("packages_validate", """
+WITH p AS (SELECT 'p' || (o_custkey % 17) AS package_id, o_orderkey AS unit_id FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT 'too many packages' AS problem, '17' AS id UNION ALL
+SELECT 'missing unit', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 5 = 0 UNION ALL
+SELECT 'catalog disagrees', CAST(unit_id AS VARCHAR) FROM p WHERE unit_id % 100 = 1""")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("unit_id"), F.concat(F.lit("p"), F.col("o_custkey") % 17).alias("package_id"), "o_orderkey")
+    packages = o.where("o_orderkey % 5 <> 0").groupBy("package_id").agg(F.collect_list("unit_id").alias("unit_ids"))
+    catalog = o.select("unit_id", F.when(F.col("o_orderkey") % 100 == 1, "other").otherwise(F.col("package_id")).alias("package_id"))
+    return K.packages_valid(packages, o, catalog)
+
+
+@register("working_map_validate", "SELECT doc_id AS map_id, CASE WHEN doc_id % 4 = 0 THEN 'blank' ELSE 'group missing' END AS problem FROM documents WHERE doc_id % 4 = 0 OR NOT (contains(text, 'the') AND contains(text, 'is'))")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("map_id"), F.when(F.col("doc_id") % 4 == 0, " ").otherwise(F.col("text")).alias("content"), F.array(F.lit("the"), F.lit("is")).alias("group_ids"))
+    return K.working_map_valid(d)
+
+
+@register("routing_validate", """
+WITH i AS (SELECT doc_id AS id FROM documents), a AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'r' ELSE 'w' END AS d, CASE WHEN quality = 1 OR doc_id % 6 = 0 THEN 1 ELSE 0 END AS n FROM labels)
+SELECT 'missing' AS problem, id FROM i WHERE id NOT IN (SELECT id FROM a)
+UNION ALL SELECT 'topics', id FROM a WHERE d <> 'r' AND n > 0
+UNION ALL SELECT 'not listed', id FROM a WHERE d = 'r' AND id % 10 = 0""")
+def _(spark, sf):
+    lab, d = table(spark, sf, "labels"), table(spark, sf, "documents").select("doc_id", "source")
+    a = lab.join(d, "doc_id").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "r").otherwise("w").alias("d"), F.when((F.col("quality") == 1) | (F.col("doc_id") % 6 == 0), F.array("source")).otherwise(F.expr("CAST(array() AS array<string>)")).alias("t"))
+    bundles = a.where("d = 'r' AND id % 10 <> 0").select("id", F.explode("t").alias("bundle_id")).groupBy("bundle_id").agg(F.collect_list("id").alias("item_ids"))
+    return K.routing_valid(a, bundles, d.select(F.col("doc_id").alias("id")))
+
+
+@register("calibration_validate", """
+SELECT 'not watched' AS problem, doc_id AS id FROM labels WHERE doc_id % 3 = 0 AND quality = 1 UNION ALL SELECT 'blank', doc_id FROM labels WHERE doc_id % 3 = 0 AND doc_id % 2 = 0""")
+def _(spark, sf):
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, "w").otherwise("r").alias("d"))
+    rows = lab.where("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, " ").otherwise("promote").alias("suggestion"))
+    return K.calibration_valid(rows, lab)
+
+
+@register("evidence_refs_known", "SELECT DISTINCT 'unknown unit' AS problem, l_orderkey AS id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 45) UNION ALL SELECT DISTINCT 'no evidence', o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def _(spark, sf):
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("r"))
+    empty = F.expr("CAST(array() AS array<bigint>)")
+    e = table(spark, sf, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.coalesce("l_orderkey", "o_orderkey").alias("claim"), F.coalesce("r", empty).alias("evidence"), F.coalesce("r", empty).alias("related_unit_ids"))
+    return K.evidence_valid(e, table(spark, sf, "part").where("p_size < 45").select(F.col("p_partkey").alias("unit_id"))).distinct()
+
+
+@register("subset_output", "SELECT doc_id AS unit_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def _(spark, sf):
+    allowed = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("unit_id"))
+    return K.subset_output(table(spark, sf, "labels").select(F.col("doc_id").alias("unit_id"), "quality"), allowed)
+
+
+@register("markers_known", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type <> 'error') AND event_id % 2 = 0")
+def _(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    markers = e.where("event_id % 2 = 0").select("event_id")
+    return K.markers_known(markers, e.where("event_type <> 'error'").select(F.col("event_id").alias("item_id"))).select("event_id")
+
+
+@register("thread_identity", "SELECT user_id, count(DISTINCT event_type) AS n FROM events WHERE event_id % 30 = 0 GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
+def _(spark, sf):
+    return K.single_value(table(spark, sf, "events").where("event_id % 30 = 0"), "user_id", "event_type")
+
+
+@register("orphans", "SELECT count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
+def _(spark, sf):
+    return table(spark, sf, "lineitem").join(table(spark, sf, "orders").where("o_orderstatus <> 'P'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("source_group_counts", "SELECT 'articles' AS source_group, count(*) AS n FROM documents UNION ALL SELECT 'x_list', count(*) FROM conversations")
+def _(spark, sf):
+    items = O.documents(spark, sf).select("source").unionByName(O.posts(spark, sf).select("source"))
+    return O.grouped(items).groupBy("source_group").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("health_rollup", """
+SELECT event_type AS source, count(*) + 10 AS parsed_count, count(*) FILTER (value > 20) AS new_count, greatest(count(*) + 10 - count(*) FILTER (value > 20), 0) AS duplicate_count, min(ts) FILTER (value > 20) AS oldest_occurred_at, max(ts) FILTER (value > 20) AS newest_occurred_at FROM events GROUP BY 1""")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    parsed = e.groupBy(F.col("event_type").alias("source")).agg((F.count(F.lit(1)) + 10).alias("parsed_count"))
+    return H.rollup(e.where("value > 20").select(F.col("event_type").alias("source"), F.col("ts").alias("occurred_at")), parsed)
+
+
+@register("surface_status", "SELECT user_id AS source, CASE WHEN bool_and(value > 30) THEN 'success' WHEN bool_or(value > 30) THEN 'partial' ELSE 'failed' END AS status FROM events WHERE event_id % 20 = 0 GROUP BY 1")
+def _(spark, sf):
+    return H.surface_status(table(spark, sf, "events").where("event_id % 20 = 0").select(F.col("user_id").alias("source"), (F.col("value") > 30).alias("ok")))
+
+
+@register("severity_max", "SELECT user_id AS run, ['success', 'quiet', 'partial', 'failed'][1 + max(event_id % 4)] AS status FROM events WHERE event_id % 50 < 7 GROUP BY 1")
+def _(spark, sf):
+    names = F.array(*map(F.lit, ["success", "quiet", "partial", "failed"]))
+    e = table(spark, sf, "events").where("event_id % 50 < 7").select(F.col("user_id").alias("run"), F.element_at(names, (1 + F.col("event_id") % 4).cast("int")).alias("status"))
+    return H.worst(e, "run")
+
+
+@register("phase_status", "SELECT CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'partial' ELSE 'success' END AS status FROM events")
+def _(spark, sf):
+    h = table(spark, sf, "events").select(F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"))
+    return H.phase_status(h, F.lit(5))
+
+
+@register("coverage_modes", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN event_id % 8 = 0 THEN 'bounded_discovery' ELSE 'complete_increment' END WHEN 1 THEN 'complete_increment' WHEN 2 THEN 'sampled_surface' ELSE 'bounded_discovery' END AS mode FROM events")
+def _(spark, sf):
+    names = F.array(*map(F.lit, ["arxiv", "hackernews", "x_for_you", "article:x"]))
+    source = F.element_at(names, (1 + F.col("event_id") % 4).cast("int"))
+    return table(spark, sf, "events").select("event_id", H.coverage_mode(source, F.col("event_id") % 8 == 0).alias("mode"))
+
+
+@register("audit_manifest", """
+SELECT source AS bundle_id, count(*) AS item_count, sha256(string_agg('doc:' || doc_id, chr(10) ORDER BY 'doc:' || doc_id)) AS item_ids_sha256, sum(doc_id % 3)::BIGINT AS resolved_file_count, count(*) FILTER (lang = 'en') AS n_en FROM documents GROUP BY 1""")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("source").alias("bundle_id"), F.concat(F.lit("doc:"), "doc_id").alias("item_id"), F.col("lang").alias("source"), F.lit("full").alias("content_status"), (F.col("doc_id") % 3).alias("n_files"))
+    m = H.audit_manifest(d, "bundle_id")
+    return m.select("bundle_id", "item_count", "item_ids_sha256", "resolved_file_count", F.coalesce(F.try_element_at("source_counts", F.lit("en")), F.lit(0)).alias("n_en"))
+
+
+@register("pair_argmax", """
+WITH s AS (SELECT doc_id, source, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 AS score FROM documents),
+p AS (SELECT a.source, a.score AS sa, a.doc_id AS a, b.score AS sb, b.doc_id AS b FROM s a JOIN s b ON b.doc_id = a.doc_id + 1)
+SELECT source, arg_max(a, (sa, a, sb, b)) AS a, arg_max(b, (sa, a, sb, b)) AS b FROM p GROUP BY 1""")
+def _(spark, sf):
+    s = table(spark, sf, "documents").select("doc_id", "source", topic_score("text", ["the"]).alias("score"))
+    p = s.select("source", F.col("score").alias("sa"), F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")).join(s.select(F.col("doc_id").alias("b"), F.col("score").alias("sb")), "b")
+    best = F.max(F.struct("sa", "a", "sb", "b")).alias("m")
+    return p.groupBy("source").agg(best).select("source", "m.a", "m.b")
+
+
+@register("dispositions", "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'r' WHEN quality = 1 THEN 'w' ELSE 'n' END AS d FROM labels")
+def _(spark, sf):
+    from stratal.operators.classify import disposition
+
+    kind = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "investigate").when(F.col("quality") == 1, "supporting").otherwise("archive")
+    return table(spark, sf, "labels").select("doc_id", disposition(kind).alias("d"))
+
+
+@register("legacy_cover", "SELECT doc_id AS unit_id, 'missing' AS problem FROM labels WHERE quality = 1 AND doc_id % 12 = 0")
+def _(spark, sf):
+    """Investigated units exactly covered, supporting ones within the known."""
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("unit_id"), "quality")
+    return K.exact_cover(lab.where("quality = 1").select("unit_id"), lab.where("quality = 1 AND unit_id % 12 <> 0").select("unit_id"), "unit_id")
+
+
+@register("unit_ids", "SELECT conv_id, 'u_' || left(sha256('x-conversation:' || conv_id), 20) AS unit_id FROM (SELECT DISTINCT conv_id FROM conversations)")
+def _(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id").distinct().select("conv_id", unit_id(F.concat(F.lit("x-conversation:"), "conv_id")).alias("unit_id"))
