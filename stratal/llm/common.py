@@ -55,9 +55,11 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def process_cache(name: str, make):
-    """A value kept for the life of a Python worker process, across its tasks."""
+    """A value that a Python worker process keeps across its tasks, until an operator asks for another one."""
     home = sys.modules.setdefault("stratal_worker_cache", types.ModuleType("stratal_worker_cache"))
     if not hasattr(home, name):
+        for old in [k for k in vars(home) if not k.startswith("__")]:
+            delattr(home, old)
         setattr(home, name, make())
     return getattr(home, name)
 
@@ -67,7 +69,7 @@ def texts_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
 
 
-def by_bytes(batches, column: int = 1, limit: int = 24_000_000):
+def by_bytes(batches, column: int = 1, limit: int = 8_000_000):
     """Slices of Arrow batches whose text column holds about `limit` bytes at most (a longer single text stands alone)."""
     for batch in batches:
         lengths = np.frombuffer(np.asarray(_byte_lengths(batch.column(column)), dtype=np.int64), dtype=np.int64)
@@ -103,7 +105,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of a word (bytes); keeps what it has seen, up to a bound."""
 
-    BOUND = 400_000
+    BOUND = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

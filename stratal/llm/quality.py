@@ -32,7 +32,7 @@ EDGES = bytes(c for c in range(33, 128) if not chr(c).isalnum())
 class Units(WordHashes):
     """A word's core unit, its form unit as new and as repeated word, and bits of its hash, in 64 bits."""
 
-    BOUND = 600_000
+    BOUND = 400_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -25,7 +25,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     return texts_of(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
 
 
-def scored(docs: DataFrame, scorer, threshold: float, slice_bytes: int = 4_000_000) -> DataFrame:
+def scored(docs: DataFrame, scorer, threshold: float, slice_bytes: int = 1_500_000) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; scorer() gives, on the executor, texts -> probabilities.
 
     Null texts are scored as empty ones; null and repeated ids are rows like any other (a null id is not held out).
@@ -42,7 +42,7 @@ def scored(docs: DataFrame, scorer, threshold: float, slice_bytes: int = 4_000_0
     return out.select("doc_id", F.coalesce(fold_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def kept_by_score(docs: DataFrame, scorer, keep, slice_bytes: int = 4_000_000) -> DataFrame:
+def kept_by_score(docs: DataFrame, scorer, keep, slice_bytes: int = 1_500_000) -> DataFrame:
     """The rows of docs, all columns, whose score keep() accepts; nothing is shuffled."""
     column = docs.columns.index("text")
 

@@ -84,7 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
         import pyarrow as pa
 
         totals = np.zeros((2, 1 << BITS), dtype=np.int64)
-        for batch in by_bytes(batches, limit=2_000_000):
+        for batch in by_bytes(batches, limit=1_000_000):
             text, bucket = distinct_grams(batch.column(1).to_pylist())
             own = batch.column(2).to_numpy()[text]
             for label in (0, 1):
@@ -107,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
 
         number = np.full(1 << BITS, -1, dtype=np.int64)
         number[chosen] = np.arange(len(chosen))
-        for batch in by_bytes(batches, limit=2_000_000):
+        for batch in by_bytes(batches, limit=1_000_000):
             text, bucket = distinct_grams(batch.column(1).to_pylist(), number >= 0)
             bounds = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(bounds, pa.array(number[bucket].astype(np.int32)))], names=["doc_id", "label", "features"])
