@@ -5,6 +5,7 @@ from __future__ import annotations
 END_ID = 2
 MEMO_PIECES = 800_000
 LONGEST_PIECE = 48
+OTHER_SPACE = tuple(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")
 TAILS = ".,;:!?*$%#&|"  # after a letter or digit, a run of these is a pre-token of its own
 
 
@@ -97,7 +98,7 @@ class PieceEncoder:
             pieces = text.replace("\n", " \n").split(" ")
             if not text:
                 continue
-            if len(pieces) == len(text.split()):
+            if len(pieces) == len(text.split()) and not any(c in text for c in OTHER_SPACE):
                 cut.append((k, pieces.pop(0), pieces))
             else:
                 whole.append(k)
