@@ -28,7 +28,7 @@ from stratal.llm.components import components
 WIDTH = 4
 PERCENT = 85
 GROWTH = 1.6  # of band edges
-SHARED = 0.1  # assumed chance that another document of the band holds a given shingle, for the costs
+SHARED = 0.01  # assumed chance that another document of the band holds a given shingle, for the costs
 BROADCAST_ROWS = 1_000_000
 BYTES_A_SHINGLE = 6  # about, to estimate how many sets there are of a size
 SKETCH_WORDS = 16
