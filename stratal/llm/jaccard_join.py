@@ -10,10 +10,10 @@ A document skips segments with too few shingles to tell documents apart and goes
 good ones as the pigeonhole needs; both documents walk the segments in the same order, so where the first of the two
 stops, the bound holds for the other as well. A document that runs out of segments indexes all of them.
 
-Documents that index the same subset are candidates. Each group names one hub; every member is verified against its
-hub on the whole sets. Groups that still hold several components afterwards get the pairs across components that three
-bounds leave possible, verified as well: the sizes, the distances to the common hub (Jaccard distance is a metric),
-and parity sketches, which differ in no more bits than the sets in shingles.
+Documents that index the same subset are candidates. Each group names one hub, and every member is paired with it.
+Pairs that the sizes and parity sketches (which differ in no more bits than the sets in shingles) leave possible are
+verified on the whole sets. Groups that still hold several components afterwards get the pairs across components,
+under the same bounds and verification.
 """
 
 from __future__ import annotations
@@ -183,14 +183,21 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _possible(words: list[str], percent: int):
+    """What a link needs by the sizes n_a and n_b and the sketches."""
+    apart = sum((F.bit_count(F.col(w + "_a").bitwiseXOR(F.col(w + "_b"))) for w in words), F.lit(0))
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return sizes & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, rep_a, rep_b, similarity and whether they link, of pairs of nodes, on the whole sets."""
+    """a, b, rep_a, rep_b and whether they link, of pairs of nodes, on the whole sets."""
     left = sets.select(F.col("node").alias("a"), F.col("rep").alias("rep_a"), F.col("shingles").alias("s"))
     right = sets.select(F.col("node").alias("b"), F.col("rep").alias("rep_b"), F.col("shingles").alias("t"))
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("s", "t")).cast("long")
     union = F.size("s") + F.size("t") - F.col("i")
-    return both.select("a", "b", "rep_a", "rep_b", "s", "t", shared.alias("i")).select("a", "b", "rep_a", "rep_b", (F.col("i") / union).alias("similarity"), (100 * F.col("i") >= percent * union).alias("linked"))
+    return both.select("a", "b", "rep_a", "rep_b", "s", "t", shared.alias("i")).select("a", "b", "rep_a", "rep_b", (100 * F.col("i") >= percent * union).alias("linked"))
 
 
 def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -221,29 +228,24 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     texts = docs.join(_small(wanted, wanted.count()), "doc_id").select("doc_id", "text", "node")
     sets, _ = written(_sets(texts, width), "sets")
 
-    star = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    words = [f"k{k}" for k in range(SKETCH_WORDS)]
+    sized = sets.select("node", "rep", F.size("shingles").alias("n"), *(F.col("sketch")[k].alias(w) for k, w in enumerate(words)))
+    sized, _ = written(sized, "sized")
+    side = lambda df, end, *more: df.select(*more, *(F.col(c).alias(c + end) for c in ("node", "n", *words)))
+    star = members.where("node <> hub").select(F.col("node").alias("node_a"), F.col("hub").alias("node_b"))
+    star = star.join(side(sized, "_a"), "node_a").join(side(sized, "_b"), "node_b").where(_possible(words, percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     scores, _ = written(_verified(star, sets, percent), "scores")
     linked = components(scores.where("linked").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
-    return _finish(classes, members, sets, scores, linked, percent)
 
-
-def _finish(classes, members, sets, scores, linked, percent) -> DataFrame:
-    sized = sets.select("node", "rep", F.size("shingles").alias("n"), "sketch")
-    part = sized.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("node", "n", "sketch", F.coalesce("component", "rep").alias("component"))
-    near = scores.select(F.col("a").alias("node"), F.col("b").alias("hub"), "similarity")
-    placed = members.join(part, "node").join(near, ["node", "hub"], "left").select("hub", "node", "n", "sketch", "component", F.when(F.col("node") == F.col("hub"), 1.0).otherwise(F.col("similarity")).alias("near"))
-    placed, _ = written(placed, "placed")
+    part = sized.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).drop("rep")
+    placed, _ = written(members.join(part, "node"), "placed")
     # those that are in the hub's component already need no look at each other, only at the rest
     main = placed.where("node = hub").select("hub", F.col("component").alias("main"))
     placed = placed.join(main, "hub").withColumn("apart", F.col("component") != F.col("main"))
-    words = [f"k{k}" for k in range(SKETCH_WORDS)]
-    placed = placed.select("*", *(F.col("sketch")[k].alias(w) for k, w in enumerate(words)))
-    strays = placed.where("apart").select("hub", *(F.col(c).alias(c + "_a") for c in ("node", "n", "component", "near", *words)))
-    others = placed.join(strays.select("hub").distinct(), "hub", "left_semi").select("hub", *(F.col(c).alias(c + "_b") for c in ("node", "n", "component", "near", "apart", *words)))
-    possible = (F.col("component_a") != F.col("component_b")) & (~F.col("apart_b") | (F.col("node_a") < F.col("node_b"))) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.abs(F.col("near_a") - F.col("near_b")) <= 1 - percent / 100 + 1e-9)
-    apart = sum((F.bit_count(F.col(w + "_a").bitwiseXOR(F.col(w + "_b"))) for w in words), F.lit(0))
-    possible = possible & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-    cross = strays.join(others, (strays["hub"] == others["hub"]) & possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    strays = side(placed.where("apart"), "_a", "hub", F.col("component").alias("component_a"))
+    others = side(placed.join(placed.where("apart").select("hub").distinct(), "hub", "left_semi"), "_b", "hub", F.col("component").alias("component_b"), "apart")
+    unseen = (F.col("component_a") != F.col("component_b")) & (~F.col("apart") | (F.col("node_a") < F.col("node_b")))
+    cross = strays.join(others, (strays["hub"] == others["hub"]) & unseen & _possible(words, percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     known = scores.select("a", "b").unionByName(scores.select(F.col("b").alias("a"), F.col("a").alias("b")))
     cross, _ = written(cross.join(known, ["a", "b"], "left_anti"), "cross")
     more = _verified(cross, sets, percent).where("linked").select("rep_a", "rep_b")
