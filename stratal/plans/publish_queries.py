@@ -138,3 +138,89 @@ def _(spark, sf):
     from stratal.streaming.cooldown import run_events
 
     return run_events(spark, sf)
+
+
+@register("story_rows", """
+SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-10' - INTERVAL 24 HOUR THEN 'bootstrap_snapshot' ELSE 'live_increment' END AS kind, CASE WHEN event_id % 7 = 0 THEN 'tombstone' ELSE 'full' END AS status
+FROM events WHERE event_type = 'view' AND event_id % 10 <> 0 AND ts < TIMESTAMP '2024-01-10'""")
+def _(spark, sf):
+    """Stories with a stored blob; on the first poll those older than a day are snapshots, deleted or dead ones tombstones."""
+    from stratal.operators.classify import story_status
+
+    now = F.expr("TIMESTAMP_NTZ'2024-01-10'")
+    e = table(spark, sf, "events").withColumn("blob", F.when(F.col("event_id") % 10 != 0, F.sha2("props", 256)))
+    rows = e.where((F.col("event_type") == "view") & F.col("blob").isNotNull() & (F.col("ts") < now))
+    return rows.select("event_id", F.when(F.col("ts") < now - F.expr("INTERVAL 24 HOURS"), "bootstrap_snapshot").otherwise("live_increment").alias("kind"), story_status(F.col("event_id") % 7 == 0, F.lit(None).cast("boolean")).alias("status"))
+
+
+@register("row_validity", "SELECT event_id FROM events WHERE event_id % 4 IN (0, 3)")
+def _(spark, sf):
+    """Rows with a non-empty identity; nulls and empty strings are both missing."""
+    name = F.when(F.col("event_id") % 4 == 1, "").when(F.col("event_id") % 4 != 2, F.concat(F.lit("o/r"), "event_id"))
+    return table(spark, sf, "events").withColumn("name", name).where("name IS NOT NULL AND name <> ''").select("event_id")
+
+
+@register("report_kinds", "SELECT doc_id, ['main_report_v1', 'legacy_v3', 'legacy_v2'][1 + doc_id % 3] AS kind FROM documents")
+def _(spark, sf):
+    from stratal.operators.classify import report_kind
+
+    path = F.concat(F.lit("r/"), "doc_id", F.when(F.col("doc_id") % 3 == 0, "/main_report.md").when(F.col("doc_id") % 3 == 1, "/report.md").otherwise(".md"))
+    return table(spark, sf, "documents").select("doc_id", report_kind(path).alias("kind"))
+
+
+@register("canonical_json", """SELECT event_id, '{"a":' || CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) ELSE 'null' END || ',"b":"' || event_type || '","c":[1,2]}' AS json FROM events""")
+def _(spark, sf):
+    """Compact JSON with sorted keys; nulls are kept."""
+    s = F.struct(F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("a"), F.col("event_type").alias("b"), F.array(F.lit(1), F.lit(2)).alias("c"))
+    return table(spark, sf, "events").select("event_id", F.to_json(s, {"ignoreNullFields": "false"}).alias("json"))
+
+
+@register("subreport_files", "SELECT 's' || n_nationkey AS path, CASE WHEN n_nationkey % 5 = 0 THEN 'missing' ELSE 'extra' END AS problem FROM nation WHERE (n_nationkey % 5 = 0) <> (n_nationkey % 7 = 0)")
+def _(spark, sf):
+    """Declared against found files of a package: every fifth was not written, every seventh was not declared."""
+    n = table(spark, sf, "nation").select(F.concat(F.lit("s"), "n_nationkey").alias("path"), "n_nationkey")
+    return K.files_equal(n.where("n_nationkey % 7 <> 0").select("path"), n.where("n_nationkey % 5 <> 0").select("path"))
+
+
+@register("hash_manifest", "SELECT doc_id, doc_id % 9 = 0 AS changed FROM documents")
+def _(spark, sf):
+    """Files against the hashes of their manifest."""
+    d = table(spark, sf, "documents")
+    manifest = d.select("doc_id", F.sha2(F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("want"))
+    return d.join(manifest, "doc_id").select("doc_id", (F.sha2("text", 256) != F.col("want")).alias("changed"))
+
+
+@register("run_lookup", "SELECT o_orderkey AS run_id, '/runs/' || o_orderkey AS path FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 0")
+def _(spark, sf):
+    """Paths of queued runs that stay under the root."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.concat(F.when(F.col("o_orderkey") % 2 == 0, "/runs/").otherwise("/elsewhere/"), "o_orderkey").alias("path"))
+    wanted = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("run_id"))
+    return o.join(wanted, "run_id", "left_semi").where(F.col("path").startswith("/runs/"))
+
+
+@register("reconciled_status", """
+SELECT o_orderkey AS run_id, CASE WHEN n = 0 THEN 'failed' WHEN n < o_orderkey % 8 THEN 'partial' ELSE 'success' END AS status
+FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)""")
+def _(spark, sf):
+    """Phase status from the artefacts that are there against those that were planned."""
+    n = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count(F.lit(1)).alias("n"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id")).join(n, "run_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return o.select("run_id", F.when(F.col("n") == 0, "failed").when(F.col("n") < F.col("run_id") % 8, "partial").otherwise("success").alias("status"))
+
+
+@register("readiness", "SELECT source, bool_and(n_chars > 100) FILTER (lang = 'en') AS ready FROM documents GROUP BY 1")
+def _(spark, sf):
+    """Whether every required check (here: those of one language) holds."""
+    return table(spark, sf, "documents").groupBy("source").agg(F.every(F.when(F.col("lang") == "en", F.col("n_chars") > 100)).alias("ready"))
+
+
+@register("time_fields", "SELECT event_id, make_timestamp(year(ts), month(ts), day(ts), hour(ts), minute(ts), 0.0) AS t FROM events")
+def _(spark, sf):
+    """A timestamp from its calendar fields."""
+    t = F.expr("make_timestamp_ntz(year(ts), month(ts), day(ts), hour(ts), minute(ts), 0)")
+    return table(spark, sf, "events").select("event_id", t.alias("t"))
+
+
+@register("surface_attention", "SELECT user_id, list_sort(list_distinct(list(event_type))) AS surfaces, count(*) AS n, max(value) AS score FROM events GROUP BY 1")
+def _(spark, sf):
+    return table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("surfaces"), F.count(F.lit(1)).alias("n"), F.max("value").alias("score"))
