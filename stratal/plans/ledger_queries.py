@@ -115,7 +115,7 @@ def _(spark, sf):
     o = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("run_id"), "o_orderdate").orderBy("o_orderdate", "run_id").limit(100)
     from pyspark.sql import Window
 
-    return o.select("run_id", F.row_number().over(Window.orderBy("o_orderdate", "run_id")).alias("place"))
+    return o.select("run_id", F.row_number().over(Window.orderBy("o_orderdate", "run_id")).cast("long").alias("place"))
 
 
 @register("cursor_last_write", "SELECT event_type AS source, arg_max(event_id, ts) AS value FROM events GROUP BY 1")
@@ -290,7 +290,7 @@ def _(spark, sf):
 
 @register("observed_rank", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM events QUALIFY rank <= 5")
 def _(spark, sf):
-    return S.capped_in_order(table(spark, sf, "events").select("event_id", "user_id"), "user_id", "event_id", 5).select("event_id", "rank")
+    return S.capped_in_order(table(spark, sf, "events").select("event_id", "user_id"), "user_id", "event_id", 5).select("event_id", F.col("rank").cast("long").alias("rank"))
 
 
 @register("newest_n_pinned", """
