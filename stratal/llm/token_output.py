@@ -170,6 +170,13 @@ def read_shard(source, size: int):
         done = upto
 
 
+def _store(path: str):
+    """File system and root of a path; Hadoop's names for object stores are pyarrow's without the last letter."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path)
+
+
 def write_token_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, percentile: float = PERCENTILE) -> list[tuple[str, int, int, int]]:
     """Encodes every text and writes shards in ascending doc_id order; returns (file, documents, tokens, tokens before it) by shard.
 
@@ -182,13 +189,12 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     def write(batches):
         import pyarrow as pa
-        from pyarrow import fs
         from pyspark import TaskContext
 
         sink = None
         for batch in by_bytes(batches):
             if sink is None:
-                store, root = fs.FileSystem.from_uri(path)
+                store, root = _store(path)
                 store.create_dir(root, recursive=True)
                 shard = TaskContext.get().partitionId()
                 name = f"{root}/shard-{shard:07d}.pfor"
@@ -218,10 +224,9 @@ def read_token_shards(spark: SparkSession, path: str, manifest: list[tuple[str,
 
     def read(batches):
         import pyarrow as pa
-        from pyarrow import fs
 
         kind = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = _store(path)
         for batch in batches:
             for row in batch.to_pylist():
                 name = f"{root}/{row['file']}"
