@@ -43,7 +43,7 @@ def start(arrivals: DataFrame, root: str):
 
 
 def shared_root(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="stratal-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="stratal-")
     return f"{base.rstrip('/')}/stratal/stream-{uuid.uuid4().hex[:12]}"
 
 
