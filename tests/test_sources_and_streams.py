@@ -76,3 +76,16 @@ def test_a_replayed_batch_counts_once(spark, tmp_path):
     append(batch, 0)
     append(batch, 1)
     assert stream.state(spark, root).count() == 2 and L.put_items(batch, stream.state(spark, root).drop("batch")).count() == 0
+
+
+def test_id_scan_batch_and_stream(spark, tmp_path):
+    from stratal.sources.id_scan import id_source
+
+    spark.dataSource.register(id_source("numbered", "id long, title string", lambda: 950, lambda a, b: [(k, f"t{k}") for k in range(a, b + 1) if k % 10]))
+    read = spark.read.format("numbered").option("previous", 100).option("limit", 500).option("per_task", 60).load()
+    assert sorted(r["id"] for r in read.collect()) == [k for k in range(101, 601) if k % 10]
+    assert spark.read.format("numbered").option("previous", 950).load().count() == 0
+    query = spark.readStream.format("numbered").option("previous", 100).option("limit", 300).load().writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ckpt").start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [k for k in range(101, 951) if k % 10]
