@@ -94,17 +94,24 @@ def class_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return keys[0], keys[1]
 
 
-def parity_sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """SKETCH_WORDS signed integers a set: the parity of its shingles in each of 64 * SKETCH_WORDS bins.
+def parity_sketches(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Signed integers of each set: the parity of its shingles in each of their bits, the bins; two bins a shingle at least.
 
     A shingle in which two sets differ flips one bin, so the sketches differ in no more bins than the sets in shingles.
+    The number of words is a power of two, and the halves of a sketch, combined by exclusive or, are the next smaller one.
     """
-    n = np.array([len(s) for s in sets], dtype=np.int64)
-    flat = np.concatenate([np.empty(0, dtype=_U), *sets])
-    bins = 64 * SKETCH_WORDS
-    at = np.repeat(np.arange(len(sets)), n) * bins + (mix64(flat ^ _U(0xA0761D6478BD642F)) % _U(bins)).astype(np.int64)
-    odd = (np.bincount(at, minlength=len(sets) * bins) & 1).astype(np.uint8).reshape(len(sets), bins)
-    return np.packbits(odd, axis=1).view(np.int64)
+    out = []
+    for s in sets:
+        bins = 64 * max(SKETCH_WORDS, 1 << max(0, (len(s) - 1) // 32).bit_length())
+        odd = np.bincount((mix64(s ^ _U(0xA0761D6478BD642F)) % _U(bins)).astype(np.int64), minlength=bins) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    return out
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
 
 
 def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
@@ -173,9 +180,11 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             sets = sets_of(batch.column(1).to_pylist(), width)
             bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate([np.empty(0, dtype=_U), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(flat)), pa.array(list(parity_sketches(sets)), pa.list_(pa.int64()))], names=["node", "rep", "shingles", "sketch"])
+            fine = parity_sketches(sets)
+            small = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(flat)), pa.array(fine, small), pa.array([folded(x, SKETCH_WORDS) for x in fine], small)], names=["node", "rep", "n", "shingles", "fine", "sketch"])
 
-    return docs.mapInArrow(run, "node long, rep long, shingles array<long>, sketch array<long>")
+    return docs.mapInArrow(run, "node long, rep long, n long, shingles array<long>, fine array<long>, sketch array<long>")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -190,6 +199,17 @@ def _possible(words: list[str], percent: int):
     return sizes & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
 
 
+def _closer(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b that the full sketches leave possible; the larger of two is folded to the other's length."""
+    end = lambda name: sets.select(F.col("node").alias(name), F.col("n").alias("n_" + name), F.col("fine").alias("fine_" + name))
+    both = pairs.join(end("a"), "a").join(end("b"), "b")
+    words = F.least(F.size("fine_a"), F.size("fine_b"))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    same = lambda x: F.when(F.size(x) > words, F.zip_with(F.slice(x, F.lit(1), words), F.slice(x, words + 1, words), xor)).otherwise(F.col(x))
+    apart = F.aggregate(F.zip_with(same("fine_a"), same("fine_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return both.where(apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, rep_a, rep_b and whether they link, of pairs of nodes, on the whole sets."""
     left = sets.select(F.col("node").alias("a"), F.col("rep").alias("rep_a"), F.col("shingles").alias("s"))
@@ -208,6 +228,8 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     repeat an id are one document of several texts; a null id gets the component of its copies, null without any.
     Verification compares 64-bit hashes of shingles.
     """
+    if not 50 < percent < 100:
+        raise ValueError("the similarity has to be between 51 and 99 percent: linked sizes may not differ by a factor of two")
     docs = texts_of(docs)
     power = F.floor(F.log2(F.octet_length("text") / BYTES_A_SHINGLE)).cast("int")
     counts = {r["p"]: r["n"] for r in docs.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect() if r["p"] is not None}
@@ -229,11 +251,12 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     sets, _ = written(_sets(texts, width), "sets")
 
     words = [f"k{k}" for k in range(SKETCH_WORDS)]
-    sized = sets.select("node", "rep", F.size("shingles").alias("n"), *(F.col("sketch")[k].alias(w) for k, w in enumerate(words)))
+    sized = sets.select("node", "rep", "n", *(F.col("sketch")[k].alias(w) for k, w in enumerate(words)))
     sized, _ = written(sized, "sized")
     side = lambda df, end, *more: df.select(*more, *(F.col(c).alias(c + end) for c in ("node", "n", *words)))
     star = members.where("node <> hub").select(F.col("node").alias("node_a"), F.col("hub").alias("node_b"))
     star = star.join(side(sized, "_a"), "node_a").join(side(sized, "_b"), "node_b").where(_possible(words, percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    star, _ = written(_closer(star, sets, percent), "star")
     scores, _ = written(_verified(star, sets, percent), "scores")
     linked = components(scores.where("linked").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
 
@@ -247,7 +270,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     unseen = (F.col("component_a") != F.col("component_b")) & (~F.col("apart") | (F.col("node_a") < F.col("node_b")))
     cross = strays.join(others, (strays["hub"] == others["hub"]) & unseen & _possible(words, percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     known = scores.select("a", "b").unionByName(scores.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    cross, _ = written(cross.join(known, ["a", "b"], "left_anti"), "cross")
+    cross, _ = written(_closer(cross.join(known, ["a", "b"], "left_anti"), sets, percent), "cross")
     more = _verified(cross, sets, percent).where("linked").select("rep_a", "rep_b")
     more, _ = written(more, "more")
     if more.limit(1).count():

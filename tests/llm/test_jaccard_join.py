@@ -31,6 +31,20 @@ def test_every_linked_pair_shares_a_signature(counts):
         assert set(sig[which == 0]) & set(sig[which == 1]), (len(a), len(b))
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for size in (1, 40, 700, 5000):
+        a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[size // 5 :], rng.integers(0, 2**64, size // 5, dtype=np.uint64)]))
+        x, y = jj.parity_sketches([a, b])
+        apart = len(np.setxor1d(a, b))
+        for words in {len(x), len(y), jj.SKETCH_WORDS}:
+            k = min(words, len(x), len(y))
+            bits = int(np.unpackbits((jj.folded(x, k) ^ jj.folded(y, k)).view(np.uint8)).sum())
+            assert bits <= apart
+        assert len(x) >= len(a) / 32
+
+
 def brute(rows):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
@@ -59,7 +73,7 @@ def _table():
     rng = random.Random(5)
     words = [f"w{k}" for k in range(400)]
     rows, n = [], 0
-    for size in (3, 4, 9, 12, 15, 30, 60, 150, 400):
+    for size in (3, 4, 9, 12, 15, 30, 60, 150, 400, 1500):
         for _ in range(4):
             base = [rng.choice(words) for _ in range(size)]
             for _ in range(5):
