@@ -87,8 +87,8 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))] if n else []
 
 
-def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, with the writing task and the rank among its pieces of that length."""
+def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, with the writing task, the rank among its pieces of that length, and their ids (null unless kept)."""
     tokenizer = tokenizer or default_tokenizer()
 
     def make(batches):
@@ -97,28 +97,29 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
 
         part, ranks, enc = TaskContext.get().partitionId(), {}, encoder(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in by_bytes(batches):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
                 ids += end
                 for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     rank = ranks[length] = ranks.get(length, -1) + 1
-                    rows.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, rank))
+                    own = ids[4 * start : 4 * (start + length)]
+                    rows.append((doc_id, piece, start, length, zlib.crc32(own), part, rank, own if keep_ids else None))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds, strict=True)], names=names)
 
-    return texts_of(docs).mapInArrow(make, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long")
+    return texts_of(docs).mapInArrow(make, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """One row a piece with its sequence and its place there; see the module.
 
     Null texts are empty (one end id), null and repeated ids are kept as rows of their own, an empty table gives
     none. The pieces are written once, so a piece keeps its rank whatever is lost later. The driver gets the
     histogram: at most `capacity` rows. Counts by task and length shift the ranks, so no group is gathered anywhere.
     """
-    pieces, _ = written(pieces_of(docs, tokenizer, capacity), "pieces")
+    pieces, _ = written(pieces_of(docs, tokenizer, capacity, keep_ids=keep_ids), "pieces")
     by_task = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     by_task, _ = written(by_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "length", "n", F.coalesce("before", F.lit(0)).alias("before")), "ranks")
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -135,7 +136,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             nth, each = rank - look["rank"][row], look["each"][row]
             sequence = look["sequence"][row] + nth // each
             offset = look["offset"][row] + nth % each * length
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*batch.schema.names[:5], "sequence_id", "offset"])
+            kept = batch.columns[6:] if keep_ids else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64()), *kept], names=[*batch.schema.names[:5], "sequence_id", "offset", "ids"][: 7 + len(kept)])
 
-    ranked = pieces.join(by_task.drop("n"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = pieces.join(by_task.drop("n"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"), *["ids"][: int(keep_ids)])
+    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * keep_ids)
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id, ids (little-endian u32) of what pack() with kept ids gives: the training sequences themselves."""
+    parts = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+    return parts.select("sequence_id", F.aggregate("parts", F.lit(b""), lambda whole, p: F.concat(whole, p["ids"])).alias("ids"))

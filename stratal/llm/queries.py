@@ -13,7 +13,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_array_repetition(spark, sf_dir):
-    return repetition.repetition_rules(_read(spark, sf_dir, "documents"))
+    return repetition.repetition_rules(_read(spark, sf_dir, "documents")).drop("spans")
 
 
 def op2_temporal_list_join(spark, sf_dir):

@@ -131,8 +131,8 @@ def spans_of(lengths: np.ndarray, min_words: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def measure(texts: list[str], limits: Limits = Limits()) -> dict[str, np.ndarray]:
-    """The measures of whole texts, as columns."""
+def measure(texts: list[str], limits: Limits = Limits()) -> dict:
+    """The measures of whole texts, as columns; spans: the united repeats, with the text each is of, in words."""
     words: list[int] = []
     n_words, symbols, chars, dup_lines = [], [], [], []
     for text in texts:
@@ -154,7 +154,15 @@ def measure(texts: list[str], limits: Limits = Limits()) -> dict[str, np.ndarray
     count = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[bounds])
     longest = np.zeros(len(texts), dtype=np.int64)
     np.maximum.at(longest, doc, lengths)
-    return {"n_words": n, "word_chars": np.array(chars, dtype=np.int64), "n_symbols": np.array(symbols, dtype=np.int64), "n_dup_lines": np.array(dup_lines, dtype=np.int64), "n_repeat_words": count(spans_of(lengths, 3)), "covered_words": count(spans_of(lengths, limits.min_words)), "longest_repeat": longest}
+    covered = spans_of(lengths, limits.min_words)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    at = np.concatenate([starts, bounds[(bounds > 0) & (bounds < len(covered))]])  # a span ends with its document
+    at = np.unique(at[covered[at]]) if len(at) else at
+    until = np.minimum(ends[np.searchsorted(ends, at, side="right")], bounds[np.searchsorted(bounds, at, side="right")]) if len(at) else at
+    owner = np.searchsorted(bounds, at, side="right") - 1
+    spans = {"of": owner, "start": at - bounds[owner], "length": until - at}
+    return {"n_words": n, "word_chars": np.array(chars, dtype=np.int64), "n_symbols": np.array(symbols, dtype=np.int64), "n_dup_lines": np.array(dup_lines, dtype=np.int64), "n_repeat_words": count(spans_of(lengths, 3)), "covered_words": count(covered), "longest_repeat": longest, "spans": spans}
 
 
 def verdict(m: dict[str, np.ndarray], limits: Limits = Limits()) -> tuple[np.ndarray, np.ndarray]:
@@ -164,11 +172,11 @@ def verdict(m: dict[str, np.ndarray], limits: Limits = Limits()) -> tuple[np.nda
     return failed, ~failed & good
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered_words long, longest_repeat long"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered_words long, longest_repeat long, spans array<struct<start:int,length:int>>"
 
 
 def repetition_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """One row a document, no shuffle; a slice of about a megabyte of text is sorted at a time, whole texts always.
+    """One row a document with its measures, verdict and the united spans of its repeats (in words), no shuffle; a slice of about a megabyte of text is sorted at a time, whole texts always.
 
     Null and empty texts have no words and fail the base rule. Null and repeated ids are rows like any other; other
     columns are not read. Memory is that of one slice, or of the longest text.
@@ -180,7 +188,10 @@ def repetition_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         for batch in by_bytes(batches, limit=1_500_000):
             m = measure(batch.column(1).to_pylist(), limits)
             failed, kept = verdict(m, limits)
+            spans = m["spans"]
+            inner = pa.StructArray.from_arrays([pa.array(spans["start"], pa.int32()), pa.array(spans["length"], pa.int32())], names=["start", "length"])
+            lists = pa.ListArray.from_arrays(np.searchsorted(spans["of"], np.arange(batch.num_rows + 1)).astype(np.int32), inner)
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m[k]) for k in names), pa.array(failed), pa.array(kept), pa.array(m["covered_words"]), pa.array(m["longest_repeat"])], names=["doc_id", *names, "base_failed", "kept", "covered_words", "longest_repeat"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m[k]) for k in names), pa.array(failed), pa.array(kept), pa.array(m["covered_words"]), pa.array(m["longest_repeat"]), lists], names=["doc_id", *names, "base_failed", "kept", "covered_words", "longest_repeat", "spans"])
 
     return texts_of(docs).mapInArrow(run, SCHEMA)

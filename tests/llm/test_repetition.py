@@ -63,4 +63,6 @@ def test_table(spark):
     assert got[(1, 300)]["kept"] and not any(r["kept"] for k, r in got.items() if k[0] in (2, 3, 4, 9))
     five = next(r for k, r in got.items() if k[0] == 5)
     assert not five["base_failed"] and five["longest_repeat"] == 120 and not five["kept"]
+    assert [(x["start"], x["length"]) for x in five["spans"]] == [(300, 120), (720, 120)]
+    assert all(sum(x["length"] for x in r["spans"]) == r["covered_words"] for r in got.values())
     assert R.repetition_rules(docs.limit(0)).count() == 0

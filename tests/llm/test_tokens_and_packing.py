@@ -97,6 +97,12 @@ def test_packing(spark):
         n, p = len(by_id[int(doc_id)]), p.sort_values("piece")
         assert p["piece"].tolist() == list(range(-(-n // 1024))) and (p["length"].to_numpy()[1:] == 1024).all()
     assert P.pack(docs.limit(0)).count() == 0
+    with_ids = P.pack(docs.repartition(5), keep_ids=True)
+    lengths = out.groupby("sequence_id")["length"].sum()
+    got = {r["sequence_id"]: bytes(r["ids"]) for r in P.sequences(with_ids).collect()}
+    assert sorted(len(x) // 4 for x in got.values()) == sorted(lengths) and sum(map(len, got.values())) == 4 * out["length"].sum()
+    first = with_ids.where("doc_id = 1 AND piece = 0").first()
+    assert got[first["sequence_id"]][4 * first["offset"] :].startswith(np.array(by_id[1][: first["length"]], dtype="<u4").tobytes())
 
 
 def test_fullest_is_optimal():
