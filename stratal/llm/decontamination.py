@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratal.llm.common import WordHashes, by_bytes, process_cache, texts_of
+from stratal.llm.common import WordHashes, by_bytes, process_cache, small_batches, texts_of
 
 MIN_MATCH = 5
 MIN_COVERAGE = 0.5
@@ -199,5 +199,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_M
                     keep[d] &= sum(t[0] for t in tiles) < min_coverage * size
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs

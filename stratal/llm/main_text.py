@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from stratal.llm import boosting
-from stratal.llm.common import by_bytes
+from stratal.llm.common import by_bytes, small_batches
 from stratal.llm.dom import Node, nodes_of, parse
 
 TRAINING_PAGES = 500
@@ -213,5 +213,5 @@ def main_text(pages: DataFrame, model: dict | None = None) -> DataFrame:
             texts = extract(batch.column(2).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = pages.selectExpr("CAST(page_id AS BIGINT) AS page_id", "CAST(url AS STRING) AS url", "COALESCE(CAST(html AS STRING), '') AS html")
+    rows = small_batches(pages).selectExpr("CAST(page_id AS BIGINT) AS page_id", "CAST(url AS STRING) AS url", "COALESCE(CAST(html AS STRING), '') AS html")
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

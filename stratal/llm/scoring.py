@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratal.llm.common import by_bytes, fold_held_out, texts_of
+from stratal.llm.common import by_bytes, fold_held_out, small_batches, texts_of
 
 MAX_TRAIN_ROWS = 8_000
 
@@ -53,7 +53,7 @@ def kept_by_score(docs: DataFrame, scorer, keep, slice_bytes: int = 1_500_000) -
         for batch in by_bytes(batches, column=column, limit=slice_bytes):
             yield batch.filter(pa.array(keep(score([t or "" for t in batch.column(column).to_pylist()]))))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
