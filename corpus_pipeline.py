@@ -36,8 +36,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 1024 tokens."""
-    return packing.pack(docs)
+    """Packs what is left into sequences of 1024 tokens; a smaller memory of pieces, as the executor's heap is full by now."""
+    return packing.pack(docs, memo_pieces=250_000)
 
 
 STAGES = [

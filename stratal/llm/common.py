@@ -54,12 +54,17 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def forget_caches() -> None:
+    home = sys.modules.get("stratal_worker_cache")
+    for old in [k for k in vars(home) if not k.startswith("__")] if home else []:
+        delattr(home, old)
+
+
 def process_cache(name: str, make):
     """A value that a Python worker process keeps across its tasks, until an operator asks for another one."""
     home = sys.modules.setdefault("stratal_worker_cache", types.ModuleType("stratal_worker_cache"))
     if not hasattr(home, name):
-        for old in [k for k in vars(home) if not k.startswith("__")]:
-            delattr(home, old)
+        forget_caches()
         setattr(home, name, make())
     return getattr(home, name)
 

@@ -32,19 +32,30 @@ EDGES = bytes(c for c in range(33, 128) if not chr(c).isalnum())
 class Units(WordHashes):
     """A word's core unit, its form unit as new and as repeated word, and bits of its hash, in 64 bits."""
 
-    BOUND = 400_000
+    BOUND = 150_000
+
+    def __init__(self):
+        super().__init__()
+        self.forms: dict[bytes, int] = {}  # bits of a form as new and as repeated; there are few
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        h = xxhash.xxh3_64_intdigest
+        h, mask = xxhash.xxh3_64_intdigest, UNITS - 1
         left = word.lstrip(EDGES)
         core = left.rstrip(EDGES)
         text = core.decode("utf-8", "replace")
-        case = "d" if any(c.isdigit() for c in text) else "U" if text.isupper() and len(text) > 1 else "l" if text.islower() else "t" if text[:1].isupper() else "m" if text else "-"
+        if not text.isalpha() and any(c.isdigit() for c in text):
+            case = "d"
+        else:
+            case = "U" if len(text) > 1 and text.isupper() else "l" if text.islower() else "t" if text[:1].isupper() else "m" if text else "-"
         form = f"{len(word) > len(left)} {case} ".encode() + left[len(core) :][:3]
-        mask = UNITS - 1
-        value = (h(text.lower().encode()) & mask) | (h(form + b"0") & mask) << UNIT_BITS | (h(form + b"1") & mask) << 2 * UNIT_BITS | (h(word) >> 3 * UNIT_BITS) << 3 * UNIT_BITS
+        bits = self.forms.get(form)
+        if bits is None:
+            bits = (h(form + b"0") & mask) << UNIT_BITS | (h(form + b"1") & mask) << 2 * UNIT_BITS
+            if len(self.forms) < 20_000:
+                self.forms[form] = bits
+        value = (h(text.lower().encode()) & mask) | bits | (h(word) >> 3 * UNIT_BITS) << 3 * UNIT_BITS
         if len(self) < self.BOUND and len(word) <= 64:
             self[word] = value
         return value

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 END_ID = 2
-MEMO_PIECES = 800_000
+MEMO_PIECES = 800_000  # about 200 bytes each in a worker; fewer cost time
 LONGEST_PIECE = 48
 OTHER_SPACE = tuple(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")
 TAILS = ".,;:!?*$%#&|"  # after a letter or digit, a run of these is a pre-token of its own
@@ -21,10 +21,10 @@ class PieceEncoder:
     Byte-level BPE never merges across pre-tokens, and one always starts at a space or line feed that stands
     alone between two words. So a text whose white space is only such single ones is the sequence of its
     space-separated pieces, and each distinct piece goes through the tokenizers library once and is then
-    remembered (at most MEMO_PIECES of them). Every other text goes through the library as a whole.
+    remembered (up to a bound). Every other text goes through the library as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, bound: int = MEMO_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -33,6 +33,7 @@ class PieceEncoder:
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
         self.characters = {b: 256 + k for k, b in enumerate(odd)}
         self.space = chr(self.characters[32])
+        self.bound = bound
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.later: dict[str, bytes] = {}
 
@@ -65,7 +66,7 @@ class PieceEncoder:
         """Adds pieces that follow a space or are led by a line feed; returns those to forget after this batch."""
         memo = self.later
         missing = pieces.difference(memo)
-        room = MEMO_PIECES - len(memo)
+        room = self.bound - len(memo)
         new, whole, tailed = [], [], []
         for p in missing:
             core = p.rstrip(TAILS)
@@ -113,10 +114,10 @@ class PieceEncoder:
         return out
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, bound: int = MEMO_PIECES) -> PieceEncoder:
     import os
 
     from stratal.llm.common import process_cache
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core per task is Spark's to give
-    return process_cache("encoder_" + str(abs(hash(path))), lambda: PieceEncoder(path))
+    return process_cache(f"encoder_{bound}_{abs(hash(path))}", lambda: PieceEncoder(path, bound))

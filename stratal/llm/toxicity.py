@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratal.llm.common import by_bytes
+from stratal.llm.common import by_bytes, forget_caches
 from stratal.llm.scoring import MAX_TRAIN_ROWS, kept_by_score, labelled_sample, scored, sigmoid
 
 SIZES = (3, 4, 5)
@@ -83,6 +83,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     def count(batches):
         import pyarrow as pa
 
+        forget_caches()
         totals = np.zeros((2, 1 << BITS), dtype=np.int64)
         for batch in by_bytes(batches, limit=1_000_000):
             text, bucket = distinct_grams(batch.column(1).to_pylist())
@@ -121,6 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
 
 def scorer_of(model: dict):
     def scorer():
+        forget_caches()
         table = np.zeros(1 << BITS)
         table[model["bucket"]] = model["weight"]
 

@@ -30,11 +30,8 @@ def test_pieces_equal_the_library():
         assert enc.encode(texts) == [np.array(ids_of(t)[:-1], dtype="<u4").tobytes() for t in texts]
 
 
-def test_memory_of_pieces_is_bounded(monkeypatch):
-    import stratal.llm.tokens as tokens
-
-    monkeypatch.setattr(tokens, "MEMO_PIECES", 50)
-    enc = PieceEncoder(default_tokenizer())
+def test_memory_of_pieces_is_bounded():
+    enc = PieceEncoder(default_tokenizer(), 50)
     texts = [f"word{k} other{k}, third" for k in range(500)]
     assert enc.encode(texts) == [np.array(ids_of(t)[:-1], dtype="<u4").tobytes() for t in texts]
     assert len(enc.later) <= 50
