@@ -193,21 +193,15 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _possible(words: list[str], percent: int):
-    """What a link needs by the sizes n_a and n_b and the sketches."""
-    apart = sum((F.bit_count(F.col(w + "_a").bitwiseXOR(F.col(w + "_b"))) for w in words), F.lit(0))
+    """What a link needs by the sizes n_a and n_b, the short sketches and the full ones, the larger of two folded."""
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return sizes & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-
-
-def _closer(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b that the full sketches leave possible; the larger of two is folded to the other's length."""
-    end = lambda name: sets.select(F.col("node").alias(name), F.col("n").alias("n_" + name), F.col("fine").alias("fine_" + name))
-    both = pairs.join(end("a"), "a").join(end("b"), "b")
-    words = F.least(F.size("fine_a"), F.size("fine_b"))
+    within = lambda apart: apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    short = sum((F.bit_count(F.col(w + "_a").bitwiseXOR(F.col(w + "_b"))) for w in words), F.lit(0))
+    length = F.least(F.size("fine_a"), F.size("fine_b"))
     xor = lambda x, y: x.bitwiseXOR(y)
-    same = lambda x: F.when(F.size(x) > words, F.zip_with(F.slice(x, F.lit(1), words), F.slice(x, words + 1, words), xor)).otherwise(F.col(x))
-    apart = F.aggregate(F.zip_with(same("fine_a"), same("fine_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    return both.where(apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    same = lambda x: F.when(F.size(x) > length, F.zip_with(F.slice(x, F.lit(1), length), F.slice(x, length + 1, length), xor)).otherwise(F.col(x))
+    full = F.aggregate(F.zip_with(same("fine_a"), same("fine_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return sizes & within(short) & within(full)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -251,12 +245,12 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     sets, _ = written(_sets(texts, width), "sets")
 
     words = [f"k{k}" for k in range(SKETCH_WORDS)]
-    sized = sets.select("node", "rep", "n", *(F.col("sketch")[k].alias(w) for k, w in enumerate(words)))
+    sized = sets.select("node", "rep", "n", "fine", *(F.col("sketch")[k].alias(w) for k, w in enumerate(words)))
     sized, _ = written(sized, "sized")
-    side = lambda df, end, *more: df.select(*more, *(F.col(c).alias(c + end) for c in ("node", "n", *words)))
+    side = lambda df, end, *more: df.select(*more, *(F.col(c).alias(c + end) for c in ("node", "n", "fine", *words)))
     star = members.where("node <> hub").select(F.col("node").alias("node_a"), F.col("hub").alias("node_b"))
     star = star.join(side(sized, "_a"), "node_a").join(side(sized, "_b"), "node_b").where(_possible(words, percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    star, _ = written(_closer(star, sets, percent), "star")
+    star, _ = written(star, "star")
     scores, _ = written(_verified(star, sets, percent), "scores")
     linked = components(scores.where("linked").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
 
@@ -270,7 +264,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     unseen = (F.col("component_a") != F.col("component_b")) & (~F.col("apart") | (F.col("node_a") < F.col("node_b")))
     cross = strays.join(others, (strays["hub"] == others["hub"]) & unseen & _possible(words, percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     known = scores.select("a", "b").unionByName(scores.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    cross, _ = written(_closer(cross.join(known, ["a", "b"], "left_anti"), sets, percent), "cross")
+    cross, _ = written(cross.join(known, ["a", "b"], "left_anti"), "cross")
     more = _verified(cross, sets, percent).where("linked").select("rep_a", "rep_b")
     more, _ = written(more, "more")
     if more.limit(1).count():
