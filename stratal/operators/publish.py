@@ -75,3 +75,11 @@ def referenced_blobs(items: DataFrame, refs: str, extra: str) -> DataFrame:
 def restored(node_hash: Column, same_tokens: Column, cached_hash: Column) -> Column:
     """The recorded content hash of a node that is still the same remote node, else its own."""
     return F.when(F.coalesce(same_tokens, F.lit(False)), cached_hash).otherwise(node_hash)
+
+
+def ordered_digest(df: DataFrame, key: str, order: str, content: str, block: int) -> DataFrame:
+    """key, digest of all its rows in order: each row by its order value and the hash of its content, then blocks of so many order values."""
+    joined = lambda rows: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["line"]), "\n"), 256)
+    line = F.concat_ws(":", order, F.sha2(content, 256)).alias("line")
+    blocks = df.groupBy(key, F.floor(F.col(order) / block).alias("block")).agg(joined(F.struct(order, line)).alias("line"))
+    return blocks.groupBy(key).agg(joined(F.struct("block", "line")).alias("digest"))

@@ -10,6 +10,7 @@ from stratal.functions import nested as N
 from stratal.functions import text as X
 from stratal.functions import times as T
 from stratal.operators import classify as C
+from stratal.operators import publish as P
 from stratal.operators import selection as S
 from stratal.sources.observations import table
 
@@ -223,6 +224,14 @@ def _(spark, sf):
     return d.select("source", F.sha2(F.array_join(F.transform("r", lambda x: x["line"]), "\n"), 256).alias("digest"))
 
 
+@register("artifact_hash_all", """
+WITH b AS (SELECT source, doc_id // 4096 AS block, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1, 2)
+SELECT source, sha256(string_agg(digest, chr(10) ORDER BY block)) AS digest FROM b GROUP BY 1""")
+def _(spark, sf):
+    """All documents of each source, by hashes of rows and of blocks of ids; artifact_hash has whole texts of the first 400."""
+    return P.ordered_digest(table(spark, sf, "documents"), "source", "doc_id", "text", 4096)
+
+
 @register("json_path", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
 def _(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
