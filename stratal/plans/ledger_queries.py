@@ -305,6 +305,12 @@ def _(spark, sf):
     return S.top_newest(e, "t", "event_id", 200)
 
 
+@register("nulls_last_topn_all", "SELECT event_id, t FROM (SELECT event_id, CASE WHEN event_id % 1000 = 0 THEN ts END AS t FROM events) ORDER BY t DESC NULLS LAST, event_id LIMIT 200")
+def _(spark, sf):
+    """The newest 200 of all events (the feature), most of them without a time."""
+    return S.top_newest(table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 1000 == 0, F.col("ts")).alias("t")), "t", "event_id", 200)
+
+
 @register("bootstrap_newest_index", "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events WHERE event_id % 17 = 0 ORDER BY ts DESC, event_id LIMIT 5000")
 def _(spark, sf):
     e = table(spark, sf, "events").where("event_id % 17 = 0").orderBy(F.desc("ts"), "event_id").limit(5000)

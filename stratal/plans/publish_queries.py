@@ -47,6 +47,14 @@ def _(spark, sf):
     return P.status_block(e, "user_id")
 
 
+@register("status_block_all", """
+SELECT user_id, count(*) FILTER (event_type <> 'error') AS n_ok, count(*) FILTER (event_type = 'error') AS n_failed,
+'ok: ' || count(*) FILTER (event_type <> 'error') || '; failed: ' || count(*) FILTER (event_type = 'error') || CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN ' (' || string_agg('s' || event_id, ', ' ORDER BY 's' || event_id) FILTER (event_type = 'error') || ')' ELSE '' END AS block FROM events GROUP BY 1""")
+def _(spark, sf):
+    e = table(spark, sf, "events").select("user_id", F.concat(F.lit("s"), "event_id").alias("source"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"))
+    return P.status_block(e, "user_id")
+
+
 @register("brief_assembly", "SELECT source, string_agg(CASE WHEN doc_id % 2 = 0 THEN '- [d' || doc_id || '](/r/' || doc_id || ')' ELSE '- d' || doc_id END, chr(10) ORDER BY doc_id) AS brief FROM documents GROUP BY 1")
 def _(spark, sf):
     d = table(spark, sf, "documents").select("source", "doc_id", F.concat(F.lit("d"), "doc_id").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/r/"), "doc_id")).alias("link"))
@@ -104,6 +112,14 @@ def _(spark, sf):
     return files.envelope(e, "event_id", "out").select("event_id", F.get_json_object("envelope", "$.n").cast("long").alias("n"))
 
 
+@register("cli_envelope_all", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id END AS n FROM events")
+def _(spark, sf):
+    """All events; the output of odd ones has no envelope."""
+    last = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"ok":true,"n":'), "event_id", F.lit("}\n"))).otherwise("no envelope\n")
+    e = table(spark, sf, "events").select("event_id", F.concat(F.lit('log line\n{"note":1}\n'), last).alias("out"))
+    return files.envelope(e, "event_id", "out").select("event_id", F.get_json_object("envelope", "$.n").cast("long").alias("n"))
+
+
 @register("pricing_summary", """
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
 def _(spark, sf):

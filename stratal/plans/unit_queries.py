@@ -177,17 +177,36 @@ def _(spark, sf):
     return table(spark, sf, "customer").where("c_custkey < 40").select(F.col("c_nationkey").alias("n")).intersect(table(spark, sf, "supplier").select("s_nationkey"))
 
 
+@register("set_intersect_all", "SELECT c_nationkey AS n FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def _(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_nationkey").alias("n")).intersect(table(spark, sf, "supplier").select("s_nationkey"))
+
+
 @register("set_except", "SELECT n_nationkey AS n FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_custkey < 20")
 def _(spark, sf):
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("n")).subtract(table(spark, sf, "customer").where("c_custkey < 20").select("c_nationkey"))
 
 
+@register("set_except_all", "SELECT n_nationkey AS n FROM nation EXCEPT SELECT CASE WHEN c_nationkey % 3 = 0 THEN 0 ELSE c_nationkey END FROM customer")
+def _(spark, sf):
+    """All customers, those of every third nation counted under nation 0."""
+    of = F.when(F.col("c_nationkey") % 3 == 0, 0).otherwise(F.col("c_nationkey"))
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("n")).subtract(table(spark, sf, "customer").select(of))
+
+
 @register("set_predicates", "SELECT user_id, NOT bool_or(event_type NOT IN ('view', 'click', 'purchase')) AS within, count(*) <> count(DISTINCT event_type) AS repeated FROM events WHERE user_id < 60 AND event_id % 40 = 0 GROUP BY 1")
 def _(spark, sf):
     e = table(spark, sf, "events").where("user_id < 60 AND event_id % 40 = 0").groupBy("user_id").agg(F.collect_list("event_type").alias("a"))
     return e.select("user_id", N.subset("a", F.array(*map(F.lit, ["view", "click", "purchase"]))).alias("within"), N.has_duplicates("a").alias("repeated"))
 
 
+@register("set_predicates_all", "SELECT user_id, event_id % 40 AS part, NOT bool_or(event_type NOT IN ('view', 'click', 'purchase')) AS within, count(*) <> count(DISTINCT event_type) AS repeated FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    """All events, the list of a user in forty parts."""
+    e = table(spark, sf, "events").groupBy("user_id", (F.col("event_id") % 40).alias("part")).agg(F.collect_list("event_type").alias("a"))
+    return e.select("user_id", "part", N.subset("a", F.array(*map(F.lit, ["view", "click", "purchase"]))).alias("within"), N.has_duplicates("a").alias("repeated"))
+
+
 def _cover(name, actual_sql, actual):
     @register(name, f"""
 WITH e AS (SELECT doc_id FROM labels), a AS ({actual_sql}), c AS (SELECT doc_id, count(*) AS n FROM a GROUP BY 1)
@@ -267,6 +286,13 @@ def _(spark, sf):
     return K.single_value(table(spark, sf, "events").where("event_id % 30 = 0"), "user_id", "event_type")
 
 
+@register("thread_identity_all", "SELECT user_id, count(DISTINCT CASE WHEN user_id % 3 = 0 THEN 'view' ELSE event_type END) AS n FROM events GROUP BY 1 HAVING n > 1")
+def _(spark, sf):
+    """All events; every third user has a single value."""
+    e = table(spark, sf, "events").select("user_id", F.when(F.col("user_id") % 3 == 0, "view").otherwise(F.col("event_type")).alias("kind"))
+    return K.single_value(e, "user_id", "kind")
+
+
 @register("orphans", "SELECT count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
 def _(spark, sf):
     return table(spark, sf, "lineitem").join(table(spark, sf, "orders").where("o_orderstatus <> 'P'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").agg(F.count(F.lit(1)).alias("n"))
@@ -291,6 +317,13 @@ def _(spark, sf):
     return H.surface_status(table(spark, sf, "events").where("event_id % 20 = 0").select(F.col("user_id").alias("source"), (F.col("value") > 30).alias("ok")))
 
 
+@register("surface_status_all", "SELECT user_id AS source, CASE WHEN bool_and(ok) THEN 'success' WHEN bool_or(ok) THEN 'partial' ELSE 'failed' END AS status FROM (SELECT user_id, CASE user_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN value > 30 ELSE FALSE END AS ok FROM events) GROUP BY 1")
+def _(spark, sf):
+    """All events; of three users one always succeeds and one never does."""
+    ok = F.when(F.col("user_id") % 3 == 0, True).when(F.col("user_id") % 3 == 1, F.col("value") > 30).otherwise(False)
+    return H.surface_status(table(spark, sf, "events").select(F.col("user_id").alias("source"), ok.alias("ok")))
+
+
 @register("severity_max", "SELECT user_id AS run, ['success', 'quiet', 'partial', 'failed'][1 + max(event_id % 4)] AS status FROM events WHERE event_id % 50 < 7 GROUP BY 1")
 def _(spark, sf):
     names = F.array(*map(F.lit, ["success", "quiet", "partial", "failed"]))
@@ -298,6 +331,15 @@ def _(spark, sf):
     return H.worst(e, "run")
 
 
+@register("severity_max_all", "SELECT user_id AS run, ['success', 'quiet', 'partial', 'failed'][1 + max(least(event_id % 4, user_id % 4))] AS status FROM events GROUP BY 1")
+def _(spark, sf):
+    """All events; the worst status of a run is bounded by its number."""
+    names = F.array(*map(F.lit, ["success", "quiet", "partial", "failed"]))
+    at = F.least(F.col("event_id") % 4, F.col("user_id") % 4)
+    e = table(spark, sf, "events").select(F.col("user_id").alias("run"), F.element_at(names, (1 + at).cast("int")).alias("status"))
+    return H.worst(e, "run")
+
+
 @register("phase_status", "SELECT CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'partial' ELSE 'success' END AS status FROM events")
 def _(spark, sf):
     h = table(spark, sf, "events").select(F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"))

@@ -17,3 +17,22 @@ def test_artifact_hash_sees_every_document(spark):
     assert before["s0"] == after["s0"] and before["s1"] != after["s1"] and digest(d) == before
     assert digest(d.where("doc_id <> 5000"))["s0"] != before["s0"]
     assert catalogue.queries()["artifact_hash_all"](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").select("source").distinct().count()
+
+
+def test_no_event_or_customer_is_filtered_away(spark):
+    """Every user of sf0.1 has its row, counts add up to all events, and each outcome occurs."""
+    q = lambda name: catalogue.queries()[f"{name}_all"](spark, SF)
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    n, users = e.count(), e.select("user_id").distinct().count()
+    block = q("status_block").select(F.sum(F.col("n_ok") + F.col("n_failed")).alias("n"), F.count(F.lit(1)).alias("users")).first()
+    assert (block["n"], block["users"]) == (n, users)
+    assert q("cli_envelope").count() == n and q("cli_envelope").where("n IS NULL").count() == n // 2
+    assert q("set_predicates").select("user_id").distinct().count() == users and q("set_predicates").select("within").distinct().count() == q("set_predicates").select("repeated").distinct().count() == 2
+    assert {r["status"] for r in q("surface_status").collect()} == {"success", "partial", "failed"} and q("surface_status").count() == users
+    assert {r["status"] for r in q("severity_max").collect()} == {"success", "quiet", "partial", "failed"} and q("severity_max").count() == users
+    assert 0 < q("thread_identity").count() < users
+    top = q("nulls_last_topn").collect()
+    assert len(top) == 200 and sum(r["t"] is not None for r in top) == e.where("event_id % 1000 = 0").count()
+    nations = lambda name, column: {r[0] for r in spark.read.parquet(f"{SF}/{name}.parquet").select(column).distinct().collect()}
+    assert {r["n"] for r in q("set_intersect").collect()} == nations("customer", "c_nationkey") & nations("supplier", "s_nationkey")
+    assert {r["n"] for r in q("set_except").collect()} == {k for k in nations("nation", "n_nationkey") if k and k % 3 == 0}
