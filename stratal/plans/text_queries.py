@@ -56,12 +56,23 @@ def _(spark, sf):
     return p.select("page_id", X.html_title("html").alias("title"))
 
 
+@register("html_title_all", "SELECT page_id, left(replace(replace(replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), 500) AS title FROM pages")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.html_title("html").alias("title"))
+
+
 @register("html_text", r"""
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages WHERE NOT contains(html, '&nbsp;')""")
 def _(spark, sf):
     return table(spark, sf, "pages").where(~F.contains(F.col("html"), F.lit("&nbsp;"))).select("page_id", X.html_text("html").alias("text"))
 
 
+@register("html_text_all", r"""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.html_text("html").alias("text"))
+
+
 @register("html_links", """SELECT page_id, CAST(i - 1 AS INT) AS at, links[i] AS href FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]*href="([^"]*)"', 1) AS links FROM pages))""")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.posexplode(X.html_hrefs("html")).alias("at", "href"))
@@ -86,6 +97,18 @@ def _(spark, sf):
     return p.select("page_id", X.absolute_url("href", "url").alias("target"))
 
 
+@register("absolute_links_all", r"""
+WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a[^>]*href="([^"]*)"', 1)) AS href FROM pages UNION ALL
+SELECT page_id, url, unnest(['//cdn.example/x', '/root', 'beside.html', '#part', '?q=1', '', 'mailto:a@b.example', 'https://other.example/y']) FROM pages)
+SELECT page_id, href, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN split_part(url, '//', 1) || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href
+WHEN href = '' OR starts_with(href, '#') THEN split_part(url, '#', 1) || href WHEN starts_with(href, '?') THEN regexp_extract(url, '^[^?#]*') || href ELSE regexp_extract(url, '^([A-Za-z]+://[^?#]*/)', 1) || href END AS target FROM l""")
+def _(spark, sf):
+    """Every link of the pages, and one of each other kind for each page."""
+    kinds = F.array(*map(F.lit, ["//cdn.example/x", "/root", "beside.html", "#part", "?q=1", "", "mailto:a@b.example", "https://other.example/y"]))
+    links = table(spark, sf, "pages").select("page_id", "url", F.explode(F.concat(X.html_hrefs("html"), kinds)).alias("href"))
+    return links.select("page_id", "href", X.absolute_url("href", "url").alias("target"))
+
+
 @register("ws_collapse_preview", r"SELECT doc_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 240) AS preview FROM documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.left(X.collapse("text"), F.lit(240)).alias("preview"))
@@ -98,6 +121,12 @@ def _(spark, sf):
     return d.select("doc_id", X.markdown_title(content).alias("title"))
 
 
+@register("md_title_all", "SELECT doc_id, nullif(trim(regexp_extract(CASE WHEN doc_id % 3 = 0 THEN 'intro' || chr(10) || '# ' || text ELSE text END, '(?m)^# (.*)$', 1)), '') AS title FROM documents")
+def _(spark, sf):
+    content = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("intro\n# "), "text")).otherwise(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", X.markdown_title(content).alias("title"))
+
+
 @register("md_replace_title", "SELECT doc_id, '# New $1' || chr(10) || 'body ' || doc_id AS content FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, '# New $1' || chr(10) || chr(10) || 'plain ' || doc_id FROM documents WHERE doc_id % 2 = 1")
 def _(spark, sf):
     text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# Old\nbody "), "doc_id")).otherwise(F.concat(F.lit("plain "), "doc_id"))
@@ -150,11 +179,25 @@ def _(spark, sf):
     return p.where(F.length(F.regexp_replace(F.lower("url"), "[^a-z0-9_-]+", "_")) <= 48).drop("url")
 
 
+@register("safe_ids_all", """
+WITH s AS (SELECT page_id, url, regexp_replace(lower(url), '[^a-z0-9_-]+', '_', 'g') AS slug FROM pages)
+SELECT page_id, replace(replace(url, '/', '_'), ':', '_') AS safe, CASE WHEN length(slug) <= 48 THEN slug ELSE left(slug, 41) || '-' || left(sha256(url), 6) END AS slug FROM s""")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.safe_id("url").alias("safe"), X.key_slug("url").alias("slug"))
+
+
 @register("long_keys", "SELECT page_id, left(regexp_replace(lower(url || url), '[^a-z0-9_-]+', '_', 'g'), 41) || '-' || left(sha256(url || url), 6) AS slug FROM pages WHERE length(url) > 40")
 def _(spark, sf):
     return table(spark, sf, "pages").where("length(url) > 40").select("page_id", X.key_slug(F.concat("url", "url")).alias("slug"))
 
 
+@register("long_keys_all", """
+WITH s AS (SELECT page_id, url || url AS key, regexp_replace(lower(url || url), '[^a-z0-9_-]+', '_', 'g') AS slug FROM pages)
+SELECT page_id, CASE WHEN length(slug) <= 48 THEN slug ELSE left(slug, 41) || '-' || left(sha256(key), 6) END AS slug FROM s""")
+def _(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.key_slug(F.concat("url", "url")).alias("slug"))
+
+
 @register("id_validity", "SELECT doc_id, doc_id % 3 = 0 AS valid FROM documents")
 def _(spark, sf):
     name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("pkg-"), "doc_id")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("-pkg"), "doc_id")).otherwise(F.concat(F.lit("pkg\n"), "doc_id"))

@@ -36,3 +36,27 @@ def test_no_event_or_customer_is_filtered_away(spark):
     nations = lambda name, column: {r[0] for r in spark.read.parquet(f"{SF}/{name}.parquet").select(column).distinct().collect()}
     assert {r["n"] for r in q("set_intersect").collect()} == nations("customer", "c_nationkey") & nations("supplier", "s_nationkey")
     assert {r["n"] for r in q("set_except").collect()} == {k for k in nations("nation", "n_nationkey") if k and k % 3 == 0}
+
+
+def test_every_page_link_and_document_has_a_row(spark):
+    q = lambda name: catalogue.queries()[f"{name}_all"](spark, SF)
+    pages, documents = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("pages", "documents"))
+    n = pages.count()
+    assert [q(name).count() for name in ("html_title", "html_text", "safe_ids", "long_keys")] == [n] * 4 and q("md_title").count() == documents.count()
+    assert q("safe_ids").where("slug RLIKE '-[0-9a-f]{6}$' AND length(slug) = 48").count() > 0
+    hrefs = pages.select(F.explode(F.regexp_extract_all("html", F.lit('(?is)<a[^>]*href="([^"]*)"'), 1))).count()
+    assert q("absolute_links").count() == hrefs + 8 * n
+
+
+def test_entities_titles_and_links_that_were_filtered_away(spark, tmp_path):
+    html = '<title>a &lt;b&gt;&nbsp;c &amp;lt;</title><p>x&nbsp;y &amp;amp; z</p><a href="//c.example/z">k</a>'
+    spark.createDataFrame([(1, "http://h.example/a/b?x=1#t", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    texts = [(0, "body"), (1, "no title\n# Real \nrest"), (2, "a # b"), (3, "x\n# second"), (4, "#none\n#  \nx")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = lambda name: catalogue.queries()[f"{name}_all"](spark, str(tmp_path))
+    assert q("html_title").first()["title"] == "a <b> c &lt;" and q("html_text").first()["text"] == "a <b> c &lt; x y &amp; z k"
+    assert {r["href"]: r["target"] for r in q("absolute_links").collect()} == {
+        "//c.example/z": "http://c.example/z", "//cdn.example/x": "http://cdn.example/x", "/root": "http://h.example/root", "beside.html": "http://h.example/a/beside.html", "#part": "http://h.example/a/b?x=1#part",
+        "?q=1": "http://h.example/a/b?q=1", "": "http://h.example/a/b?x=1", "mailto:a@b.example": "mailto:a@b.example", "https://other.example/y": "https://other.example/y",
+    }
+    assert {r["doc_id"]: r["title"] for r in q("md_title").collect()} == {0: "body", 1: "Real", 2: None, 3: "x", 4: None}
