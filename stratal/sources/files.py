@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RSS = "channel struct<item:array<struct<title:string,link:string,guid:string,author:string,description:string,pubDate:string>>>"
-SITEMAP = "url array<struct<loc:string,lastmod:string>>"
+ATOM = "entry array<struct<id:string,title:string,link:array<struct<_href:string,_rel:string>>,author:array<struct<name:string>>,summary:string,content:string,published:string,updated:string>>"
+SITEMAP = "url array<struct<loc:string,lastmod:string>>, sitemap array<struct<loc:string>>"
 
 
 def parse_jsonl(files: DataFrame, content: str, schema: str, keep: list[str]) -> DataFrame:
@@ -49,28 +50,50 @@ def first_found(refs: DataFrame, roots: list[DataFrame]) -> DataFrame:
 
 
 def feed_rows(feeds: DataFrame, feed_id: str, xml: str, max_entries: int = 100) -> DataFrame:
-    """feed_id, at, url, guid, title, author, summary, published of the first entries of RSS documents that have a link."""
-    items = feeds.select(feed_id, F.slice(F.from_xml(F.col(xml), RSS)["channel"]["item"], 1, max_entries).alias("items"))
+    """feed_id, at, url, guid, title, author, summary, published of the first entries of RSS and Atom documents that have a link."""
+    from stratal.functions.text import truthy
+
+    rss = lambda i: F.struct(i["link"].alias("url"), F.coalesce(i["guid"], i["link"]).alias("guid"), i["title"].alias("title"), i["author"].alias("author"), i["description"].alias("summary"), i["pubDate"].alias("published"))
+
+    def atom(e):
+        link = F.try_element_at(F.filter(e["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(1))["_href"]
+        author = F.try_element_at(e["author"], F.lit(1))["name"]
+        return F.struct(link.alias("url"), truthy(e["id"], link).alias("guid"), e["title"].alias("title"), author.alias("author"), truthy(e["content"], e["summary"]).alias("summary"), truthy(e["published"], e["updated"]).alias("published"))
+
+    parsed = feeds.select(feed_id, F.from_xml(F.col(xml), f"{RSS}, {ATOM}").alias("f"))
+    items = parsed.select(feed_id, F.slice(F.coalesce(F.transform("f.channel.item", rss), F.transform("f.entry", atom)), 1, max_entries).alias("items"))
     rows = items.select(feed_id, F.posexplode("items").alias("at", "i"))
     title = F.trim(F.regexp_replace(F.coalesce("i.title", F.lit("")), r"(?U)\s+", " "))
-    return rows.select(feed_id, "at", F.col("i.link").alias("url"), F.coalesce("i.guid", "i.link").alias("guid"), title.alias("title"), F.col("i.author").alias("author"), F.col("i.description").alias("summary"), F.col("i.pubDate").alias("published")).where("COALESCE(url, '') <> ''")
+    return rows.select(feed_id, "at", "i.url", "i.guid", title.alias("title"), "i.author", "i.summary", "i.published").where("COALESCE(url, '') <> ''")
 
 
-def sitemap_rows(maps: DataFrame, map_id: str, xml: str, now, needles: list[str] | None = None, max_entries: int = 100, days: int = 7) -> DataFrame:
+def sitemap_rows(maps: DataFrame, map_id: str, xml: str, now, needles: list[str] | None = None, max_entries: int = 100, days: int = 7, children: DataFrame | None = None, max_children: int = 20) -> DataFrame:
     """map_id, url, updated_at, rank: addresses that match, not older than `days` (undated ones stay), newest first.
 
-    A sitemap whose addresses match nothing at all is an error of that map: it gives a row with a null url.
+    A sitemap index has the addresses of its first `max_children` maps, which are looked up in children (url, xml; one row
+    a url), ranked together. A sitemap whose addresses match nothing at all and an index with a map that children lacks are
+    errors of that map: they give a row with a null url. An index whose maps match nothing gives no row.
     """
     from stratal.functions.text import contains_any
     from stratal.functions.times import lenient_timestamp
 
-    urls = maps.select(map_id, F.explode_outer(F.from_xml(F.col(xml), SITEMAP)["url"]).alias("u")).select(map_id, F.trim("u.loc").alias("url"), lenient_timestamp("u.lastmod").alias("updated_at"))
+    is_index = F.col(xml).rlike(r"(?s)\A\W*(?:<\?.*?\?>\s*|<!--.*?-->\s*)*<sitemapindex\b")
+    parsed = maps.select(map_id, F.coalesce(is_index, F.lit(False)).alias("is_index"), F.from_xml(F.col(xml), SITEMAP).alias("m"))
+    entries = parsed.select(map_id, "m.url")
+    named = F.filter(F.transform("m.sitemap", lambda s: F.trim(s["loc"])), lambda u: u != "")
+    listed = parsed.where("is_index").select(map_id, F.explode(F.slice(named, 1, max_children)).alias("__child"))
+    missing = listed
+    if children is not None:
+        known = children.select(F.col("url").alias("__child"), F.col("xml").alias("__xml"))
+        entries = entries.unionByName(listed.join(known, "__child").select(map_id, F.from_xml("__xml", SITEMAP)["url"].alias("url")))
+        missing = listed.join(known, "__child", "left_anti")
+    urls = entries.select(map_id, F.explode_outer("url").alias("u")).select(map_id, F.trim("u.loc").alias("url"), lenient_timestamp("u.lastmod").alias("updated_at"))
     matching = urls.where(F.col("url").isNotNull() & contains_any("url", needles or []))
     fresh = matching.where(F.col("updated_at").isNull() | (F.col("updated_at") >= now - F.expr(f"INTERVAL {days} DAYS")))
     rank = F.row_number().over(Window.partitionBy(map_id).orderBy(F.col("updated_at").desc_nulls_last(), "url"))
     top = fresh.withColumn("rank", rank).where(F.col("rank") <= max_entries)
-    nothing = maps.select(map_id).join(matching.select(map_id).distinct(), map_id, "left_anti")
-    return top.unionByName(nothing, allowMissingColumns=True)
+    nothing = parsed.where("NOT is_index").select(map_id).join(matching.select(map_id).distinct(), map_id, "left_anti")
+    return top.unionByName(nothing.unionByName(missing.select(map_id).distinct()), allowMissingColumns=True)
 
 
 def envelope(text: DataFrame, key: str, content: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from stratal import catalogue, plans
 from stratal.operators import publish as P
+from stratal.sources import files
 
 SF = "/root/testdata/sf0.1"
 plans.load()
@@ -60,3 +61,26 @@ def test_entities_titles_and_links_that_were_filtered_away(spark, tmp_path):
         "?q=1": "http://h.example/a/b?q=1", "": "http://h.example/a/b?x=1", "mailto:a@b.example": "mailto:a@b.example", "https://other.example/y": "https://other.example/y",
     }
     assert {r["doc_id"]: r["title"] for r in q("md_title").collect()} == {0: "body", 1: "Real", 2: None, 3: "x", 4: None}
+
+
+def test_atom_feeds_give_rows(spark):
+    atom = '<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>f</title><link href="http://x/"/><entry><id>i1</id><title type="html"> a \n b</title><link rel="self" href="http://x/self"/><link href="http://x/1"/><author><name>N</name></author><summary>s</summary><updated>2026-01-02</updated></entry><entry><title>no link</title></entry><entry><title>c</title><link rel="alternate" href="http://x/3"/><summary>s</summary><content type="html">whole</content><published>2026-01-01</published><updated>2026-01-02</updated></entry></feed>'
+    rss = "<rss><channel><item><title>r</title><link>http://y/1</link></item></channel></rss>"
+    rows = files.feed_rows(spark.createDataFrame([(1, atom), (2, rss)], "id long, xml string"), "id", "xml").orderBy("id", "at").collect()
+    assert [tuple(r) for r in rows] == [
+        (1, 0, "http://x/1", "i1", "a b", "N", "s", "2026-01-02"),
+        (1, 2, "http://x/3", "http://x/3", "c", None, "whole", "2026-01-01"),
+        (2, 0, "http://y/1", "http://y/1", "r", None, None, None),
+    ]
+
+
+def test_a_sitemap_index_has_the_addresses_of_its_maps(spark):
+    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    index = lambda *names: f'<?xml version="1.0"?>\n<sitemapindex {ns}>' + "".join(f"<sitemap><loc> {n}</loc></sitemap>" for n in names) + "</sitemapindex>"
+    urls = lambda *pairs: f"<urlset {ns}>" + "".join(f"<url><loc>{u}</loc><lastmod>{t}</lastmod></url>" for u, t in pairs) + "</urlset>"
+    maps = spark.createDataFrame([(1, index("a", "b")), (2, urls(("http://x/own", "2026-01-30"))), (3, index("a", "lost")), (4, index("other")), (5, index("a", "b", "c"))], "id long, xml string")
+    children = spark.createDataFrame([("a", urls(("http://x/1", "2026-01-27"), ("http://x/2", "2026-01-30"), ("http://x/old", "2025-01-01"))), ("b", urls(("http://x/3", "2026-01-29"))), ("c", urls(("http://x/4", "2026-01-31"))), ("other", urls(("http://z/", "2026-01-30")))], "url string, xml string")
+    rows = lambda n, **more: sorted((r["id"], r["rank"] or 0, r["url"]) for r in files.sitemap_rows(maps, "id", "xml", F.expr("TIMESTAMP'2026-01-31 00:00:00'"), ["//x/"], n, **more).collect())
+    assert rows(2, children=children, max_children=2) == [(1, 1, "http://x/2"), (1, 2, "http://x/3"), (2, 1, "http://x/own"), (3, 0, None), (3, 1, "http://x/2"), (3, 2, "http://x/1"), (5, 1, "http://x/2"), (5, 2, "http://x/3")]
+    assert (5, 1, "http://x/4") in rows(2, children=children)
+    assert rows(2) == [(1, 0, None), (2, 1, "http://x/own"), (3, 0, None), (4, 0, None), (5, 0, None)]
