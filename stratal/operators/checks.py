@@ -62,13 +62,28 @@ def routing_valid(assignments: DataFrame, bundles: DataFrame, index: DataFrame)
     return cover.unionByName(topics).unionByName(apart)
 
 
-def calibration_valid(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """problem, id: suggestions (id, suggestion) must be for items routed 'w', unique and not blank."""
+def consolidation_valid(groups: DataFrame, bundles: DataFrame) -> DataFrame:
+    """problem, id of groups (bundle_id, local_ids[]): none or more than 18, repeated or empty ones, local ids not covered exactly once."""
+    n = groups.agg(F.count(F.lit(1)).alias("n")).where(~F.col("n").between(1, MAX_CONSOLIDATED)).select(F.lit("group count").alias("problem"), F.col("n").cast("string").alias("id"))
+    repeated = duplicates(groups, "bundle_id").select(F.lit("duplicate group").alias("problem"), F.col("bundle_id").cast("string").alias("id"))
+    empty = groups.where(F.coalesce(F.size("local_ids"), F.lit(0)) <= 0).select(F.lit("empty group").alias("problem"), F.col("bundle_id").cast("string").alias("id"))
+    members = groups.select(F.explode("local_ids").alias("local_id"))
+    cover = exact_cover(bundles.select("local_id"), members, "local_id").select(F.concat("problem", F.lit(" bundle")).alias("problem"), F.col("local_id").cast("string").alias("id"))
+    return n.unionByName(repeated).unionByName(empty).unionByName(cover)
+
+
+def calibration_valid(rows: DataFrame, index: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """problem, id: suggestions (id, suggestion) must be for items routed 'w', unique and not blank; with items, the index
+    (id, d) must cover them exactly once."""
     joined = rows.join(index.select("id", "d"), "id", "left")
     wrong = joined.where("d IS NULL OR d <> 'w'").select(F.lit("not watched").alias("problem"), "id")
     blank = rows.where(F.trim("suggestion") == "").select(F.lit("blank").alias("problem"), "id")
     twice = duplicates(rows, "id").select(F.lit("duplicate").alias("problem"), "id")
-    return wrong.unionByName(blank).unionByName(twice)
+    found = wrong.unionByName(blank).unionByName(twice)
+    if items is None:
+        return found
+    cover = exact_cover(items.select("id"), index, "id").select(F.concat("problem", F.lit(" item")).alias("problem"), "id")
+    return found.unionByName(cover)
 
 
 def evidence_valid(evidence: DataFrame, reviewed: DataFrame) -> DataFrame:

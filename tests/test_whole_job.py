@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from stratal import catalogue, plans
+from stratal.operators import checks as K
 from stratal.operators import publish as P
 from stratal.sources import files
 
@@ -84,3 +85,17 @@ def test_a_sitemap_index_has_the_addresses_of_its_maps(spark):
     assert rows(2, children=children, max_children=2) == [(1, 1, "http://x/2"), (1, 2, "http://x/3"), (2, 1, "http://x/own"), (3, 0, None), (3, 1, "http://x/2"), (3, 2, "http://x/1"), (5, 1, "http://x/2"), (5, 2, "http://x/3")]
     assert (5, 1, "http://x/4") in rows(2, children=children)
     assert rows(2) == [(1, 0, None), (2, 1, "http://x/own"), (3, 0, None), (4, 0, None), (5, 0, None)]
+
+
+def test_consolidation_and_calibration_cover(spark):
+    groups = lambda rows: spark.createDataFrame(rows, "bundle_id string, local_ids array<string>")
+    known = spark.createDataFrame([("a",), ("b",), ("c",)], "local_id string")
+    found = lambda df: sorted((r["problem"], str(r["id"])) for r in df.collect())
+    assert found(K.consolidation_valid(groups([("g", ["a", "b"]), ("h", ["c"])]), known)) == []
+    assert found(K.consolidation_valid(groups([("g", ["a", "b"]), ("g", ["b", "x"]), ("h", []), ("k", None)]), known)) == [("duplicate bundle", "b"), ("duplicate group", "g"), ("empty group", "h"), ("empty group", "k"), ("extra bundle", "x"), ("missing bundle", "c")]
+    assert ("group count", "0") in found(K.consolidation_valid(groups([]), known))
+    assert ("group count", "19") in found(K.consolidation_valid(groups([(f"g{k}", ["a"]) for k in range(19)]), known))
+    routed = spark.createDataFrame([(1, "w"), (2, "r"), (2, "r"), (4, "w")], "id long, d string")
+    rows = spark.createDataFrame([(1, "promote")], "id long, suggestion string")
+    items = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    assert found(K.calibration_valid(rows, routed, items)) == [("duplicate item", "2"), ("extra item", "4"), ("missing item", "3")]
