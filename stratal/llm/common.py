@@ -16,10 +16,15 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, a fresh local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, a fresh local folder serves a session whose executors run on this machine; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors can reach")
         found = "file://" + tempfile.mkdtemp(prefix="stratal-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -32,14 +37,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes written tables once their last reader is done, so that a long session does not fill the shared disk."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if (spark, path) in _WRITTEN:
+            _WRITTEN.remove((spark, path))
 
 
 @atexit.register
 def _remove_written() -> None:
-    for spark, path in _WRITTEN:
+    for spark, path in [*_WRITTEN]:
         try:
             remove(spark, path)
         except Exception:  # noqa: BLE001  the session is already gone
@@ -69,25 +78,16 @@ def process_cache(name: str, make):
     return getattr(home, name)
 
 
-BATCH_ROWS = 1000
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, with Arrow batches of at most BATCH_ROWS rows from now on: a batch of long texts has to fit beside the heap."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df
-
-
 def texts_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key and the text, null texts as empty ones."""
-    return small_batches(df).select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
+    return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
 
 
 def by_bytes(batches, column: int = 1, limit: int = 8_000_000):
-    """Slices of Arrow batches whose text column holds about `limit` bytes at most (a longer single text stands alone)."""
+    """Slices of Arrow batches whose text column holds about `limit` bytes at most (a longer single text stands alone).
+
+    Spark itself bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch) and rows; no setting is changed here.
+    """
     for batch in batches:
         lengths = np.frombuffer(np.asarray(_byte_lengths(batch.column(column)), dtype=np.int64), dtype=np.int64)
         ends = np.cumsum(lengths)
@@ -170,3 +170,33 @@ def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
 def fold_held_out(column) -> F.Column:
     """True for the fifth of documents that no classifier learns from: crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(column.cast("string")) % 5 == 0
+
+
+BROADCAST_BYTES = 32_000_000
+SLICE_ROWS = 2_000
+MAX_SPLIT_KEYS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """df for a broadcast if its counted rows, at row_bytes each and what a hash table adds, are within BROADCAST_BYTES."""
+    return F.broadcast(df) if rows * (row_bytes + 32) <= BROADCAST_BYTES else df
+
+
+def split_counts(many: DataFrame, keys: list[str], total: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Keys that own more than a slice of `many` rows, with their number of slices.
+
+    The slice grows with the table so that at most MAX_SPLIT_KEYS keys can own more than one: a proven bound, so the
+    result may be broadcast. Counts are combined before the shuffle, so a hot key costs a row a task.
+    """
+    size = max(slice_rows, -(-total // MAX_SPLIT_KEYS))
+    return many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size).select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("_slices"))
+
+
+def split_join(many: DataFrame, one: DataFrame, keys: list[str], total: int, spread: str, how: str = "inner", slice_rows: int | None = None) -> DataFrame:
+    """many joined with `one` on keys, where one key may own a third of `many`: a hot key's rows are dealt into slices by
+    the hash of the column `spread`, and its rows of `one` are repeated for each slice. total: counted rows of many.
+    """
+    hot = F.broadcast(split_counts(many, keys, total, slice_rows or SLICE_ROWS))
+    left = many.join(hot, keys, "left").withColumn("_slice", F.expr(f"CAST(pmod(xxhash64({spread}), coalesce(_slices, 1)) AS INT)")).drop("_slices")
+    right = one.join(hot, keys, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))).drop("_slices")
+    return left.join(right, [*keys, "_slice"], how).drop("_slice")

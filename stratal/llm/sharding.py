@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratal.llm.common import written
+from stratal.llm.common import remove, written
 
 SHARD_BYTES = 1 << 20
 BITS = 56  # of the hash: 14 hexadecimal digits
@@ -21,26 +21,24 @@ def _prefix(depth: int) -> F.Column:
     return F.shiftright("h", BITS - depth)
 
 
+HASH = f"CAST(conv(substring(md5(coalesce(CAST(doc_id AS STRING), '')), 1, {BITS // 4}), 16, 10) AS BIGINT)"
+BYTES = "CAST(coalesce(octet_length(text), 0) AS BIGINT)"
+SHARD = "lpad(conv(q, 10, 2), depth, '0')"
+
+
 def hashed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes of the text (0 for null), the hash of the id, and where the row stands."""
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
-    return docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), h.alias("h"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
+    return docs.select("doc_id", F.expr(BYTES).alias("n_bytes"), F.expr(HASH).alias("h"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
 
 
-def extendible_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, n_bytes, shard (its prefix as text), depth (its number of bits), shard_bytes of every row of docs.
+def directory(sized: DataFrame, limit: int) -> tuple[list[tuple[int, DataFrame]], DataFrame | None]:
+    """The leaves found at each step, as (bits of p, table of p, depth, q, total), and the hashes that no bit can part.
 
-    Documents whose hashes agree in every bit (rows that repeat an id) would never part: such a bucket is chained,
-    shard names get "+page". Running sums by writing task and offsets between tasks number the pages, each within the
-    limit; a single document longer than half the limit gets a page alone, and only one longer than the limit
-    exceeds it. An empty table gives no rows; null texts have no bytes; other columns are not read.
+    sized: h and n_bytes of every row. A table that fits into one shard has no step.
     """
-    if limit < 2:
-        raise ValueError("the limit has to be 2 bytes at least")
-    sized, _ = written(hashed(docs), "hashed")
-    found, depth, open_, total = [], 0, None, sized.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
-    if total <= limit:
-        return sized.select("doc_id", "n_bytes", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(total).cast("long").alias("shard_bytes"))
+    if (sized.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0) <= limit:
+        return [], None
+    steps, depth, open_ = [], 0, None
     while depth < BITS:
         base, depth = depth, depth + STEP
         left = sized if open_ is None else sized.join(open_, _prefix(base) == open_["open"], "left_semi")
@@ -51,21 +49,51 @@ def extendible_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
         fits = by_cut.join(totals.where(F.col("total") <= limit), ["depth", "q"])
         # the shallowest cut that fits: all above it are too large
         leaf = fits.groupBy("p").agg(F.min(F.struct("depth", "q", "total")).alias("leaf")).select("p", "leaf.*")
-        directory, _ = written(sums.select("p").join(leaf, "p", "left"), "directory")
-        leaf = directory.where("total IS NOT NULL")
-        found.append(sized.join(leaf, _prefix(depth) == leaf["p"]).select("doc_id", "n_bytes", F.expr("lpad(conv(q, 10, 2), depth, '0')").alias("shard"), "depth", F.col("total").alias("shard_bytes")))
-        open_ = directory.where("total IS NULL").select(F.col("p").alias("open"))
+        found, _ = written(sums.select("p").join(leaf, "p", "left"), "directory")
+        steps.append((depth, found.where("total IS NOT NULL")))
+        open_ = found.where("total IS NULL").select(F.col("p").alias("open"))
         if not open_.limit(1).count():
-            break
-    else:
-        found.append(_chained(sized.join(open_, F.col("h") == open_["open"], "left_semi"), limit))
-    out = found[0]
-    for more in found[1:]:
+            return steps, None
+    return steps, open_
+
+
+def extendible_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
+    """doc_id, n_bytes, shard (its prefix as text), depth (its number of bits), shard_bytes of every row of docs.
+
+    Documents whose hashes agree in every bit (rows that repeat an id) would never part: such a bucket is chained,
+    shard names get "+page". Running sums by writing task and offsets between tasks number the pages, each within the
+    limit; a single document longer than half the limit gets a page alone, and only one longer than the limit
+    exceeds it. An empty table gives no rows; null texts have no bytes, a null id is hashed like an empty one; other
+    columns are not read, whatever their names.
+    """
+    if limit < 2:
+        raise ValueError("the limit has to be 2 bytes at least")
+    sized, _ = written(hashed(docs), "hashed")
+    steps, open_ = directory(sized, limit)
+    if not steps:
+        return _single(sized)
+    parts = [sized.join(leaf, _prefix(bits) == leaf["p"]).select("doc_id", "n_bytes", F.expr(SHARD).alias("shard"), "depth", F.col("total").alias("shard_bytes")) for bits, leaf in steps]
+    if open_ is not None:
+        placed = _chained(sized.join(open_, F.col("h") == open_["open"], "left_semi"), limit)
+        totals = placed.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"))
+        parts.append(placed.join(totals, "shard").select("doc_id", "n_bytes", "shard", F.lit(BITS).alias("depth"), "shard_bytes"))
+    return _union(parts)
+
+
+def _single(sized: DataFrame) -> DataFrame:
+    total = sized.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
+    return sized.select("doc_id", "n_bytes", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(total).cast("long").alias("shard_bytes"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
 
 def _chained(rows: DataFrame, limit: int) -> DataFrame:
+    """rows (with h, part, row, n_bytes) and the page of the chain that each stands on, as shard."""
     half = limit // 2
     large = F.col("n_bytes") > half
     small = F.when(large, 0).otherwise(F.col("n_bytes"))
@@ -76,14 +104,33 @@ def _chained(rows: DataFrame, limit: int) -> DataFrame:
     placed = rows.withColumns({"b": F.coalesce(F.sum(small).over(own), F.lit(0)), "l": F.coalesce(F.sum(large.cast("long")).over(own), F.lit(0))}).join(sums, ["h", "part"])
     # a page of small rows starts within one half and its last row ends at most half a limit later
     page = F.when(large, F.concat(F.lit("x"), F.col("l") + F.col("large_before"))).otherwise(F.floor((F.col("b") + F.col("bytes_before")) / max(1, half)).cast("string"))
-    placed = placed.select("doc_id", "n_bytes", F.concat(F.expr(f"lpad(conv(h, 10, 2), {BITS}, '0')"), F.lit("+"), page).alias("shard"))
-    totals = placed.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"))
-    return placed.join(totals, "shard").select("doc_id", "n_bytes", "shard", F.lit(BITS).alias("depth"), "shard_bytes")
+    return placed.withColumn("shard", F.concat(F.expr(f"lpad(conv(h, 10, 2), {BITS}, '0')"), F.lit("+"), page))
 
 
-def write_shards(docs: DataFrame, shards: DataFrame, path: str) -> None:
-    """The rows of docs under shard=<prefix> folders; a shard is within its limit, so one task writes it."""
-    docs.join(shards.select("doc_id", "shard").distinct(), "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
+    """Every row of docs once, with its columns, under shard=<prefix> folders; a shard is within its limit, so one task writes it.
+
+    The shard travels with the row: the directory is looked up by the hash of the id, and rows of chained buckets are
+    written with their place before they are dealt to pages. The folder column is named shard; a column of docs of
+    that name comes back as doc_shard. Null ids and repeated rows are rows like any other.
+    """
+    own = docs.columns
+    names = {c: f"c{k}" for k, c in enumerate(own)}
+    back = {f"c{k}": "doc_shard" if c.lower() == "shard" else c for k, c in enumerate(own)}
+    rows = docs.select(F.expr(HASH).alias("h"), F.expr(BYTES).alias("n_bytes"), F.struct(*(F.col(f"`{c}`").alias(n) for c, n in names.items())).alias("whole"))
+    sized, place = written(rows.select("h", "n_bytes"), "hashed")
+    steps, open_ = directory(sized, limit)
+    if not steps:
+        parts = [rows.select("whole", F.lit("all").alias("shard"))]
+    else:
+        parts = [rows.join(leaf, _prefix(bits) == leaf["p"]).select("whole", F.expr(SHARD).alias("shard")) for bits, leaf in steps]
+    if open_ is not None:
+        chain = rows.join(open_, F.col("h") == open_["open"], "left_semi")
+        chain, _ = written(chain.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "chained")
+        parts.append(_chained(chain, limit).select("whole", "shard"))
+    out = _union(parts).select("whole.*", "shard").withColumnsRenamed(back)
+    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    remove(docs.sparkSession, place)
 
 
 SQL = f"""

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@]*)"  # an IPv6 address stands in brackets
+RESULTS = ("host", "n_active", "verdict", "kept")
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
@@ -42,9 +43,12 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     The most specific active entry (the longest pattern) decides; allow wins over block on equal ones. Distinct
     (url, day) pairs are judged, so copies of a capture are joined once. Intervals are cut by month and joined on
     (kind, pattern, month): a hot pattern is an equi-join that Spark may split, and a capture meets the few intervals
-    of its month only. A null or relative url has no host, a null day no active entry: verdict none, kept.
+    of its month only. A null or relative url has no host, a null day no active entry: verdict none, kept. Repeated
+    rows stay repeated, an empty table of captures gives no rows, an empty one of entries verdict none everywhere; urls
+    are read whole. A column of captures that is named like one of the four results comes back as capture_<name>.
     """
-    captures = captures.withColumn("day", F.col("day").cast("date"))
+    clashing = {c: f"capture_{c}" for c in captures.columns if c.lower() in RESULTS}
+    captures = captures.withColumnsRenamed(clashing).withColumn("day", F.col("day").cast("date"))
     intervals = validity_intervals(entries)
     depth = intervals.where("kind = 'prefix'").agg(F.max(F.size(F.split("pattern", "/"))).alias("d")).first()["d"]
     last = captures.agg(F.max("day").alias("d")).first()["d"]

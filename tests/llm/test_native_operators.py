@@ -63,3 +63,54 @@ def test_equal_hashes_are_chained(spark):
 
 def test_empty(spark):
     assert S.extendible_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clashing_columns_and_addresses_in_brackets(spark):
+    entries = spark.createDataFrame([("block", "host", "[::1]", "add", D(2024, 1, 1))], "list string, kind string, pattern string, action string, day date")
+    rows = [(1, "http://[::1]:80/x", D(2024, 2, 1), "v", 7, "h", True), (2, "http://u@[2001:db8::2]/", D(2024, 2, 1), "v", 7, "h", True)]
+    captures = spark.createDataFrame(rows, "page_id long, url string, day date, verdict string, n_active long, host string, kept boolean")
+    got = {r["page_id"]: r for r in U.judge(captures, entries).collect()}
+    assert got[1]["host"] == "[::1]" and got[1]["verdict"] == "block" and not got[1]["kept"] and got[1]["n_active"] == 1
+    assert got[2]["host"] == "[2001:db8::2]" and got[2]["verdict"] == "none"
+    assert all((r["capture_verdict"], r["capture_n_active"], r["capture_host"], r["capture_kept"]) == ("v", 7, "h", True) for r in got.values())
+
+
+@pytest.mark.parametrize("limit", [100, 2000, 10**6])
+def test_every_row_is_written_once(spark, tmp_path, limit):
+    rows = [(7, "y" * 30, "a", 1)] * 50 + [(7, "q" * 500, "b", 2), (None, "nobody", "c", 3), (None, None, "d", 4), (None, "nobody", "c", 3)] + [(k, "x" * (k % 40), "e", k) for k in range(20, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, h long").repartition(5)
+    S.write_shards(docs, str(tmp_path / "out"), limit)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, back.select("doc_id", "text", "doc_shard", "h").collect())) == sorted(map(key, rows))
+    sizes = back.groupBy("shard").agg({"text": "count"}).count()
+    assert sizes == 1 if limit == 10**6 else sizes > 1
+
+
+def brute_directory(rows, limit):
+    """shard and bytes of each row by splitting one bit at a time; equal hashes are chained, so they get None."""
+    import hashlib
+
+    items = [(int(hashlib.md5(("" if k is None else str(k)).encode()).hexdigest()[:14], 16), len((t or "").encode())) for k, t in rows]
+    out = [None] * len(rows)
+    todo = [("", range(len(rows)))]
+    while todo:
+        prefix, own = todo.pop()
+        total = sum(items[k][1] for k in own)
+        if total <= limit:
+            for k in own:
+                out[k] = (prefix, total)
+        elif len(prefix) < S.BITS:
+            for bit in "01":
+                todo.append((prefix + bit, [k for k in own if format(items[k][0], f"0{S.BITS}b")[len(prefix)] == bit]))
+    return out
+
+
+@pytest.mark.parametrize("limit", [40, 900])
+def test_shards_equal_a_split_bit_by_bit(spark, limit):
+    rows = [(k * 7919, "x" * (k % 90)) for k in range(150)] + [(5, "a" * 25)] * 6 + [(None, "b" * 10)] * 3
+    want = sorted(w for w in brute_directory(rows, limit) if w)
+    got = S.extendible_shards(spark.createDataFrame(rows, "doc_id long, text string"), limit).collect()
+    assert len(got) == len(rows)
+    assert sorted((r["shard"], r["shard_bytes"]) for r in got if "+" not in r["shard"]) == want
+    assert all(len(r["shard"]) > 40 for r in got if "+" in r["shard"])
