@@ -3,13 +3,12 @@
 A node is a block-level element or a run of inline text. The trees give the odds that a node holds main text. A node
 is chosen only with its parent, so the decoder takes the subtree closed upwards with the largest sum of log-odds:
 best(v) = max(0, odds(v) + sum of best(children)). The text runs that are chosen, in page order, are the main text.
-The trees learn from pages of labelled templates that this module makes by rule.
+What stands above a node counts by its share of the page, so a wrapper named after a part of it condemns nothing.
+The trees learn from pages of several families of layouts that main_text_training makes by rule.
 """
 
 from __future__ import annotations
 
-import random
-from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -17,199 +16,158 @@ from pyspark.sql import DataFrame
 
 from stratal.llm import boosting
 from stratal.llm.common import by_bytes
-from stratal.llm.dom import Node, nodes_of, parse
+from stratal.llm.dom import Tree, parse
 
-TRAINING_PAGES = 500
+TRAINING_PAGES = 900
 TAGS = ["article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "pre", "figure", "figcaption", "body", "#text", "dialog", "button"]
-GOOD = ["content", "article", "post", "entry", "body", "main", "story", "text"]
-BAD = ["nav", "menu", "header", "footer", "sidebar", "ad", "ads", "advert", "advertisement", "promo", "sponsor", "sponsored", "banner", "cookie", "consent", "notice", "alert", "comment", "comments", "reply", "related", "recommended", "share", "social", "form", "newsletter", "subscribe", "login", "search", "breadcrumb", "breadcrumbs", "widget", "copyright", "legal", "popup", "modal", "toc", "tags", "meta", "byline", "pagination", "pager", "disclaimer"]
-
-
-def features(nodes: list[Node]) -> np.ndarray:
-    """One row a node: tag, attribute tokens, ancestors, subtree density, place, siblings."""
-    total = max(1, sum(v.chars for v in nodes if v.tag == "#text"))
-    before, out = 0, np.zeros((len(nodes), WIDTH), dtype=np.float32)
-    for k, v in enumerate(nodes):
-        parent = v.parent
-        above = parent.flags if parent.parent else (0, 0, 0, 0, 0, 0, 0)
-        good = sum(t in v.tokens for t in GOOD)
-        bad = [t in v.tokens for t in BAD]
-        v.flags = (above[0] + (v.tag in ("article", "main")), above[1] + (v.tag in ("nav", "header", "footer", "aside", "form", "dialog", "button")), above[2] + good, above[3] + any(bad), above[4] + v.style_hidden, max(above[5], v.tag == "footer"), above[6] + (v.tag in ("ul", "ol", "table")))
-        row = out[k]
-        if v.tag in _TAG_AT:
-            row[_TAG_AT[v.tag]] = 1
-        at = len(TAGS)
-        row[at : at + len(BAD)] = bad
-        at += len(BAD)
-        siblings = parent.children
-        place = _place(siblings, v)
-        left = siblings[place - 1] if place else None
-        right = siblings[place + 1] if place + 1 < len(siblings) else None
-        sentences = v.text.count(". ") + v.text.count(", ") + v.text.endswith(".") if v.text else 0
-        row[at:] = (
-            good, *v.flags, v.depth, np.log1p(v.chars), v.link_chars / max(1, v.chars), v.blocks, np.log1p(v.chars / max(1, v.blocks)), v.chars / total, before / total,
-            len(v.children), place, len(siblings), np.log1p(left.chars) if left else -1, np.log1p(right.chars) if right else -1, parent.chars / total if parent.parent else 1, v.chars / max(1, parent.chars) if parent.parent else 1, parent.link_chars / max(1, parent.chars) if parent.parent else 0,
-            _TAG_AT.get(parent.tag, -1), _TAG_AT.get(left.tag, -1) if left else -2, _TAG_AT.get(right.tag, -1) if right else -2, sentences, v.text.count(" "), "©" in v.text[:40], sum(c.tag == v.tag for c in siblings),
-        )
-        if v.tag == "#text":
-            before += v.chars
-    return out
-
-
-def _place(siblings: list[Node], v: Node) -> int:
-    """Number of v among its siblings, which are in page order."""
-    return bisect_left(siblings, v.order, key=lambda x: x.order)
-
-
+GOOD = frozenset("content article post entry body main story text hentry prose page".split())
+# Words of class, id and role that name a part of a page, by kind.
+KINDS = {
+    "menu": "nav navbar navigation menu menus submenu subnav sidenav topnav breadcrumb breadcrumbs crumbs pagination pager toc toolbar topbar dropdown tabs sitemap skip",
+    "head": "header masthead branding logo top tagline",
+    "foot": "footer foot copyright colophon legal disclaimer contentinfo bottom imprint",
+    "side": "sidebar side aside widget widgets complementary related recommended recommendations rail secondary teaser teasers trending popular more",
+    "advert": "ad ads advert adverts advertisement advertising promo promos promotion promoted sponsor sponsored sponsors banner commercial adslot",
+    "notice": "cookie cookies consent notice notices alert alerts gdpr popup modal overlay warning message toast announcement",
+    "comment": "comment comments commentlist reply replies respond discussion disqus responses trackbacks feedback",
+    "social": "share sharing social follow tags tagcloud tag likes",
+    "form": "form newsletter subscribe subscription subscriptions signup login signin register search searchbox contact input",
+    "meta": "meta byline author date dateline timestamp published info hidden print",
+}
+KIND_OF = {w: k for k, words in enumerate(KINDS.values()) for w in words.split()}
+BOILERPLATE = frozenset("nav aside form dialog button menu".split())
+N_KINDS = len(KINDS)
 _TAG_AT = {t: k for k, t in enumerate(TAGS)}
-WIDTH = len(TAGS) + len(BAD) + 1 + 7 + 22
-
-
-def decode(nodes: list[Node], odds: np.ndarray) -> list[str]:
+COPYRIGHT = ("©", "(c)", "copyright", "all rights reserved")
+
+
+def features(tree: Tree) -> np.ndarray:
+    """One row a node: tag, attribute tokens, ancestors, subtree density, place, siblings; linear in the nodes."""
+    n = len(tree)
+    parents = np.array(tree.parents, dtype=np.int64)
+    chars, linked, runs = tree.sums()
+    is_text = np.array([t == "#text" for t in tree.tags])
+    total = max(1.0, float(chars[is_text].sum()))
+    share = chars / total
+    # down the tree: what stands above a node
+    article, boiler, foot, in_header, lists, hidden, depth = ([0] * n for _ in range(7))
+    good, worst, own_kind, sentences, spaces, rights, place = [0] * n, [1.5] * n, np.zeros((n, N_KINDS), dtype=np.float32), [0] * n, [0] * n, [0] * n, [0] * n
+    counts: list[dict] = [{} for _ in range(n + 1)]
+    children = [0] * (n + 1)
+    shares = share.tolist()
+    for k, (tag, p) in enumerate(zip(tree.tags, tree.parents, strict=True)):
+        up = p >= 0
+        inside = article[p] if up else 0
+        article[k] = inside + (tag in ("article", "main"))
+        boiler[k] = (boiler[p] if up else 0) + (tag in BOILERPLATE)
+        foot[k] = (foot[p] if up else 0) + (tag == "footer")
+        in_header[k] = (in_header[p] if up else 0) or (0 if tag != "header" else 1 if inside else 2)
+        lists[k] = (lists[p] if up else 0) + (tag in ("ul", "ol", "table"))
+        hidden[k] = (hidden[p] if up else 0) + tree.hidden[k]
+        depth[k] = depth[p] + 1 if up else 0
+        good[k] = good[p] if up else 0
+        worst[k] = worst[p] if up else 1.5
+        if tree.tokens[k]:
+            kinds = {KIND_OF[t] for t in tree.tokens[k] if t in KIND_OF}
+            good[k] += len(GOOD & tree.tokens[k])
+            for j in kinds:
+                own_kind[k, j] = 1
+            if kinds:
+                worst[k] = min(worst[k], shares[k])
+        if tag == "#text":
+            text = tree.texts[k]
+            sentences[k] = text.count(". ") + text.count(", ") + text.endswith((".", "!", "?", "…", "。"))
+            spaces[k] = text.count(" ")
+            low = text.lower()
+            rights[k] = not article[k] and any(c in low for c in COPYRIGHT)  # within an article such a line is part of it
+        place[k] = children[p]
+        children[p] += 1
+        own = counts[p]
+        own[tag] = own.get(tag, 0) + 1
+    up = np.where(parents >= 0, parents, n)
+    pad = lambda values, outside: np.append(np.asarray(values, dtype=np.float64), outside)
+    # prose: characters of runs that are not links and have marks of sentences
+    text_prose = np.where(is_text & (linked < 0.5 * np.maximum(chars, 1)) & (np.array(sentences) >= 2), chars, 0.0).tolist()
+    text_rights = [float(r) for r in rights]
+    for k in range(n - 1, 0, -1):
+        p = tree.parents[k]
+        if p >= 0:
+            text_prose[p] += text_prose[k]
+            text_rights[p] += text_rights[k]
+    prose = np.array(text_prose)
+    prose_total = max(1.0, float(prose[is_text].sum()))
+    before = np.concatenate([[0.0], np.cumsum(np.where(is_text, chars, 0.0))[:-1]]) / total
+    h1 = np.array([t == "h1" for t in tree.tags])
+    seen_h1 = np.cumsum(h1) - h1
+    tag_at = np.array([_TAG_AT.get(t, -1) for t in tree.tags], dtype=np.int64)
+    density = linked / np.maximum(1, chars)
+    # siblings: nodes of one parent, in order
+    order = np.lexsort((place, up))
+    same = up[order][1:] == up[order][:-1]
+    left, right = np.full(n, n, dtype=np.int64), np.full(n, n, dtype=np.int64)
+    left[order[1:][same]] = order[:-1][same]
+    right[order[:-1][same]] = order[1:][same]
+    log_chars, tags_out = pad(np.log1p(chars), -1), pad(tag_at, -2)
+    siblings = np.array(children, dtype=np.float64)[parents]
+    alike = np.array([counts[p][t] for t, p in zip(tree.tags, tree.parents, strict=True)], dtype=np.float64)
+    onehot = np.zeros((n, len(TAGS)), dtype=np.float32)
+    known = np.flatnonzero(tag_at >= 0)
+    onehot[known, tag_at[known]] = 1
+    worst_up = pad(worst, 1.5)[up]
+    columns = [
+        good, article, boiler, foot, in_header, lists, hidden, depth, worst, worst_up, np.log1p(chars), density, runs, np.log1p(chars / np.maximum(1, runs)), share, before,
+        np.array(children[:n]), place, siblings, siblings - np.array(place), log_chars[left], log_chars[right], pad(density, -1)[left], pad(density, -1)[right], pad(share, 1)[up], chars / np.maximum(1, pad(chars, total)[up]), pad(density, 0)[up],
+        pad(tag_at, -1)[up], tags_out[left], tags_out[right], sentences, spaces, np.array(text_rights) / np.maximum(1, runs), alike, prose / prose_total, pad(prose, prose_total)[up] / prose_total, prose / np.maximum(1, chars), seen_h1, int(h1.any()) + np.zeros(n),
+    ]
+    return np.concatenate([onehot, own_kind, np.stack([np.asarray(c, dtype=np.float32) for c in columns], axis=1)], axis=1)
+
+
+def decode(tree: Tree, odds: np.ndarray) -> list[str]:
     """Texts of the best choice of nodes that is closed towards the root."""
     best = odds.astype(np.float64).tolist()
-    for k in range(len(nodes) - 1, -1, -1):
+    for k in range(len(tree) - 1, -1, -1):
         gain = best[k] = max(0.0, best[k])
-        parent = nodes[k].parent
-        if gain and parent.parent:
-            best[parent.order] += gain
-    out, chosen = [], [False] * len(nodes)
-    for k, v in enumerate(nodes):
-        chosen[k] = best[k] > 0 and (not v.parent.parent or chosen[v.parent.order])
-        if chosen[k] and v.tag == "#text":
-            out.append(v.text)
+        if gain and tree.parents[k] >= 0:
+            best[tree.parents[k]] += gain
+    out, chosen = [], [False] * len(tree)
+    for k, p in enumerate(tree.parents):
+        chosen[k] = best[k] > 0 and (p < 0 or chosen[p])
+        if chosen[k] and tree.tags[k] == "#text":
+            out.append(tree.texts[k])
     return out
 
 
 def extract(pages: list[str], model: dict) -> list[str]:
-    trees = [nodes_of(parse(p)) for p in pages]
-    filled = [t for t in trees if t]
+    trees = [parse(p) for p in pages]
+    filled = [t for t in trees if len(t)]
     if not filled:
         return [""] * len(pages)
     odds = boosting.logits(model, np.concatenate([features(t) for t in filled]))
     ends = iter(np.split(odds, np.cumsum([len(t) for t in filled])[:-1]))
-    return ["\n".join(decode(t, next(ends))) if t else "" for t in trees]
-
-
-class Templates:
-    """Pages by rule: every text carries a mark that says whether it is main text."""
-
-    def __init__(self, seed: int):
-        self.r = random.Random(seed)
-
-    def word(self):
-        w = "".join(self.r.choice("bcdfglmnprst") + self.r.choice("aeiouéüñ") for _ in range(self.r.randint(1, 4)))
-        return w
-
-    def words(self, low, high):
-        return " ".join(self.word() for _ in range(self.r.randint(low, high)))
-
-    def sentences(self, low, high):
-        n = self.r.randint(low, high)
-        return " ".join(self.words(3, 14).capitalize() + self.r.choice([".", ".", ".", "!", ",", "***", " |"]) for _ in range(n))
-
-    def block(self, tag, text, main, **attributes):
-        a = "".join(f' {k.rstrip("_")}="{v}"' for k, v in attributes.items() if v)
-        return f"<{tag}{a}>{'' if not main else chr(0xE000)}{text}</{tag}>"
-
-    def links(self, n):
-        return [f'<a href="/{self.word()}">{self.words(1, 3)}</a>' for _ in range(n)]
-
-    def menu(self):
-        links = self.links(self.r.randint(2, 9))
-        kind = self.r.randrange(4)
-        inner = "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>" if kind < 3 else " | ".join(links)
-        tag, name = self.r.choice([("nav", ""), ("nav", "main-nav"), ("div", "menu"), ("div", "nav"), ("header", "site-header"), ("div", "breadcrumbs"), ("ul", "menu")])
-        return f'<{tag} class="{name}">{inner}</{tag}>' if name else f"<{tag}>{inner}</{tag}>"
-
-    def noise(self):
-        r, s = self.r, self.sentences
-        return r.choice([
-            lambda: f'<div class="{r.choice(["ad", "ads", "advert", "advertisement", "ad-slot", "sponsored", "promo", "banner"])}">{s(1, 4)}</div>',
-            lambda: f'<aside class="{r.choice(["sidebar", "", "related", "widget"])}">{r.choice(["", "<h3>" + self.words(1, 4) + "</h3>"])}{"".join("<p>" + s(1, 3) + "</p>" for _ in range(r.randint(1, 4)))}</aside>',
-            lambda: f'<div class="{r.choice(["sidebar", "side-bar", "related-posts", "recommended", "widget"])}"><h3>{self.words(1, 4)}</h3><ul>{"".join("<li>" + x + "</li>" for x in self.links(r.randint(2, 6)))}</ul></div>',
-            lambda: f'<div {r.choice(["class", "id"])}="{r.choice(["cookie-notice", "cookie-banner", "consent", "notice", "site-notice", "alert", "popup", "modal"])}"><p>{s(1, 4)}</p><button>{self.word()}</button></div>',
-            lambda: f'<form class="{r.choice(["", "newsletter", "search", "login-form", "subscribe"])}"><label>{self.words(1, 5)}</label><input name="q"><p>{s(1, 2)}</p><button>{self.word()}</button></form>',
-            lambda: f'<div class="{r.choice(["share", "social", "tags", "byline", "meta", "pagination"])}">{self.words(1, 4)} {" ".join(self.links(r.randint(1, 4)))}</div>',
-        ])()
-
-    def comments(self):
-        one = lambda: f'<{(t := self.r.choice(["div", "li", "article"]))} class="comment"><b>{self.word()}</b><p>{self.sentences(1, 5)}</p></{t}>'
-        tag = self.r.choice(["section", "div", "ol"])
-        return f'<{tag} {self.r.choice(["class", "id"])}="{self.r.choice(["comments", "comment-list", "reader-comments", "replies comments"])}"><h2>{self.words(1, 3)}</h2>{"".join(one() for _ in range(self.r.randint(1, 5)))}</{tag}>'
-
-    def footer(self):
-        text = f"&copy; {self.word()}.example &middot; {self.sentences(1, 3)}"
-        inner = self.r.choice([text, f"<p>{text}</p>", f"<p>{text}</p><ul>{''.join('<li>' + x + '</li>' for x in self.links(3))}</ul>"])
-        return self.r.choice([f"<footer>{inner}</footer>", f'<div class="footer">{inner}</div>', f'<div id="site-footer" class="copyright">{inner}</div>'])
-
-    def article(self):
-        r, mark = self.r, chr(0xE000)
-        n = r.choice([1, 1, 2, 3, 5, 8, 15])
-        parts = []
-        if r.random() < 0.85:
-            parts.append(self.block(r.choice(["h1", "h1", "h2"]), self.words(1, 12), True))
-        for k in range(n):
-            text = self.sentences(1, r.choice([1, 2, 6, 12])) if r.random() < 0.85 else self.words(1, 3)
-            if r.random() < 0.15:
-                text = text.upper()
-            if r.random() < 0.15:
-                text += f' <a href="/x">{self.words(1, 4)}</a> {self.words(1, 6)}.'
-            parts.append(r.choice([f"<p>{mark}{text}</p>"] * 6 + [f"<p><b>{mark}{text}<br>", f"<p>{mark}{text}", f"<blockquote>{mark}{text}</blockquote>", f"<ul><li>{mark}{text}</li><li>{mark}{self.words(2, 12)}</li></ul>", f"<h2>{mark}{self.words(1, 6)}</h2><p>{mark}{text}</p>", f"<pre>{mark}{text}</pre>", f"<table><tr><td>{mark}{self.words(1, 4)}</td><td>{mark}{self.words(1, 4)}</td></tr></table>"]))
-            if r.random() < 0.06:
-                parts.append(self.noise())
-        if r.random() < 0.15:
-            parts.append(self.comments())
-        open_, close = r.choice([("<article>", "</article>")] * 5 + [("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="article-body">', "</div>"), ('<div class="post-content entry">', "</div>"), ("<main><article>", "</article></main>"), ("<div>", "</div>"), ('<section class="story">', "</section>"), ('<div id="main"><div class="text">', "</div></div>")])
-        return open_ + "".join(parts) + close
-
-    def page(self) -> str:
-        r = self.r
-        top = [self.menu() for _ in range(r.choice([0, 1, 1, 2]))] + [self.noise() for _ in range(r.choice([0, 1, 1, 2]))]
-        if r.random() < 0.3:
-            top.append(f'<header class="{r.choice(["", "site-header", "page-header"])}"><h1>{self.words(1, 4)}</h1><p>{self.sentences(1, 1)}</p></header>')
-        r.shuffle(top)
-        end = [self.noise() for _ in range(r.choice([0, 0, 1, 2]))] + ([self.comments()] if r.random() < 0.3 else [])
-        r.shuffle(end)
-        body = "".join(top) + self.article() + "".join(end) + (self.footer() if r.random() < 0.9 else "")
-        if r.random() < 0.3:
-            body = f'<div class="{r.choice(["wrapper", "page", "container", ""])}">{body}</div>'
-        return f"<!DOCTYPE html><html><head><title>{self.words(1, 8)}</title></head><body>{body}</body></html>"
-
-
-def labelled(page: str) -> tuple[list[Node], np.ndarray]:
-    """Nodes of a template page without its marks, and whether each holds main text."""
-    nodes = nodes_of(parse(page))
-    y = np.zeros(len(nodes))
-    for v in nodes:
-        if chr(0xE000) in v.text:
-            at = v
-            while at.parent:
-                y[at.order] = 1
-                at = at.parent
-    clean = nodes_of(parse(page.replace(chr(0xE000), "")))
-    assert len(clean) == len(nodes)
-    return clean, y
+    return ["\n".join(decode(t, next(ends))) if len(t) else "" for t in trees]
 
 
 @lru_cache(maxsize=2)
 def train(pages: int = TRAINING_PAGES, seed: int = 11) -> dict:
+    from stratal.llm.main_text_training import Templates, labelled
+
     made = Templates(seed)
     data = [labelled(made.page()) for _ in range(pages)]
-    return boosting.fit(np.concatenate([features(n) for n, _ in data]), np.concatenate([y for _, y in data]))
+    return boosting.fit(np.concatenate([features(t) for t, _ in data]), np.concatenate([y for _, y in data]))
 
 
 def main_text(pages: DataFrame, model: dict | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every page, no shuffle; whole pages, a slice at a time.
 
-    Null and empty html and pages without main text give an empty text; null ids and urls and repeated rows stay.
+    Null and empty html and pages without main text give an empty text; null ids and urls and repeated rows stay, an
+    empty table gives none, other columns are not read. Time and memory are linear in the page, whatever its markup.
     """
     model = model or train()
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in by_bytes(batches, column=2, limit=4_000_000):
+        for batch in by_bytes(batches, column=2, limit=2_000_000):
             texts = extract(batch.column(2).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
