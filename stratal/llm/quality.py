@@ -2,46 +2,57 @@
 
 Every word gives two units: its core (lower-cased, without edge punctuation) and its form (case, trailing
 punctuation, whether the word stood among the few before it). A unit has a sparse ternary index vector, fixed by a
-hash; its word vector is the sum of the index vectors of the units beside it, over all documents, plus its own.
+hash of the whole unit. The word vector of a unit is that index vector plus, once the unit makes up MIN_SHARE of all
+units of all documents, the direction of the sum of the index vectors of the units beside it, over all documents. The
+share, unlike a count, means the same at every size, and at most 1 / MIN_SHARE units can have it: a proven bound for
+what the driver holds and the executors are sent. Rarer units have their index vector alone, each its own.
 """
 
 from __future__ import annotations
 
+import zlib
+from array import array
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratal.llm.common import WordHashes, by_bytes, mix64, process_cache, texts_of
-from stratal.llm.scoring import MAX_TRAIN_ROWS, kept_by_score, labelled_sample, scored, sigmoid
+from stratal.llm.common import by_bytes, mix64, process_cache, remove, texts_of, written
+from stratal.llm.scoring import MAX_TRAIN_ROWS, kept_by_score, labelled_sample, scored, sigmoid, temperature_of
 
-UNIT_BITS = 13
-UNITS = 1 << UNIT_BITS
+MIN_SHARE = 5e-6
 DIMENSIONS = 64
 NONZERO = 2
 REACH = 2  # units to either side that are context
 BACK = 8  # words back that make a word a repeated one
 HIDDEN = 32
 THRESHOLD = 0.3
-SLICE_BYTES = 600_000  # of text at a time: a vector for every unit of it is held
+SLICE_BYTES = 600_000  # of text at a time
 SUM_BLOCK = 256  # units of a matrix block that is summed as one row
 SUM_SPREAD = 1024  # partial sums of a block in the first of two rounds
+MEMO_WORDS = 150_000
+COUNTED = 400_000  # different units that a task holds before it hands on their counts
+CELLS = 4_000_000  # of a matrix of counts
 _U = np.uint64
 EDGES = bytes(c for c in range(33, 128) if not chr(c).isalnum())
 
 
-class Units(WordHashes):
-    """A word's core unit, its form unit as new and as repeated word, and bits of its hash, in 64 bits."""
-
-    BOUND = 150_000
+class Units(dict):
+    """Word -> number; by number: the keys of its core and of its form as a new and as a repeated word, and their vocabulary rows."""
 
-    def __init__(self):
+    def __init__(self, vocabulary: np.ndarray):
         super().__init__()
-        self.forms: dict[bytes, int] = {}  # bits of a form as new and as repeated; there are few
+        self.rows = dict(zip(vocabulary.tolist(), range(len(vocabulary)), strict=True))
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.keys_of, self.rows_of = (array("Q"), array("Q"), array("Q")), (array("q"), array("q"), array("q"))
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        h, mask = xxhash.xxh3_64_intdigest, UNITS - 1
+        h = xxhash.xxh3_64_intdigest
         left = word.lstrip(EDGES)
         core = left.rstrip(EDGES)
         text = core.decode("utf-8", "replace")
@@ -49,68 +60,123 @@ class Units(WordHashes):
             case = "d"
         else:
             case = "U" if len(text) > 1 and text.isupper() else "l" if text.islower() else "t" if text[:1].isupper() else "m" if text else "-"
-        form = f"{len(word) > len(left)} {case} ".encode() + left[len(core) :][:3]
-        bits = self.forms.get(form)
-        if bits is None:
-            bits = (h(form + b"0") & mask) << UNIT_BITS | (h(form + b"1") & mask) << 2 * UNIT_BITS
-            if len(self.forms) < 20_000:
-                self.forms[form] = bits
-        value = (h(text.lower().encode()) & mask) | bits | (h(word) >> 3 * UNIT_BITS) << 3 * UNIT_BITS
-        if len(self) < self.BOUND and len(word) <= 64:
-            self[word] = value
-        return value
-
-
-def units_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The units of all texts in their order (core, form, core, ...) and the bounds of each text, counted in units."""
-    memo = process_cache("quality_units", Units)
+        form = f"{len(word) > len(left)} {case} ".encode() + left[len(core) :]
+        number = self[word] = len(self)
+        for part, key in enumerate((h(text.lower().encode()), h(b"0" + form, 1), h(b"1" + form, 1))):
+            self.keys_of[part].append(key)
+            self.rows_of[part].append(self.rows.get(key, -1))
+        return number
+
+
+def units_of(texts: list[str], memo: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the units of all texts in their order (core, form, core, ...), their vocabulary rows (-1: none) and the bounds of each text, counted in units."""
+    if len(memo) > MEMO_WORDS:
+        memo.forget()
     words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
     n = np.array([len(w) for w in words], dtype=np.int64)
-    packed = np.fromiter((v for w in words for v in map(memo.__getitem__, w)), dtype=_U, count=int(n.sum()))
+    number = np.fromiter((v for w in words for v in map(memo.__getitem__, w)), dtype=np.int64, count=int(n.sum()))
     doc = np.repeat(np.arange(len(texts)), n)
-    repeated = np.zeros(len(packed), dtype=bool)
+    repeated = np.zeros(len(number), dtype=bool)
     for k in range(1, BACK + 1):
-        repeated[k:] |= (packed[k:] == packed[:-k]) & (doc[k:] == doc[:-k])
-    mask = _U(UNITS - 1)
-    out = np.empty(2 * len(packed), dtype=np.int64)
-    out[::2] = packed & mask
-    out[1::2] = np.where(repeated, packed >> _U(2 * UNIT_BITS), packed >> _U(UNIT_BITS)) & mask
-    return out, 2 * np.concatenate([[0], np.cumsum(n)])
-
-
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
+        repeated[k:] |= (number[k:] == number[:-k]) & (doc[k:] == doc[:-k])
+    out = []
+    for parts, kind in ((memo.keys_of, _U), (memo.rows_of, np.int64)):
+        core, new, again = (np.array(p, dtype=kind) for p in parts)
+        both = np.empty(2 * len(number), dtype=kind)
+        both[::2] = core[number]
+        both[1::2] = np.where(repeated, again[number], new[number])
+        out.append(both)
+    return out[0], out[1], 2 * np.concatenate([[0], np.cumsum(n)])
+
+
+def index_vectors(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of the nonzero entries of each unit's index vector."""
-    h = mix64(np.arange(UNITS * NONZERO, dtype=_U) + _U(1 << 32)).reshape(UNITS, NONZERO)
+    h = np.stack([mix64(keys + _U((0x9E3779B97F4A7C15 * (j + 1)) % 2**64)) for j in range(NONZERO)], axis=1)
     return (h % _U(DIMENSIONS)).astype(np.int64), np.where(h >> _U(63), 1.0, -1.0)
 
 
-def context_sums(texts: list[str], places: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    units, bounds = units_of(texts)
-    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    total = np.zeros(UNITS * DIMENSIONS)
+def context_sums(keys: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vocabulary rows that occur, and the sum of the index vectors of the units within REACH of each."""
+    places, signs = index_vectors(keys)
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    known, local = np.unique(rows, return_inverse=True)
+    first = int(len(known) > 0 and known[0] < 0)  # the units without a row come first
+    total = np.zeros(len(known) * DIMENSIONS)
     for k in range(1, REACH + 1):
-        same = doc[k:] == doc[:-k]
-        a, b = units[:-k][same], units[k:][same]
-        for of, beside in ((a, b), (b, a)):
+        same = np.flatnonzero(doc[k:] == doc[:-k])
+        for of, beside in ((same, same + k), (same + k, same)):
+            own = rows[of] >= 0
+            of, beside = local[of[own]] * DIMENSIONS, beside[own]
             for j in range(NONZERO):
-                total += np.bincount(of * DIMENSIONS + places[beside, j], weights=signs[beside, j], minlength=UNITS * DIMENSIONS)
-    return total
+                total += np.bincount(of + places[beside, j], weights=signs[beside, j], minlength=len(total))
+    return known[first:], total.reshape(-1, DIMENSIONS)[first:]
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Vectors of all units from all documents; each task sends one matrix, summed in two rounds by blocks of units."""
+def unit_counts(docs: DataFrame) -> tuple[DataFrame, str]:
+    """unit, n of every unit of all documents, written."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        memo = process_cache("quality_units_none", lambda: Units(np.empty(0, dtype=np.int64)))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged():
+            keys = np.concatenate([np.empty(0, dtype=_U), *(k for k, _ in held)])
+            unit, local = np.unique(keys, return_inverse=True)
+            n = np.bincount(local, weights=np.concatenate([np.empty(0), *(c for _, c in held)]), minlength=len(unit))
+            held[:] = [(unit, n)]
+            return unit, n
+
+        def out():
+            unit, n = merged()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), pa.array(n.astype(np.int64))], names=["unit", "n"])
+
+        for batch in by_bytes(batches, limit=SLICE_BYTES):
+            keys, _, _ = units_of(batch.column(1).to_pylist(), memo)
+            held.append(np.unique(keys, return_counts=True))
+            if sum(len(k) for k, _ in held) > COUNTED and len(merged()[0]) > COUNTED:
+                yield out()
+        if held:
+            yield out()
+
+    rows = texts_of(docs).select("doc_id", "text").mapInArrow(count, "unit long, n long")
+    return written(rows.groupBy("unit").agg(F.sum("n").alias("n")), "units")
+
+
+def vocabulary_of(docs: DataFrame, min_share: float = MIN_SHARE) -> np.ndarray:
+    """Keys of the units that make up min_share of all units, ascending; at most 1 / min_share."""
+    counts, path = unit_counts(docs)
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    found = [r["unit"] for r in counts.where(F.col("n") >= min_share * total).select("unit").collect()] if total else []
+    remove(docs.sparkSession, path)
+    return np.sort(np.array(found, dtype=np.int64).view(_U))
+
+
+def _memo(vocabulary: np.ndarray) -> Units:
+    return process_cache(f"quality_units_{zlib.crc32(vocabulary.tobytes())}_{len(vocabulary)}", lambda: Units(vocabulary))
+
+
+def word_vectors(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """Directions of the context sums of the vocabulary from all documents; each task sends one matrix, summed in two rounds by blocks of units."""
+    if not len(vocabulary):
+        return np.zeros((0, DIMENSIONS), dtype=np.float32)
+    blocks = -(-len(vocabulary) // SUM_BLOCK)
 
     def collect(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        places, signs = index_vectors()
-        total = np.zeros(UNITS * DIMENSIONS)
+        memo, total = _memo(vocabulary), np.zeros((blocks * SUM_BLOCK, DIMENSIONS), dtype=np.int64)
         for batch in by_bytes(batches, limit=SLICE_BYTES):
-            total += context_sums(batch.column(1).to_pylist(), places, signs)
-        if total.any():
-            blocks = total.astype("<i8" if np.abs(total).max() > 2**30 else "<i4").reshape(-1, SUM_BLOCK * DIMENSIONS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([TaskContext.get().partitionId() % SUM_SPREAD] * len(blocks), pa.int32()), pa.array([b.astype("<i8").tobytes() for b in blocks], pa.binary())], names=["block", "part", "sums"])
+            known, sums = context_sums(*units_of(batch.column(1).to_pylist(), memo))
+            total[known] += sums.astype(np.int64)
+        own = total.reshape(blocks, -1)
+        some = np.flatnonzero(own.any(axis=1))
+        if len(some):
+            part = pa.array([TaskContext.get().partitionId() % SUM_SPREAD] * len(some), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), part, pa.array([own[b].astype("<i8").tobytes() for b in some], pa.binary())], names=["block", "part", "sums"])
 
     def add(key, table):
         import pyarrow as pa
@@ -122,27 +188,41 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     partial = texts_of(docs).mapInArrow(collect, "block int, part int, sums binary")
     partial = partial.groupBy("block", "part").applyInArrow(add, "block int, sums binary")
-    rows = partial.groupBy("block").applyInArrow(add, "block int, sums binary").collect()
-    sums = np.zeros((UNITS // SUM_BLOCK, SUM_BLOCK * DIMENSIONS))
-    for row in rows:
+    sums = np.zeros((blocks, SUM_BLOCK * DIMENSIONS))
+    for row in partial.groupBy("block").applyInArrow(add, "block int, sums binary").collect():
         sums[row["block"]] = np.frombuffer(row["sums"], dtype="<i8")
-    vectors = sums.reshape(UNITS, DIMENSIONS)
-    vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
-    places, signs = index_vectors()
-    np.add.at(vectors, (np.arange(UNITS)[:, None], places), signs / np.sqrt(NONZERO))
-    return vectors.astype(np.float32)
-
-
-def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
-    """Mean of the vectors of a text's units, and the logarithm of its length, by text."""
-    units, bounds = units_of(texts)
-    out = np.zeros((len(texts), DIMENSIONS + 1), dtype=np.float32)
-    n = np.diff(bounds)
-    some = np.flatnonzero(n)
-    if len(some):
-        out[some, :-1] = np.add.reduceat(vectors[units], bounds[:-1][some], axis=0) / n[some, None]
-    out[:, -1] = np.log1p(n)
-    return out
+    vectors = sums.reshape(-1, DIMENSIONS)[: len(vocabulary)]
+    return (vectors / np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))).astype(np.float32)
+
+
+def pooled(texts: list[str], vocabulary: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Mean of the word vectors of a text's units, and the logarithm of its length, by text."""
+    keys, rows, bounds = units_of(texts, _memo(vocabulary))
+    n, texts_n = np.diff(bounds), len(texts)
+    doc = np.repeat(np.arange(texts_n), n)
+    places, signs = index_vectors(keys)
+    total = np.zeros(texts_n * DIMENSIONS)
+    for j in range(NONZERO):
+        total += np.bincount(doc * DIMENSIONS + places[:, j], weights=signs[:, j], minlength=len(total))
+    total = total.reshape(texts_n, DIMENSIONS) / np.sqrt(NONZERO)
+    own = rows >= 0
+    known, local = np.unique(rows[own], return_inverse=True)
+    if len(known):
+        doc, step = doc[own], max(1, CELLS // len(known))
+        for k in range(0, texts_n, step):
+            low, high = np.searchsorted(doc, [k, k + step])
+            size = min(step, texts_n - k)
+            counts = np.bincount((doc[low:high] - k) * len(known) + local[low:high], minlength=size * len(known)).reshape(size, len(known))
+            total[k : k + size] += counts.astype(np.float32) @ vectors[known]
+    return np.concatenate([total / np.maximum(1, n)[:, None], np.log1p(n)[:, None]], axis=1)
+
+
+def gradients(p: list[np.ndarray], x: np.ndarray, y: np.ndarray, decay: float = 1e-4) -> list[np.ndarray]:
+    """Of the mean logistic loss of tanh(x p0 + p1) p2 + p3, with half the decay times the squares of both layers."""
+    hidden = np.tanh(x @ p[0] + p[1])
+    error = (sigmoid(hidden @ p[2] + p[3]) - y) / len(y)
+    back = np.outer(error, p[2]) * (1 - hidden**2)
+    return [x.T @ back + decay * p[0], back.sum(axis=0), hidden.T @ error + decay * p[2], np.array([error.sum()])]
 
 
 def fit_network(x: np.ndarray, y: np.ndarray, epochs: int = 60, seed: int = 7) -> dict:
@@ -158,20 +238,12 @@ def fit_network(x: np.ndarray, y: np.ndarray, epochs: int = 60, seed: int = 7) -
         rng.shuffle(rest)
         for k in range(0, len(rest), 128):
             own, step = rest[k : k + 128], step + 1
-            hidden = np.tanh(x[own] @ p[0] + p[1])
-            error = (sigmoid(hidden @ p[2] + p[3]) - y[own]) / len(own)
-            back = np.outer(error, p[2]) * (1 - hidden**2)
-            for i, g in enumerate((x[own].T @ back + 1e-4 * p[0], back.sum(axis=0), hidden.T @ error + 1e-4 * p[2], np.array([error.sum()]))):
+            for i, g in enumerate(gradients(p, x[own], y[own])):
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.999 * second[i] + 0.001 * g * g
                 p[i] = p[i] - 0.003 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
-    model = {"mean": mean, "spread": spread, "layers": p, "temperature": 1.0}
-    if len(held):
-        z, target = logits(model, x[held] * spread + mean), y[held]
-        grid = np.exp(np.linspace(np.log(0.25), np.log(8), 61))
-        loss = [-np.mean(np.log(np.where(target == 1, sigmoid(z / t), 1 - sigmoid(z / t)) + 1e-12)) for t in grid]
-        model["temperature"] = float(grid[int(np.argmin(loss))])
-    return model
+    model = {"mean": mean, "spread": spread, "layers": p}
+    return model | {"temperature": temperature_of(logits(model, x[held] * spread + mean), y[held])}
 
 
 def logits(model: dict, x: np.ndarray) -> np.ndarray:
@@ -180,25 +252,29 @@ def logits(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict:
-    """Vectors from all documents; the network from at most max_rows labelled ones outside the held-out fold.
+    """Vectors from all documents; the network from the labelled sample outside the held-out fold (see labelled_sample).
 
     Without labelled documents of both classes the model is the constant of the class there is (or 1).
     """
-    vectors = word_vectors(docs)
-    sample = labelled_sample(docs, labels, "quality", max_rows)
+    vocabulary = vocabulary_of(docs)
+    vectors = word_vectors(docs, vocabulary)
+    sample, path = labelled_sample(docs, labels, "quality", max_rows)
 
     def features(batches):
         import pyarrow as pa
 
         for batch in by_bytes(batches, limit=SLICE_BYTES):
-            x = pooled(batch.column(1).to_pylist(), vectors)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "label", "x"])
+            x = pooled(batch.column(1).to_pylist(), vocabulary, vectors)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    rows = sample.mapInArrow(features, "doc_id long, label int, x array<float>").toPandas().sort_values("doc_id", kind="stable")
-    y = rows["label"].to_numpy(dtype=np.float64)
-    if len(set(y)) < 2:
-        return {"vectors": vectors, "constant": 0.02 if len(y) and not y.any() else 0.98}
-    return {"vectors": vectors, **fit_network(np.stack(rows["x"].tolist()).astype(np.float64), y)}
+    rows = sample.mapInArrow(features, "doc_id long, label int, x array<double>").collect()
+    remove(docs.sparkSession, path)
+    rows = sorted((r["doc_id"], r["label"], r["x"]) for r in rows)
+    y = np.array([r[1] for r in rows], dtype=np.float64)
+    model = {"vocabulary": vocabulary, "vectors": vectors}
+    if len(set(y.tolist())) < 2:
+        return model | {"constant": 0.02 if len(y) and not y.any() else 0.98}
+    return model | fit_network(np.array([r[2] for r in rows]), y)
 
 
 def scorer_of(model: dict):
@@ -206,7 +282,7 @@ def scorer_of(model: dict):
         def score(texts: list[str]) -> np.ndarray:
             if "constant" in model:
                 return np.full(len(texts), model["constant"])
-            return sigmoid(logits(model, pooled(texts, model["vectors"]).astype(np.float64)) / model["temperature"])
+            return sigmoid(logits(model, pooled(texts, model["vocabulary"], model["vectors"])) / model["temperature"])
 
         return score
 
@@ -214,10 +290,10 @@ def scorer_of(model: dict):
 
 
 def quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document (see scoring.scored for nulls and repeats)."""
+    """doc_id, held_out, score, predicted of every document (see scoring.scored for nulls, long texts and repeats)."""
     return scored(docs, scorer_of(train(docs, labels, max_rows)), THRESHOLD, SLICE_BYTES)
 
 
 def good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """The rows of docs that are not predicted of low quality, all columns."""
+    """The rows of docs that are not predicted of low quality, all columns (see scoring.kept_by_score for nulls and repeats)."""
     return kept_by_score(docs, scorer_of(train(docs, labels, max_rows)), lambda p: p >= THRESHOLD, SLICE_BYTES)

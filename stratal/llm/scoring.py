@@ -6,13 +6,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratal.llm.common import by_bytes, fold_held_out, texts_of
+from stratal.llm.common import by_bytes, fold_held_out, texts_of, written
 
 MAX_TRAIN_ROWS = 8_000
+MAX_TRAIN_CHARS = 20_000_000
+SAMPLE_PARTS = 32
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """doc_id, text, label (0 or 1) of at most max_rows documents outside the held-out fold, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_TRAIN_ROWS, max_chars: int = MAX_TRAIN_CHARS) -> tuple[DataFrame, str]:
+    """doc_id, text, label (0 or 1) of whole documents outside the held-out fold, in the order of a hash of the id: at most
+    max_rows ids, and no further ones once max_chars characters are reached; written, with its path.
 
     The ids are gathered on the driver and broadcast; max_rows bounds both. Of several labels of an id the largest
     counts; null labels and labels without a document are left out.
@@ -21,14 +24,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~fold_held_out(F.col("doc_id")))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
-    ids = spark.createDataFrame([(r["doc_id"], r["label"]) for r in chosen], "doc_id long, label int")
-    return texts_of(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    ids = F.broadcast(spark.createDataFrame([(r["doc_id"], r["label"], k) for k, r in enumerate(chosen)], "doc_id long, label int, place int"))
+    chars = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).alias("n")).join(ids, "doc_id").groupBy("place").agg(F.sum("n").alias("n"))
+    reached, last = 0, -1
+    for r in sorted(chars.collect()):
+        if last >= 0 and reached + r["n"] > max_chars:
+            break
+        reached, last = reached + r["n"], r["place"]
+    found = texts_of(docs).join(ids.where(F.col("place") <= last), "doc_id").select("doc_id", "text", "label")
+    return written(found.repartition(SAMPLE_PARTS), "sample")
 
 
 def scored(docs: DataFrame, scorer, threshold: float, slice_bytes: int = 1_500_000) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; scorer() gives, on the executor, texts -> probabilities.
 
-    Null texts are scored as empty ones; null and repeated ids are rows like any other (a null id is not held out).
+    Null texts are scored as empty ones, long ones whole; null and repeated ids are rows like any other (a null id is
+    not held out), an empty table gives none and other columns are not read.
     """
 
     def run(batches):
@@ -43,7 +54,10 @@ def scored(docs: DataFrame, scorer, threshold: float, slice_bytes: int = 1_500_0
 
 
 def kept_by_score(docs: DataFrame, scorer, keep, slice_bytes: int = 1_500_000) -> DataFrame:
-    """The rows of docs, all columns, whose score keep() accepts; nothing is shuffled."""
+    """The rows of docs, all columns whatever their names, whose score keep() accepts; nothing is shuffled.
+
+    A null text is scored as an empty one and stays null; repeated rows meet one fate; an empty table stays empty.
+    """
     column = docs.columns.index("text")
 
     def run(batches):
@@ -58,3 +72,12 @@ def kept_by_score(docs: DataFrame, scorer, keep, slice_bytes: int = 1_500_000) -
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def temperature_of(margins: np.ndarray, target: np.ndarray) -> float:
+    """The temperature that makes sigmoid(margin / temperature) likeliest, from a grid; 1 without rows."""
+    if not len(margins):
+        return 1.0
+    grid = np.exp(np.linspace(np.log(0.25), np.log(8), 61))
+    loss = [-np.mean(np.log(np.where(target == 1, sigmoid(margins / t), 1 - sigmoid(margins / t)) + 1e-12)) for t in grid]
+    return float(grid[int(np.argmin(loss))])
