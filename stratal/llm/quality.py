@@ -10,9 +10,6 @@ what the driver holds and the executors are sent. Rarer units have their index v
 
 from __future__ import annotations
 
-import zlib
-from array import array
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,63 +27,104 @@ THRESHOLD = 0.3
 SLICE_BYTES = 600_000  # of text at a time
 SUM_BLOCK = 256  # units of a matrix block that is summed as one row
 SUM_SPREAD = 1024  # partial sums of a block in the first of two rounds
-MEMO_WORDS = 150_000
 COUNTED = 400_000  # different units that a task holds before it hands on their counts
 CELLS = 4_000_000  # of a matrix of counts
 _U = np.uint64
 EDGES = bytes(c for c in range(33, 128) if not chr(c).isalnum())
 
 
-class Units(dict):
-    """Word -> number; by number: the keys of its core and of its form as a new and as a repeated word, and their vocabulary rows."""
-
-    def __init__(self, vocabulary: np.ndarray):
-        super().__init__()
-        self.rows = dict(zip(vocabulary.tolist(), range(len(vocabulary)), strict=True))
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.keys_of, self.rows_of = (array("Q"), array("Q"), array("Q")), (array("q"), array("q"), array("q"))
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = xxhash.xxh3_64_intdigest
-        left = word.lstrip(EDGES)
-        core = left.rstrip(EDGES)
-        text = core.decode("utf-8", "replace")
-        if not text.isalpha() and any(c.isdigit() for c in text):
-            case = "d"
-        else:
-            case = "U" if len(text) > 1 and text.isupper() else "l" if text.islower() else "t" if text[:1].isupper() else "m" if text else "-"
-        form = f"{len(word) > len(left)} {case} ".encode() + left[len(core) :]
-        number = self[word] = len(self)
-        for part, key in enumerate((h(text.lower().encode()), h(b"0" + form, 1), h(b"1" + form, 1))):
-            self.keys_of[part].append(key)
-            self.rows_of[part].append(self.rows.get(key, -1))
-        return number
-
-
-def units_of(texts: list[str], memo: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Letters:
+    """What the code points are, by tables, and the powers that word hashes need."""
+
+    SPACE, EDGE, UPPER, LOWER, DIGIT = 1, 2, 4, 8, 16
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        plane = [chr(c) for c in range(1 << 16)]
+        self.kind = np.zeros(1 << 16, dtype=np.uint8)
+        self.lower = np.arange(1 << 16, dtype=np.uint32)
+        for c, x in enumerate(plane):
+            if x.isupper():
+                self.kind[c] |= self.UPPER
+                low = x.lower()
+                self.lower[c] = ord(low) if len(low) == 1 else c
+            elif x.islower():
+                self.kind[c] |= self.LOWER
+            elif x.isdigit():
+                self.kind[c] |= self.DIGIT
+        self.kind[[9, 10, 11, 12, 13, 32]] |= self.SPACE
+        self.kind[list(EDGES)] |= self.EDGE
+        self.powers = self.inverse = np.ones(1, dtype=_U)
+
+    def grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            size = max(n, 2 * len(self.powers))
+            inverse = pow(self.BASE, -1, 1 << 64)
+            self.powers, self.inverse = (np.cumprod(np.concatenate([np.ones(1, _U), np.full(size - 1, x, dtype=_U)])) for x in (self.BASE, inverse))
+
+    def words(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of every word of these code points: its place, its hash, the key of its core, and the key of its form as a new word."""
+        n = len(codes)
+        self.grow(n + 1)
+        plane = np.minimum(codes, 0xFFFF)  # what lies beyond the table has no case and is no edge
+        kind = self.kind[plane]
+        lower = np.where(codes < 0x10000, self.lower[plane], codes)
+        space = (kind & self.SPACE).astype(bool)
+        turn = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+        start, end = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
+        inner = np.flatnonzero(~space & (kind & self.EDGE == 0))
+        first, last = np.searchsorted(inner, start), np.searchsorted(inner, end)
+        some = first < last
+        padded = np.append(inner, 0)
+        core, stop = np.where(some, padded[first], end), np.where(some, padded[last - 1] + 1, end)
+        core = np.where(some, core, start)
+        stop = np.where(some, stop, start)
+        sums = lambda x: np.concatenate([np.zeros(1, _U), np.cumsum((x.astype(_U) + _U(977)) * self.powers[:n])])
+        plain, low = sums(codes), sums(lower)
+        part = lambda s, i, j: mix64((s[j] - s[i]) * self.inverse[i] + (j - i).astype(_U))
+        count = lambda bit: (c := np.concatenate([[0], np.cumsum((kind & bit).astype(bool))]))[stop] - c[core]
+        upper, lowers, digits, size = count(self.UPPER), count(self.LOWER), count(self.DIGIT), stop - core
+        led = np.zeros(len(start), dtype=bool)
+        led[some] = (kind[core[some]] & self.UPPER).astype(bool)
+        case = np.select([digits > 0, (size > 1) & (upper > 0) & (lowers == 0), (lowers > 0) & (upper == 0), led, some], [1, 2, 3, 4, 5], 0)
+        form = mix64(part(plain, stop, end) + _U(0xD6E8FEB86659FD93) * (2 * case + (core > start) + 1).astype(_U))
+        return start, part(plain, start, end), part(low, core, stop) ^ _U(1), form
+
+
+LONGEST = 1 << 20  # code points that are looked at together
+
+
+def units_of(texts: list[str], vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the units of all texts in their order (core, form, core, ...), their vocabulary rows (-1: none) and the bounds of each text, counted in units."""
-    if len(memo) > MEMO_WORDS:
-        memo.forget()
-    words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    n = np.array([len(w) for w in words], dtype=np.int64)
-    number = np.fromiter((v for w in words for v in map(memo.__getitem__, w)), dtype=np.int64, count=int(n.sum()))
-    doc = np.repeat(np.arange(len(texts)), n)
-    repeated = np.zeros(len(number), dtype=bool)
+    letters = process_cache("quality_letters", Letters)
+    whole = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[:-1]
+    found, at = [], 0
+    while at < len(whole):
+        stop = len(whole)
+        if stop - at > LONGEST:  # cut before the last white space there is, or after the word that is longer
+            back = np.flatnonzero(letters.kind[np.minimum(whole[at : at + LONGEST], 0xFFFF)] & Letters.SPACE)
+            ahead = at + LONGEST
+            while not len(back) and ahead < len(whole) and not letters.kind[min(int(whole[ahead]), 0xFFFF)] & Letters.SPACE:
+                ahead += 1
+            stop = at + int(back[-1]) + 1 if len(back) else ahead
+        start, *keys = letters.words(whole[at:stop])
+        found.append((start + at, *keys))
+        at = stop
+    start, word, core, form = (np.concatenate([x[k] for x in found]) if found else np.empty(0, dtype=_U) for k in range(4))
+    bounds = np.searchsorted(start, np.append(begin, len(whole) + 1))
+    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    repeated = np.zeros(len(word), dtype=bool)
     for k in range(1, BACK + 1):
-        repeated[k:] |= (number[k:] == number[:-k]) & (doc[k:] == doc[:-k])
-    out = []
-    for parts, kind in ((memo.keys_of, _U), (memo.rows_of, np.int64)):
-        core, new, again = (np.array(p, dtype=kind) for p in parts)
-        both = np.empty(2 * len(number), dtype=kind)
-        both[::2] = core[number]
-        both[1::2] = np.where(repeated, again[number], new[number])
-        out.append(both)
-    return out[0], out[1], 2 * np.concatenate([[0], np.cumsum(n)])
+        repeated[k:] |= (word[k:] == word[:-k]) & (doc[k:] == doc[:-k])
+    keys = np.empty(2 * len(word), dtype=_U)
+    keys[::2] = core
+    keys[1::2] = form ^ (repeated.astype(_U) << _U(63))
+    rows = np.full(len(keys), -1, dtype=np.int64)
+    if vocabulary is not None and len(vocabulary):
+        place = np.minimum(np.searchsorted(vocabulary, keys), len(vocabulary) - 1)
+        rows = np.where(vocabulary[place] == keys, place, -1)
+    return keys, rows, 2 * bounds
 
 
 def index_vectors(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +156,6 @@ def unit_counts(docs: DataFrame) -> tuple[DataFrame, str]:
     def count(batches):
         import pyarrow as pa
 
-        memo = process_cache("quality_units_none", lambda: Units(np.empty(0, dtype=np.int64)))
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged():
@@ -134,7 +171,7 @@ def unit_counts(docs: DataFrame) -> tuple[DataFrame, str]:
             return pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), pa.array(n.astype(np.int64))], names=["unit", "n"])
 
         for batch in by_bytes(batches, limit=SLICE_BYTES):
-            keys, _, _ = units_of(batch.column(1).to_pylist(), memo)
+            keys, _, _ = units_of(batch.column(1).to_pylist())
             held.append(np.unique(keys, return_counts=True))
             if sum(len(k) for k, _ in held) > COUNTED and len(merged()[0]) > COUNTED:
                 yield out()
@@ -154,10 +191,6 @@ def vocabulary_of(docs: DataFrame, min_share: float = MIN_SHARE) -> np.ndarray:
     return np.sort(np.array(found, dtype=np.int64).view(_U))
 
 
-def _memo(vocabulary: np.ndarray) -> Units:
-    return process_cache(f"quality_units_{zlib.crc32(vocabulary.tobytes())}_{len(vocabulary)}", lambda: Units(vocabulary))
-
-
 def word_vectors(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """Directions of the context sums of the vocabulary from all documents; each task sends one matrix, summed in two rounds by blocks of units."""
     if not len(vocabulary):
@@ -168,9 +201,9 @@ def word_vectors(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        memo, total = _memo(vocabulary), np.zeros((blocks * SUM_BLOCK, DIMENSIONS), dtype=np.int64)
+        total = np.zeros((blocks * SUM_BLOCK, DIMENSIONS), dtype=np.int64)
         for batch in by_bytes(batches, limit=SLICE_BYTES):
-            known, sums = context_sums(*units_of(batch.column(1).to_pylist(), memo))
+            known, sums = context_sums(*units_of(batch.column(1).to_pylist(), vocabulary))
             total[known] += sums.astype(np.int64)
         own = total.reshape(blocks, -1)
         some = np.flatnonzero(own.any(axis=1))
@@ -197,7 +230,7 @@ def word_vectors(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
 
 def pooled(texts: list[str], vocabulary: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Mean of the word vectors of a text's units, and the logarithm of its length, by text."""
-    keys, rows, bounds = units_of(texts, _memo(vocabulary))
+    keys, rows, bounds = units_of(texts, vocabulary)
     n, texts_n = np.diff(bounds), len(texts)
     doc = np.repeat(np.arange(texts_n), n)
     places, signs = index_vectors(keys)

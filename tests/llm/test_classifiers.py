@@ -84,7 +84,7 @@ def test_scores_do_not_depend_on_neighbours():
     texts = ["ab", "hello world", "", "ÄÖÜ İstanbul", "x" * 5000]
     together, alone = score(texts), np.concatenate([score([t]) for t in texts])
     assert np.allclose(together, alone)
-    vocabulary = np.sort(np.unique(Q.units_of(["hello world hello"], Q.Units(np.empty(0, np.int64)))[0]))
+    vocabulary = np.sort(np.unique(Q.units_of(["hello world hello"])[0]))
     vectors = np.random.default_rng(1).normal(0, 1, (len(vocabulary), Q.DIMENSIONS)).astype(np.float32)
     texts += ["hello, world! hello", "WORLD " * 3000]
     assert np.allclose(Q.pooled(texts, vocabulary, vectors), np.concatenate([Q.pooled([t], vocabulary, vectors) for t in texts]), atol=1e-5)
@@ -140,7 +140,7 @@ def test_word_vectors_and_pooling_equal_a_plain_computation(spark):
     texts = [" ".join(rng.choice(["river", "River", "STONE!!!!!", "(light)", "x9", "a-b,", "***", "new" + str(rng.randrange(50))]) for _ in range(rng.randrange(0, 40))) for _ in range(30)] + ["", "one"]
     key, index = {}, {}
     for t in texts:
-        keys = Q.units_of([t], Q.Units(np.empty(0, np.int64)))[0]
+        keys = Q.units_of([t])[0]
         for u, k in zip(plain_units(t), keys.tolist(), strict=True):
             assert key.setdefault(u, k) == k
     assert len(set(key.values())) == len(key)  # every unit has its own
@@ -171,6 +171,14 @@ def test_word_vectors_and_pooling_equal_a_plain_computation(spark):
         assert np.allclose(own[:-1], want, atol=1e-5) and np.isclose(own[-1], np.log1p(len(units)))
 
 
+def test_long_texts_are_cut_between_words_only(monkeypatch):
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice(["Straße", "ÉTÉ!", "\U00020000x", "a", "b" * 90]) for _ in range(rng.randrange(60))) for _ in range(12)] + ["c" * 500, ""]
+    whole = Q.units_of(texts)
+    monkeypatch.setattr(Q, "LONGEST", 64)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, Q.units_of(texts), strict=True))
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(6)
     p = [rng.normal(0, 0.5, (5, 4)), rng.normal(0, 0.5, 4), rng.normal(0, 0.5, 4), rng.normal(0, 0.5, 1)]
