@@ -1,10 +1,11 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are lower-cased and stripped of surrounding punctuation. Windows of `min_match` words of the benchmark items
-are the seeds, found in a document by the running Karp-Rabin hash of its windows. Seeds that follow each other on
-one diagonal (document position minus item position) are a maximal match. The longest match is marked, what is left
-of those that overlap it goes back into the queue, and so on until no match of `min_match` unmarked words is left.
-The marked share of the item is the coverage, wherever in the document and in whatever order its parts stand.
+Words are lower-cased and stripped of surrounding punctuation. The seeds are the windows of `min_match` words of the
+benchmark items, by their running Karp-Rabin hash: a table. A bitmap of the seeds, of bounded size, tells which
+documents may hold one; their windows are joined with the table of seeds, which gives the pairs of document and item
+with enough shared tokens to reach the coverage. Each pair is tiled: the longest match of unmarked words is marked, what is left of those that overlap it
+stays in the race, and so on until no match of `min_match` unmarked words is left. The marked share of the item is
+the coverage, wherever in the document and in whatever order its parts stand.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratal.llm.common import WordHashes, by_bytes, process_cache, texts_of
+from stratal.llm.common import WordHashes, by_bytes, mix64, process_cache, remove, split_join, texts_of, written
 
 MIN_MATCH = 5
 MIN_COVERAGE = 0.5
-BLOCK_WORDS = 1_000_000  # words of benchmark items that go to the executors at once
+MAX_BITS = 26  # of the bitmap: 8 MB at most
+MATCHES = 200_000  # seed matches of a pair that are held at once; beyond, matches are found row by row
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 EDGES = bytes(c for c in range(33, 128) if not chr(c).isalnum())
@@ -45,7 +47,7 @@ def normal_words(text: str, memo: dict) -> np.ndarray:
 
 
 def karp_rabin(h: np.ndarray, width: int) -> np.ndarray:
-    """The polynomial hash modulo 2**64 of every window of `width` words."""
+    """The polynomial hash modulo 2**64 of every window of `width` words, spread over all bits."""
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, dtype=_U)
@@ -53,49 +55,7 @@ def karp_rabin(h: np.ndarray, width: int) -> np.ndarray:
     for j in range(1, width):
         out *= _U(_BASE)
         out += h[j : j + n]
-    return out
-
-
-class Seeds:
-    """The windows of a block of benchmark items: sorted hashes with item and position, by window width."""
-
-    def __init__(self, items: list[tuple[int, str]], min_match: int):
-        memo = CoreHashes()
-        self.items = [(item_id, normal_words(text, memo)) for item_id, text in items]
-        self.min_match = min_match
-        self.by_width = {}
-        for width in sorted({min(min_match, len(w)) for _, w in self.items} - {0}):
-            own = [(k, w) for k, (_, w) in enumerate(self.items) if min(min_match, len(w)) == width]
-            h = np.concatenate([karp_rabin(w, width) for _, w in own])
-            item = np.concatenate([np.full(len(w) - width + 1, k) for k, w in own])
-            at = np.concatenate([np.arange(len(w) - width + 1) for _, w in own])
-            order = np.argsort(h, kind="stable")
-            near = np.zeros(1 << 20, dtype=bool)
-            near[h >> _U(44)] = True
-            self.by_width[width] = (h[order], item[order], at[order], near)
-
-    def hits(self, h: np.ndarray, doc: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int, int]]]:
-        """(document, item) -> maximal matches (length, item position, position in h)."""
-        found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for width, (seeds, item, at, near) in self.by_width.items():
-            own = karp_rabin(h, width)
-            maybe = np.flatnonzero(near[own >> _U(44)])
-            maybe = maybe[doc[maybe] == doc[maybe + width - 1]]
-            low, high = np.searchsorted(seeds, own[maybe], "left"), np.searchsorted(seeds, own[maybe], "right")
-            n = high - low
-            if not n.sum():
-                continue
-            place = np.repeat(maybe, n)
-            entry = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            which, pos = item[entry], at[entry]
-            order = np.lexsort((pos, place - pos, which, doc[place]))
-            place, which, pos = place[order], which[order], pos[order]
-            same = (doc[place][1:] == doc[place][:-1]) & (which[1:] == which[:-1]) & (np.diff(place - pos) == 0) & (np.diff(pos) == 1)
-            starts = np.flatnonzero(np.concatenate([[True], ~same]))
-            runs = np.diff(np.append(starts, len(place)))
-            for s, r in zip(starts.tolist(), runs.tolist(), strict=True):
-                found.setdefault((int(doc[place[s]]), int(which[s])), []).append((r + width - 1, int(pos[s]), int(place[s])))
-        return found
+    return mix64(out + _U(width))
 
 
 def greedy_tiles(matches: list[tuple[int, int, int]], min_match: int) -> list[tuple[int, int, int]]:
@@ -123,81 +83,215 @@ def greedy_tiles(matches: list[tuple[int, int, int]], min_match: int) -> list[tu
     return tiles
 
 
-def overlaps(texts: list[str], seeds: Seeds) -> list[tuple[int, int, int, list[tuple[int, int, int]]]]:
-    """(text number, item number, item words, tiles with positions within the text) of every pair that shares a seed."""
-    memo = process_cache("core_hashes", CoreHashes)
-    words = [normal_words(t, memo) for t in texts]
-    n = np.array([len(w) for w in words], dtype=np.int64)
-    first = np.cumsum(n) - n
-    h, doc = np.concatenate([np.empty(0, dtype=_U), *words]), np.repeat(np.arange(len(texts)), n)
-    out = []
-    for (d, k), matches in seeds.hits(h, doc).items():
-        size = len(seeds.items[k][1])
-        tiles = greedy_tiles(matches, min(seeds.min_match, size))
-        out.append((d, k, size, [(m, i, t - int(first[d])) for m, i, t in tiles]))
-    return out
+def longest_match(item: np.ndarray, text: np.ndarray, item_free: np.ndarray, text_free: np.ndarray) -> tuple[int, int, int]:
+    """The longest common run of unmarked words, the earliest in the item and the text; memory of a few texts."""
+    best, before = (0, 0, 0), np.zeros(len(text) + 1, dtype=np.int32)
+    for i in range(len(item)):
+        now = np.zeros(len(text) + 1, dtype=np.int32)
+        if item_free[i]:
+            now[1:] = np.where(text_free & (text == item[i]), before[:-1] + 1, 0)
+            end = int(now.argmax())
+            n = int(now[end])
+            if n > best[0]:
+                best = (n, i - n + 1, end - n)
+        before = now
+    return best
+
 
+def tiles_of(item: np.ndarray, text: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
+    """Tiles (length, item position, text position) of the words of an item and a text.
 
-def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
-    """Lists of (item_id, text), each of about block_words words at most: the stated query set, in blocks."""
-    block, words = [], 0
-    for row in benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        size = len(row[1].split())
-        if block and words + size > block_words:
-            yield block
-            block, words = [], 0
-        block.append((row[0], row[1]))
-        words += size
-    if block:
-        yield block
+    Few seed matches are held and merged along diagonals; where repeated words give more than MATCHES of them, each
+    next tile is searched row by row, in memory linear in the text. Both ways give the same tiles.
+    """
+    width = min(min_match, len(item))
+    if not width or len(text) < width:
+        return []
+    seeds, own = karp_rabin(item, width), karp_rabin(text, width)
+    order = np.argsort(seeds, kind="stable")
+    low, high = np.searchsorted(seeds[order], own, "left"), np.searchsorted(seeds[order], own, "right")
+    n = high - low
+    total = int(n.sum())
+    if total > MATCHES:
+        item_free, text_free, tiles = np.ones(len(item), dtype=bool), np.ones(len(text), dtype=bool), []
+        while True:
+            size, i, t = longest_match(item, text, item_free, text_free)
+            if size < width:
+                return tiles
+            tiles.append((size, i, t))
+            item_free[i : i + size] = False
+            text_free[t : t + size] = False
+    place = np.repeat(np.arange(len(own)), n)
+    at = order[np.repeat(low, n) + np.arange(total) - np.repeat(np.cumsum(n) - n, n)]
+    rank = np.lexsort((at, place - at))
+    place, at = place[rank], at[rank]
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(place - at) != 0) | (np.diff(at) != 1)])) if total else np.empty(0, np.int64)
+    runs = np.diff(np.append(starts, total))
+    return greedy_tiles([(int(r) + width - 1, int(at[s]), int(place[s])) for s, r in zip(starts, runs, strict=True)], width)
+
+
+def benchmark_items(benchmark: DataFrame, min_match: int) -> tuple[DataFrame, str]:
+    """item (a number of the row), item_id, words, width and seeds of every item with words, written."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        memo = process_cache("core_hashes", CoreHashes)
+        for batch in by_bytes(batches):
+            words = [normal_words(t, memo) for t in batch.column(1).to_pylist()]
+            width = [min(min_match, len(w)) for w in words]
+            seeds = [karp_rabin(w, k) if k else w for w, k in zip(words, width, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(words), pa.array(width, pa.int32()), _lists(seeds)], names=["item_id", "words", "width", "seeds"])
+
+    rows = texts_of(benchmark, key="item_id").mapInArrow(run, "item_id long, words array<long>, width int, seeds array<long>")
+    return written(rows.where("width > 0").withColumn("item", F.monotonically_increasing_id()), "items")
+
+
+def _lists(arrays: list[np.ndarray]):
+    import pyarrow as pa
+
+    bounds = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.empty(0, dtype=_U), *arrays]).view(np.int64)))
+
+
+class Finder:
+    """The windows of a text that may be seeds, by the bitmap."""
+
+    def __init__(self, widths: list[int], bits: int, places: np.ndarray, words: np.ndarray):
+        self.widths, self.bits, self.places, self.words = widths, bits, places, words
+
+    def bitmap(self) -> np.ndarray:
+        out = np.zeros(1 << max(0, self.bits - 6), dtype=_U)
+        out[self.places] = self.words.view(_U)
+        return out
+
+    def hits(self, words: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+        """The different hashes of windows that the bitmap knows."""
+        found = [np.empty(0, dtype=_U)]
+        for width in self.widths:
+            h = karp_rabin(words, width)
+            bit = h >> _U(64 - self.bits)
+            found.append(h[(bitmap[bit >> _U(6)] >> (bit & _U(63))) & _U(1) == 1])
+        return np.unique(np.concatenate(found))
+
+
+def finder_of(items: DataFrame, seeds: DataFrame) -> Finder:
+    """Sixteen bits a seed, 2**MAX_BITS at most: what the driver gathers and sends is bounded; a fuller bitmap only lets more windows through to the join."""
+    n = seeds.select("h").distinct().count()
+    bits = min(MAX_BITS, max(10, (16 * n).bit_length()))
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect())
+    bit = F.expr(f"shiftrightunsigned(h, {64 - bits})")
+    rows = seeds.select(F.shiftright(bit, 6).alias("place"), bit.alias("b")).groupBy("place").agg(F.expr("bit_or(shiftleft(1L, CAST(b & 63 AS INT)))").alias("w")).toArrow()
+    return Finder(widths, bits, rows.column("place").to_numpy(), rows.column("w").to_numpy())
 
 
 SCHEMA = "doc_id long, item_id long, item_words int, covered_words int, coverage double, tiles array<struct<length:int,item_start:int,text_start:int>>"
 
 
-def tile(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row for each document and item whose coverage reaches min_coverage, with the tiles.
+class Search:
+    """The search for the items of a benchmark in a table; `columns` of it travel with the documents that may hold one."""
 
-    No shuffle: a block of the benchmark goes to the executors, which read every whole text; a larger benchmark means
-    more passes. An item shorter than min_match words must stand in the document as a whole; one without words and
-    null texts on either side match nothing. Repeated rows give repeated results; an empty table on either side none.
-    """
-    docs, out = texts_of(docs), None
-    for block in benchmark_blocks(benchmark, block_words):
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, min_match: int, min_coverage: float, columns: list[str]):
+        self.docs, self.min_match, self.min_coverage = docs, min_match, min_coverage
+        self.items, items_path = benchmark_items(benchmark, min_match)
+        rows = self.items.select("item", F.size("words").alias("size"), "width", F.explode("seeds").alias("h"))
+        self.seeds, seeds_path = written(rows.groupBy("h", "item", "size", "width").agg(F.count(F.lit(1)).alias("k")), "seeds")
+        self.paths = [items_path, seeds_path]
+        self.finder = finder_of(self.items, self.seeds)
+        self.suspects, path = written(self._suspects(columns), "suspects")
+        self.paths.append(path)
+
+    def _suspects(self, columns: list[str]) -> DataFrame:
+        """The columns of the documents that may hold a seed, their words and hits, and a number of the row."""
+        docs, finder = self.docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns))), self.finder
+        rest = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[1:])
+
+        def run(batches):
+            import pyarrow as pa
+
+            memo, bitmap = process_cache("core_hashes", CoreHashes), finder.bitmap()
+            for batch in by_bytes(batches, column=0, limit=4_000_000):
+                words = [normal_words(t, memo) for t in batch.column(0).to_pylist()]
+                hits = [finder.hits(w, bitmap) for w in words]
+                some = [k for k, h in enumerate(hits) if len(h)]
+                if some:
+                    kept = batch.take(pa.array(some))
+                    yield pa.RecordBatch.from_arrays([*kept.columns[1:], _lists([words[k] for k in some]), _lists([hits[k] for k in some])], names=[*kept.schema.names[1:], "words", "hits"])
 
-        def run(batches, block=block):
+        found = docs.mapInArrow(run, f"{rest}, words array<long>, hits array<long>")
+        return found.withColumn("row", F.monotonically_increasing_id())
+
+    def clean(self) -> DataFrame:
+        """The rows without any hit, all columns, without a shuffle."""
+        column, finder = self.docs.columns.index("text"), self.finder
+
+        def run(batches):
+            import pyarrow as pa
+
+            memo, bitmap = process_cache("core_hashes", CoreHashes), finder.bitmap()
+            for batch in by_bytes(batches, column=column, limit=4_000_000):
+                yield batch.filter(pa.array([not len(finder.hits(normal_words(t or "", memo), bitmap)) for t in batch.column(column).to_pylist()], pa.bool_()))
+
+        return self.docs.mapInArrow(run, self.docs.schema)
+
+    def pairs(self) -> DataFrame:
+        """row, item of every document and item that share enough seeds to reach the coverage.
+
+        A tile of n words holds n - width + 1 seeds, which is n / width at least, so fewer seeds of the item than
+        coverage * size / width can't cover it. A seed that stands in very many documents is dealt over tasks.
+        """
+        hits = self.suspects.select("row", F.explode("hits").alias("h"))
+        total = self.suspects.agg(F.sum(F.size("hits")).alias("n")).first()["n"] or 0
+        shared = split_join(hits, self.seeds, ["h"], total, "row").groupBy("row", "item", "size", "width").agg(F.sum("k").alias("n"))
+        return shared.where(F.col("n") * F.col("width") >= self.min_coverage * F.col("size")).select("row", "item")
+
+    def tiled(self, doc_id: str) -> DataFrame:
+        """row and the columns of SCHEMA (the id from that column of the suspects) of the pairs that reach the coverage."""
+        pairs, path = written(self.pairs(), "pairs")
+        self.paths.append(path)
+        with_item = split_join(pairs, self.items.select("item", "item_id", F.col("words").alias("item_words")), ["item"], pairs.count(), "row")
+        both = with_item.join(self.suspects.select("row", F.expr(doc_id).cast("long").alias("doc_id"), "words"), "row").select("row", "doc_id", "item_id", "item_words", "words")
+        least, coverage = self.min_match, self.min_coverage
+
+        def run(batches):
             import pyarrow as pa
 
-            seeds = Seeds(block, min_match)
-            kind = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int32()), ("covered_words", pa.int32()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([("length", pa.int32()), ("item_start", pa.int32()), ("text_start", pa.int32())])))])
-            for batch in by_bytes(batches, limit=4_000_000):
+            kind = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int32()), ("covered_words", pa.int32()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([("length", pa.int32()), ("item_start", pa.int32()), ("text_start", pa.int32())])))])
+            for batch in batches:
                 rows = []
-                for d, k, size, tiles in overlaps(batch.column(1).to_pylist(), seeds):
+                for k in range(batch.num_rows):
+                    item, text = (batch.column(c)[k].values.to_numpy() for c in (3, 4))
+                    tiles = tiles_of(item.view(_U), text.view(_U), least)
                     covered = sum(t[0] for t in tiles)
-                    if covered >= min_coverage * size:
-                        rows.append({"doc_id": batch.column(0)[d].as_py(), "item_id": seeds.items[k][0], "item_words": size, "covered_words": covered, "coverage": covered / size, "tiles": [dict(zip(("length", "item_start", "text_start"), t, strict=True)) for t in tiles]})
+                    if covered >= coverage * len(item):
+                        rows.append({"row": batch.column(0)[k].as_py(), "doc_id": batch.column(1)[k].as_py(), "item_id": batch.column(2)[k].as_py(), "item_words": len(item), "covered_words": covered, "coverage": covered / len(item), "tiles": [dict(zip(("length", "item_start", "text_start"), t, strict=True)) for t in tiles]})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-        found = docs.mapInArrow(run, SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+        return both.mapInArrow(run, f"row long, {SCHEMA}")
+
 
+def tile(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """One row for each document and item whose coverage reaches min_coverage, with the tiles.
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs, all columns, whose text covers no item by min_coverage; rows without a text stay."""
-    column = docs.columns.index("text")
-    for block in benchmark_blocks(benchmark, block_words):
+    An item shorter than min_match words must stand in the document as a whole; one without words and null texts on
+    either side match nothing. Null ids stay null; repeated rows on either side give repeated results; repeated words
+    cost time, not memory; texts are read whole; an empty table on either side gives none; other columns are not read.
+    """
+    search = Search(docs, benchmark, min_match, min_coverage, ["doc_id"])
+    out, _ = written(search.tiled("c0").drop("row"), "tiles")
+    remove(docs.sparkSession, *search.paths)
+    return out
 
-        def run(batches, block=block):
-            import pyarrow as pa
 
-            seeds = Seeds(block, min_match)
-            for batch in by_bytes(batches, column=column, limit=4_000_000):
-                keep = np.ones(batch.num_rows, dtype=bool)
-                for d, _, size, tiles in overlaps([t or "" for t in batch.column(column).to_pylist()], seeds):
-                    keep[d] &= sum(t[0] for t in tiles) < min_coverage * size
-                yield batch.filter(pa.array(keep))
+def decontaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """The rows of docs, all columns whatever their names, whose text covers no item by min_coverage.
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    Rows without a text stay; repeated rows meet one fate each. Documents without a seed are passed on as they are
+    read; only those with one are written and judged.
+    """
+    columns = docs.columns
+    search = Search(docs, benchmark, min_match, min_coverage, columns)
+    flagged, _ = written(search.tiled("NULL").select("row").distinct(), "flagged")
+    judged = search.suspects.join(flagged, "row", "left_anti").select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(columns)))
+    return search.clean().unionByName(judged)

@@ -38,18 +38,18 @@ WANT = {(1, 1), (2, 1), (5, 1), (12, 1), (12, 2), (10, 3), (None, 1)}
 WANT |= {(d, 6) for d, i in WANT if i == 1}
 
 
-@pytest.mark.parametrize("block", [10**6, 5])
-def test_finds_reordered_and_whole_passages(tables, block):
-    got = D.tile(*tables, block_words=block).collect()
+@pytest.mark.parametrize("bits", [10, 26])
+def test_finds_reordered_and_whole_passages(tables, bits, monkeypatch):
+    monkeypatch.setattr(D, "MAX_BITS", bits)  # a bitmap that is nearly full lets more through, and changes nothing
+    got = D.tile(*tables).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == WANT
     two = next(r for r in got if (r["doc_id"], r["item_id"]) == (2, 1))
     assert two["coverage"] == 1.0 and sorted(t["length"] for t in two["tiles"]) == [10, 10, 10]
 
 
-@pytest.mark.parametrize("block", [10**6, 5])
-def test_filter_keeps_the_rest(tables, block):
+def test_filter_keeps_the_rest(tables):
     docs, items = tables
-    kept = D.decontaminated(docs, items, block_words=block)
+    kept = D.decontaminated(docs, items)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 6, 7, 8, 9, 11]
 
 
@@ -78,11 +78,62 @@ def brute(item, text, least):
         text_marked |= set(range(t, t + n))
 
 
-def test_tiling_equals_brute_force():
+def words_of(text):
+    return D.normal_words(text, D.CoreHashes())
+
+
+@pytest.mark.parametrize("matches", [200_000, 0])
+def test_tiling_equals_brute_force(matches, monkeypatch):
+    monkeypatch.setattr(D, "MATCHES", matches)  # at 0 every pair is searched row by row
     rng = random.Random(12)
     for _ in range(200):
-        item = [rng.choice("abcd") for _ in range(rng.randrange(3, 16))]
+        item = [rng.choice("abcd") for _ in range(rng.randrange(1, 16))]
         text = [rng.choice("abcd") for _ in range(rng.randrange(0, 30))]
-        seeds = D.Seeds([(1, " ".join(item))], 3)
-        found = D.overlaps([" ".join(text)], seeds)
-        assert (sorted(found[0][3]) if found else []) == sorted(brute(item, text, 3))
+        found = D.tiles_of(words_of(" ".join(item)), words_of(" ".join(text)), 3)
+        assert sorted(found) == sorted(brute(item, text, min(3, len(item))))
+
+
+def test_one_word_over_and_over_needs_little_memory():
+    import tracemalloc
+
+    item, text = words_of("la " * 800), words_of("la " * 40_000)
+    tracemalloc.start()
+    tiles = D.tiles_of(item, text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tiles == [(800, 0, 0)] and peak < 50_000_000
+
+
+def test_tables_equal_brute_force(spark):
+    rng = random.Random(31)
+    item = lambda: [f"w{rng.randrange(40)}" for _ in range(rng.randrange(3, 25))]
+    items = [(k % 7, item()) for k in range(9)]
+    docs = []
+    for k in range(60):
+        text = [f"w{rng.randrange(40)}" for _ in range(rng.randrange(0, 30))]
+        for _ in range(rng.randrange(3)):
+            _, own = rng.choice(items)
+            cut = rng.randrange(len(own))
+            text += own[cut:] + own[:cut] if rng.random() < 0.7 else own[: cut + 1]
+        docs.append((k if k % 9 else None, text))
+    want = []
+    for d, text in docs:
+        for i, own in items:
+            covered = sum(t[0] for t in brute(own, text, min(5, len(own))))
+            if covered >= 0.5 * len(own):
+                want.append((str(d), i, covered))
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    got = [(str(r["doc_id"]), r["item_id"], r["covered_words"]) for r in D.tile(frame, bench).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 20
+    bad = sum(any(sum(t[0] for t in brute(own, text, min(5, len(own)))) >= 0.5 * len(own) for _, own in items) for _, text in docs)
+    assert D.decontaminated(frame, bench).count() == len(docs) - bad
+
+
+def test_columns_of_any_name_come_back(spark):
+    rows = [(1, "a b c d e f", 5, "x", "y"), (None, "other words stand here now", 6, None, "z"), (2, None, 7, "q", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long, words string, `c0 d` string")
+    bench = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
+    kept = D.decontaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted(r["row"] for r in kept.collect()) == [6, 7]
+    assert D.decontaminated(docs, spark.createDataFrame([(1, "other words stand zz yy")], "item_id long, text string")).count() == 3
