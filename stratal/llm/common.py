@@ -173,30 +173,47 @@ def fold_held_out(column) -> F.Column:
 
 
 BROADCAST_BYTES = 32_000_000
-SLICE_ROWS = 2_000
+SLICE_ROWS = 250
 MAX_SPLIT_KEYS = 200_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """df for a broadcast if its counted rows, at row_bytes each and what a hash table adds, are within BROADCAST_BYTES."""
-    return F.broadcast(df) if rows * (row_bytes + 32) <= BROADCAST_BYTES else df
+def fits_broadcast(rows: int, row_bytes: int) -> bool:
+    """Whether counted rows, at row_bytes each and what a hash table adds, are within BROADCAST_BYTES."""
+    return rows * (row_bytes + 32) <= BROADCAST_BYTES
 
 
-def split_counts(many: DataFrame, keys: list[str], total: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Keys that own more than a slice of `many` rows, with their number of slices.
+def slice_size(total: int) -> int:
+    """Rows of a slice of a hot key: it grows with the table, so that at most MAX_SPLIT_KEYS keys can own more than one."""
+    return max(SLICE_ROWS, -(-total // MAX_SPLIT_KEYS))
 
-    The slice grows with the table so that at most MAX_SPLIT_KEYS keys can own more than one: a proven bound, so the
-    result may be broadcast. Counts are combined before the shuffle, so a hot key costs a row a task.
-    """
-    size = max(slice_rows, -(-total // MAX_SPLIT_KEYS))
-    return many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size).select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("_slices"))
 
+def split_join(many: DataFrame, one: DataFrame, keys: list[str], total: int, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """many joined with `one` on keys, where one key may own a third of `many`: a hot key's rows are dealt into slices, and
+    its rows of `one` are repeated for each slice.
 
-def split_join(many: DataFrame, one: DataFrame, keys: list[str], total: int, spread: str, how: str = "inner", slice_rows: int | None = None) -> DataFrame:
-    """many joined with `one` on keys, where one key may own a third of `many`: a hot key's rows are dealt into slices by
-    the hash of the column `spread`, and its rows of `one` are repeated for each slice. total: counted rows of many.
+    total: counted rows of many. counts: keys and _n, if they are known; else rows by key are counted, combined before
+    the shuffle, so a hot key costs a row a task. The keys with more than a slice are broadcast: MAX_SPLIT_KEYS of
+    them at most, a proven bound.
     """
-    hot = F.broadcast(split_counts(many, keys, total, slice_rows or SLICE_ROWS))
-    left = many.join(hot, keys, "left").withColumn("_slice", F.expr(f"CAST(pmod(xxhash64({spread}), coalesce(_slices, 1)) AS INT)")).drop("_slices")
+    size = slice_size(total)
+    counts = counts if counts is not None else many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(counts.where(F.col("_n") > size).select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("_slices")))
+    left = many.join(hot, keys, "left").withColumn("_slice", F.expr("CAST(pmod(xxhash64(monotonically_increasing_id()), coalesce(_slices, 1)) AS INT)")).drop("_slices")
     right = one.join(hot, keys, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))).drop("_slices")
     return left.join(right, [*keys, "_slice"], how).drop("_slice")
+
+
+class Scratch:
+    """Tables that one operator writes to the shared folder, and deletes when their last reader is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        df, path = written(df, name)
+        self.paths.append(path)
+        return df
+
+    def drop(self) -> None:
+        remove(self.spark, *self.paths)
+        self.paths.clear()

@@ -242,14 +242,14 @@ class Search:
         """
         hits = self.suspects.select("row", F.explode("hits").alias("h"))
         total = self.suspects.agg(F.sum(F.size("hits")).alias("n")).first()["n"] or 0
-        shared = split_join(hits, self.seeds, ["h"], total, "row").groupBy("row", "item", "size", "width").agg(F.sum("k").alias("n"))
+        shared = split_join(hits, self.seeds, ["h"], total).groupBy("row", "item", "size", "width").agg(F.sum("k").alias("n"))
         return shared.where(F.col("n") * F.col("width") >= self.min_coverage * F.col("size")).select("row", "item")
 
     def tiled(self, doc_id: str) -> DataFrame:
         """row and the columns of SCHEMA (the id from that column of the suspects) of the pairs that reach the coverage."""
         pairs, path = written(self.pairs(), "pairs")
         self.paths.append(path)
-        with_item = split_join(pairs, self.items.select("item", "item_id", F.col("words").alias("item_words")), ["item"], pairs.count(), "row")
+        with_item = split_join(pairs, self.items.select("item", "item_id", F.col("words").alias("item_words")), ["item"], pairs.count())
         both = with_item.join(self.suspects.select("row", F.expr(doc_id).cast("long").alias("doc_id"), "words"), "row").select("row", "doc_id", "item_id", "item_words", "words")
         least, coverage = self.min_match, self.min_coverage
 

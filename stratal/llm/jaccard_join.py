@@ -13,7 +13,10 @@ stops, the bound holds for the other as well. A document that runs out of segmen
 Documents that index the same subset are candidates. Each group names one hub, and every member is paired with it.
 Pairs that the sizes and parity sketches (which differ in no more bits than the sets in shingles) leave possible are
 verified on the whole sets. Groups that still hold several components afterwards get the pairs across components,
-under the same bounds and verification.
+under the same bounds and verification, as a grid of cells of bounded size.
+
+The nodes are classes of equal sets, by their key, so documents without an id link like any other. A subset, hub or
+class may own a third of all rows: every join on one deals its rows over tasks (common.split_join).
 """
 
 from __future__ import annotations
@@ -22,14 +25,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratal.llm.common import by_bytes, hash_words, mix64, shingle_hashes, texts_of, word_hashes, written
+from stratal.llm.common import Scratch, fits_broadcast, by_bytes, hash_words, mix64, shingle_hashes, slice_size, split_join, word_hashes, written
 from stratal.llm.components import components
 
 WIDTH = 4
 PERCENT = 85
 GROWTH = 1.6  # of band edges
 SHARED = 0.01  # assumed chance that another document of the band holds a given shingle, for the costs
-BROADCAST_ROWS = 1_000_000
 BYTES_A_SHINGLE = 6  # about, to estimate how many sets there are of a size
 SKETCH_WORDS = 16
 _U = np.uint64
@@ -155,21 +157,21 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
 
 
 def _indexed(docs: DataFrame, bands: Bands, width: int) -> DataFrame:
-    """doc_id, n, class keys and signatures of every document; copies within a slice carry no signatures again."""
+    """row, doc_id, n, class keys and signatures of every document; copies within a slice carry no signatures again."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in by_bytes(batches, limit=1_500_000):
-            sets = sets_of(batch.column(1).to_pylist(), width)
+        for batch in by_bytes(batches, column=2, limit=1_500_000):
+            sets = sets_of(batch.column(2).to_pylist(), width)
             a, b = class_keys(sets)
             _, first = np.unique(a, return_index=True)
             which, sig = signatures([sets[k] for k in first.tolist()], bands)
             order = np.argsort(first[which], kind="stable")
             bounds = np.searchsorted(first[which][order], np.arange(len(sets) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), pa.ListArray.from_arrays(bounds, pa.array(sig[order]))], names=["doc_id", "n", "c1", "c2", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), pa.ListArray.from_arrays(bounds, pa.array(sig[order]))], names=["row", "doc_id", "n", "c1", "c2", "sigs"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, c1 long, c2 long, sigs array<long>")
+    return docs.mapInArrow(run, "row long, doc_id long, n long, c1 long, c2 long, sigs array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -182,14 +184,9 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             flat = np.concatenate([np.empty(0, dtype=_U), *sets]).view(np.int64)
             fine = parity_sketches(sets)
             small = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(flat)), pa.array(fine, small), pa.array([folded(x, SKETCH_WORDS) for x in fine], small)], names=["node", "rep", "n", "shingles", "fine", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(flat)), pa.array(fine, small), pa.array([folded(x, SKETCH_WORDS) for x in fine], small)], names=["node", "n", "shingles", "fine", "sketch"])
 
-    return docs.mapInArrow(run, "node long, rep long, n long, shingles array<long>, fine array<long>, sketch array<long>")
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """df for a broadcast if it is counted small enough, as it is otherwise."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return docs.mapInArrow(run, "node long, n long, shingles array<long>, fine array<long>, sketch array<long>")
 
 
 def _possible(words: list[str], percent: int):
@@ -204,80 +201,155 @@ def _possible(words: list[str], percent: int):
     return sizes & within(short) & within(full)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, rep_a, rep_b and whether they link, of pairs of nodes, on the whole sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("rep").alias("rep_a"), F.col("shingles").alias("s"))
-    right = sets.select(F.col("node").alias("b"), F.col("rep").alias("rep_b"), F.col("shingles").alias("t"))
-    both = pairs.join(left, "a").join(right, "b")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
+    """a, b and whether they link, of pairs of nodes, on the whole sets; a node with very many pairs is dealt over tasks."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
+    both = split_join(split_join(pairs, left, ["a"], total), right, ["b"], total, counts=pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_n")))
     shared = F.size(F.array_intersect("s", "t")).cast("long")
     union = F.size("s") + F.size("t") - F.col("i")
-    return both.select("a", "b", "rep_a", "rep_b", "s", "t", shared.alias("i")).select("a", "b", "rep_a", "rep_b", (100 * F.col("i") >= percent * union).alias("linked"))
+    return both.select("a", "b", "s", "t", shared.alias("i")).select("a", "b", (100 * F.col("i") >= percent * union).alias("linked"))
 
 
-def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document.
+def _with_rows(docs: DataFrame) -> DataFrame:
+    """row (a hash of id and text: rows that agree in both are one), doc_id, text (null as empty); no other column is read."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(_row(), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
-    Copies (equal sets, by a 128-bit key) are one node; nodes, groups and components stay distributed and only small
-    tables, counted first, are broadcast. Texts without words are linked with nothing, not even each other. Rows that
-    repeat an id are one document of several texts; a null id gets the component of its copies, null without any.
-    Verification compares 64-bit hashes of shingles.
-    """
-    if not 50 < percent < 100:
-        raise ValueError("the similarity has to be between 51 and 99 percent: linked sizes may not differ by a factor of two")
-    docs = texts_of(docs)
-    power = F.floor(F.log2(F.octet_length("text") / BYTES_A_SHINGLE)).cast("int")
-    counts = {r["p"]: r["n"] for r in docs.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect() if r["p"] is not None}
-    bands = Bands(counts, percent)
-    classes, _ = written(_indexed(docs, bands, width), "classes")
+
+def _row() -> F.Column:
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row")
+
+
+def _members(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, hub of every class of a group of classes that index the same subset."""
     index = classes.select(F.col("c1").alias("node"), F.explode("sigs").alias("sig"))
-    shared = index.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("sig")
-    shared, _ = written(shared, "shared")
-    grouped, _ = written(index.join(_small(shared, shared.count()), "sig").distinct(), "grouped")
+    shared = index.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("_n")).where("low <> high").select("sig", "_n")
+    shared = scratch(shared, "shared")
+    total = classes.agg(F.sum(F.size("sigs")).alias("n")).first()["n"] or 0
+    if fits_broadcast(shared.count(), 8):
+        grouped = index.join(F.broadcast(shared.select("sig")), "sig")
+    else:
+        grouped = split_join(index, shared.select("sig"), ["sig"], total, counts=shared)
+    grouped = scratch(grouped.distinct(), "grouped")
     # a node that shares most of its subsets stands in the middle of its copies: the best hub of every group it is in
     score = grouped.groupBy("node").agg(F.count(F.lit(1)).alias("score"))
     hubs = grouped.join(score, "node").groupBy("sig").agg(F.max(F.struct("score", "node"))["node"].alias("hub"))
-    members, _ = written(grouped.join(hubs, "sig").select("node", "hub").distinct(), "members")
+    return scratch(split_join(grouped, hubs, ["sig"], grouped.count()).select("node", "hub").distinct(), "members")
 
-    nodes = members.select("node").distinct()
-    reps = classes.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
-    wanted, _ = written(reps.join(nodes, F.col("c1") == F.col("node"), "left_semi").select(F.col("rep").alias("doc_id"), F.col("c1").alias("node")), "wanted")
-    texts = docs.join(_small(wanted, wanted.count()), "doc_id").select("doc_id", "text", "node")
-    sets, _ = written(_sets(texts, width), "sets")
 
-    words = [f"k{k}" for k in range(SKETCH_WORDS)]
-    sized = sets.select("node", "rep", "n", "fine", *(F.col("sketch")[k].alias(w) for k, w in enumerate(words)))
-    sized, _ = written(sized, "sized")
-    side = lambda df, end, *more: df.select(*more, *(F.col(c).alias(c + end) for c in ("node", "n", "fine", *words)))
-    star = members.where("node <> hub").select(F.col("node").alias("node_a"), F.col("hub").alias("node_b"))
-    star = star.join(side(sized, "_a"), "node_a").join(side(sized, "_b"), "node_b").where(_possible(words, percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    star, _ = written(star, "star")
-    scores, _ = written(_verified(star, sets, percent), "scores")
-    linked = components(scores.where("linked").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
-
-    part = sized.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).drop("rep")
-    placed, _ = written(members.join(part, "node"), "placed")
+def _across(members: DataFrame, sized: DataFrame, linked: DataFrame, words: list[str], percent: int, scratch: Scratch) -> DataFrame:
+    """a, b: possible pairs of different components that meet in a group, at least one of them outside the hub's component."""
+    part = sized.select("node").join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    placed = scratch(members.join(part, "node"), "placed")
+    total = placed.count()
     # those that are in the hub's component already need no look at each other, only at the rest
     main = placed.where("node = hub").select("hub", F.col("component").alias("main"))
-    placed = placed.join(main, "hub").withColumn("apart", F.col("component") != F.col("main"))
-    strays = side(placed.where("apart"), "_a", "hub", F.col("component").alias("component_a"))
-    others = side(placed.join(placed.where("apart").select("hub").distinct(), "hub", "left_semi"), "_b", "hub", F.col("component").alias("component_b"), "apart")
+    placed = scratch(split_join(placed, main, ["hub"], total).withColumn("apart", F.col("component") != F.col("main")), "apart")
+    size = slice_size(total)
+    cells = lambda n: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
+    hubs = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("apart").cast("long")).alias("s")).where("s > 0").select("hub", cells(F.col("s")).alias("rows"), cells(F.col("m")).alias("columns"))
+    placed = split_join(placed, hubs, ["hub"], total)
+    deal = lambda n: F.expr(f"CAST(pmod(xxhash64(node), {n}) AS INT)")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strays = placed.where("apart").withColumn("i", deal("rows")).withColumn("j", each("columns"))
+    others = placed.withColumn("j", deal("columns")).withColumn("i", each("rows"))
+    side = lambda df, end, *more: df.join(sized, "node").select("hub", "i", "j", *more, F.col("component").alias("component" + end), *(F.col(c).alias(c + end) for c in ("node", "n", "fine", *words)))
     unseen = (F.col("component_a") != F.col("component_b")) & (~F.col("apart") | (F.col("node_a") < F.col("node_b")))
-    cross = strays.join(others, (strays["hub"] == others["hub"]) & unseen & _possible(words, percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    left, right = side(strays, "_a"), side(others, "_b", "apart")
+    met = left.join(right, ["hub", "i", "j"]).where(unseen & _possible(words, percent))
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _classes(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, doc_id, n, c1, c2) of all documents, and of every class (c1, c2) its component (a number) and the smallest doc_id in it."""
+    if not 50 < percent < 100:
+        raise ValueError("the similarity has to be between 51 and 99 percent: linked sizes may not differ by a factor of two")
+    docs = _with_rows(docs)
+    power = F.floor(F.log2(F.octet_length("text") / BYTES_A_SHINGLE)).cast("int")
+    counts = {r["p"]: r["n"] for r in docs.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect() if r["p"] is not None}
+    bands = Bands(counts, percent)
+    classes = scratch(_indexed(docs, bands, width), "classes")
+    members = _members(classes, scratch)
+
+    rows = classes.drop("sigs")
+    # the text of a class is that of its smallest id; of those without any, of its smallest row
+    reps = scratch(rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("row")), "reps")
+    wanted = reps.join(members.select("node").distinct(), F.col("c1") == F.col("node"), "left_semi").groupBy(F.col("c1").alias("node")).agg(F.min("row").alias("row"))
+    wanted = scratch(wanted, "wanted")
+    n_wanted, n_rows = wanted.count(), classes.count()
+    by_row = rows.groupBy("row").agg(F.count(F.lit(1)).alias("_n"))
+    texts = docs.join(F.broadcast(wanted), "row") if fits_broadcast(n_wanted, 16) else split_join(docs, wanted, ["row"], n_rows, counts=by_row)
+    repeated = by_row.where("_n > 1").join(wanted, "row", "left_semi").select("row")
+    sets = scratch(_sets(texts.select("node", "text"), width), "sets")
+    if repeated.limit(1).count():
+        sets = scratch(sets.dropDuplicates(["node"]), "sets")
+
+    words = [f"k{k}" for k in range(SKETCH_WORDS)]
+    sized = scratch(sets.select("node", "n", "fine", *(F.col("sketch")[k].alias(w) for k, w in enumerate(words))), "sized")
+    side = lambda end: sized.select(*(F.col(c).alias(c + end) for c in ("node", "n", "fine", *words)))
+    star = members.where("node <> hub").select(F.col("node").alias("node_a"), F.col("hub").alias("node_b"))
+    star = split_join(star.join(side("_a"), "node_a"), side("_b"), ["node_b"], star.count(), counts=star.groupBy("node_b").agg(F.count(F.lit(1)).alias("_n")))
+    star = scratch(star.where(_possible(words, percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "star")
+    scores = scratch(_verified(star, sets, percent, star.count()), "scores")
+    links = scores.where("linked").select("a", "b")
+    linked, path = components(links)
+    scratch.paths.append(path)
+
     known = scores.select("a", "b").unionByName(scores.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    cross, _ = written(cross.join(known, ["a", "b"], "left_anti"), "cross")
-    more = _verified(cross, sets, percent).where("linked").select("rep_a", "rep_b")
-    more, _ = written(more, "more")
+    cross = scratch(_across(members, sized, linked, words, percent, scratch).join(known, ["a", "b"], "left_anti"), "cross")
+    more = scratch(_verified(cross, sets, percent, cross.count()).where("linked").select("a", "b"), "more")
     if more.limit(1).count():
-        linked = components(scores.where("linked").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionByName(more.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))))
-    reps = classes.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
-    reps = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("of_class"))
-    full = classes.where("n > 0").join(reps, ["c1", "c2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("of_class").alias("component_id"))
-    return full.unionByName(classes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        linked, path = components(links.unionByName(more))
+        scratch.paths.append(path)
+
+    named = reps.join(linked.withColumnRenamed("node", "c1"), "c1", "left").select("c1", "c2", "rep", "component")
+    joined = named.where("component IS NOT NULL")
+    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
+    joined = split_join(joined, least, ["component"], joined.count()).select("c1", "c2", "component", "component_id")
+    alone = named.where("component IS NULL").select("c1", "c2", F.col("c1").alias("component"), F.col("rep").alias("component_id"))
+    return rows, scratch(joined.unionByName(alone), "named")
+
+
+def _placed(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Scratch]:
+    """row, doc_id, n, component (null without words) and component_id of every document, written."""
+    keep, scratch = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    rows, named = _classes(docs, width, percent, scratch)
+    full = split_join(rows.where("n > 0"), named, ["c1", "c2"], rows.count()).select("row", "doc_id", "n", "component", "component_id")
+    none = rows.where("n = 0").select("row", "doc_id", "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    out = keep(full.unionByName(none), "placed")
+    scratch.drop()
+    return out, keep
+
+
+def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document.
+
+    Copies (equal sets, by a 128-bit key) are one node; nodes, groups and components stay distributed, and only tables of
+    counted size are broadcast. Texts without words are linked with nothing, not even each other. Rows that repeat an
+    id are documents of their own; a row without an id links like any other and gets the smallest id of its
+    component, null if there is none. Whole texts count, however long; an empty table gives no rows; other columns are
+    not read. Verification compares 64-bit hashes of shingles. What is written on the way is deleted at the end.
+    """
+    placed, _ = _placed(docs, width, percent)
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, whose id is the smallest of its group; repeats of such a row go, rows without an id stay."""
-    joined = jaccard_join(docs, width, percent)
-    keep = joined.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("long") == keep["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """The rows of docs, all columns whatever their names, one of each group: that of the smallest id, of those that repeat
+    it that of the smallest hash of the text, and without any id that of the smallest hash.
+
+    Rows that agree in id and text are one. Texts without words (null, empty, white space) stay, once for each id.
+    """
+    placed, keep = _placed(docs, width, percent)
+    grouped = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("row").alias("row"))
+    first = placed.where("component IS NOT NULL AND doc_id IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "row"))["row"].alias("first"))
+    grouped = grouped.join(first, "component", "left").select(F.coalesce("first", "row").alias("row"))
+    chosen = keep(grouped.unionByName(placed.where("component IS NULL").select("row")).distinct(), "chosen")
+    copies = placed.groupBy("row").agg(F.count(F.lit(1)).alias("_n"))
+    total = placed.count()
+    rows = docs.withColumn("_row", _row())
+    kept = split_join(rows, chosen.withColumnRenamed("row", "_row"), ["_row"], total, "left_semi", counts=copies.withColumnRenamed("row", "_row"))
+    if copies.where("_n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_row"])
+    return kept.drop("_row")

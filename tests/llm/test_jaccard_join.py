@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from stratal.llm import common
 from stratal.llm import jaccard_join as jj
 
 
@@ -97,18 +98,60 @@ def test_components_equal_brute_force(spark):
 
 
 def test_without_broadcasts_it_is_the_same(spark, monkeypatch):
-    monkeypatch.setattr(jj, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "SLICE_ROWS", 3)  # and every group of more rows is dealt over tasks
     rows = _table()[::3]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in jj.jaccard_join(docs).select("doc_id", "n_shingles", "component_id").collect()) == brute(rows)
 
 
 def test_one_of_each_group_keeps_whole_rows(spark):
-    rows = [(3, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (7, "other words in here", "z"), (7, "other words in here", "z"), (9, None, "n"), (None, "a b c d e f g", "i")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string")
-    kept = sorted((r["doc_id"] or 0, r["extra"]) for r in jj.one_of_each_group(docs).collect())
-    assert kept == [(0, "i"), (1, "y"), (7, "z"), (9, "n")]
+    text, other = "a b c d e f g", "some words that stand alone here"
+    rows = [(3, text, "x"), (1, text, "y"), (7, "other words in here", "z"), (7, "other words in here", "z"), (9, None, "n"), (None, text, "i"), (None, other, "j"), (None, other.upper(), "j"), (None, None, "k"), (9, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string").selectExpr("*", "5 AS row", "6 AS component")
+    kept = jj.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["extra"]) for r in kept.collect()) == [(0, "j"), (0, "k"), (1, "y"), (7, "z"), (9, "n")]
+
+
+def test_a_document_without_an_id_links_two_others(spark):
+    words = [f"w{k}" for k in range(60)]
+    first, bridge, last = words, [*words[4:], "x", "y", "z"], [*words[8:], *"xyzuvq"]
+    rows = [(5, " ".join(first)), (None, " ".join(bridge)), (9, " ".join(last)), (None, "nothing like it at all, of its own")]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [("5", 57, 5), ("9", 55, 5), ("None", 5, None), ("None", 56, 5)]
+
+
+def test_a_group_of_thousands_and_hot_copies(spark, monkeypatch):
+    monkeypatch.setattr(common, "SLICE_ROWS", 100)
+    rng = random.Random(2)
+    base = [f"b{k}" for k in range(80)]
+    rows = []
+    for k in range(2500):  # near copies of one text: most pairs of them are not linked directly
+        own = list(base)
+        own[rng.randrange(80)] = f"x{k}"
+        if k % 3 == 0:
+            own[rng.randrange(80)] = f"y{k}"
+        rows.append((10 + k, " ".join(own)))
+    rows += [(20_000 + k % 500, "the very same text of some words") for k in range(2000)] + [(None, "the very same text of some words")] * 500
+    rows += [(9, " ".join(base)), (50_000, " ".join(f"q{k}" for k in range(50)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = jj.jaccard_join(docs).collect()
+    assert len(got) == len(rows)
+    sets = {k: {tuple(t.split()[i : i + 4]) for i in range(77)} for k, t in rows[:2500]} | {9: {tuple(base[i : i + 4]) for i in range(77)}}
+    near = [k for k, s in sets.items() if 100 * len(s & sets[9]) >= 85 * len(s | sets[9])]
+    assert len(near) > 1500
+    component = {r["doc_id"]: r["component_id"] for r in got}
+    assert all(component[k] == 9 for k in near) and component[50_000] == 50_000
+    assert all(r["component_id"] == 20_000 for r in got if r["doc_id"] is None or 20_000 <= r["doc_id"] < 20_500)
+
+
+def test_nothing_written_on_the_way_is_left(spark):
+    before = len(common._WRITTEN)
+    assert jj.jaccard_join(spark.createDataFrame(_table()[:40], "doc_id long, text string")).count() == 40
+    assert len(common._WRITTEN) == before + 1  # the result itself
 
 
 def test_empty_table(spark):
-    assert jj.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert jj.jaccard_join(empty).count() == 0 and jj.one_of_each_group(empty).count() == 0
