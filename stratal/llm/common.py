@@ -7,6 +7,7 @@ import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -55,11 +56,30 @@ def _remove_written() -> None:
             return
 
 
+BATCH_BYTES = 4_000_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of at most BATCH_BYTES for what runs inside; the session's own setting is back afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written to the shared folder and read again: later stages survive the loss of the executors that made it."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -86,7 +106,7 @@ def texts_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def by_bytes(batches, column: int = 1, limit: int = 8_000_000):
     """Slices of Arrow batches whose text column holds about `limit` bytes at most (a longer single text stands alone).
 
-    Spark itself bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch) and rows; no setting is changed here.
+    Spark itself bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch) and rows.
     """
     for batch in batches:
         lengths = np.frombuffer(np.asarray(_byte_lengths(batch.column(column)), dtype=np.int64), dtype=np.int64)
@@ -173,7 +193,7 @@ def fold_held_out(column) -> F.Column:
 
 
 BROADCAST_BYTES = 32_000_000
-SLICE_ROWS = 250
+SLICE_ROWS = 500
 MAX_SPLIT_KEYS = 200_000
 
 
@@ -192,12 +212,16 @@ def split_join(many: DataFrame, one: DataFrame, keys: list[str], total: int, how
     its rows of `one` are repeated for each slice.
 
     total: counted rows of many. counts: keys and _n, if they are known; else rows by key are counted, combined before
-    the shuffle, so a hot key costs a row a task. The keys with more than a slice are broadcast: MAX_SPLIT_KEYS of
-    them at most, a proven bound.
+    the shuffle, so a hot key costs a row a task. The keys with more than a slice are gathered and broadcast:
+    MAX_SPLIT_KEYS of them at most, a proven bound. Without any, this is a plain join.
     """
     size = slice_size(total)
     counts = counts if counts is not None else many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(counts.where(F.col("_n") > size).select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("_slices")))
+    hot = counts.where(F.col("_n") > size).select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("_slices"))
+    found = hot.toArrow()
+    if not found.num_rows:
+        return many.join(one, keys, how)
+    hot = F.broadcast(many.sparkSession.createDataFrame(found, hot.schema))
     left = many.join(hot, keys, "left").withColumn("_slice", F.expr("CAST(pmod(xxhash64(monotonically_increasing_id()), coalesce(_slices, 1)) AS INT)")).drop("_slices")
     right = one.join(hot, keys, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))).drop("_slices")
     return left.join(right, [*keys, "_slice"], how).drop("_slice")

@@ -34,6 +34,7 @@ GROWTH = 1.6  # of band edges
 SHARED = 0.01  # assumed chance that another document of the band holds a given shingle, for the costs
 BYTES_A_SHINGLE = 6  # about, to estimate how many sets there are of a size
 SKETCH_WORDS = 16
+CELL_ROWS = 1000  # a side, of the cells in which the rest of a group is compared
 _U = np.uint64
 
 
@@ -246,7 +247,7 @@ def _across(members: DataFrame, sized: DataFrame, linked: DataFrame, words: list
     # those that are in the hub's component already need no look at each other, only at the rest
     main = placed.where("node = hub").select("hub", F.col("component").alias("main"))
     placed = scratch(split_join(placed, main, ["hub"], total).withColumn("apart", F.col("component") != F.col("main")), "apart")
-    size = slice_size(total)
+    size = max(CELL_ROWS, slice_size(total))
     cells = lambda n: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
     hubs = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("apart").cast("long")).alias("s")).where("s > 0").select("hub", cells(F.col("s")).alias("rows"), cells(F.col("m")).alias("columns"))
     placed = split_join(placed, hubs, ["hub"], total)
