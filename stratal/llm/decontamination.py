@@ -21,6 +21,7 @@ from stratal.llm.common import WordHashes, by_bytes, mix64, process_cache, remov
 MIN_MATCH = 5
 MIN_COVERAGE = 0.5
 MAX_BITS = 26  # of the bitmap: 8 MB at most
+PROBES = 4  # bits of a seed in it
 MATCHES = 200_000  # seed matches of a pair that are held at once; beyond, matches are found row by row
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -154,6 +155,11 @@ def _lists(arrays: list[np.ndarray]):
     return pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.empty(0, dtype=_U), *arrays]).view(np.int64)))
 
 
+def probe(h: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The k-th of the places of a hash in the bitmap."""
+    return (h * _U((_BASE * (2 * k + 1)) % 2**64)) >> _U(64 - bits)
+
+
 class Finder:
     """The windows of a text that may be seeds, by the bitmap."""
 
@@ -161,7 +167,7 @@ class Finder:
         self.widths, self.bits, self.places, self.words = widths, bits, places, words
 
     def bitmap(self) -> np.ndarray:
-        out = np.zeros(1 << max(0, self.bits - 6), dtype=_U)
+        out = np.zeros(1 << (self.bits - 6), dtype=_U)
         out[self.places] = self.words.view(_U)
         return out
 
@@ -170,18 +176,28 @@ class Finder:
         found = [np.empty(0, dtype=_U)]
         for width in self.widths:
             h = karp_rabin(words, width)
-            bit = h >> _U(64 - self.bits)
-            found.append(h[(bitmap[bit >> _U(6)] >> (bit & _U(63))) & _U(1) == 1])
+            for k in range(PROBES):
+                bit = probe(h, k, self.bits)
+                h = h[(bitmap[bit >> _U(6)] >> (bit & _U(63))) & _U(1) == 1]
+            found.append(h)
         return np.unique(np.concatenate(found))
 
 
 def finder_of(items: DataFrame, seeds: DataFrame) -> Finder:
-    """Sixteen bits a seed, 2**MAX_BITS at most: what the driver gathers and sends is bounded; a fuller bitmap only lets more windows through to the join."""
-    n = seeds.select("h").distinct().count()
-    bits = min(MAX_BITS, max(10, (16 * n).bit_length()))
+    """64 bits a seed, 2**MAX_BITS at most: what the driver gathers and sends is bounded; a fuller bitmap only lets more windows through to the join."""
+    different = seeds.select("h").distinct()
+    bits = min(MAX_BITS, max(10, (64 * different.count()).bit_length()))
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())
-    bit = F.expr(f"shiftrightunsigned(h, {64 - bits})")
-    rows = seeds.select(F.shiftright(bit, 6).alias("place"), bit.alias("b")).groupBy("place").agg(F.expr("bit_or(shiftleft(1L, CAST(b & 63 AS INT)))").alias("w")).toArrow()
+
+    def place(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(_U)
+            bit = np.concatenate([probe(h, k, bits) for k in range(PROBES)])
+            yield pa.RecordBatch.from_arrays([pa.array((bit >> _U(6)).astype(np.int64)), pa.array((_U(1) << (bit & _U(63))).view(np.int64))], names=["place", "w"])
+
+    rows = different.mapInArrow(place, "place long, w long").groupBy("place").agg(F.expr("bit_or(w)").alias("w")).toArrow()
     return Finder(widths, bits, rows.column("place").to_numpy(), rows.column("w").to_numpy())
 
 
