@@ -3,9 +3,9 @@
 Words are lower-cased and stripped of surrounding punctuation. The seeds are the windows of `min_match` words of the
 benchmark items, by their running Karp-Rabin hash: a table. A bitmap of the seeds, of bounded size, tells which
 documents may hold one; their windows are joined with the table of seeds, which gives the pairs of document and item
-with enough shared tokens to reach the coverage. Each pair is tiled: the longest match of unmarked words is marked, what is left of those that overlap it
-stays in the race, and so on until no match of `min_match` unmarked words is left. The marked share of the item is
-the coverage, wherever in the document and in whatever order its parts stand.
+with enough shared tokens to reach the coverage. Each pair is tiled: the longest match of unmarked words is marked,
+what is left of those that overlap it stays in the race, and so on until no match of `min_match` unmarked words is
+left. The marked share of the item is the coverage, wherever in the document and in whatever order its parts stand.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratal.llm.common import WordHashes, by_bytes, mix64, process_cache, remove, split_join, texts_of, written
+from stratal.llm.common import WordHashes, by_bytes, fits_broadcast, mix64, process_cache, remove, split_join, texts_of, written
 
 MIN_MATCH = 5
 MIN_COVERAGE = 0.5
@@ -265,8 +265,12 @@ class Search:
         """row and the columns of SCHEMA (the id from that column of the suspects) of the pairs that reach the coverage."""
         pairs, path = written(self.pairs(), "pairs")
         self.paths.append(path)
-        with_item = split_join(pairs, self.items.select("item", "item_id", F.col("words").alias("item_words")), ["item"], pairs.count())
-        both = with_item.join(self.suspects.select("row", F.expr(doc_id).cast("long").alias("doc_id"), "words"), "row").select("row", "doc_id", "item_id", "item_words", "words")
+        total = pairs.count()
+        with_item = split_join(pairs, self.items.select("item", "item_id", F.col("words").alias("item_words")), ["item"], total)
+        suspects = self.suspects
+        if fits_broadcast(total, 8):  # the words of the others stay where they are
+            suspects = suspects.join(F.broadcast(pairs.select("row").distinct()), "row", "left_semi")
+        both = with_item.join(suspects.select("row", F.expr(doc_id).cast("long").alias("doc_id"), "words"), "row").select("row", "doc_id", "item_id", "item_words", "words")
         least, coverage = self.min_match, self.min_coverage
 
         def run(batches):

@@ -116,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """One row a piece with its sequence and its place there; see the module.
 
     Null texts are empty (one end id), null and repeated ids are kept as rows of their own, an empty table gives
-    none. The pieces are written once, so a piece keeps its rank whatever is lost later. The driver gets the
+    none, texts are encoded whole, however long, and other columns are not read. The pieces are written once, so a piece keeps its rank whatever is lost later. The driver gets the
     histogram: at most `capacity` rows. Counts by task and length shift the ranks, so no group is gathered anywhere.
     """
     pieces, _ = written(pieces_of(docs, tokenizer, capacity, keep_ids=keep_ids, memo_pieces=memo_pieces), "pieces")

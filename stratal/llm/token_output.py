@@ -246,7 +246,12 @@ def read_token_shards(spark: SparkSession, path: str, manifest: list[tuple[str,
 
 
 def token_output(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
-    """Writes the shards and returns what the files hold by document (an empty table: no rows, no files)."""
+    """Writes the shards and returns what the files hold by document (an empty table: no rows, no files).
+
+    A null text is an empty one, its end id alone; null ids come first; rows that repeat an id are documents of their
+    own; a text is encoded whole, however long; other columns are not read. A tokenizer that is no plain byte-level
+    BPE file is refused.
+    """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "tokens")
     return read_token_shards(spark, path, write_token_shards(docs, path, tokenizer))

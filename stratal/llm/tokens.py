@@ -15,6 +15,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def check_kind(described: str, path: str) -> None:
+    """Refuses a tokenizer that cuts or spells texts in another way than PieceEncoder counts on."""
+    import json
+
+    kind = json.loads(described)
+    cutter, model = kind.get("pre_tokenizer") or {}, kind.get("model") or {}
+    plain = cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
+    merges = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    if kind.get("normalizer") or kind.get("truncation") or kind.get("padding") or not plain or not merges:
+        raise ValueError(f"{path} is not a plain byte-level BPE tokenizer without normaliser")
+
+
 class PieceEncoder:
     """Texts to ids, as little-endian unsigned 32-bit bytes.
 
@@ -28,6 +40,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        check_kind(self.tokenizer.to_str(), path)
         self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
         # a byte-level vocabulary spells the bytes that don't print as characters from 256 on
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]

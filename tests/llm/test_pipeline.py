@@ -50,3 +50,36 @@ def test_stages_and_run(spark, tmp_path):
     assert not ids[-1] & ({k for k in range(300) if k % 6 in (1, 2, 3)} | set(range(1000, 1005)))
     packed = corpus_pipeline.run(spark, root).collect()
     assert {r["doc_id"] for r in packed} == ids[-1]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, score double"
+
+
+def _write(spark, root, docs):
+    spark.createDataFrame(docs, SCHEMA).write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 4 != 0), int(k % 5 == 0)) for k in range(40)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    spark.createDataFrame([(1, "an item of some words"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+
+
+def test_an_empty_table(spark, tmp_path):
+    _write(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(8)
+    text = lambda k: " ".join(rng.choice(WORDS).upper() + "!!" if k % 4 == 0 else rng.choice(WORDS) + str(rng.randrange(90)) for _ in range(50)) + (" grobnik" if k % 5 == 0 else "")
+    docs = [(k, text(k), None, "s", None, 7, 0.5) for k in range(40)]
+    docs += [docs[3], docs[3], (None, docs[7][1], "de", None, 1, None, None), (None, "quiet words without an id", None, None, None, None, None), (None, None, None, None, None, None, None), (50, None, "en", "s", 0, 1, 1.0), (51, "", "en", "s", 0, 1, 1.0), (52, "calm river " * 20_000, "en", "s", 1, 1, 1.0)]
+    _write(spark, tmp_path, docs)
+    current = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, current, str(tmp_path))
+        assert out.schema.simpleString() == current.schema.simpleString()
+        out.write.parquet(f"{tmp_path}/{name}")
+        before, current = current, spark.read.parquet(f"{tmp_path}/{name}")
+        assert current.exceptAll(before).count() == 0  # whole rows, none twice
+    ids = [r["doc_id"] for r in current.collect()]
+    assert len(ids) == len([i for i in ids if i is None]) + len({i for i in ids if i is not None})  # repeats are gone
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted({str(r["doc_id"]) for r in packed}) == sorted({str(i) for i in ids})

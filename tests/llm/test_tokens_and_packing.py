@@ -128,3 +128,18 @@ def test_plan_uses_every_piece_once_and_is_near_the_bound():
     # pieces over half a sequence need one each, whatever the method
     bound = max(-(-sum(k * n for k, n in lengths.items()) // 1024), sum(n for k, n in lengths.items() if k > 512))
     assert sum(t for t, _ in plan) <= bound * 1.01 + 1
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}])
+def test_other_tokenizers_are_refused(change, tmp_path):
+    import json
+
+    small = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "post_processor": None, "decoder": None, "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "vocab": {"a": 0, "\u010a": 1}, "merges": []}}
+    from stratal.llm.tokens import PieceEncoder
+
+    plain, other = tmp_path / "plain.json", tmp_path / "other.json"
+    plain.write_text(json.dumps(small))
+    other.write_text(json.dumps(small | change))
+    PieceEncoder(str(plain))
+    with pytest.raises(ValueError):
+        PieceEncoder(str(other))
