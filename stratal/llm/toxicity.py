@@ -8,10 +8,12 @@ dual coordinate ascent; a fifth of the sample sets the temperature of the probab
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 
-from stratal.llm.common import by_bytes, forget_caches, remove
+from stratal.llm.common import by_bytes, forget_caches, release, remove
 from stratal.llm.scoring import MAX_TRAIN_ROWS, kept_by_score, labelled_sample, scored, sigmoid, temperature_of
 
 SIZES = (3, 4, 5)
@@ -97,23 +99,27 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
             flat = np.concatenate([np.empty(0, np.uint32), *found]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(bounds, pa.array(flat))], names=["doc_id", "label", "grams"])
 
-    table = sample.mapInArrow(extract, "doc_id long, label int, grams array<int>").toArrow().combine_chunks()
+    found = []
+    table = sample.mapInArrow(extract, "doc_id long, label int, grams array<int>").toArrow()
     remove(docs.sparkSession, path)
-    ids, y = table.column("doc_id").to_numpy(), table.column("label").to_numpy()
-    if not len(y) or len(set(y.tolist())) < 2:
-        return {"bucket": np.empty(0, np.int64), "weight": np.empty(0), "bias": 5.0 if len(y) and y.all() else -5.0, "temperature": 1.0}
-    lists = table.column("grams").combine_chunks()
-    lists = lists.chunk(0) if hasattr(lists, "chunk") else lists
-    flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
-    seen = np.zeros(1 << BITS, dtype=np.int32)
-    for k in range(0, len(flat), 1 << 20):
-        seen[flat[k : k + (1 << 20)]] = 1
-    bucket = np.flatnonzero(seen)
-    seen[bucket] = np.arange(len(bucket), dtype=np.int32)
+    for batch in table.to_batches():
+        flat, bounds = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
+        found += [(i, n, flat[low:high].copy()) for i, n, low, high in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bounds[:-1], bounds[1:], strict=True)]
+    table = batch = flat = None
     # the order of the documents, and so the model, does not depend on where they were read
-    order = sorted(range(len(y)), key=lambda i: (ids[i], bounds[i + 1] - bounds[i], flat[bounds[i] : bounds[i + 1]].tobytes()))
-    rows, y = [seen[flat[bounds[i] : bounds[i + 1]]] for i in order], y[order].astype(np.int64)
-    del table, lists, flat
+    found.sort(key=lambda d: (d[0], d[1], len(d[2]), zlib.crc32(d[2])))
+    y, rows = np.array([n for _, n, _ in found], dtype=np.int64), [x for _, _, x in found]
+    del found
+    release()
+    if len(set(y.tolist())) < 2:
+        return {"bucket": np.empty(0, np.int64), "weight": np.empty(0), "bias": 5.0 if len(y) and y.all() else -5.0, "temperature": 1.0}
+    number = np.zeros(1 << BITS, dtype=np.int32)
+    for x in rows:
+        number[x] = 1
+    bucket = np.flatnonzero(number)
+    number[bucket] = np.arange(len(bucket), dtype=np.int32)
+    for k, x in enumerate(rows):
+        rows[k] = number[x]
     counts = np.zeros((2, len(bucket)))
     for x, label in zip(rows, y, strict=True):
         counts[label][x] += 1
@@ -127,6 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
         weight, bias = fit_linear([rows[i] for i in taught], y[taught], ratio)
         temperature = temperature_of(np.array([weight[rows[i]].sum() + bias for i in tested]), y[tested])
     weight, bias = fit_linear(rows, y, ratio)
+    del rows, number
+    release()
     return {"bucket": bucket, "weight": weight.astype(np.float32), "bias": bias, "temperature": temperature}
 
 
