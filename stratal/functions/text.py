@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,11 +131,24 @@ def has_link(content, key, scheme: str = "report") -> Column:
     return F.regexp_like(_c(content), F.concat(F.lit(rf"(?<![a-z]){scheme}://"), _c(key), F.lit("(?![a-z0-9_-])")))
 
 
+# The named references of HTML 4 come with the language's library; the space that does not break is read as a space.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+
+
 def unescaped(x) -> Column:
-    """The five predefined character references and the space."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
+    """Character references, named, decimal and hexadecimal ones, each read once; what is none stays as it is."""
+    known = F.create_map(*[F.lit(v) for pair in ENTITIES.items() for v in pair])
+    parts = F.split(x, "&")
+
+    def read(part):
+        name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10).cast("int")).when(name.startswith("#"), F.substr(name, F.lit(2)).cast("int"))
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.when(code == 160, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise(F.try_element_at(known, name))
+        return F.when(char.isNotNull(), F.concat(char, F.substr(part, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), part))
+
+    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), read)
+    return F.when(F.contains(x, F.lit("&")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(x)
 
 
 def html_title(x, longest: int = 500) -> Column:
@@ -152,8 +167,9 @@ def html_text(x) -> Column:
 
 
 def html_hrefs(x) -> Column:
-    """Targets of the anchors, in page order."""
-    return F.regexp_extract_all(_c(x), F.lit('(?is)<a[^>]*href="([^"]*)"'), 1)
+    """Targets of the anchors, in page order, in double, single or no quotes."""
+    found = F.regexp_extract_all(_c(x), F.lit("""(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*("[^"]*"|'[^']*'|[^\\s"'>]+)"""), 1)
+    return F.transform(found, lambda h: F.regexp_replace(h, "^[\"']|[\"']$", ""))
 
 
 def absolute_url(href, base) -> Column:

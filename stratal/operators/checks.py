@@ -44,18 +44,23 @@ def subset_output(rows: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def working_map_valid(maps: DataFrame) -> DataFrame:
-    """map_id, problem of texts (map_id, content, group_ids) that are blank, over 64 KiB, or silent about a group."""
-    silent = ~F.forall("group_ids", lambda g: F.contains(F.col("content"), g))
-    problem = F.when(F.trim("content") == "", "blank").when(F.octet_length("content") > MAX_MAP_BYTES, "too large").when(silent, "group missing")
+    """map_id, problem of texts (map_id, content, group_ids) that are blank or null, over 64 KiB, or silent about a group.
+
+    A null list of groups and a null group are groups that the text is silent about.
+    """
+    silent = ~F.coalesce(F.forall("group_ids", lambda g: F.coalesce(F.contains(F.col("content"), g), F.lit(False))), F.lit(False))
+    problem = F.when(F.trim(F.coalesce("content", F.lit(""))) == "", "blank").when(F.octet_length("content") > MAX_MAP_BYTES, "too large").when(silent, "group missing")
     return maps.select("map_id", problem.alias("problem")).where("problem IS NOT NULL")
 
 
 def routing_valid(assignments: DataFrame, bundles: DataFrame, index: DataFrame) -> DataFrame:
     """problem, id of a routing: items covered exactly once, one or two topics for 'r' and none otherwise, and bundles
-    that list exactly the items that name them."""
+    that list exactly the items that name them. Null topics are none, a null topic is one that no bundle lists, and an
+    item without a disposition must have none.
+    """
     cover = exact_cover(index.select(F.col("id")), assignments, "id").select("problem", "id")
-    n = F.size("t")
-    topics = assignments.where(((F.col("d") == "r") & ~n.between(1, 2)) | ((F.col("d") != "r") & (n > 0))).select(F.lit("topics").alias("problem"), "id")
+    n, r = F.greatest(F.size("t"), F.lit(0)), F.col("d").eqNullSafe("r")
+    topics = assignments.where((r & ~F.coalesce(n, F.lit(0)).between(1, 2)) | (~r & (F.coalesce(n, F.lit(0)) > 0))).select(F.lit("topics").alias("problem"), "id")
     named = assignments.where("d = 'r'").select("id", F.explode("t").alias("bundle_id"))
     listed = bundles.select(F.explode("item_ids").alias("id"), "bundle_id")
     apart = named.exceptAll(listed).select(F.lit("not listed").alias("problem"), "id").unionByName(listed.exceptAll(named).select(F.lit("not named").alias("problem"), "id"))
@@ -73,11 +78,11 @@ def consolidation_valid(groups: DataFrame, bundles: DataFrame) -> DataFrame:
 
 
 def calibration_valid(rows: DataFrame, index: DataFrame, items: DataFrame | None = None) -> DataFrame:
-    """problem, id: suggestions (id, suggestion) must be for items routed 'w', unique and not blank; with items, the index
+    """problem, id: suggestions (id, suggestion) must be for items routed 'w', unique and neither blank nor null; with items, the index
     (id, d) must cover them exactly once."""
     joined = rows.join(index.select("id", "d"), "id", "left")
     wrong = joined.where("d IS NULL OR d <> 'w'").select(F.lit("not watched").alias("problem"), "id")
-    blank = rows.where(F.trim("suggestion") == "").select(F.lit("blank").alias("problem"), "id")
+    blank = rows.where(F.trim(F.coalesce("suggestion", F.lit(""))) == "").select(F.lit("blank").alias("problem"), "id")
     twice = duplicates(rows, "id").select(F.lit("duplicate").alias("problem"), "id")
     found = wrong.unionByName(blank).unionByName(twice)
     if items is None:
@@ -87,8 +92,8 @@ def calibration_valid(rows: DataFrame, index: DataFrame, items: DataFrame | None
 
 
 def evidence_valid(evidence: DataFrame, reviewed: DataFrame) -> DataFrame:
-    """problem, id of claims (claim, evidence[], related_unit_ids[]): no evidence, or units that were not reviewed."""
-    bare = evidence.where(F.size("evidence") == 0).select(F.lit("no evidence").alias("problem"), F.col("claim").alias("id"))
+    """problem, id of claims (claim, evidence[], related_unit_ids[]): no or null evidence, or units that were not reviewed (a null one never was)."""
+    bare = evidence.where(F.size(F.coalesce("evidence", F.expr("array()"))) <= 0).select(F.lit("no evidence").alias("problem"), F.col("claim").alias("id"))
     related = evidence.select("claim", F.explode("related_unit_ids").alias("unit_id")).join(reviewed.select("unit_id"), "unit_id", "left_anti")
     return bare.unionByName(related.select(F.lit("unknown unit").alias("problem"), F.col("claim").alias("id")))
 

@@ -77,3 +77,9 @@ def contiguous_cursor(days: DataFrame, key: str, day: str, ok: str) -> DataFrame
     bad = F.min(F.when(~F.col(ok), F.col(day)))
     grouped = days.groupBy(key).agg(bad.alias("bad"), F.min(day).alias("low"), F.max(day).alias("high"))
     return grouped.select(key, F.when(F.col("bad").isNull(), F.col("high")).when(F.col("bad") > F.col("low"), F.date_sub("bad", 1)).alias("cursor"))
+
+
+def first_k(rows: DataFrame, key: str, order: str, k: int, name: str) -> DataFrame:
+    """key, name: the k smallest order values of each key, ascending; a task passes on k rows a key at most, so no key is gathered whole."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return rows.select(key, order).withColumn("_at", at).where(F.col("_at") <= k).groupBy(key).agg(F.array_sort(F.collect_list(order)).alias(name))

@@ -83,12 +83,12 @@ def _(spark, sf):
 
 @register("seal_violations", """
 SELECT DISTINCT 'ord:' || l_orderkey AS item_id, CASE WHEN o_orderkey IS NULL THEN 'unknown' WHEN o_orderstatus = 'F' THEN 'delivered' ELSE 'sealed' END AS problem
-FROM (SELECT l_orderkey + CASE WHEN l_orderkey % 50 = 0 THEN 100000000 ELSE 0 END AS l_orderkey FROM lineitem WHERE l_suppkey = 3) l
+FROM (SELECT l_orderkey + CASE WHEN l_orderkey % 50 = 0 THEN 100000000 ELSE 0 END AS l_orderkey FROM lineitem) l
 LEFT JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey IS NULL OR o_orderstatus IN ('F', 'P')""")
 def _(spark, sf):
     o = table(spark, sf, "orders").select(F.concat(F.lit("ord:"), "o_orderkey").alias("item_id"), "o_orderstatus")
     key = F.col("l_orderkey") + F.when(F.col("l_orderkey") % 50 == 0, 100000000).otherwise(0)
-    wanted = table(spark, sf, "lineitem").where("l_suppkey = 3").select(F.lit("run").alias("run_id"), F.concat(F.lit("ord:"), key).alias("item_id")).distinct()
+    wanted = table(spark, sf, "lineitem").select(F.lit("run").alias("run_id"), F.concat(F.lit("ord:"), key).alias("item_id")).distinct()
     seals = o.where("o_orderstatus = 'P'").select("item_id", F.lit("other").alias("run_id"))
     return L.seal_violations(wanted, o, o.where("o_orderstatus = 'F'"), seals)
 
@@ -110,12 +110,10 @@ def _(spark, sf):
     return L.delivered_by(seals, runs)
 
 
-@register("sealed_unqueued_runs", "SELECT o_orderkey AS run_id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'P' QUALIFY place <= 100")
+@register("sealed_unqueued_runs", "SELECT o_orderkey AS run_id, o_orderdate AS created_at FROM orders WHERE o_orderstatus = 'P' ORDER BY created_at, run_id")
 def _(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("run_id"), "o_orderdate").orderBy("o_orderdate", "run_id").limit(100)
-    from pyspark.sql import Window
-
-    return o.select("run_id", F.row_number().over(Window.orderBy("o_orderdate", "run_id")).cast("long").alias("place"))
+    """All of them, oldest first."""
+    return table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("created_at")).orderBy("created_at", "run_id")
 
 
 @register("cursor_last_write", "SELECT event_type AS source, arg_max(event_id, ts) AS value FROM events GROUP BY 1")
@@ -299,21 +297,15 @@ def _(spark, sf):
     return S.keep_newest(table(spark, sf, "events"), "user_id", "ts", "event_id", F.col("event_type") == "purchase", 3).select("event_id", "kept")
 
 
-@register("nulls_last_topn", "SELECT event_id, t FROM (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN ts END AS t FROM events WHERE user_id < 3) ORDER BY t DESC NULLS LAST, event_id LIMIT 200")
-def _(spark, sf):
-    e = table(spark, sf, "events").where("user_id < 3").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("ts")).alias("t"))
-    return S.top_newest(e, "t", "event_id", 200)
-
-
-@register("nulls_last_topn_all", "SELECT event_id, t FROM (SELECT event_id, CASE WHEN event_id % 1000 = 0 THEN ts END AS t FROM events) ORDER BY t DESC NULLS LAST, event_id LIMIT 200")
+@register("nulls_last_topn", "SELECT event_id, t FROM (SELECT event_id, CASE WHEN event_id % 1000 = 0 THEN ts END AS t FROM events) ORDER BY t DESC NULLS LAST, event_id LIMIT 200")
 def _(spark, sf):
     """The newest 200 of all events (the feature), most of them without a time."""
     return S.top_newest(table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 1000 == 0, F.col("ts")).alias("t")), "t", "event_id", 200)
 
 
-@register("bootstrap_newest_index", "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events WHERE event_id % 17 = 0 ORDER BY ts DESC, event_id LIMIT 5000")
+@register("bootstrap_newest_index", "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events ORDER BY ts DESC, event_id LIMIT 5000")
 def _(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 17 = 0").orderBy(F.desc("ts"), "event_id").limit(5000)
+    e = table(spark, sf, "events").orderBy(F.desc("ts"), "event_id").limit(5000)
     return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 

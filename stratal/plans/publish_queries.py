@@ -41,24 +41,17 @@ def _(spark, sf):
 
 @register("status_block", """
 SELECT user_id, count(*) FILTER (event_type <> 'error') AS n_ok, count(*) FILTER (event_type = 'error') AS n_failed,
-'ok: ' || count(*) FILTER (event_type <> 'error') || '; failed: ' || count(*) FILTER (event_type = 'error') || CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN ' (' || string_agg('s' || event_id, ', ' ORDER BY 's' || event_id) FILTER (event_type = 'error') || ')' ELSE '' END AS block FROM events WHERE event_id % 10 = 0 GROUP BY 1""")
-def _(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 10 = 0").select("user_id", F.concat(F.lit("s"), "event_id").alias("source"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"))
-    return P.status_block(e, "user_id")
-
-
-@register("status_block_all", """
-SELECT user_id, count(*) FILTER (event_type <> 'error') AS n_ok, count(*) FILTER (event_type = 'error') AS n_failed,
 'ok: ' || count(*) FILTER (event_type <> 'error') || '; failed: ' || count(*) FILTER (event_type = 'error') || CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN ' (' || string_agg('s' || event_id, ', ' ORDER BY 's' || event_id) FILTER (event_type = 'error') || ')' ELSE '' END AS block FROM events GROUP BY 1""")
 def _(spark, sf):
     e = table(spark, sf, "events").select("user_id", F.concat(F.lit("s"), "event_id").alias("source"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"))
     return P.status_block(e, "user_id")
 
 
-@register("brief_assembly", "SELECT source, string_agg(CASE WHEN doc_id % 2 = 0 THEN '- [d' || doc_id || '](/r/' || doc_id || ')' ELSE '- d' || doc_id END, chr(10) ORDER BY doc_id) AS brief FROM documents GROUP BY 1")
+@register("brief_assembly", "SELECT source || '-' || doc_id // 512 AS day, string_agg(CASE WHEN doc_id % 2 = 0 THEN '- [d' || doc_id || '](/r/' || doc_id || ')' ELSE '- d' || doc_id END, chr(10) ORDER BY doc_id) AS brief FROM documents GROUP BY 1")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("source", "doc_id", F.concat(F.lit("d"), "doc_id").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/r/"), "doc_id")).alias("link"))
-    return P.brief(d, "source", "doc_id", "title", "link")
+    """A brief lists the reports of a day: 512 at most here."""
+    d = table(spark, sf, "documents").select(F.concat_ws("-", "source", F.floor(F.col("doc_id") / 512)).alias("day"), "doc_id", F.concat(F.lit("d"), "doc_id").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/r/"), "doc_id")).alias("link"))
+    return P.brief(d, "day", "doc_id", "title", "link")
 
 
 @register("breadcrumbs", "SELECT n_nationkey, '[' || r_name || '](/r/' || r_regionkey || ') / [' || n_name || '](/n/' || n_nationkey || ')' AS crumb FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -84,15 +77,16 @@ def _(spark, sf):
 
 
 @register("sitemap_rows", """
-WITH p AS (SELECT url, CASE WHEN page_id % 3 = 0 THEN TIMESTAMP '2024-01-10' + INTERVAL (page_id % 9) DAY WHEN page_id % 3 = 1 THEN TIMESTAMP '2023-06-01' END AS t, page_id FROM pages WHERE contains(url, '/en/') AND NOT contains(url, '&'))
-SELECT 1::BIGINT AS map_id, url, t AS updated_at, row_number() OVER (ORDER BY t DESC NULLS LAST, url)::INT AS rank FROM p WHERE t IS NULL OR t >= TIMESTAMP '2024-01-13' QUALIFY rank <= 30""")
+WITH p AS (SELECT url, CASE WHEN page_id % 3 = 0 THEN TIMESTAMP '2024-01-10' + INTERVAL (page_id % 9) DAY WHEN page_id % 3 = 1 THEN TIMESTAMP '2023-06-01' END AS t, page_id // 64 AS map_id, contains(url, '/en/') AS wanted FROM pages),
+m AS (SELECT map_id, url, t AS updated_at, row_number() OVER (PARTITION BY map_id ORDER BY t DESC NULLS LAST, url)::INT AS rank FROM p WHERE wanted AND (t IS NULL OR t >= TIMESTAMP '2024-01-13') QUALIFY rank <= 30)
+SELECT * FROM m UNION ALL SELECT map_id, NULL, NULL, NULL FROM p GROUP BY map_id HAVING NOT bool_or(wanted)""")
 def _(spark, sf):
-    """A sitemap made of the pages, then read again; the newest 30 are the feature."""
-    p = table(spark, sf, "pages").where("contains(url, '/en/') AND NOT contains(url, '&')")
+    """Sitemaps made of 64 pages each, then read again; the newest 30 of a map are the feature."""
+    p = table(spark, sf, "pages").withColumn("map_id", F.floor(F.col("page_id") / 64))
     day = F.when(F.col("page_id") % 3 == 0, F.date_format(F.expr("TIMESTAMP_NTZ'2024-01-10'") + F.make_dt_interval(days=(F.col("page_id") % 9).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(F.col("page_id") % 3 == 1, "2023-06-01T00:00:00Z")
-    entry = F.concat_ws("", F.lit("<url><loc>"), "url", F.lit("</loc>"), F.when(day.isNotNull(), F.concat(F.lit("<lastmod>"), day, F.lit("</lastmod>"))), F.lit("</url>"))
+    entry = F.concat_ws("", F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc>"), F.when(day.isNotNull(), F.concat(F.lit("<lastmod>"), day, F.lit("</lastmod>"))), F.lit("</url>"))
     xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>"))
-    maps = p.agg(xml.alias("xml")).select(F.lit(1).cast("long").alias("map_id"), "xml")
+    maps = p.groupBy("map_id").agg(xml.alias("xml"))
     out = files.sitemap_rows(maps, "map_id", "xml", F.expr("TIMESTAMP'2024-01-20'"), ["/en/"], 30)
     return out.select("map_id", "url", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"), "rank")
 
@@ -106,13 +100,7 @@ def _(spark, sf):
     return files.feed_rows(feeds, "conv_id", "xml").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min("title").alias("first_title"))
 
 
-@register("cli_envelope", "SELECT event_id, event_id AS n FROM events WHERE event_id % 2 = 0")
-def _(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 2 = 0").select("event_id", F.concat(F.lit('log line\n{"note":1}\n{"ok":true,"n":'), "event_id", F.lit("}\n")).alias("out"))
-    return files.envelope(e, "event_id", "out").select("event_id", F.get_json_object("envelope", "$.n").cast("long").alias("n"))
-
-
-@register("cli_envelope_all", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id END AS n FROM events")
+@register("cli_envelope", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id END AS n FROM events")
 def _(spark, sf):
     """All events; the output of odd ones has no envelope."""
     last = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"ok":true,"n":'), "event_id", F.lit("}\n"))).otherwise("no envelope\n")

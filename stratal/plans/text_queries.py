@@ -50,25 +50,13 @@ def _(spark, sf):
     return e.join(known, "event_id", "left").where(~F.col("event_type").eqNullSafe(F.col("before"))).select("event_id")
 
 
-@register("html_title", "SELECT page_id, left(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), 500) AS title FROM pages WHERE NOT regexp_matches(html, '(?is)<title[^>]*>[^<]*&(lt|gt|nbsp);')")
-def _(spark, sf):
-    p = table(spark, sf, "pages").where(~F.col("html").rlike("(?is)<title[^>]*>[^<]*&(lt|gt|nbsp);"))
-    return p.select("page_id", X.html_title("html").alias("title"))
-
-
-@register("html_title_all", "SELECT page_id, left(replace(replace(replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), 500) AS title FROM pages")
+@register("html_title", "SELECT page_id, left(replace(replace(replace(replace(replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), 500) AS title FROM pages")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.html_title("html").alias("title"))
 
 
 @register("html_text", r"""
-SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages WHERE NOT contains(html, '&nbsp;')""")
-def _(spark, sf):
-    return table(spark, sf, "pages").where(~F.contains(F.col("html"), F.lit("&nbsp;"))).select("page_id", X.html_text("html").alias("text"))
-
-
-@register("html_text_all", r"""
-SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.html_text("html").alias("text"))
 
@@ -80,24 +68,16 @@ def _(spark, sf):
 
 @register("html_links_dedup_topn", """
 WITH l AS (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]*href="([^"]*)"', 1) AS links FROM pages)),
-f AS (SELECT page_id, links[i] AS href, min(i) AS i FROM l WHERE NOT contains(links[i], ',') GROUP BY ALL)
+f AS (SELECT page_id, links[i] AS href, min(i) AS i FROM l GROUP BY ALL)
 SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY i) AS rank FROM f QUALIFY rank <= 3""")
 def _(spark, sf):
-    """Anchors of a page in order, filtered, the first of equal ones, three at most (the feature: the newest entries of an index)."""
-    links = F.array_distinct(F.filter(X.html_hrefs("html"), lambda h: ~F.contains(h, F.lit(","))))
+    """Anchors of a page in order, the first of equal ones, three at most (the feature: the newest entries of an index)."""
+    links = F.array_distinct(X.html_hrefs("html"))
     p = table(spark, sf, "pages").select("page_id", F.posexplode(F.slice(links, 1, 3)).alias("at", "href"))
     return p.select("page_id", "href", (F.col("at") + 1).cast("long").alias("rank"))
 
 
-@register("absolute_links", f"""
-WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a[^>]*href="([^"]*)"', 1)) AS href FROM pages)
-SELECT page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href AS target FROM l WHERE href[1] = '/' AND href[2] <> '/'""")
-def _(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", "url", F.explode(X.html_hrefs("html")).alias("href")).where("href LIKE '/%' AND href NOT LIKE '//%' AND length(href) > 1")
-    return p.select("page_id", X.absolute_url("href", "url").alias("target"))
-
-
-@register("absolute_links_all", r"""
+@register("absolute_links", r"""
 WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a[^>]*href="([^"]*)"', 1)) AS href FROM pages UNION ALL
 SELECT page_id, url, unnest(['//cdn.example/x', '/root', 'beside.html', '#part', '?q=1', '', 'mailto:a@b.example', 'https://other.example/y']) FROM pages)
 SELECT page_id, href, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN split_part(url, '//', 1) || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href
@@ -114,14 +94,7 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.left(X.collapse("text"), F.lit(240)).alias("preview"))
 
 
-@register("md_title", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN nullif(trim(split_part(text, chr(10), 1)), '') END AS title FROM documents WHERE NOT contains(text, '# ')")
-def _(spark, sf):
-    d = table(spark, sf, "documents").where(~F.contains(F.col("text"), F.lit("# ")))
-    content = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("intro\n# "), "text")).otherwise(F.col("text"))
-    return d.select("doc_id", X.markdown_title(content).alias("title"))
-
-
-@register("md_title_all", "SELECT doc_id, nullif(trim(regexp_extract(CASE WHEN doc_id % 3 = 0 THEN 'intro' || chr(10) || '# ' || text ELSE text END, '(?m)^# (.*)$', 1)), '') AS title FROM documents")
+@register("md_title", "SELECT doc_id, nullif(trim(regexp_extract(CASE WHEN doc_id % 3 = 0 THEN 'intro' || chr(10) || '# ' || text ELSE text END, '(?m)^# (.*)$', 1)), '') AS title FROM documents")
 def _(spark, sf):
     content = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("intro\n# "), "text")).otherwise(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", X.markdown_title(content).alias("title"))
@@ -173,25 +146,14 @@ def _(spark, sf):
     return p.select("doc_id", C.paper_item_id(X.arxiv_id("url"), version, X.arxiv_version("url").isNotNull(), F.col("announce"), F.col("at")).alias("item_id"), C.paper_change(version, F.col("announce")).alias("change"))
 
 
-@register("safe_ids", "SELECT page_id, replace(replace(url, '/', '_'), ':', '_') AS safe, regexp_replace(lower(url), '[^a-z0-9_-]+', '_', 'g') AS slug FROM pages WHERE length(regexp_replace(lower(url), '[^a-z0-9_-]+', '_', 'g')) <= 48")
-def _(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", X.safe_id("url").alias("safe"), X.key_slug("url").alias("slug"), "url")
-    return p.where(F.length(F.regexp_replace(F.lower("url"), "[^a-z0-9_-]+", "_")) <= 48).drop("url")
-
-
-@register("safe_ids_all", """
+@register("safe_ids", """
 WITH s AS (SELECT page_id, url, regexp_replace(lower(url), '[^a-z0-9_-]+', '_', 'g') AS slug FROM pages)
 SELECT page_id, replace(replace(url, '/', '_'), ':', '_') AS safe, CASE WHEN length(slug) <= 48 THEN slug ELSE left(slug, 41) || '-' || left(sha256(url), 6) END AS slug FROM s""")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.safe_id("url").alias("safe"), X.key_slug("url").alias("slug"))
 
 
-@register("long_keys", "SELECT page_id, left(regexp_replace(lower(url || url), '[^a-z0-9_-]+', '_', 'g'), 41) || '-' || left(sha256(url || url), 6) AS slug FROM pages WHERE length(url) > 40")
-def _(spark, sf):
-    return table(spark, sf, "pages").where("length(url) > 40").select("page_id", X.key_slug(F.concat("url", "url")).alias("slug"))
-
-
-@register("long_keys_all", """
+@register("long_keys", """
 WITH s AS (SELECT page_id, url || url AS key, regexp_replace(lower(url || url), '[^a-z0-9_-]+', '_', 'g') AS slug FROM pages)
 SELECT page_id, CASE WHEN length(slug) <= 48 THEN slug ELSE left(slug, 41) || '-' || left(sha256(key), 6) END AS slug FROM s""")
 def _(spark, sf):
@@ -250,10 +212,11 @@ def _(spark, sf):
     return d.select("doc_id", F.col("snapshot_id").rlike(r"\A[0-9a-f]{64}\z").alias("valid"))
 
 
-@register("batch_input_hash", "SELECT source, sha256('v1' || chr(31) || source || chr(31) || string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS input_hash FROM documents GROUP BY source")
+@register("batch_input_hash", "SELECT source, doc_id // 128 AS batch, sha256('v1' || chr(31) || source || chr(31) || string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS input_hash FROM documents GROUP BY 1, 2")
 def _(spark, sf):
-    d = table(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))).alias("r"))
-    return d.select("source", F.sha2(F.concat_ws("\x1f", F.lit("v1"), "source", F.array_join(F.transform("r", lambda x: x["h"]), "\n")), 256).alias("input_hash"))
+    """Inputs of batches of 128 ids at most: a batch is bounded, so its ordered list is."""
+    d = table(spark, sf, "documents").groupBy("source", F.floor(F.col("doc_id") / 128).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))).alias("r"))
+    return d.select("source", "batch", F.sha2(F.concat_ws("\x1f", F.lit("v1"), "source", F.array_join(F.transform("r", lambda x: x["h"]), "\n")), 256).alias("input_hash"))
 
 
 @register("idempotency_key", "SELECT doc_id, left(sha256('dm:' || source || ':2024-01-01:' || sha256(text)), 48) AS key FROM documents")
@@ -261,17 +224,11 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.left(F.sha2(F.concat_ws(":", F.lit("dm"), "source", F.lit("2024-01-01"), F.sha2("text", 256)), 256), F.lit(48)).alias("key"))
 
 
-@register("artifact_hash", "SELECT source, sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || text, chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE doc_id < 400 GROUP BY source")
-def _(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id < 400").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.concat_ws(":", "doc_id", "text").alias("line")))).alias("r"))
-    return d.select("source", F.sha2(F.array_join(F.transform("r", lambda x: x["line"]), "\n"), 256).alias("digest"))
-
-
-@register("artifact_hash_all", """
+@register("artifact_hash", """
 WITH b AS (SELECT source, doc_id // 4096 AS block, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1, 2)
 SELECT source, sha256(string_agg(digest, chr(10) ORDER BY block)) AS digest FROM b GROUP BY 1""")
 def _(spark, sf):
-    """All documents of each source, by hashes of rows and of blocks of ids; artifact_hash has whole texts of the first 400."""
+    """All documents of each source, by hashes of rows and of blocks of ids."""
     return P.ordered_digest(table(spark, sf, "documents"), "source", "doc_id", "text", 4096)
 
 
@@ -387,14 +344,15 @@ def _(spark, sf):
 
 @register("member_samples", "SELECT source, list_transform(list_sort(list(doc_id))[1:3], lambda x: CAST(x AS VARCHAR)) AS sample FROM documents GROUP BY source")
 def _(spark, sf):
-    d = table(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    return d.select("source", F.transform(F.slice("ids", 1, 3), lambda x: x.cast("string")).alias("sample"))
+    d = S.first_k(table(spark, sf, "documents"), "source", "doc_id", 3, "ids")
+    return d.select("source", F.transform("ids", lambda x: x.cast("string")).alias("sample"))
 
 
 @register("history_tail", "SELECT user_id, l[greatest(len(l) - 19, 1):] AS last_ids FROM (SELECT user_id, list(event_id ORDER BY event_id) AS l FROM events GROUP BY 1)")
 def _(spark, sf):
-    e = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("l"))
-    return e.select("user_id", N.last_entries("l", 20).alias("last_ids"))
+    """The last twenty of each user; no more than twenty a task are passed on."""
+    e = table(spark, sf, "events").select("user_id", (-F.col("event_id")).alias("back"))
+    return S.first_k(e, "user_id", "back", 20, "l").select("user_id", F.reverse(F.transform("l", lambda x: -x)).alias("last_ids"))
 
 
 @register("dt_lenient_parse", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN TIMESTAMP '1970-01-01' + INTERVAL (event_id) SECOND WHEN 2 THEN TIMESTAMP '2026-08-30' END AS t FROM events")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stratal.streaming.ledger import _folder, shared_root
+from stratal.sources.shared import shared_root
+from stratal.streaming.ledger import _folder
 
 HOUR = 3_600_000_000
 
@@ -39,7 +40,7 @@ def with_cooldown(events: DataFrame, cooldown_micros: int) -> DataFrame:
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratal.functions.times import micros
 
-    root, source = shared_root(spark), f"{sf_dir}/events.parquet"
+    root, source = shared_root(spark, "stream"), f"{sf_dir}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(_folder(spark, source, root))
     rows = stream.where("value > 50").select(F.col("user_id").alias("entity"), "event_id", micros("ts").alias("t"))
     query = with_cooldown(rows, 24 * HOUR).writeStream.format("parquet").option("path", f"{root}/accepted").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()

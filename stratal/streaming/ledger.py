@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratal.operators import ledger as L
+from stratal.sources.shared import exists, shared_root
 
 ARRIVAL = "item_id string, content_hash string, observation_kind string, seq long"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def state(spark: SparkSession, root: str) -> DataFrame:
     """All appended rows; an empty ledger is an empty table."""
-    if not _exists(spark, f"{root}/items"):
+    if not exists(spark, f"{root}/items"):
         return spark.createDataFrame([], ARRIVAL + ", batch long")
     return spark.read.schema(ARRIVAL + ", batch long").parquet(f"{root}/items")
 
@@ -42,13 +35,8 @@ def start(arrivals: DataFrame, root: str):
     return arrivals.writeStream.foreachBatch(appender(root)).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
 
 
-def shared_root(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="stratal-")
-    return f"{base.rstrip('/')}/stratal/stream-{uuid.uuid4().hex[:12]}"
-
-
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root, source = shared_root(spark), f"{sf_dir}/events.parquet"
+    root, source = shared_root(spark, "stream"), f"{sf_dir}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, source, root))
     kind = F.lit("live_increment")
     arrivals = stream.select(F.concat(F.lit("user:"), "user_id").alias("item_id"), F.sha2("event_type", 256).alias("content_hash"), kind.alias("observation_kind"), F.col("event_id").alias("seq"))

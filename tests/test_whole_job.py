@@ -18,12 +18,12 @@ def test_artifact_hash_sees_every_document(spark):
     before, after = digest(d.repartition(7)), digest(late)
     assert before["s0"] == after["s0"] and before["s1"] != after["s1"] and digest(d) == before
     assert digest(d.where("doc_id <> 5000"))["s0"] != before["s0"]
-    assert catalogue.queries()["artifact_hash_all"](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").select("source").distinct().count()
+    assert catalogue.queries()["artifact_hash"](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").select("source").distinct().count()
 
 
 def test_no_event_or_customer_is_filtered_away(spark):
     """Every user of sf0.1 has its row, counts add up to all events, and each outcome occurs."""
-    q = lambda name: catalogue.queries()[f"{name}_all"](spark, SF)
+    q = lambda name: catalogue.queries()[name](spark, SF)
     e = spark.read.parquet(f"{SF}/events.parquet")
     n, users = e.count(), e.select("user_id").distinct().count()
     block = q("status_block").select(F.sum(F.col("n_ok") + F.col("n_failed")).alias("n"), F.count(F.lit(1)).alias("users")).first()
@@ -41,7 +41,7 @@ def test_no_event_or_customer_is_filtered_away(spark):
 
 
 def test_every_page_link_and_document_has_a_row(spark):
-    q = lambda name: catalogue.queries()[f"{name}_all"](spark, SF)
+    q = lambda name: catalogue.queries()[name](spark, SF)
     pages, documents = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("pages", "documents"))
     n = pages.count()
     assert [q(name).count() for name in ("html_title", "html_text", "safe_ids", "long_keys")] == [n] * 4 and q("md_title").count() == documents.count()
@@ -55,7 +55,7 @@ def test_entities_titles_and_links_that_were_filtered_away(spark, tmp_path):
     spark.createDataFrame([(1, "http://h.example/a/b?x=1#t", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     texts = [(0, "body"), (1, "no title\n# Real \nrest"), (2, "a # b"), (3, "x\n# second"), (4, "#none\n#  \nx")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    q = lambda name: catalogue.queries()[f"{name}_all"](spark, str(tmp_path))
+    q = lambda name: catalogue.queries()[name](spark, str(tmp_path))
     assert q("html_title").first()["title"] == "a <b> c &lt;" and q("html_text").first()["text"] == "a <b> c &lt; x y &amp; z k"
     assert {r["href"]: r["target"] for r in q("absolute_links").collect()} == {
         "//c.example/z": "http://c.example/z", "//cdn.example/x": "http://cdn.example/x", "/root": "http://h.example/root", "beside.html": "http://h.example/a/beside.html", "#part": "http://h.example/a/b?x=1#part",
