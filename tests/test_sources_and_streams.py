@@ -89,3 +89,14 @@ def test_id_scan_batch_and_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [k for k in range(101, 951) if k % 10]
+
+
+def test_the_keyed_ledger_equals_the_batch_over_several_runs(spark, tmp_path):
+    rows = [[("a", "1" * 64, "live_increment", 1), ("a", "2" * 64, "live_increment", 2), ("b", None, "live_increment", 3), ("c", "5" * 64, "bootstrap_snapshot", 4)], [("a", "1" * 64, "live_increment", 5), ("a", "2" * 64, "live_increment", 6), ("a", "3" * 64, "live_increment", 7), ("b", "4" * 64, "live_increment", 8), (None, "6" * 64, "live_increment", 9)], [("c", "7" * 64, "live_increment", 10), ("d", "8" * 64, "live_increment", 11)]]
+    source, root = f"{tmp_path}/in", f"file://{tmp_path}/ledger"
+    for k, part in enumerate(rows):  # three runs, the state of each taken up by the next
+        spark.createDataFrame(part, stream.ARRIVAL).coalesce(1).write.mode("append").parquet(source)
+        stream.start(spark.readStream.schema(stream.ARRIVAL).parquet(source), root).awaitTermination()
+    got = spark.read.schema(stream.ARRIVAL).parquet(f"{root}/items").collect()
+    want = L.put_items(spark.createDataFrame([r for part in rows for r in part], stream.ARRIVAL)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 8
