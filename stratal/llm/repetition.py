@@ -100,27 +100,6 @@ def repeat_lengths(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def maximal_repeats(words: list, min_words: int = 1) -> list[tuple[int, tuple[int, ...]]]:
-    """(length, starts) of every repeated substring of one document that no occurrence-preserving extension makes longer."""
-    ids: dict = {}
-    w = np.array([ids.setdefault(x, len(ids)) for x in words], dtype=np.int64)
-    if len(w) < 2:
-        return []
-    order, levels = doubled_ranks(w, np.zeros(len(w), dtype=np.int64))
-    lcp = [*common_prefixes(order, levels).tolist(), 0]
-    found, stack = [], [(0, 0)]
-    for i in range(1, len(lcp)):
-        left = i - 1
-        while lcp[i] < stack[-1][0]:
-            length, left = stack.pop()
-            starts = tuple(sorted(order[left:i].tolist()))
-            if length >= min_words and (starts[0] == 0 or len({w[s - 1] for s in starts}) > 1):
-                found.append((length, starts))
-        if lcp[i] > stack[-1][0]:
-            stack.append((lcp[i], left))
-    return sorted(found)
-
-
 def spans_of(lengths: np.ndarray, min_words: int) -> np.ndarray:
     """True for the words inside a repeat of at least min_words words."""
     n = len(lengths)

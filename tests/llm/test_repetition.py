@@ -29,10 +29,32 @@ def test_repeat_lengths_equal_brute_force():
         assert R.repeat_lengths(words, doc).tolist() == [x for d in docs for x in brute_lengths(d)]
 
 
-def test_maximal_repeats():
-    found = R.maximal_repeats("x a b c y a b c z b c".split(), 2)
-    assert (3, (1, 5)) in found and (2, (2, 6, 9)) in found and all(n >= 2 for n, _ in found)
-    assert R.maximal_repeats(["a"]) == []
+def maximal_repeats(words, least):
+    """(length, starts) of the repeated substrings that no longer one with the same occurrences contains, by plain search."""
+    places = {}
+    for i in range(len(words)):
+        for j in range(i + 1, len(words) + 1):
+            places.setdefault(tuple(words[i:j]), []).append(i)
+    out = []
+    for sub, starts in places.items():
+        before = {tuple(words[s - 1 : s]) if s else None for s in starts}
+        after = {tuple(words[s + len(sub) : s + len(sub) + 1]) or None for s in starts}
+        wide = lambda ends: len(ends) > 1 or ends == {None}
+        if len(starts) > 1 and len(sub) >= least and wide(before) and wide(after):
+            out.append((len(sub), starts))
+    return out
+
+
+def test_spans_are_the_union_of_maximal_repeats():
+    rng = random.Random(7)
+    for _ in range(150):
+        words = [rng.randrange(rng.choice([1, 2, 4])) for _ in range(rng.randrange(0, 22))]
+        for least in (1, 2, 4):
+            found = maximal_repeats(words, least)
+            covered = {s + k for n, starts in found for s in starts for k in range(n)}
+            lengths = R.repeat_lengths(np.array(words, dtype=np.int64), np.zeros(len(words), dtype=np.int64))
+            assert set(np.flatnonzero(R.spans_of(lengths, least)).tolist()) == covered
+            assert max(lengths, default=0) >= max((n for n, _ in found), default=0)
 
 
 def base(text):
