@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratal.llm.common import by_bytes, fresh_path, texts_of
+from stratal.llm.common import by_bytes, fresh_path, small_batches, texts_of
 from stratal.llm.tokens import END_ID, default_tokenizer, encoder
 
 MAGIC = b"PFORBLK1"
@@ -192,7 +192,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str | None = None,
         from pyspark import TaskContext
 
         sink = None
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, limit=2_000_000):
             if sink is None:
                 store, root = _store(path)
                 store.create_dir(root, recursive=True)
@@ -211,7 +211,8 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str | None = None,
             yield pa.RecordBatch.from_pylist([{"shard": shard, "file": f"shard-{shard:07d}.pfor", "docs": len(writer.docs), "tokens": writer.n_values}])
 
     dealt = texts_of(docs).repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows = sorted(dealt.mapInArrow(write, "shard long, file string, docs long, tokens long").collect())
+    with small_batches(docs.sparkSession):
+        rows = sorted(dealt.mapInArrow(write, "shard long, file string, docs long, tokens long").collect())
     before, out = 0, []
     for _, file, n_docs, tokens in rows:
         out.append((file, n_docs, tokens, before))
