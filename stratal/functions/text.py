@@ -127,6 +127,11 @@ def rewrite_links(content, ids, urls: Column, scheme: str = "report") -> Column:
     return F.aggregate(order, _c(content), step)
 
 
+def unknown_links(content, ids, scheme: str = "report") -> Column:
+    """The ids of scheme:// links in the content that are none of the given, each once, in order; a rewrite may go on only if there is none."""
+    return F.array_except(F.array_distinct(F.regexp_extract_all(_c(content), F.lit(rf"(?<![a-z]){scheme}://([a-z0-9_-]+)"), F.lit(1))), _c(ids))
+
+
 def has_link(content, key, scheme: str = "report") -> Column:
     return F.regexp_like(_c(content), F.concat(F.lit(rf"(?<![a-z]){scheme}://"), _c(key), F.lit("(?![a-z0-9_-])")))
 

@@ -38,6 +38,22 @@ def packages_valid(packages: DataFrame, units: DataFrame, catalog: DataFrame) ->
     return many.unionByName(repeated).unionByName(cover).unionByName(told)
 
 
+def legacy_valid(units: DataFrame, annotations: DataFrame, packages: DataFrame) -> DataFrame:
+    """problem, id of annotated units (unit_id, disposition) and packages (package_id, investigate_unit_ids, supporting_unit_ids):
+    more than 15 packages, one that investigates nothing, repeated packages, units not annotated exactly once, investigated
+    units not in exactly one package, and supporting units that are attached twice or were not annotated so. Null lists are empty."""
+    many = packages.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_PACKAGES).select(F.lit("too many packages").alias("problem"), F.col("n").cast("string").alias("id"))
+    bare = packages.where(F.coalesce(F.size("investigate_unit_ids"), F.lit(0)) <= 0).select(F.lit("nothing to investigate").alias("problem"), F.col("package_id").cast("string").alias("id"))
+    repeated = duplicates(packages, "package_id").select(F.lit("duplicate package").alias("problem"), F.col("package_id").cast("string").alias("id"))
+    told = lambda found, what: found.select(F.concat("problem", F.lit(f" {what}")).alias("problem"), F.col("unit_id").cast("string").alias("id"))
+    of = lambda kind: annotations.where(F.col("disposition") == kind).select("unit_id")
+    listed = lambda c: packages.select(F.explode(c).alias("unit_id"))
+    annotated = told(exact_cover(units.select("unit_id"), annotations, "unit_id"), "annotation")
+    assigned = told(exact_cover(of("investigate"), listed("investigate_unit_ids"), "unit_id"), "investigated unit")
+    attached = told(exact_cover(of("supporting"), listed("supporting_unit_ids"), "unit_id").where("problem <> 'missing'"), "supporting unit")
+    return many.unionByName(bare).unionByName(repeated).unionByName(annotated).unionByName(assigned).unionByName(attached)
+
+
 def subset_output(rows: DataFrame, allowed: DataFrame) -> DataFrame:
     """Rows of a partial output whose unit is allowed; others are dropped."""
     return rows.join(allowed.select("unit_id"), "unit_id", "left_semi")

@@ -12,6 +12,11 @@ def article_kind(previous_hash: Column, occurred: Column, now: Column, bootstrap
     return F.when(previous_hash.isNotNull(), "content_revision").when(old & first_poll, "bootstrap_snapshot").when(old, "late_arrival").otherwise("live_increment")
 
 
+def paper_kind(requested: Column, today: Column) -> Column:
+    """A paper of a day before today's was listed late."""
+    return F.when(requested < today, "late_arrival").otherwise("live_increment")
+
+
 def time_basis(updated: Column, has_time: Column) -> Column:
     return F.when(updated, "updated").when(has_time, "occurred").otherwise("observed")
 

@@ -112,3 +112,37 @@ def failure_cooldown(attempts: DataFrame, entity: str, ts: str, tie: str, failed
     rows = attempts.withColumn("__failed", failed.cast("int")).withColumn("__island", F.sum(1 - F.col("__failed")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     streak = F.sum("__failed").over(Window.partitionBy(entity, "__island").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("failures", streak).withColumn("cooling", F.col("failures") >= after).drop("__failed", "__island")
+
+
+def repository_context(probes: DataFrame, snapshots: DataFrame, items: DataFrame, markers: DataFrame) -> DataFrame:
+    """What committed history says of each probe: probe_id, latest, baseline_6h, _24h, _7d, existing_item_ids, growth_event_at.
+
+    probes: probe_id (unique), repo_id, observed_at, event_item_ids, growth_event_key; snapshots: repo_id, observed_at,
+    snapshot_id, stars, metadata; items: item_id; markers: event_key, observed_at (the newest counts). latest is the
+    snapshot strictly before the probe, a baseline the last one at or before the probe minus its horizon, of several at one
+    instant that of the largest id; null where there is none. Probes and snapshots are sorted together once, and
+    every horizon is a RANGE frame over that order.
+    """
+    held = F.struct("t", "snapshot_id", "observed_at", "stars", "metadata")
+    s = snapshots.withColumn("t", micros("observed_at")).select("repo_id", "t", held.alias("held"))
+    p = probes.select("repo_id", micros("observed_at").alias("t"), "probe_id", "growth_event_key", F.lit(True).alias("is_probe"))
+    w, latest = series("repo_id"), F.max("held")
+    frames = {"latest": latest.over(w.rangeBetween(Window.unboundedPreceding, -1))}
+    frames |= {f"baseline_{h}": latest.over(w.rangeBetween(Window.unboundedPreceding, -length)) for h, length in HORIZONS.items()}
+    seen = s.unionByName(p, allowMissingColumns=True).withColumns(frames).where("is_probe")
+    shown = [F.when(F.col("latest").isNotNull(), F.struct("latest.observed_at", "latest.stars", "latest.metadata")).alias("latest")]
+    shown += [F.when(F.col(f"baseline_{h}").isNotNull(), F.struct(f"baseline_{h}.observed_at", f"baseline_{h}.stars")).alias(f"baseline_{h}") for h in HORIZONS]
+    asked = probes.select("probe_id", F.explode("event_item_ids").alias("item_id")).join(items.select("item_id"), "item_id", "left_semi")
+    known = asked.groupBy("probe_id").agg(F.array_sort(F.collect_set("item_id")).alias("existing_item_ids"))
+    marked = markers.groupBy(F.col("event_key").alias("growth_event_key")).agg(F.max("observed_at").alias("growth_event_at"))
+    out = seen.select("probe_id", "growth_event_key", *shown).join(known, "probe_id", "left").join(marked, "growth_event_key", "left")
+    ids = F.coalesce("existing_item_ids", F.expr("CAST(array() AS array<string>)")).alias("existing_item_ids")
+    return out.select("probe_id", "latest", *(f"baseline_{h}" for h in HORIZONS), ids, "growth_event_at")
+
+
+def snapshot_history(snapshots: DataFrame, repo_id=None) -> DataFrame:
+    """Snapshots (repo_id, observed_at, snapshot_id, metadata, file_ref) with their position in their repository's history,
+    in order; of one repository if it is named, which then filters the scan."""
+    own = snapshots if repo_id is None else snapshots.where(F.col("repo_id") == repo_id)
+    position = F.row_number().over(Window.partitionBy("repo_id").orderBy("observed_at", "snapshot_id"))
+    return own.select("repo_id", position.cast("long").alias("position"), "observed_at", "snapshot_id", "metadata", "file_ref").orderBy("repo_id", "position")

@@ -7,6 +7,8 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratal.functions.text import markdown_title
+
 
 class Sink(Protocol):
     """What a publishing target offers; `apply` must do nothing for a key that it has with that content."""
@@ -35,7 +37,10 @@ class MemorySink:
 
 
 def publish(desired: DataFrame, sink: Sink) -> int:
-    """Brings the sink to the desired tree (key, content_hash) of one day, parents first; returns the number of writes."""
+    """Brings the sink to the desired tree (key, content_hash) of one day, parents first; returns the number of writes.
+
+    Afterwards the sink is read back: a node that it lacks, holds with other content or should have lost is an error.
+    """
     from stratal.operators.selection import desired_diff
 
     recorded = desired.sparkSession.createDataFrame(list(sink.recorded().items()), "key string, content_hash string")
@@ -44,6 +49,11 @@ def publish(desired: DataFrame, sink: Sink) -> int:
     for row in todo.toLocalIterator():
         sink.apply(row["action"], row["key"], row["content_hash"])
         n += 1
+    if n:
+        found = desired.sparkSession.createDataFrame(list(sink.recorded().items()), "key string, content_hash string")
+        wrong = desired_diff(desired, found).where("action <> 'skip'").limit(5).collect()
+        if wrong:
+            raise RuntimeError(f"the target does not hold what was written: {[tuple(r) for r in wrong]}")
     return n
 
 
@@ -83,3 +93,26 @@ def ordered_digest(df: DataFrame, key: str, order: str, content: str, block: int
     line = F.concat_ws(":", order, F.sha2(content, 256)).alias("line")
     blocks = df.groupBy(key, F.floor(F.col(order) / block).alias("block")).agg(joined(F.struct(order, line)).alias("line"))
     return blocks.groupBy(key).agg(joined(F.struct("block", "line")).alias("digest"))
+
+
+def recent_history(reports: DataFrame, now, current_run: str, days: int = 30) -> DataFrame:
+    """date, attempt, package, target, title, line, content of the reports of the last days that are not of the current run.
+
+    reports: date, attempt, package, name, modified_at, content. A package has one target, the last of its reports by name;
+    the title is the first line that starts with "# ", else the package. A report of unknown age is left out.
+    """
+    run = F.concat_ws("/", "date", "attempt")
+    recent = reports.where((F.col("modified_at") >= now - F.expr(f"INTERVAL {days} DAYS")) & (run != current_run))
+    last = recent.groupBy("date", "attempt", "package").agg(F.max_by(F.struct("content"), F.struct("name", "modified_at"))["content"].alias("content"))
+    target = F.concat(F.concat_ws("-", "date", "attempt", "package"), F.lit(".md"))
+    titled = last.withColumns({"target": target, "title": F.coalesce(markdown_title("content"), F.col("package").cast("string"))})
+    line = F.concat(F.lit("- ["), "title", F.lit("](history/"), "target", F.lit(")"))
+    return titled.select("date", "attempt", "package", "target", "title", line.alias("line"), "content")
+
+
+def copy_history(history: DataFrame, path: str) -> None:
+    """Writes the reports as path/history/target=<name> and, once they are all there, the list of them as path/history_index."""
+    history.select("target", F.col("content").alias("value")).write.mode("overwrite").partitionBy("target").text(f"{path}/history")
+    head = history.sparkSession.createDataFrame([("", "# Prior research reports"), ("", "")], "target string, line string")
+    lines = head.unionByName(history.select("target", "line")).orderBy("target", F.desc("line"))
+    lines.select(F.col("line").alias("value")).write.mode("overwrite").text(f"{path}/history_index")

@@ -83,3 +83,8 @@ def first_k(rows: DataFrame, key: str, order: str, k: int, name: str) -> DataFra
     """key, name: the k smallest order values of each key, ascending; a task passes on k rows a key at most, so no key is gathered whole."""
     at = F.row_number().over(Window.partitionBy(key).orderBy(order))
     return rows.select(key, order).withColumn("_at", at).where(F.col("_at") <= k).groupBy(key).agg(F.array_sort(F.collect_list(order)).alias(name))
+
+
+def overflow(rows: DataFrame, scope: str, cap: int) -> DataFrame:
+    """scope, n_found, n_dropped of the scopes that a cap cuts: the warning beside capped_in_order."""
+    return rows.groupBy(scope).agg(F.count(F.lit(1)).alias("n_found")).where(F.col("n_found") > cap).withColumn("n_dropped", F.col("n_found") - cap)

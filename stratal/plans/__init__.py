@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-THEMES = ["ledger_queries", "text_queries", "unit_queries", "publish_queries", "handoff_queries"]
+THEMES = ["ledger_queries", "text_queries", "unit_queries", "publish_queries", "handoff_queries", "context_queries"]
 
 
 def load() -> None:

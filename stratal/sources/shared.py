@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +24,25 @@ def shared_root(spark: SparkSession, name: str) -> str:
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+@contextmanager
+def single_owner(spark: SparkSession, path: str, stale_minutes: int = 60):
+    """Holds path as a lock while the block runs; a second owner gets a RuntimeError.
+
+    A lock that is older than `stale_minutes` belongs to a driver that was lost: it is renamed away, which only one of
+    several claimants can do, and then made anew. Creating is as exclusive as the store's create without overwriting is.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    lock = p(path)
+    fs = lock.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(lock) and fs.getFileStatus(lock).getModificationTime() < (time.time() - 60 * stale_minutes) * 1000:
+        old = p(f"{path}.stale-{uuid.uuid4().hex[:8]}")
+        if fs.rename(lock, old):
+            fs.delete(old, False)
+    if not fs.createNewFile(lock):
+        raise RuntimeError(f"another owner holds {path}")
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
