@@ -202,14 +202,18 @@ def _possible(words: list[str], percent: int):
     return sizes & within(short) & within(full)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
-    """a, b and whether they link, of pairs of nodes, on the whole sets; a node with very many pairs is dealt over tasks."""
+def _compared(pairs: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+    """a, b, i, u: the sizes of intersection and union of pairs of nodes, on the whole sets; a node with very many pairs is dealt over tasks."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
     both = split_join(split_join(pairs, left, ["a"], total), right, ["b"], total, counts=pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_n")))
     shared = F.size(F.array_intersect("s", "t")).cast("long")
-    union = F.size("s") + F.size("t") - F.col("i")
-    return both.select("a", "b", "s", "t", shared.alias("i")).select("a", "b", (100 * F.col("i") >= percent * union).alias("linked"))
+    return both.select("a", "b", "s", "t", shared.alias("i")).select("a", "b", "i", (F.size("s") + F.size("t") - F.col("i")).alias("u"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
+    """a, b and whether they link."""
+    return _compared(pairs, sets, total).select("a", "b", (100 * F.col("i") >= percent * F.col("u")).alias("linked"))
 
 
 def _with_rows(docs: DataFrame) -> DataFrame:
@@ -262,8 +266,9 @@ def _across(members: DataFrame, sized: DataFrame, linked: DataFrame, words: list
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def _classes(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Rows (row, doc_id, n, c1, c2) of all documents, and of every class (c1, c2) its component (a number) and the smallest doc_id in it."""
+def _candidates(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (row, doc_id, n, c1, c2) of all documents, the representative (c1, c2, rep, row) of each class with words, the groups
+    (node, hub) of classes that index the same subset, and the sets of their nodes."""
     if not 50 < percent < 100:
         raise ValueError("the similarity has to be between 51 and 99 percent: linked sizes may not differ by a factor of two")
     docs = _with_rows(docs)
@@ -285,9 +290,19 @@ def _classes(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> tup
     sets = scratch(_sets(texts.select("node", "text"), width), "sets")
     if repeated.limit(1).count():
         sets = scratch(sets.dropDuplicates(["node"]), "sets")
+    return rows, reps, members, sets
+
 
+def _sized(sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[str]]:
+    """The sets without their shingles, the short sketch as columns, and the names of those."""
     words = [f"k{k}" for k in range(SKETCH_WORDS)]
-    sized = scratch(sets.select("node", "n", "fine", *(F.col("sketch")[k].alias(w) for k, w in enumerate(words))), "sized")
+    return scratch(sets.select("node", "n", "fine", *(F.col("sketch")[k].alias(w) for k, w in enumerate(words))), "sized"), words
+
+
+def _classes(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, doc_id, n, c1, c2) of all documents, and of every class (c1, c2) its component (a number) and the smallest doc_id in it."""
+    rows, reps, members, sets = _candidates(docs, width, percent, scratch)
+    sized, words = _sized(sets, scratch)
     side = lambda end: sized.select(*(F.col(c).alias(c + end) for c in ("node", "n", "fine", *words)))
     star = members.where("node <> hub").select(F.col("node").alias("node_a"), F.col("hub").alias("node_b"))
     star = split_join(star.join(side("_a"), "node_a"), side("_b"), ["node_b"], star.count(), counts=star.groupBy("node_b").agg(F.count(F.lit(1)).alias("_n")))
@@ -336,6 +351,56 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     return placed.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def _within(members: DataFrame, sized: DataFrame, words: list[str], percent: int, scratch: Scratch) -> DataFrame:
+    """a, b (a < b): all possible pairs that meet in a group, each group a grid of cells of bounded size."""
+    total = members.count()
+    size = max(CELL_ROWS, slice_size(total))
+    sides = members.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).select("hub", F.greatest(F.lit(1), F.ceil(F.col("m") / size)).cast("int").alias("cells"))
+    placed = scratch(split_join(members, sides, ["hub"], total).withColumn("cell", F.expr("CAST(pmod(xxhash64(node), cells) AS INT)")), "cells")
+    each = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    side = lambda df, end: df.join(sized, "node").select("hub", "i", "j", *(F.col(c).alias(c + end) for c in ("node", "n", "fine", *words)))
+    left = side(placed.select("hub", "node", F.col("cell").alias("i"), each.alias("j")), "_a")
+    right = side(placed.select("hub", "node", F.col("cell").alias("j"), each.alias("i")), "_b")
+    met = left.join(right, ["hub", "i", "j"]).where((F.col("node_a") < F.col("node_b")) & _possible(words, percent))
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The join itself: every link between different sets, and which documents hold them. Both are written tables.
+
+    pairs: class_a < class_b, n_shared, n_union (long) of each two classes that link, once. membership: doc_id, n_shingles,
+    class_id of each document, class_id null without words; documents of one class are copies and link as well. Unlike
+    jaccard_join, which needs a spanning set of links, all pairs that share an indexed subset and pass the sizes and
+    sketches are verified, so a group of near copies costs about the square of its different sets, as its links do.
+    Nulls, repeats, long texts, empty tables and other columns as in jaccard_join.
+    """
+    keep, scratch = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    rows, _, members, sets = _candidates(docs, width, percent, scratch)
+    sized, words = _sized(sets, scratch)
+    within = scratch(_within(members, sized, words, percent, scratch), "within")
+    found = _compared(within, sets, within.count()).where(100 * F.col("i") >= percent * F.col("u"))
+    pairs = keep(found.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), F.col("i").alias("n_shared"), F.col("u").alias("n_union")), "links")
+    membership = keep(rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c1")).alias("class_id")), "membership")
+    scratch.drop()
+    return pairs, membership
+
+
+def link_counts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, class_id, n_links of each document: how many other documents it links with, copies included.
+
+    A row that repeats an id is a document of its own; one without words has no links. Counted by class, never by pairs of copies.
+    """
+    pairs, membership = links(docs, width, percent)
+    sizes = membership.where("class_id IS NOT NULL").groupBy("class_id").agg(F.count(F.lit(1)).alias("copies"))
+    both = pairs.select(F.col("class_a").alias("of"), F.col("class_b").alias("class_id")).unionByName(pairs.select(F.col("class_b").alias("of"), F.col("class_a").alias("class_id")))
+    near = split_join(both, sizes, ["class_id"], 2 * pairs.count()).groupBy(F.col("of").alias("class_id")).agg(F.sum("copies").alias("near"))
+    counts = sizes.join(near, "class_id", "left").select("class_id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    total = membership.count()
+    linked = split_join(membership.where("class_id IS NOT NULL"), counts, ["class_id"], total).select("doc_id", "n_shingles", "class_id", "n_links")
+    none = membership.where("class_id IS NULL").select("doc_id", "n_shingles", "class_id", F.lit(0).cast("long").alias("n_links"))
+    return linked.unionByName(none)
+
+
 def one_of_each_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns whatever their names, one of each group: that of the smallest id, of those that repeat
     it that of the smallest hash of the text, and without any id that of the smallest hash.

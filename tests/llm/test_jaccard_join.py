@@ -46,12 +46,17 @@ def test_sketches_bound_the_difference():
         assert len(x) >= len(a) / 32
 
 
-def brute(rows):
+def brute_sets(rows):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
     for _, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(low))
         sets.append({tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set())
+    return sets
+
+
+def brute(rows):
+    sets = brute_sets(rows)
     parent = list(range(len(rows)))
 
     def find(x):
@@ -105,6 +110,38 @@ def test_without_broadcasts_it_is_the_same(spark, monkeypatch):
     assert sorted(tuple(r) for r in jj.jaccard_join(docs).select("doc_id", "n_shingles", "component_id").collect()) == brute(rows)
 
 
+def brute_links(rows):
+    """How many other rows each row links with, and the linked pairs of different sets by (shared, union)."""
+    sets, n, apart = brute_sets(rows), [0] * len(rows), {}
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            union = len(sets[i]) + len(sets[j]) - both
+            if sets[i] and sets[j] and 100 * both >= 85 * union:
+                n[i] += 1
+                n[j] += 1
+                if both < union:
+                    apart[frozenset((frozenset(sets[i]), frozenset(sets[j])))] = (both, union)
+    return sorted((rows[k][0] or 0, len(sets[k]), n[k]) for k in range(len(rows))), sorted(apart.values())
+
+
+@pytest.mark.parametrize("cell", [1000, 2])
+def test_links_equal_brute_force(spark, monkeypatch, cell):
+    monkeypatch.setattr(jj, "CELL_ROWS", cell)
+    monkeypatch.setattr(common, "SLICE_ROWS", cell)
+    rows = _table()[:: 1 if cell > 2 else 3]
+    rows += [(3000, rows[0][1]), (3001, rows[0][1]), (3001, rows[5][1]), (None, rows[9][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS class_id", "'x' AS hub")
+    counts, pairs = brute_links(rows)
+    left = len(common._WRITTEN)
+    found, members = jj.links(docs.repartition(3))
+    assert len(common._WRITTEN) == left + 2  # the two results
+    assert sorted((r["n_shared"], r["n_union"]) for r in found.collect()) == pairs
+    assert found.where("class_a >= class_b").count() == 0 and members.count() == len(rows)
+    got = jj.link_counts(docs)
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["n_links"]) for r in got.collect()) == counts
+
+
 def test_one_of_each_group_keeps_whole_rows(spark):
     text, other = "a b c d e f g", "some words that stand alone here"
     rows = [(3, text, "x"), (1, text, "y"), (7, "other words in here", "z"), (7, "other words in here", "z"), (9, None, "n"), (None, text, "i"), (None, other, "j"), (None, other.upper(), "j"), (None, None, "k"), (9, None, "n")]
@@ -154,4 +191,4 @@ def test_nothing_written_on_the_way_is_left(spark):
 
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert jj.jaccard_join(empty).count() == 0 and jj.one_of_each_group(empty).count() == 0
+    assert jj.jaccard_join(empty).count() == 0 and jj.one_of_each_group(empty).count() == 0 and jj.link_counts(empty).count() == 0
