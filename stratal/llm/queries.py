@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from stratal.llm import decontamination, itemsets, jaccard_join, main_text, packing, quality, repetition, sharding, token_output, toxicity, url_lists
+from stratal.llm import decontamination, itemsets, jaccard_join, main_text, packing, quality, repetition, sharding, token_output, toxicity, url_lists, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +57,13 @@ def op11_minimal_generator_itemsets(spark, sf_dir):
     return itemsets.digest(itemsets.closed_itemsets(_read(spark, sf_dir, "sale_lines")))
 
 
+def op12_zstandard_warc(spark, sf_dir):
+    return warc.warc_roundtrip(_read(spark, sf_dir, "pages"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_temporal_list_join": url_lists.SQL, "op4_extendible_hashing": sharding.SQL, "op11_minimal_generator_itemsets": itemsets.SQL}
+    return {"op2_temporal_list_join": url_lists.SQL, "op4_extendible_hashing": sharding.SQL, "op11_minimal_generator_itemsets": itemsets.SQL, "op12_zstandard_warc": warc.SQL}
