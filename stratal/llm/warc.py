@@ -281,7 +281,7 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD,
                         store, root = _store(path)
                         store.create_dir(root, recursive=True)
                         name = f"pages-{uuid.uuid4().hex}.warc.zst"
-                        sink = store.open_output_stream(f"{root}/{name}")
+                        sink = store.open_output_stream(f"{root}/{name}", compression=None)  # the name must not make the store compress
                         archive = ArchiveWriter(sink, known)
                     archive.add(record)
                     if archive.at >= file_bytes:
@@ -314,7 +314,7 @@ def read_archives(spark: SparkSession, path: str, manifest: DataFrame, payloads:
 
     def records(store, root, file, count):
         found = 0
-        with store.open_input_stream(f"{root}/{file}") as source:
+        with store.open_input_stream(f"{root}/{file}", compression=None) as source:
             for offset, raw, fault in read_frames(source):
                 row = {"file": file, "offset": offset, "fault": fault}
                 if fault is None:

@@ -47,6 +47,9 @@ def test_payloads_and_addresses_survive(spark, pages, tmp_path):
     assert manifest.count() > 3 and all(r["fault"] is None for r in rows) and W.dangling(found).count() == 0
     assert {(r["page_id"], bytes(r["payload"]).decode()) for r in rows if r["record_type"] == "response"} == {(p, h or "") for p, _, h in ROWS if (h or "") not in ("<p>same</p>", "") or (p, h or "") in ((7, "<p>same</p>"), (5, ""))}
     assert {r["url"] for r in rows} == {None, "http://a/1", "http://a/7", "http://b/%0D%0AWARC-Type: x", "%20spaced%20", "", "http://n", "u", "http://long", "http://c/%E2%80%A8"}
+    for name in {r["file"] for r in rows}:  # what lies there is the format itself
+        raw = (tmp_path / "w" / name).read_bytes()
+        assert struct.unpack_from("<I", raw)[0] == W.SKIPPABLE and all(x[2] is None for x in W.read_frames(io.BytesIO(raw)))
     short = [r for r in rows if r["page_id"] != 7]
     assert W.dangling(spark.createDataFrame(short, found.schema)).count() == 3
 
