@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from stratal.llm import decontamination, itemsets, jaccard_join, main_text, packing, quality, repetition, sharding, token_output, toxicity, url_lists, warc
+from stratal.llm import alignment, decontamination, itemsets, jaccard_join, main_text, packing, quality, repetition, sharding, token_output, toxicity, url_lists, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_zstandard_warc(spark, sf_dir):
     return warc.warc_roundtrip(_read(spark, sf_dir, "pages"))
 
 
+def op13_tokenizer_alignment(spark, sf_dir):
+    return alignment.align_tokenizers(_read(spark, sf_dir, "documents"))[0]
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
 

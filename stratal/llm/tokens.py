@@ -33,15 +33,19 @@ class PieceEncoder:
     Byte-level BPE never merges across pre-tokens, and one always starts at a space or line feed that stands
     alone between two words. So a text whose white space is only such single ones is the sequence of its
     space-separated pieces, and each distinct piece goes through the tokenizers library once and is then
-    remembered (up to a bound). Every other text goes through the library as a whole.
+    remembered (up to a bound). Every other text goes through the library as a whole, as does one that names a special
+    token where special_tokens is set. The ids are the library's: with special_tokens, its default, the name of a special
+    token in a text becomes its id; without, it is ordinary text.
     """
 
-    def __init__(self, path: str, bound: int = MEMO_PIECES):
+    def __init__(self, path: str, bound: int = MEMO_PIECES, special_tokens: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         check_kind(self.tokenizer.to_str(), path)
-        self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
+        self.tokenizer.encode_special_tokens = not special_tokens
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.names = [t.content for t in added if special_tokens or not t.special]
         # a byte-level vocabulary spells the bytes that don't print as characters from 256 on
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
         self.characters = {b: 256 + k for k, b in enumerate(odd)}
@@ -112,7 +116,7 @@ class PieceEncoder:
             pieces = text.replace("\n", " \n").split(" ")
             if not text:
                 continue
-            if len(pieces) == len(text.split()) and not any(c in text for c in OTHER_SPACE):
+            if len(pieces) == len(text.split()) and not any(c in text for c in OTHER_SPACE) and not any(n in text for n in self.names):
                 cut.append((k, pieces.pop(0), pieces))
             else:
                 whole.append(k)
@@ -127,10 +131,10 @@ class PieceEncoder:
         return out
 
 
-def encoder(path: str, bound: int = MEMO_PIECES) -> PieceEncoder:
+def encoder(path: str, bound: int = MEMO_PIECES, special_tokens: bool = True) -> PieceEncoder:
     import os
 
     from stratal.llm.common import process_cache
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core per task is Spark's to give
-    return process_cache(f"encoder_{bound}_{abs(hash(path))}", lambda: PieceEncoder(path, bound))
+    return process_cache(f"encoder_{bound}_{special_tokens}_{abs(hash(path))}", lambda: PieceEncoder(path, bound, special_tokens))
