@@ -87,7 +87,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))] if n else []
 
 
-def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, memo_pieces: int = MEMO_PIECES) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, memo_pieces: int = MEMO_PIECES, special_tokens: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, with the writing task, the rank among its pieces of that length, and their ids (null unless kept)."""
     tokenizer = tokenizer or default_tokenizer()
 
@@ -95,7 +95,7 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, ranks, enc = TaskContext.get().partitionId(), {}, encoder(tokenizer, memo_pieces)
+        part, ranks, enc = TaskContext.get().partitionId(), {}, encoder(tokenizer, memo_pieces, special_tokens)
         end = np.array([end_id], dtype="<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -112,14 +112,17 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     return texts_of(docs).mapInArrow(make, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, memo_pieces: int = MEMO_PIECES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, memo_pieces: int = MEMO_PIECES, special_tokens: bool = True) -> DataFrame:
     """One row a piece with its sequence and its place there; see the module.
 
     Null texts are empty (one end id), null and repeated ids are kept as rows of their own, an empty table gives
-    none, texts are encoded whole, however long, and other columns are not read. The pieces are written once, so a piece keeps its rank whatever is lost later. The driver gets the
+    none, texts are encoded whole, however long, and other columns are not read. The name of a special token in a text
+    becomes its id, as the library does it, unless special_tokens is off. Pieces of one length are alike to the packing:
+    which of them goes where follows the task that wrote it and its order there, so it depends on how the table is dealt;
+    the number of sequences and their lengths do not. The pieces are written once, so a piece keeps its rank whatever is lost later. The driver gets the
     histogram: at most `capacity` rows. Counts by task and length shift the ranks, so no group is gathered anywhere.
     """
-    pieces, _ = written(pieces_of(docs, tokenizer, capacity, keep_ids=keep_ids, memo_pieces=memo_pieces), "pieces")
+    pieces, _ = written(pieces_of(docs, tokenizer, capacity, keep_ids=keep_ids, memo_pieces=memo_pieces, special_tokens=special_tokens), "pieces")
     by_task = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     by_task, _ = written(by_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "length", "n", F.coalesce("before", F.lit(0)).alias("before")), "ranks")
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}

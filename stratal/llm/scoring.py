@@ -14,24 +14,27 @@ SAMPLE_PARTS = 32
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_TRAIN_ROWS, max_chars: int = MAX_TRAIN_CHARS) -> tuple[DataFrame, str]:
-    """doc_id, text, label (0 or 1) of whole documents outside the held-out fold, in the order of a hash of the id: at most
-    max_rows ids, and no further ones once max_chars characters are reached; written, with its path.
+    """doc_id, text, label (0 or 1) of whole documents outside the held-out fold, in the order of a hash of the id: a row
+    an id, max_rows of them at most, leaving out those with which max_chars characters would be exceeded; written, with
+    its path.
 
-    The ids are gathered on the driver and broadcast; max_rows bounds both. Of several labels of an id the largest
-    counts; null labels and labels without a document are left out.
+    The ids are gathered on the driver and broadcast; max_rows bounds both. Of several texts of an id that of the least
+    hash stands for it, of several labels the largest; null labels and labels without a document are left out.
     """
     spark = docs.sparkSession
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~fold_held_out(F.col("doc_id")))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
     ids = F.broadcast(spark.createDataFrame([(r["doc_id"], r["label"], k) for k, r in enumerate(chosen)], "doc_id long, label int, place int"))
-    chars = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).alias("n")).join(ids, "doc_id").groupBy("place").agg(F.sum("n").alias("n"))
-    reached, last = 0, -1
-    for r in sorted(chars.collect()):
-        if last >= 0 and reached + r["n"] > max_chars:
-            break
-        reached, last = reached + r["n"], r["place"]
-    found = texts_of(docs).join(ids.where(F.col("place") <= last), "doc_id").select("doc_id", "text", "label")
+    texts = texts_of(docs).withColumn("h", F.xxhash64("text"))
+    least = texts.select("doc_id", "h", F.length("text").alias("n")).join(ids, "doc_id").groupBy("place").agg(F.min(F.struct("h", "n")).alias("r"))
+    taken, reached = [], 0
+    for place, (h, n) in sorted(least.collect()):
+        if reached + n <= max_chars:
+            reached += n
+            taken.append((chosen[place]["doc_id"], h, chosen[place]["label"]))
+    taken = F.broadcast(spark.createDataFrame(taken, "doc_id long, h long, label int"))
+    found = texts.join(taken, ["doc_id", "h"]).groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
     return written(found.repartition(SAMPLE_PARTS), "sample")
 
 

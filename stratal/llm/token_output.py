@@ -177,13 +177,14 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path)
 
 
-def write_token_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, percentile: float = PERCENTILE) -> list[tuple[str, int, int, int]]:
+def write_token_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, percentile: float = PERCENTILE, special_tokens: bool = True) -> list[tuple[str, int, int, int]]:
     """Encodes every text and writes shards in ascending doc_id order; returns (file, documents, tokens, tokens before it) by shard.
 
     A range shuffle deals the documents out by doc_id, each task sorts and writes one shard. A task writes under a
     name of its own and renames the file when it is whole, so a repeated or speculative task leaves one good file.
     Null texts are empty ones (only the end id), null ids come first, rows with the same id stay together in the
-    order of their texts. The driver gathers one row a shard.
+    order of their texts. The name of a special token in a text becomes its id, as the library does it, unless
+    special_tokens is off. The driver gathers one row a shard.
     """
     tokenizer = tokenizer or default_tokenizer()
 
@@ -200,7 +201,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str | None = None,
                 name = f"{root}/shard-{shard:07d}.pfor"
                 temporary = f"{name}.{uuid.uuid4().hex}.part"
                 sink = store.open_output_stream(temporary)
-                writer, enc = ShardWriter(sink, percentile), encoder(tokenizer)
+                writer, enc = ShardWriter(sink, percentile), encoder(tokenizer, special_tokens=special_tokens)
                 end = np.array([end_id], dtype="<u4").tobytes()
             for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
                 writer.add(doc_id, ids + end)
@@ -246,7 +247,7 @@ def read_token_shards(spark: SparkSession, path: str, manifest: list[tuple[str,
     return files.repartition(max(1, len(manifest))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def token_output(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
+def token_output(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, special_tokens: bool = True) -> DataFrame:
     """Writes the shards and returns what the files hold by document (an empty table: no rows, no files).
 
     A null text is an empty one, its end id alone; null ids come first; rows that repeat an id are documents of their
@@ -255,7 +256,7 @@ def token_output(docs: DataFrame, path: str | None = None, tokenizer: str | None
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "tokens")
-    return read_token_shards(spark, path, write_token_shards(docs, path, tokenizer))
+    return read_token_shards(spark, path, write_token_shards(docs, path, tokenizer, special_tokens=special_tokens))
 
 
 def ids_digest(read: DataFrame) -> DataFrame:

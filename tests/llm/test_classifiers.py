@@ -6,7 +6,7 @@ import pytest
 
 from stratal.llm import quality as Q
 from stratal.llm import toxicity as T
-from stratal.llm.scoring import temperature_of
+from stratal.llm.scoring import labelled_sample, temperature_of
 
 WORDS = ["river", "stone", "light", "carry", "window", "paper", "garden", "silver", "morning", "quiet", "letters", "bridge"]
 BAD = ["grobnik", "zlurpan"]
@@ -201,3 +201,19 @@ def test_the_temperature_calibrates():
     margins = rng.normal(0, 6, 20_000)
     y = (rng.random(20_000) < 1 / (1 + np.exp(-margins / 3))).astype(int)
     assert 2.5 < temperature_of(margins, y) < 3.5 and temperature_of(np.empty(0), np.empty(0)) == 1.0
+
+
+def test_the_labelled_sample_is_bounded_in_rows_and_characters(spark):
+    ids = [k for k in range(60) if not held_out(k)]
+    rows = [(ids[0], f"text {k}") for k in range(3_000)] + [(ids[1], "same")] * 2_000 + [(k, "y" * 50) for k in ids[2:20]] + [(ids[20], "x" * 5_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(ids[3], 1)], "doc_id long, quality int")
+    found = {}
+    for r in labelled_sample(docs, labels, "quality", max_chars=900)[0].collect():
+        assert r["doc_id"] not in found
+        found[r["doc_id"]] = r
+    assert set(found) <= {*ids[:20]} and sum(len(r["text"]) for r in found.values()) <= 900 and len(found) > 12
+    assert labelled_sample(docs, labels, "quality", max_rows=5)[0].count() <= 5
+    again = {tuple(r) for r in labelled_sample(docs.repartition(2), labels, "quality", max_chars=900)[0].collect()}
+    assert again == {tuple(r) for r in found.values()}
+    assert labelled_sample(docs, labels, "quality", max_chars=0)[0].count() == 0

@@ -14,7 +14,6 @@ ODD = ["a  b", "a\n\nb", "a \nb ", " a", "a\n", "\n", "  ", "a\tb", "don't x, fo
 
 
 LIBRARY = Tokenizer.from_file(default_tokenizer())
-LIBRARY.encode_special_tokens = True
 
 
 def ids_of(text):
@@ -30,6 +29,19 @@ def test_pieces_equal_the_library():
         assert enc.encode(texts) == [np.array(ids_of(t)[:-1], dtype="<u4").tobytes() for t in texts]
 
 
+@pytest.mark.parametrize("special", [True, False])
+def test_names_of_special_tokens_are_as_the_library_has_them(special):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(default_tokenizer())
+    library.encode_special_tokens = not special
+    texts = ["hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|>b", " <|endoftext|>\n<|endoftext|> ", "no <|endof text|>", "<|endoftext|", "tail<|endoftext|>."]
+    enc = PieceEncoder(default_tokenizer(), special_tokens=special)
+    for _ in range(2):
+        assert enc.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert (enc.encode(texts[:1])[0] == np.array([31373, 220, 50256, 2124], dtype="<u4").tobytes()) == special
+
+
 def test_memory_of_pieces_is_bounded():
     enc = PieceEncoder(default_tokenizer(), 50)
     texts = [f"word{k} other{k}, third" for k in range(500)]
