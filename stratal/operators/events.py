@@ -1,17 +1,19 @@
 """Time series of snapshots: as-of deltas, crossings, changes, and events with a cooldown.
 
-One window specification (entity, time, id) serves all of them, so Spark shuffles and sorts a series once.
+One window specification (entity, time, id) serves all of them, so Spark shuffles and sorts a series once. An entity with
+more than chunk_rows snapshots is scanned in chunks (see series), so that no series has to fit a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratal.functions.times import micros
+from stratal.operators import series as S
+from stratal.operators.greedy import CHUNK_ROWS as WALK_ROWS
+from stratal.operators.greedy import Cooldown, labelled
+from stratal.operators.series import CHUNK_ROWS
 
 HOUR = 3_600_000_000
 HORIZONS = {"6h": 6 * HOUR, "24h": 24 * HOUR, "7d": 168 * HOUR}
@@ -23,31 +25,44 @@ def series(entity: str):
     return Window.partitionBy(entity).orderBy("t")
 
 
-def as_of_deltas(snapshots: DataFrame, entity: str, ts: str, tie: str, value: str, horizons: dict[str, int] | None = None) -> DataFrame:
+def as_of_deltas(snapshots: DataFrame, entity: str, ts: str, tie: str, value: str, horizons: dict[str, int] | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Adds delta_<h>: the value minus that of the last snapshot at or before ts minus the horizon; null without one.
 
     Of several snapshots at one instant the one with the highest tie counts as the last. RANGE frames over microseconds
     read the sorted series once, whatever the number of horizons.
     """
-    out = snapshots.withColumn("t", micros(ts))
-    latest = F.max(F.struct("t", F.col(tie).alias("i"), F.col(value).alias("v")))
-    for name, length in (horizons or HORIZONS).items():
-        base = latest.over(series(entity).rangeBetween(Window.unboundedPreceding, -length))
-        out = out.withColumn(f"delta_{name}", F.col(value) - base["v"])
-    return out.drop("t")
+    rows, hot = S.parted(snapshots.withColumn("t", micros(ts)), entity, chunk_rows)
+    horizons = horizons or HORIZONS
+    held = F.struct("t", F.col(tie).alias("i"), F.col(value).alias("v"))
+    bases = {f"base_{h}": F.max(held).over(series(entity).rangeBetween(Window.unboundedPreceding, -length)) for h, length in horizons.items()}
+    out = rows.withColumns(bases)
+    if hot is not None:
+        out = out.unionByName(S.as_of(hot, entity, "t", held, {f"base_{h}": length for h, length in horizons.items()}, chunk_rows))
+    return out.withColumns({f"delta_{h}": F.col(value) - F.col(f"base_{h}.v") for h in horizons}).drop("t", *bases)
 
 
-def latest_prior(snapshots: DataFrame, entity: str, ts: str, tie: str, value: str) -> DataFrame:
+def latest_prior(snapshots: DataFrame, entity: str, ts: str, tie: str, value: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Adds prior: the value of the last snapshot strictly before."""
-    w = Window.partitionBy(entity).orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    prior = F.max(F.struct("t", F.col(tie).alias("i"), F.col(value).alias("v"))).over(w)
-    return snapshots.withColumn("t", micros(ts)).withColumn("prior", prior["v"]).drop("t")
+    rows, hot = S.parted(snapshots.withColumn("t", micros(ts)), entity, chunk_rows)
+    held = F.struct("t", F.col(tie).alias("i"), F.col(value).alias("v"))
+    out = rows.withColumn("prior", F.max(held).over(series(entity).rangeBetween(Window.unboundedPreceding, -1)))
+    if hot is not None:
+        out = out.unionByName(S.as_of(hot, entity, "t", held, {"prior": 1}, chunk_rows))
+    return out.withColumn("prior", F.col("prior.v")).drop("t")
+
+
+def _with_before(snapshots: DataFrame, entity: str, ts: str, tie: str, fields: list[str], chunk_rows: int) -> DataFrame:
+    """Adds __before: the fields of the snapshot before, null for the first one."""
+    rows, hot = S.parted(snapshots, entity, chunk_rows)
+    value = F.struct(F.col(ts).alias("__t"), F.col(tie).alias("__i"), *fields)
+    out = rows.withColumn("__before", F.lag(value).over(Window.partitionBy(entity).orderBy(ts, tie)))
+    return out if hot is None else out.unionByName(S.lagged(hot, entity, [ts, tie], value, "__before", chunk_rows))
 
 
-def crossings(snapshots: DataFrame, entity: str, ts: str, tie: str, value: str, thresholds: list) -> DataFrame:
+def crossings(snapshots: DataFrame, entity: str, ts: str, tie: str, value: str, thresholds: list, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """entity, threshold, ts, tie of the first snapshot at which the value passes from below to it; never the first one."""
-    w = Window.partitionBy(entity).orderBy(ts, tie)
-    stepped = snapshots.select(entity, ts, tie, F.col(value).alias("v"), F.lag(value).over(w).alias("p"))
+    rows = snapshots.select(entity, ts, tie, F.col(value).alias("v"))
+    stepped = _with_before(rows, entity, ts, tie, ["v"], chunk_rows).select(entity, ts, tie, "v", F.col("__before.v").alias("p"))
     hits = stepped.select(entity, ts, tie, "v", "p", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).where("p < threshold AND v >= threshold")
     return hits.groupBy(entity, "threshold").agg(F.min(F.struct(ts, tie)).alias("m")).select(entity, "threshold", f"m.{ts}", f"m.{tie}")
 
@@ -57,46 +72,22 @@ def first_per_lane(sightings: DataFrame, entity: str, lane: str, ts: str, tie: s
     return sightings.groupBy(entity, lane).agg(F.min(F.struct(ts, tie)).alias("m")).select(entity, lane, f"m.{ts}", f"m.{tie}")
 
 
-def changes(snapshots: DataFrame, entity: str, ts: str, tie: str, fields: list[str]) -> DataFrame:
+def changes(snapshots: DataFrame, entity: str, ts: str, tie: str, fields: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Snapshots at which one of the fields differs from the one before, with {field: {before, after}}."""
-    w = Window.partitionBy(entity).orderBy(ts, tie)
-    before = F.lag(F.struct(F.lit(True).alias("__there"), *fields)).over(w)
     pairs = [F.when(~F.col(f"__before.{f}").eqNullSafe(F.col(f)), F.struct(F.lit(f).alias("key"), F.struct(F.col(f"__before.{f}").cast("string").alias("before"), F.col(f).cast("string").alias("after")).alias("value"))) for f in fields]
     changed = F.map_from_entries(F.filter(F.array(*pairs), lambda x: x.isNotNull()))
-    return snapshots.withColumn("__before", before).where("__before IS NOT NULL").withColumn("changed", changed).drop("__before").where(F.size("changed") > 0)
+    rows = _with_before(snapshots, entity, ts, tie, fields, chunk_rows)
+    return rows.where("__before IS NOT NULL").withColumn("changed", changed).drop("__before").where(F.size("changed") > 0)
 
 
-def _accept(times: pd.Series, cooldown: int) -> list[bool]:
-    last, out = None, []
-    for t in times:
-        ok = last is None or t - last >= cooldown
-        out.append(ok)
-        last = t if ok else last
-    return out
-
-
-def with_cooldown(candidates: DataFrame, entity: str, ts: str, tie: str, cooldown_micros: int) -> DataFrame:
+def with_cooldown(candidates: DataFrame, entity: str, ts: str, tie: str, cooldown_micros: int, chunk_rows: int = WALK_ROWS) -> DataFrame:
     """The candidates that are accepted when, in order, each must be a cooldown after the last accepted one.
 
-    A greedy fold: rows are dealt and sorted by entity, and a task streams through them holding one time per entity,
-    so a very long series costs no more memory than a short one.
+    One without a time is never accepted. An entity with any number of candidates is walked in chunks by as many tasks
+    (see greedy).
     """
-    columns = candidates.columns
-    sorted_ = candidates.withColumn("__t", micros(ts)).repartition(entity).sortWithinPartitions(entity, "__t", tie)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, last = object(), None
-        for batch in batches:
-            keep = []
-            for e, t in zip(batch[entity].tolist(), batch["__t"].tolist(), strict=True):
-                if e != of:
-                    of, last = e, None
-                ok = last is None or t - last >= cooldown_micros
-                keep.append(ok)
-                last = t if ok else last
-            yield batch.loc[keep, columns]
-
-    return sorted_.mapInPandas(fold, candidates.schema)
+    timed = candidates.withColumn("__t", micros(ts)).where("__t IS NOT NULL")
+    return labelled(timed, entity, ["__t", tie], "__t", Cooldown(cooldown_micros), chunk_rows).where("__label").select(*candidates.columns)
 
 
 def growth_candidates(deltas: DataFrame, value: str, prior: str, thresholds: dict[str, int] | None = None) -> DataFrame:
@@ -106,12 +97,16 @@ def growth_candidates(deltas: DataFrame, value: str, prior: str, thresholds: dic
     return deltas.withColumn("horizons", hit).where((F.size("horizons") > 0) & (F.col(value) > F.col(prior)))
 
 
-def failure_cooldown(attempts: DataFrame, entity: str, ts: str, tie: str, failed: Column, after: int = 2) -> DataFrame:
+def failure_cooldown(attempts: DataFrame, entity: str, ts: str, tie: str, failed: Column, after: int = 2, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Adds the number of consecutive failures up to each attempt and whether it starts a cooldown (gaps and islands)."""
+    rows, hot = S.parted(attempts.withColumn("__failed", failed.cast("int")), entity, chunk_rows)
     w = Window.partitionBy(entity).orderBy(ts, tie)
-    rows = attempts.withColumn("__failed", failed.cast("int")).withColumn("__island", F.sum(1 - F.col("__failed")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = rows.withColumn("__island", F.sum(1 - F.col("__failed")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     streak = F.sum("__failed").over(Window.partitionBy(entity, "__island").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("failures", streak).withColumn("cooling", F.col("failures") >= after).drop("__failed", "__island")
+    out = out.withColumn("failures", streak).drop("__island")
+    if hot is not None:
+        out = out.unionByName(S.streaks(hot, entity, [ts, tie], "__failed", "failures", chunk_rows))
+    return out.withColumn("cooling", F.col("failures") >= after).drop("__failed")
 
 
 def repository_context(probes: DataFrame, snapshots: DataFrame, items: DataFrame, markers: DataFrame) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratal.functions.text import unit_id
+from stratal.operators.greedy import CHUNK_ROWS, Batches, labelled
 
 MAX_UNITS, MAX_BYTES = 160, 256 * 1024
 REPAIR_UNITS, REPAIR_BYTES = 40, 64 * 1024
@@ -41,30 +39,13 @@ def unitise(items: DataFrame) -> DataFrame:
     return grouped.select(unit_id("entity_key").alias("unit_id"), "entity_key", F.transform("rows", lambda r: r["item_id"]).alias("item_ids"), "sources", "occurred_at", F.left(F.coalesce("longest", "entity_key"), F.lit(SUMMARY_CHARS)).alias("summary"))
 
 
-def greedy_batches(rows: DataFrame, scope: str, order: str, size: str, max_rows: int = MAX_UNITS, max_size: int = MAX_BYTES) -> DataFrame:
+def greedy_batches(rows: DataFrame, scope: str, order: str, size: str, max_rows: int = MAX_UNITS, max_size: int = MAX_BYTES, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Adds batch (from 0, within its scope): in order, a batch closes before the row that would exceed either bound.
 
-    A row larger than the bound stands alone. Rows are dealt and sorted by scope and a task streams through them with
-    two counters, so a scope of any length needs no array.
+    A row larger than the bound stands alone; a null size is 0. A scope of any length is walked in chunks by as many
+    tasks (see greedy).
     """
-    columns = rows.columns
-    dealt = rows.repartition(scope).sortWithinPartitions(scope, order)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, batch int"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, n, held, number = object(), 0, 0, 0
-        for pdf in batches:
-            out = []
-            for s, b in zip(pdf[scope].tolist(), pdf[size].tolist(), strict=True):
-                if s != of:
-                    of, n, held, number = s, 0, 0, 0
-                elif n and (n >= max_rows or held + b > max_size):
-                    n, held, number = 0, 0, number + 1
-                n, held = n + 1, held + b
-                out.append(number)
-            yield pdf[columns].assign(batch=pd.Series(out, index=pdf.index, dtype="int32"))
-
-    return dealt.mapInPandas(fold, schema)
+    return labelled(rows, scope, [order], size, Batches(max_rows, max_size), chunk_rows).withColumnRenamed("__label", "batch")
 
 
 def stratified_batch_count(counts: list[int], size: int) -> int:

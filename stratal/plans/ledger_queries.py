@@ -286,6 +286,54 @@ def _(spark, sf):
     return E.failure_cooldown(table(spark, sf, "events"), "user_id", "ts", "event_id", F.col("value") < 40).select("event_id", "failures", "cooling")
 
 
+ONE_SERIES = 2_000  # rows of a chunk: all events as one series lie in as many chunks as tasks should share it
+
+
+@register("asof_one_series", """
+WITH b AS (SELECT ts, arg_max(value, event_id) AS value FROM events GROUP BY ts)
+SELECT e.event_id, round(e.value - h.value, 6) AS delta_6h, round(e.value - d.value, 6) AS delta_24h FROM events e
+ASOF LEFT JOIN b h ON e.ts - INTERVAL 6 HOUR >= h.ts ASOF LEFT JOIN b d ON e.ts - INTERVAL 24 HOUR >= d.ts""")
+def _(spark, sf):
+    """As-of deltas with all events as one hot entity."""
+    e = table(spark, sf, "events").select("event_id", "ts", "value", F.lit("all").alias("entity"))
+    out = E.as_of_deltas(e, "entity", "ts", "event_id", "value", {h: E.HORIZONS[h] for h in ("6h", "24h")}, ONE_SERIES)
+    return out.select("event_id", *(F.round(f"delta_{h}", 6).alias(f"delta_{h}") for h in ("6h", "24h")))
+
+
+@register("prior_one_series", """
+WITH b AS (SELECT ts, arg_max(value, event_id) AS value FROM events GROUP BY ts)
+SELECT e.event_id, b.value AS prior FROM events e ASOF LEFT JOIN b ON e.ts > b.ts""")
+def _(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "ts", "value", F.lit(0).alias("entity"))
+    return E.latest_prior(e, "entity", "ts", "event_id", "value", ONE_SERIES).select("event_id", "prior")
+
+
+@register("changes_one_series", "SELECT event_id, was, event_type AS now FROM (SELECT event_id, event_type, lag(event_type) OVER (ORDER BY ts, event_id) AS was FROM events) WHERE was <> event_type")
+def _(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "ts", "event_type", F.lit(0).alias("entity"))
+    out = E.changes(e, "entity", "ts", "event_id", ["event_type"], ONE_SERIES)
+    return out.select("event_id", F.element_at("changed", "event_type")["before"].alias("was"), F.col("event_type").alias("now"))
+
+
+@register("failures_one_series", """
+WITH g AS (SELECT event_id, ts, (value < 70)::INT AS failed, sum(1 - (value < 70)::INT) OVER (ORDER BY ts, event_id) AS island FROM events)
+SELECT event_id, sum(failed) OVER (PARTITION BY island ORDER BY ts, event_id)::BIGINT AS failures, sum(failed) OVER (PARTITION BY island ORDER BY ts, event_id) >= 2 AS cooling FROM g""")
+def _(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "ts", "value", F.lit(0).alias("entity"))
+    return E.failure_cooldown(e, "entity", "ts", "event_id", F.col("value") < 70, chunk_rows=ONE_SERIES).select("event_id", "failures", "cooling")
+
+
+@register("cooldown_one_series", """
+WITH RECURSIVE c AS (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT c.event_id, c.ts, c.n, d.n AS following FROM c ASOF LEFT JOIN (SELECT ts, min(n) AS n FROM c GROUP BY ts) d ON c.ts + INTERVAL 6 HOUR <= d.ts),
+w(n, event_id, ts, following) AS (SELECT n, event_id, ts, following FROM s WHERE n = 1 UNION ALL SELECT s.n, s.event_id, s.ts, s.following FROM w JOIN s ON s.n = w.following)
+SELECT event_id, ts FROM w""")
+def _(spark, sf):
+    """All events as one hot entity: an event is accepted six hours after the last accepted one."""
+    e = table(spark, sf, "events").select("event_id", "ts", F.lit(0).alias("entity"))
+    return E.with_cooldown(e, "entity", "ts", "event_id", 6 * E.HOUR, ONE_SERIES).select("event_id", "ts")
+
+
 @register("observed_rank", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM events QUALIFY rank <= 5")
 def _(spark, sf):
     return S.capped_in_order(table(spark, sf, "events").select("event_id", "user_id"), "user_id", "event_id", 5).select("event_id", F.col("rank").cast("long").alias("rank"))

@@ -66,6 +66,18 @@ def _(spark, sf):
     return shards.groupBy("lang", F.col("batch").alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
+@register("batches_one_scope", """
+WITH RECURSIVE r AS (SELECT doc_id, strlen(text) AS b, row_number() OVER (ORDER BY doc_id) AS n, sum(strlen(text)) OVER (ORDER BY doc_id) AS upto FROM documents),
+s AS (SELECT r.n, r.upto, least(r.n + 160, greatest(r.n + 1, coalesce(x.n, (SELECT count(*) + 1 FROM r)))) AS following
+  FROM r ASOF LEFT JOIN r x ON r.upto - r.b + 262144 < x.upto),
+w(n, following, batch) AS (SELECT n, following, 0 FROM s WHERE n = 1 UNION ALL SELECT s.n, s.following, w.batch + 1 FROM w JOIN s ON s.n = w.following)
+SELECT doc_id, batch::INT AS batch FROM r ASOF JOIN w ON r.n >= w.n""")
+def _(spark, sf):
+    """All documents as one scope, with the production bounds of a batch; a chunk of the walk holds 250 of them."""
+    d = table(spark, sf, "documents").select(F.lit("all").alias("scope"), "doc_id", F.octet_length("text").cast("long").alias("b"))
+    return U.greedy_batches(d, "scope", "doc_id", "b", chunk_rows=250).select("doc_id", "batch")
+
+
 @register("stratified_batches", """
 WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
 b AS (SELECT min(b) AS b FROM (SELECT unnest(range(1, 100000)) AS b) t WHERE b >= ceil((SELECT sum(n) FROM c) / 40.0) AND b <= (SELECT max(n) FROM c) + ceil((SELECT sum(n) FROM c) / 40.0) AND (SELECT sum((n + b - 1) // b) FROM c) <= 40)

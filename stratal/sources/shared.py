@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import time
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a local folder serves only a session whose executors run on this machine."""
+    """A new path below spark.checkpoint.dir, which goes when the driver ends; a local folder serves only a session whose
+    executors run on this machine."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors can reach")
         base = "file://" + tempfile.mkdtemp(prefix="stratal-")
-    return f"{base.rstrip('/')}/stratal/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/stratal/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append((spark, path))
+    return path
+
+
+@atexit.register
+def _remove_made() -> None:
+    for spark, path in _MADE:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session is already gone
+            return
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, which survives the executors that made it and goes when the driver ends."""
+    path = shared_root(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
