@@ -48,6 +48,30 @@ def reusable(batches: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return out.select("phase", "batch", "input_hash", (F.coalesce("there", F.lit(False)) & ~F.col("abandoned")).alias("reused"))
 
 
+def generations(phases: DataFrame, batches: DataFrame) -> DataFrame:
+    """phase, cause, reusable: why a phase's generation of checkpoints is given up, null if it isn't, and how many of its first
+    batches may be used again.
+
+    phases: phase, input_hash, had_hash (of the generation that is stored, null without one), session (whether its session is
+    there). batches: phase, batch (from 1), committed (a checkpoint with its session and input), whole, partial (what its
+    output holds). The causes, in this order: the input of the whole generation changed; checkpoints without their
+    session; and a rewind, that is a batch without a whole output although it is committed and has no part of it, or
+    although a later batch is committed. Two aggregates by phase and no sort, so a phase of any number of batches is
+    combined before it is shuffled.
+    """
+    t = lambda c: F.coalesce(F.col(c), F.lit(False))
+    last = batches.where(t("committed")).groupBy("phase").agg(F.max("batch").alias("last"))
+    seen = batches.join(last, "phase", "left").withColumn("later", F.coalesce(F.col("last") > F.col("batch"), F.lit(False)))
+    cached = t("committed") & t("whole")
+    rewind = F.when(t("committed"), ~t("whole") & (~t("partial") | F.col("later"))).otherwise(F.col("later"))
+    found = seen.groupBy("phase").agg(F.max(rewind).alias("rewind"), F.min(F.when(~cached, F.col("batch"))).alias("open"), F.count(F.lit(1)).alias("n"), F.count_if(t("committed") | t("whole") | t("partial")).alias("stored"))
+    both = phases.join(found, "phase", "left")
+    changed = t("session") & F.col("had_hash").isNotNull() & ~F.col("had_hash").eqNullSafe(F.col("input_hash"))
+    cause = F.when(changed, "generation_input_changed").when(~t("session") & (F.coalesce("stored", F.lit(0)) > 0), "missing_session_checkpoint").when(t("rewind"), "checkpoint_rewind_required")
+    prefix = F.coalesce(F.col("open") - 1, F.col("n"), F.lit(0))
+    return both.select("phase", cause.alias("cause"), F.when(cause.isNull(), prefix).otherwise(0).cast("long").alias("reusable"))
+
+
 def select_sources(items: DataFrame, names: list[str], known: list[str], source: str = "source") -> DataFrame:
     """The rows of the named sources; a name that is not known is an error, no names mean all."""
     unknown = sorted(set(names) - set(known))

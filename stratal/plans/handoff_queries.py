@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratal.catalogue import register
 from stratal.operators import checks as K
+from stratal.operators import commits as C
 from stratal.operators import handoff as H
+from stratal.operators import queue as Q
 from stratal.sources import sinks
+from stratal.sources.blobstore import BlobStore
 from stratal.sources.observations import table
 from stratal.sources.shared import shared_root
 
@@ -182,6 +186,120 @@ def _polls(spark, sf):
     return polls, polls.where("item_id % 4 = 0").select("item_id").distinct(), markers
 
 
+@register("tombstoned_blobs", "SELECT sha256(text) AS digest, max(strlen(text)) AS n_bytes FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING min(doc_id) % 3 <> 0 AND min(doc_id) % 5 <> 0")
+def _(spark, sf):
+    """Every third content erased and purged, every fifth erased only, all of them stored once more in between."""
+    store = BlobStore(spark, shared_root(spark, "blobstore"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    store.put(d, "text")
+    first = d.where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"))
+    store.erase(first.where("doc_id % 3 = 0"))
+    store.put(d, "text")
+    store.purge()
+    store.erase(first.where("doc_id % 5 = 0"))
+    return store.blobs().select("digest", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+@register("erased_items", """
+WITH r AS (SELECT source, CAST(doc_id % 500 AS VARCHAR) AS item_id, lang AS revision, min(text) AS text FROM documents GROUP BY ALL)
+SELECT source, item_id, revision, sha256(text) AS digest, strlen(text) AS n_bytes FROM r WHERE CAST(item_id AS INT) % 7 <> 0""")
+def _(spark, sf):
+    """Revisions of documents, of every seventh item erased, with the sizes of their contents, some of which an erased item has too."""
+    store = BlobStore(spark, shared_root(spark, "blobstore"))
+    d = table(spark, sf, "documents").select("source", (F.col("doc_id") % 500).cast("string").alias("item_id"), F.col("lang").alias("revision"), F.col("text").alias("content"))
+    store.put_revisions(d)
+    store.erase_items(d.where("CAST(item_id AS INT) % 7 = 0"))
+    store.purge()
+    sizes = store.blobs().select("digest", F.octet_length("content").cast("long").alias("n_bytes"))
+    return store.revisions().join(sizes, "digest", "left").select("source", "item_id", "revision", "digest", "n_bytes")
+
+
+@register("leased_queue", f"""
+WITH j AS (SELECT CAST(event_id AS VARCHAR) AS job_id, {READABLE} AS t FROM events), due AS (SELECT job_id, row_number() OVER (ORDER BY job_id) AS r FROM j WHERE t <= TIMESTAMP '2024-01-15')
+SELECT job_id, CASE WHEN job_id IN (SELECT job_id FROM due WHERE r IN (1, 2)) THEN 'done' WHEN job_id IN (SELECT job_id FROM due WHERE r = 3) THEN 'put off' WHEN job_id IN (SELECT job_id FROM due WHERE r = 4) THEN 'held'
+  WHEN t IS NULL THEN 'quarantine' WHEN t <= TIMESTAMP '2024-01-15' THEN 'due' ELSE 'wait' END AS state FROM j""")
+def _(spark, sf):
+    """All jobs in a leased queue: of the first four that are due two are done, one is put off and one is being worked on."""
+    now, queue = F.expr("TIMESTAMP'2024-01-15'"), Q.open_queue(spark, shared_root(spark, "queue"))
+    Q.enqueue(queue, _jobs(spark, sf).withColumn("job_id", F.col("job_id").cast("string")))
+    for k in range(4):
+        lease = Q.take(queue, now, f"worker {k}")
+        if lease and k < 2:
+            Q.finish(queue, lease, "done")
+        elif lease and k == 2:
+            Q.put_off(queue, lease, "2024-06-01T00:00:00Z")
+    due = Q.due(queue, now).select("job_id", F.lit(True).alias("free"))
+    held = queue.spark.createDataFrame([(j, "held") for j in queue.held()], "job_id string, held string")
+    off = queue.read("jobs").where("seq > 0").select("job_id", F.lit("put off").alias("off"))
+    all_jobs = H.requeue(Q.waiting(queue), now).join(held, "job_id", "left").join(off, "job_id", "left").join(due, "job_id", "left")
+    state = F.coalesce("held", "off", F.when(F.col("free") | (F.col("action") == "wait"), F.col("action")))
+    return all_jobs.select("job_id", state.alias("state")).unionByName(queue.read("results").select("job_id", F.col("outcome").alias("state")))
+
+
+@register("checkpoint_generations", """
+WITH b AS (SELECT source AS phase, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS batch, count(*) OVER (PARTITION BY source) AS n, CAST(substr(source, 4) AS INT) AS k FROM documents),
+c AS (SELECT *, CASE k % 6 WHEN 3 THEN batch <> 2 AND batch <= n - 1 ELSE batch <= n - 2 END AS committed, CASE k % 6 WHEN 4 THEN batch < 3 WHEN 5 THEN batch < n - 2 ELSE true END AS whole, k % 6 = 5 AS partial FROM b),
+l AS (SELECT *, max(CASE WHEN committed THEN batch END) OVER (PARTITION BY phase) > batch AS later FROM c),
+f AS (SELECT phase, any_value(k) AS k, bool_or(CASE WHEN committed THEN NOT whole AND (NOT partial OR coalesce(later, false)) ELSE coalesce(later, false) END) AS rewind, coalesce(min(CASE WHEN NOT (committed AND whole) THEN batch END) - 1, count(*)) AS prefix FROM l GROUP BY phase),
+g AS (SELECT phase, prefix, CASE WHEN k % 6 = 1 THEN 'generation_input_changed' WHEN k % 6 = 2 THEN 'missing_session_checkpoint' WHEN rewind THEN 'checkpoint_rewind_required' END AS cause FROM f)
+SELECT phase, cause, CASE WHEN cause IS NULL THEN prefix ELSE 0 END AS reusable FROM g""")
+def _(spark, sf):
+    """A phase by source, its documents as batches: by the source's number the input changed, the session is missing, a batch before
+    the last checkpoint lacks its own, outputs are gone, or the last output is a part only."""
+    k = F.substring("source", 4, 9).cast("int") % 6
+    w = Window.partitionBy("source")
+    b = table(spark, sf, "documents").select("source", F.row_number().over(w.orderBy("doc_id")).alias("batch"), F.count(F.lit(1)).over(w).alias("n"), k.alias("k"))
+    committed = F.when(F.col("k") == 3, (F.col("batch") != 2) & (F.col("batch") <= F.col("n") - 1)).otherwise(F.col("batch") <= F.col("n") - 2)
+    whole = F.when(F.col("k") == 4, F.col("batch") < 3).when(F.col("k") == 5, F.col("batch") < F.col("n") - 2).otherwise(True)
+    phases = b.groupBy(F.col("source").alias("phase")).agg(F.first("k").alias("k")).select("phase", F.lit("now").alias("input_hash"), F.when(F.col("k") == 1, "then").otherwise("now").alias("had_hash"), (F.col("k") != 2).alias("session"))
+    return H.generations(phases, b.select(F.col("source").alias("phase"), "batch", committed.alias("committed"), whole.alias("whole"), (F.col("k") == 5).alias("partial")))
+
+
+def _versioned_polls(spark, sf):
+    """Every third poll is a writer's commit of its own."""
+    ledger = C.open_ledger(spark, shared_root(spark, "versions"))
+    polls = _polls(spark, sf)[0].withColumn("item_id", F.col("item_id").cast("string"))
+    for k in range(3):
+        C.commit_poll(ledger, polls.where(F.col("poll_id") % 3 == k))
+    return ledger
+
+
+_VERSIONED = """
+WITH p AS (SELECT user_id % 50 AS poll_id, event_id % 9001 = 7 AS broken, event_id % 3000 AS item_id, user_id AS entity, ts AS t FROM events),
+w AS (SELECT * FROM p WHERE poll_id NOT IN (SELECT poll_id FROM p WHERE broken))"""
+
+
+@register("versioned_poll_items", f'{_VERSIONED} SELECT CAST(item_id AS VARCHAR) AS item_id, arg_min(t, (poll_id % 3, t)) AS "at" FROM w GROUP BY item_id')
+def _(spark, sf):
+    return _versioned_polls(spark, sf).read("items")
+
+
+@register("versioned_poll_markers", f'{_VERSIONED} SELECT entity, max(t) AS "at" FROM w GROUP BY 1')
+def _(spark, sf):
+    return C.current_markers(_versioned_polls(spark, sf).read("markers"))
+
+
+@register("versioned_deliveries", """
+SELECT DISTINCT l_orderkey || '-' || l_linenumber AS item_id, o_orderstatus AS run_id, o_orderstatus IN ('F', 'O') AS delivered,
+CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'queued' ELSE 'sealed' END AS handoff_state FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def _(spark, sf):
+    """A run by order status is sealed; two of the three are handed on, one of them is published; the items and what became of them in the last version."""
+    lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    items = lines.join(orders, "l_orderkey").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item_id"), "o_orderstatus").distinct()
+    ledger = C.open_ledger(spark, shared_root(spark, "versions"))
+    ledger.commit(lambda read: {"items": items.select("item_id", F.lit(None).cast("timestamp_ntz").alias("at"))}, [])
+    for run in ("F", "O", "P"):
+        C.seal_run(ledger, run, items.where(F.col("o_orderstatus") == run))
+    for run, event in (("F", "complete_locally"), ("O", "queue")):
+        C.move_run(ledger, run, event)
+    at = ledger.latest()
+    published = ledger.commit(lambda read: {"runs": read("runs").where("run_id = 'F'").groupBy("run_id").agg(F.lit("published").alias("handoff_state"), (F.max("seq") + 1).alias("seq"))}, [])
+    assert published == at + 1
+    done = ledger.read("deliveries").select("item_id", F.lit(True).alias("delivered"))
+    out = ledger.read("seals").join(done, "item_id", "left").join(C.states(ledger.read("runs")), "run_id")
+    return out.select("item_id", "run_id", F.coalesce("delivered", F.lit(False)).alias("delivered"), "handoff_state")
+
+
 @register("consolidation_validate", """
 SELECT 'group count' AS problem, '25' AS id UNION ALL SELECT 'missing bundle', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 11 = 0 UNION ALL SELECT 'duplicate bundle', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 11 = 1""")
 def _(spark, sf):

@@ -8,9 +8,12 @@ from stratal.catalogue import register
 from stratal.functions.text import breadcrumb
 from stratal.operators import checks as K
 from stratal.operators import publish as P
+from stratal.operators import publishing as W
 from stratal.operators import selection as S
 from stratal.sources import files
 from stratal.sources.observations import table
+from stratal.sources.shared import shared_root
+from stratal.streaming.lists import run_lists
 
 
 def _tree(spark, sf):
@@ -228,3 +231,32 @@ def _(spark, sf):
 @register("surface_attention", "SELECT user_id, list_sort(list_distinct(list(event_type))) AS surfaces, count(*) AS n, max(value) AS score FROM events GROUP BY 1")
 def _(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("surfaces"), F.count(F.lit(1)).alias("n"), F.max("value").alias("score"))
+
+
+_TREE = """
+SELECT 'root' AS key, CAST(NULL AS VARCHAR) AS parent, 'World' AS content UNION ALL SELECT 'r' || r_regionkey, 'root', r_name FROM region
+UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name FROM supplier WHERE s_suppkey % 3 <> 0"""
+
+
+@register("published_tree", f"SELECT key, sha256(content) AS content_hash FROM ({_TREE})")
+def _(spark, sf):
+    """Regions, nations and suppliers published as a tree; an earlier run wrote other suppliers and other names, which are replaced
+    and deleted. The rows are what the target holds when it is read back."""
+    root = shared_root(spark, "published")
+    spark.dataSource.register(W.node_source("published_tree_nodes", lambda: W.FolderTarget(root)))
+    r, n, s = (table(spark, sf, t) for t in ("region", "nation", "supplier"))
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c))
+    top = spark.range(1).select(F.lit("root").alias("key"), F.lit(None).cast("string").alias("parent"), F.lit("World").alias("content"))
+    inner = top.unionByName(r.select(key("r", "r_regionkey").alias("key"), F.lit("root").alias("parent"), F.col("r_name").alias("content")))
+    inner = inner.unionByName(n.select(key("n", "n_nationkey").alias("key"), key("r", "n_regionkey").alias("parent"), F.col("n_name").alias("content")))
+    leaf = s.select(key("s", "s_suppkey").alias("key"), key("n", "s_nationkey").alias("parent"), F.col("s_name").alias("content"), "s_suppkey")
+    earlier = leaf.where("s_suppkey % 2 = 0").withColumn("content", F.concat("content", F.when(F.col("s_suppkey") % 4 == 0, " (old)").otherwise("")))
+    for tree in (inner.unionByName(earlier.drop("s_suppkey")), inner.unionByName(leaf.where("s_suppkey % 3 <> 0").drop("s_suppkey"))):
+        W.publish_tree(spark, "published_tree_nodes", tree.withColumn("content_hash", F.sha2("content", 256)))
+    return spark.read.format("published_tree_nodes").load()
+
+
+@register("stream_lists", "SELECT DISTINCT conv_id % 4 AS list, conv_id * 1000 + turn AS post_id, text FROM conversations")
+def _(spark, sf):
+    """Posts of four lists from a stream with a cursor by list, stopped and started again between batches; each post once."""
+    return run_lists(spark, sf)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import time
 import uuid
 from contextlib import contextmanager
@@ -50,22 +51,53 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 @contextmanager
-def single_owner(spark: SparkSession, path: str, stale_minutes: int = 60):
+def single_owner(spark: SparkSession, path: str, stale_minutes: float = 60):
     """Holds path as a lock while the block runs; a second owner gets a RuntimeError.
 
-    A lock that is older than `stale_minutes` belongs to a driver that was lost: it is renamed away, which only one of
-    several claimants can do, and then made anew. Creating is as exclusive as the store's create without overwriting is.
+    The lock holds its owner's token, and a thread renews its time while the block runs, however long. One that was not
+    renewed for `stale_minutes` belongs to a driver that was lost: it is renamed away, which only one of several claimants
+    can do, and then made anew. An owner that comes back to find another's token leaves that lock alone. Creating is as
+    exclusive as the store's create without overwriting is; what must never be written late is fenced (Versions.claim).
     """
     p = spark._jvm.org.apache.hadoop.fs.Path
-    lock = p(path)
+    lock, token = p(path), uuid.uuid4().hex
     fs = lock.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def holder() -> str | None:
+        if not fs.exists(lock):
+            return None
+        source = fs.open(lock)
+        try:
+            return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
+
     if fs.exists(lock) and fs.getFileStatus(lock).getModificationTime() < (time.time() - 60 * stale_minutes) * 1000:
         old = p(f"{path}.stale-{uuid.uuid4().hex[:8]}")
         if fs.rename(lock, old):
             fs.delete(old, False)
-    if not fs.createNewFile(lock):
-        raise RuntimeError(f"another owner holds {path}")
+    try:
+        out = fs.create(lock, False)
+    except Exception as e:
+        if fs.exists(lock):
+            raise RuntimeError(f"another owner holds {path}") from e
+        raise
+    out.write(token.encode())
+    out.close()
+    left = threading.Event()
+
+    def renew() -> None:
+        while not left.wait(15 * stale_minutes):
+            if holder() != token:
+                return
+            fs.setTimes(lock, int(time.time() * 1000), -1)
+
+    thread = threading.Thread(target=renew, daemon=True)
+    thread.start()
     try:
         yield
     finally:
-        fs.delete(lock, False)
+        left.set()
+        thread.join()
+        if holder() == token:
+            fs.delete(lock, False)
