@@ -2,8 +2,9 @@
 
 Words are lower-cased and stripped of surrounding punctuation. The seeds are the windows of `min_match` words of the
 benchmark items, by their running Karp-Rabin hash: a table. A bitmap of the seeds, of bounded size, tells which
-documents may hold one; their windows are joined with the table of seeds, which gives the pairs of document and item
-with enough shared tokens to reach the coverage. Each pair is tiled: the longest match of unmarked words is marked,
+documents may hold one. An item is indexed by its rarer seeds only: those without which the rest covers too little of it.
+The documents' windows are joined with this index, which gives pairs; those that share enough tokens for the coverage
+are tiled: the longest match of unmarked words is marked,
 what is left of those that overlap it stays in the race, and so on until no match of `min_match` unmarked words is
 left. The marked share of the item is the coverage, wherever in the document and in whatever order its parts stand.
 """
@@ -131,6 +132,40 @@ def tiles_of(item: np.ndarray, text: np.ndarray, min_match: int = MIN_MATCH) ->
     return greedy_tiles([(int(r) + width - 1, int(at[s]), int(place[s])) for s, r in zip(starts, runs, strict=True)], width)
 
 
+def shared_words(item: np.ndarray, text: np.ndarray, min_match: int = MIN_MATCH) -> int:
+    """How many words of the item lie in windows that the text has too: no tiling covers more."""
+    width = min(min_match, len(item))
+    at = np.flatnonzero(np.isin(karp_rabin(item, width), karp_rabin(text, width)))
+    return covered_words(at, width, len(item))
+
+
+def covered_words(starts: np.ndarray, width: int, size: int) -> int:
+    step = np.zeros(size + 1, dtype=np.int64)
+    np.add.at(step, starts, 1)
+    np.add.at(step, starts + width, -1)
+    return int((np.cumsum(step[:-1]) > 0).sum())
+
+
+def needed_seeds(seeds: list[tuple[int, int, int]], size: int, width: int, least: float) -> list[int]:
+    """The seeds to index, of (documents, seed, place in the item): all but those, the most frequent first, whose windows
+    cover fewer than `least` words together."""
+    places: dict[int, list[int]] = {}
+    often: dict[int, int] = {}
+    for n, h, at in seeds:
+        places.setdefault(h, []).append(at)
+        often[h] = n
+    covered, count, kept = bytearray(size), 0, []
+    for h in sorted(places, key=lambda h: (-often[h], h)):
+        new = {w for at in places[h] for w in range(at, at + width) if not covered[w]}
+        if count + len(new) < least:
+            count += len(new)
+            for w in new:
+                covered[w] = 1
+        else:
+            kept.append(h)
+    return kept
+
+
 def benchmark_items(benchmark: DataFrame, min_match: int) -> tuple[DataFrame, str]:
     """item (a number of the row), item_id, words, width and seeds of every item with words, written."""
 
@@ -185,7 +220,7 @@ class Finder:
 
 def finder_of(items: DataFrame, seeds: DataFrame) -> Finder:
     """64 bits a seed, 2**MAX_BITS at most: what the driver gathers and sends is bounded; a fuller bitmap only lets more windows through to the join."""
-    different = seeds.select("h").distinct()
+    different = seeds.select("h")
     bits = min(MAX_BITS, max(10, (64 * different.count()).bit_length()))
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())
 
@@ -210,8 +245,7 @@ class Search:
     def __init__(self, docs: DataFrame, benchmark: DataFrame, min_match: int, min_coverage: float, columns: list[str]):
         self.docs, self.min_match, self.min_coverage = docs, min_match, min_coverage
         self.items, items_path = benchmark_items(benchmark, min_match)
-        rows = self.items.select("item", F.size("words").alias("size"), "width", F.explode("seeds").alias("h"))
-        self.seeds, seeds_path = written(rows.groupBy("h", "item", "size", "width").agg(F.count(F.lit(1)).alias("k")), "seeds")
+        self.seeds, seeds_path = written(self.items.select(F.explode("seeds").alias("h")).distinct(), "seeds")
         self.paths = [items_path, seeds_path]
         self.finder = finder_of(self.items, self.seeds)
         self.suspects, path = written(self._suspects(columns), "suspects")
@@ -250,16 +284,43 @@ class Search:
 
         return self.docs.mapInArrow(run, self.docs.schema)
 
+    def indexed(self, counts: DataFrame) -> DataFrame:
+        """h, item: the seeds of each item without which no document can cover it.
+
+        An item's most frequent seeds (counts: h, _n by documents) are left out as long as all of their windows together
+        cover less of it than the coverage: a document that shares nothing else is no result. So an opening that many
+        items and documents have in common pairs none of them.
+        """
+        places = self.items.select("item", F.size("words").alias("size"), "width", F.posexplode("seeds").alias("at", "h"))
+        total = self.items.agg(F.sum(F.size("seeds"))).first()[0] or 0
+        known = split_join(places, counts, ["h"], total)  # what no document has needs no place in an index
+        rows = known.groupBy("item", "size", "width").agg(F.collect_list(F.struct("_n", "h", "at")).alias("seeds"))
+        coverage = self.min_coverage
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                out = []
+                for item, size, width, seeds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    out += [{"item": item, "h": h} for h in needed_seeds([(x["_n"], x["h"], x["at"]) for x in seeds], size, width, coverage * size)]
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("item", pa.int64()), ("h", pa.int64())]))
+
+        return rows.mapInArrow(run, "item long, h long")
+
     def pairs(self) -> DataFrame:
-        """row, item of every document and item that share enough seeds to reach the coverage.
+        """row, item of every document and item that share a seed which the item is indexed by.
 
-        A tile of n words holds n - width + 1 seeds, which is n / width at least, so fewer seeds of the item than
-        coverage * size / width can't cover it. A seed that stands in very many documents is dealt over tasks.
+        A seed that stands in very many documents is dealt over tasks.
         """
         hits = self.suspects.select("row", F.explode("hits").alias("h"))
         total = self.suspects.agg(F.sum(F.size("hits")).alias("n")).first()["n"] or 0
-        shared = split_join(hits, self.seeds, ["h"], total).groupBy("row", "item", "size", "width").agg(F.sum("k").alias("n"))
-        return shared.where(F.col("n") * F.col("width") >= self.min_coverage * F.col("size")).select("row", "item")
+        real = hits.join(self.seeds, "h", "left_semi")  # the bitmap lets others through
+        counts, path = written(real.groupBy("h").agg(F.count(F.lit(1)).alias("_n")), "seed-counts")
+        index, path2 = written(self.indexed(counts), "index")
+        self.paths += [path, path2]
+        return split_join(hits, index, ["h"], total, counts=counts).select("row", "item").distinct()
 
     def tiled(self, doc_id: str) -> DataFrame:
         """row and the columns of SCHEMA (the id from that column of the suspects) of the pairs that reach the coverage."""
@@ -281,6 +342,8 @@ class Search:
                 rows = []
                 for k in range(batch.num_rows):
                     item, text = (batch.column(c)[k].values.to_numpy() for c in (3, 4))
+                    if shared_words(item.view(_U), text.view(_U), least) < coverage * len(item):
+                        continue
                     tiles = tiles_of(item.view(_U), text.view(_U), least)
                     covered = sum(t[0] for t in tiles)
                     if covered >= coverage * len(item):

@@ -137,3 +137,29 @@ def test_columns_of_any_name_come_back(spark):
     kept = D.decontaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r["row"] for r in kept.collect()) == [6, 7]
     assert D.decontaminated(docs, spark.createDataFrame([(1, "other words stand zz yy")], "item_id long, text string")).count() == 3
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_what_is_left_out_of_the_index_covers_too_little(seed):
+    rng = random.Random(seed)
+    size, width = rng.randrange(1, 60), rng.randrange(1, 6)
+    width = min(width, size)
+    seeds = [(rng.randrange(1, 50), rng.randrange(25), at) for at in range(size - width + 1)]
+    often = {h: n for n, h, _ in seeds}
+    seeds = [(often[h], h, at) for _, h, at in seeds]
+    kept = set(D.needed_seeds(seeds, size, width, 0.5 * size))
+    import numpy as np
+
+    left = np.array([at for _, h, at in seeds if h not in kept], dtype=np.int64)
+    assert D.covered_words(left, width, size) < 0.5 * size
+    assert kept  # whoever covers the item has one of them
+
+
+def test_a_common_opening_makes_no_pairs(spark):
+    """300 items and 300 documents with one opening, of which every tenth document holds an item as a whole."""
+    opening = " ".join(f"c{k}" for k in range(9))
+    items = [(k, f"{opening} " + " ".join(f"i{k}w{j}" for j in range(21))) for k in range(300)]
+    docs = [(k, f"{opening} " + " ".join(filler(30)) + (f" {items[k][1]}" if k % 10 == 0 else "")) for k in range(300)]
+    search = D.Search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), D.MIN_MATCH, D.MIN_COVERAGE, ["doc_id"])
+    assert search.pairs().count() == 30
+    assert {(r["doc_id"], r["item_id"]) for r in search.tiled("c0").collect()} == {(k, k) for k in range(0, 300, 10)}
