@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratal.catalogue import register
 from stratal.functions import nested as N
+from stratal.functions import selectors as SEL
 from stratal.functions import text as X
 from stratal.functions import times as T
 from stratal.operators import classify as C
@@ -77,6 +78,14 @@ def _(spark, sf):
     return p.select("page_id", "href", (F.col("at") + 1).cast("long").alias("rank"))
 
 
+@register("selected_links", """SELECT page_id, CAST(i - 1 AS INT) AS at, links[i] AS href FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS i FROM (
+SELECT page_id, regexp_extract_all(html, '(?is)<li><a href="(/[^"]*)"', 1) AS links FROM pages))""")
+def _(spark, sf):
+    """Addresses within the site of the anchors directly below a list's entries, by a selector."""
+    found = SEL.select("html", "ul > li > a[href^='/'], ol > li > a[href^='/']")
+    return table(spark, sf, "pages").select("page_id", F.posexplode(F.transform(found, lambda e: e["href"])).alias("at", "href"))
+
+
 @register("absolute_links", r"""
 WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a[^>]*href="([^"]*)"', 1)) AS href FROM pages UNION ALL
 SELECT page_id, url, unnest(['//cdn.example/x', '/root', 'beside.html', '#part', '?q=1', '', 'mailto:a@b.example', 'https://other.example/y']) FROM pages)

@@ -13,8 +13,10 @@ from stratal.operators import selection as S
 from stratal.operators import units as U
 from stratal.plans.text_queries import CANON_SQL
 from stratal.sources import observations as O
+from stratal.sources import shards as D
 from stratal.sources.files import last_wins
 from stratal.sources.observations import table
+from stratal.sources.shared import shared_root
 
 READY = "TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * turn"
 
@@ -78,6 +80,21 @@ def _(spark, sf):
     return U.greedy_batches(d, "scope", "doc_id", "b", chunk_rows=250).select("doc_id", "batch")
 
 
+@register("workspace_units", "SELECT 'p' || conv_id % 15 AS package_id, 'c' || conv_id AS unit_id, count(*) AS n_items, sum(length(text)) AS n_chars FROM conversations GROUP BY conv_id")
+def _(spark, sf):
+    """Conversations as units of 15 packages, written as workspaces of shard files; the rows are what the files hold, read back."""
+    c = table(spark, sf, "conversations").select(F.concat(F.lit("c"), "conv_id").alias("unit_id"), F.concat(F.lit("p"), F.col("conv_id") % 15).alias("package_id"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("item_id"), "text")
+    units, path = c.select("package_id", "unit_id").distinct(), shared_root(spark, "workspaces")
+    D.write_workspaces(units, units.select("unit_id", F.lit("conversation").alias("kind")), c.drop("package_id"), path)
+    for part in ("units", "todo"):
+        K.require_empty(D.problems(spark, f"{path}/{part}"), part)
+    lines = D.files(spark, f"{path}/units").select("scope", F.explode(F.split(F.rtrim("content"), "\n")).alias("line"))
+    held = lines.select("scope", F.from_json("line", "unit_id string, items array<struct<item_id:string,text:string>>").alias("u"))
+    todo = D.files(spark, f"{path}/todo").select("scope", F.explode(F.split(F.rtrim("content"), "\n")).alias("line")).select("scope", F.substring("line", 7, 99).alias("unit_id"))
+    sizes = held.groupBy(F.col("scope").alias("package_id"), F.col("u.unit_id").alias("unit_id")).agg(F.sum(F.size("u.items")).alias("n_items"), F.sum(F.aggregate("u.items", F.lit(0).cast("long"), lambda n, i: n + F.coalesce(F.length(i["text"]), F.lit(0)))).alias("n_chars"))
+    return sizes.join(todo.withColumnRenamed("scope", "package_id"), ["package_id", "unit_id"])
+
+
 @register("stratified_batches", """
 WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
 b AS (SELECT min(b) AS b FROM (SELECT unnest(range(1, 100000)) AS b) t WHERE b >= ceil((SELECT sum(n) FROM c) / 40.0) AND b <= (SELECT max(n) FROM c) + ceil((SELECT sum(n) FROM c) / 40.0) AND (SELECT sum((n + b - 1) // b) FROM c) <= 40)
