@@ -6,17 +6,12 @@ a sink that takes whole batches (foreachBatch); it joins the batch with the ledg
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stratal.operators import ledger as L
 from stratal.sources.shared import exists, shared_root
-
-ARRIVAL = "item_id string, content_hash string, observation_kind string, seq long"
+from stratal.streaming.processors import ARRIVAL, revisions, rocks
 
 
 def state(spark: SparkSession, root: str) -> DataFrame:
@@ -38,37 +33,20 @@ def appender(root: str):
     return append
 
 
-def keyed(arrivals: DataFrame) -> DataFrame:
+def keyed(arrivals: DataFrame, idle_ms: int = 0) -> DataFrame:
     """The rows to append of a stream of arrivals, as put_items of the ledger says, with the state kept by item.
 
-    A micro-batch touches the state of its own items only, however long the ledger is: the hash of the item's first row
-    and the revisions seen. Rows of one micro-batch are taken in the order of seq; late ones are never dropped.
+    A micro-batch looks up the first row's hash and the revisions that it asks about, however many an item has. Rows of
+    one micro-batch are taken in the order of seq; late ones are never dropped. idle_ms: an item that was not heard of
+    for so long is forgotten (0: never).
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        out = []
-        if held.exists:
-            base, seen = held.get
-            seen = set(seen)
-        else:
-            first = next(rows.itertuples(index=False))
-            base, seen = first.content_hash, set()
-            out.append((key[0], first.content_hash, first.observation_kind, first.seq))
-        for r in rows.itertuples(index=False):
-            digits = r.content_hash[: L.HASH_DIGITS] if r.content_hash is not None else None
-            if base is not None and digits is not None and r.content_hash != base and digits not in seen:
-                seen.add(digits)
-                out.append((f"{key[0]}:rev:{digits}", r.content_hash, "content_revision", r.seq))
-        held.update((base, sorted(seen)))
-        yield pd.DataFrame(out, columns=["item_id", "content_hash", "observation_kind", "seq"])
-
-    return arrivals.groupBy("item_id").applyInPandasWithState(step, ARRIVAL, "base string, seen array<string>", "append", GroupStateTimeout.NoTimeout)
+    return revisions(arrivals, idle_ms)
 
 
 def start(arrivals: DataFrame, root: str):
     """Starts the stream over what is there; the sink's log counts a batch that is replayed after a crash once."""
-    return keyed(arrivals).writeStream.format("parquet").option("path", f"{root}/items").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    with rocks(arrivals.sparkSession):
+        return keyed(arrivals).writeStream.format("parquet").option("path", f"{root}/items").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
 
 
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:

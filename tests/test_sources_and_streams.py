@@ -100,3 +100,43 @@ def test_the_keyed_ledger_equals_the_batch_over_several_runs(spark, tmp_path):
     got = spark.read.schema(stream.ARRIVAL).parquet(f"{root}/items").collect()
     want = L.put_items(spark.createDataFrame([r for part in rows for r in part], stream.ARRIVAL)).collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 8
+
+
+def test_the_state_of_a_stream_is_a_table(spark, tmp_path):
+    from stratal.streaming import processors as P
+
+    source, root = f"{tmp_path}/in", f"file://{tmp_path}/ledger"
+    for part in ([("a", "1" * 64, "live_increment", 1), ("a", "2" * 64, "live_increment", 2), ("b", None, "live_increment", 3)], [("a", "3" * 64, "live_increment", 4), ("a", "2" * 64, "live_increment", 5)]):
+        spark.createDataFrame(part, stream.ARRIVAL).coalesce(1).write.mode("append").parquet(source)
+        stream.start(spark.readStream.schema(stream.ARRIVAL).parquet(source), root).awaitTermination()
+    base = {r["item_id"]: r["value"]["content_hash"] for r in P.state_of(spark, f"{root}/checkpoint", "base").collect()}
+    seen = P.state_of(spark, f"{root}/checkpoint", "seen")
+    assert base == {"a": "1" * 64, "b": None}
+    assert sorted((r["item_id"], r["user_map_key"]["digits"], r["user_map_value"]["seq"]) for r in seen.collect()) == [("a", "2" * L.HASH_DIGITS, 2), ("a", "3" * L.HASH_DIGITS, 4)]
+
+
+def test_idle_state_is_dropped_by_its_timer(spark, tmp_path):
+    import time
+
+    from stratal.streaming import processors as P
+
+    source, out = f"{tmp_path}/in", f"file://{tmp_path}/out"
+    found = lambda: sorted(r["event_id"] for r in spark.read.schema(P.ACCEPTED).parquet(out).collect())
+
+    def land(rows, wait=0.0):
+        spark.createDataFrame(rows, P.ACCEPTED).coalesce(1).write.mode("append").parquet(source)
+        end = time.time() + 40
+        while time.time() < end and rows and rows[-1][1] not in (found() if (tmp_path / "out").exists() else []):
+            time.sleep(0.5)
+        time.sleep(wait)
+
+    land([], 0)
+    with P.rocks(spark):
+        events = spark.readStream.schema(P.ACCEPTED).parquet(source)
+        query = P.accepted(events, 100, idle_ms=3_000).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-check").trigger(processingTime="1 second").start()
+    try:
+        land([(1, 1, 0)], wait=8)  # longer than it may be idle: batches without data run the timer
+        land([(1, 5, 50)])  # within the cooldown of the first, but nothing is known of that any more
+        assert found() == [1, 5]
+    finally:
+        query.stop()
