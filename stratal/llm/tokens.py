@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import filterfalse
+
 END_ID = 2
 MEMO_PIECES = 800_000  # about 200 bytes each in a worker; fewer cost time
 LONGEST_PIECE = 48
@@ -9,6 +11,13 @@ OTHER_SPACE = tuple(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c)
 TAILS = ".,;:!?*$%#&|"  # after a letter or digit, a run of these is a pre-token of its own
 
 
+def single_spaced(text: str) -> bool:
+    """Whether all white space of a text, which is not empty, is single spaces and line feeds between words."""
+    if text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+        return False
+    return not any(c in text for c in OTHER_SPACE)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -82,7 +91,7 @@ class PieceEncoder:
     def _learn(self, pieces: set[str]) -> list[str]:
         """Adds pieces that follow a space or are led by a line feed; returns those to forget after this batch."""
         memo = self.later
-        missing = pieces.difference(memo)
+        missing = pieces.difference(memo) if memo else pieces
         room = self.bound - len(memo)
         new, whole, tailed = [], [], []
         for p in missing:
@@ -113,14 +122,17 @@ class PieceEncoder:
         cut: list[tuple[int, str, list[str]]] = []
         whole: list[int] = []
         for k, text in enumerate(texts):
-            pieces = text.replace("\n", " \n").split(" ")
             if not text:
                 continue
-            if len(pieces) == len(text.split()) and not any(c in text for c in OTHER_SPACE) and not any(n in text for n in self.names):
+            if single_spaced(text) and not any(n in text for n in self.names):
+                pieces = text.replace("\n", " \n").split(" ")
                 cut.append((k, pieces.pop(0), pieces))
             else:
                 whole.append(k)
-        forget = self._learn(set().union(*(p for _, _, p in cut)))
+        missing: set[str] = set()
+        for _, _, pieces in cut:
+            missing.update(filterfalse(self.later.__contains__, pieces))
+        forget = self._learn(missing)
         get = self.later.__getitem__
         for (k, _, pieces), head in zip(cut, self._library([h for _, h, _ in cut]), strict=True):
             out[k] = head + b"".join(map(get, pieces))

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from stratal.llm import packing as P
 from stratal.llm import token_output as O
-from stratal.llm.tokens import PieceEncoder, default_tokenizer
+from stratal.llm.tokens import PieceEncoder, default_tokenizer, single_spaced
 
 ODD = ["a  b", "a\n\nb", "a \nb ", " a", "a\n", "\n", "  ", "a\tb", "don't x, foo.*? b9!! 's.", "<|endoftext|> z", "", "é　b", "a\x1cb", "x" * 300 + " y", "a\n b", "über straße. Ähm!!", "a\r\nb c", "it's we'll 'tis", "𝔘𝔫 中文 字", "9th 10 a1b2"]
 
@@ -29,6 +29,14 @@ def test_pieces_equal_the_library():
         assert enc.encode(texts) == [np.array(ids_of(t)[:-1], dtype="<u4").tobytes() for t in texts]
 
 
+def test_single_spaced_texts_are_those_that_words_make_up():
+    rng = random.Random(5)
+    for _ in range(3_000):
+        text = "".join(rng.choices(["a", "bc", " ", "\n", "\t", "\xa0", "\x1c", "\u3000", "é"], [6, 6, 5, 2, 0.2, 0.2, 0.2, 0.2, 2], k=rng.randrange(1, 9)))
+        pieces = text.replace("\n", " \n").split(" ")
+        assert single_spaced(text) == (len(pieces) == len(text.split()) and not any(c.isspace() and c not in " \n" for c in text))
+
+
 @pytest.mark.parametrize("special", [True, False])
 def test_names_of_special_tokens_are_as_the_library_has_them(special):
     from tokenizers import Tokenizer
