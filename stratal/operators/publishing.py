@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from stratal.operators.selection import desired_diff
+from stratal.sources.shared import written
 
 NODES = "key string, parent string, content_hash string, content string, action string"
 RECORDED = "key string, content_hash string"
@@ -135,8 +136,8 @@ def publish_tree(spark: SparkSession, source: str, desired: DataFrame, run: str
     """Brings the target to desired (key, parent, content_hash, content) and returns the run's name; nothing is written for a
     target that is there already. Raises if the target, read back, differs."""
     run = run or uuid.uuid4().hex
-    placed = levels(desired)
-    todo = differences(spark, source, desired).join(placed, "key", "left")
+    placed = written(levels(desired), "tree")
+    todo = written(differences(spark, source, desired).join(placed, "key", "left"), "todo")  # the target is listed once
     depth = todo.where("action <> 'delete'").select("level").distinct().collect()  # MAX_LEVELS at most
     shape = ["key", "parent", "content_hash", "content", "action"]
     for level in sorted(r["level"] for r in depth):

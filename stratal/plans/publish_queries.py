@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from stratal.catalogue import register
@@ -243,7 +245,7 @@ def _(spark, sf):
     """Regions, nations and suppliers published as a tree; an earlier run wrote other suppliers and other names, which are replaced
     and deleted. The rows are what the target holds when it is read back."""
     root = shared_root(spark, "published")
-    spark.dataSource.register(W.node_source("published_tree_nodes", lambda: W.FolderTarget(root)))
+    spark.dataSource.register(W.node_source("published_tree_nodes", partial(W.FolderTarget, root, 4)))
     r, n, s = (table(spark, sf, t) for t in ("region", "nation", "supplier"))
     key = lambda letter, c: F.concat(F.lit(letter), F.col(c))
     top = spark.range(1).select(F.lit("root").alias("key"), F.lit(None).cast("string").alias("parent"), F.lit("World").alias("content"))
