@@ -64,7 +64,7 @@ def rotation(queries: list[str], slot: Column, budget: int) -> Column:
     """
     n = len(queries)
     every = F.array(*map(F.lit, queries))
-    ordered = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("offset"), F.element_at(every, ((slot + i) % n + 1).cast("int")).alias("query")))
+    ordered = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("offset"), F.get(every, ((slot + i) % n).cast("int")).alias("query")))
     row = lambda x, lane, sort, variant: F.struct(x["query"].alias("query"), F.lit(lane).alias("lane"), sort.alias("sort"), F.lit(variant).alias("variant"))
     emerging = F.transform(ordered, lambda x: row(x, "emerging", F.when((slot + x["offset"]) % 2 == 0, "stars").otherwise("updated"), "standard"))
     early = F.transform(ordered, lambda x: row(x, "early", F.lit("updated"), "standard"))
