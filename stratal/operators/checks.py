@@ -59,13 +59,14 @@ def subset_output(rows: DataFrame, allowed: DataFrame) -> DataFrame:
     return rows.join(allowed.select("unit_id"), "unit_id", "left_semi")
 
 
-def working_map_valid(maps: DataFrame) -> DataFrame:
+def working_map_valid(maps: DataFrame, max_bytes: int | None = MAX_MAP_BYTES) -> DataFrame:
     """map_id, problem of texts (map_id, content, group_ids) that are blank or null, over 64 KiB, or silent about a group.
 
-    A null list of groups and a null group are groups that the text is silent about.
+    A null list of groups and a null group are groups that the text is silent about. max_bytes None: a text may be of any length.
     """
     silent = ~F.coalesce(F.forall("group_ids", lambda g: F.coalesce(F.contains(F.col("content"), g), F.lit(False))), F.lit(False))
-    problem = F.when(F.trim(F.coalesce("content", F.lit(""))) == "", "blank").when(F.octet_length("content") > MAX_MAP_BYTES, "too large").when(silent, "group missing")
+    large = F.lit(False) if max_bytes is None else F.octet_length("content") > max_bytes
+    problem = F.when(F.trim(F.coalesce("content", F.lit(""))) == "", "blank").when(large, "too large").when(silent, "group missing")
     return maps.select("map_id", problem.alias("problem")).where("problem IS NOT NULL")
 
 

@@ -22,3 +22,14 @@ def test_a_time_just_before_the_next_slot(spark, tmp_path, last):
     times = spark.createDataFrame([("2024-01-30 20:00:00",), (last,), (None,)], "ts string")
     times.selectExpr("CAST(ts AS TIMESTAMP_NTZ) AS ts").write.parquet(f"{tmp_path}/events.parquet")
     _same(spark, tmp_path, "search_rotation", "events")
+
+
+TEXTS = [None, "", "  ", "the tree is here", "the " * 20_000 + "is", "he " * 40_000, "is it", "\n\t", "Heading", "e"]
+
+
+@pytest.mark.parametrize("name", ["working_map_nulls"])
+def test_maps_of_any_text_and_id(spark, tmp_path, name):
+    ids = [None, *range(-12, 12)]
+    rows = [(k, t) for k in ids for t in TEXTS]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(_same(spark, tmp_path, name, "documents")) > len(ids)
