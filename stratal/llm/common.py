@@ -57,21 +57,26 @@ def _remove_written() -> None:
 
 
 BATCH_BYTES = 4_000_000
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def keep_batches_small(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES from now on: what a lazy result needs, as it is read when the plan runs."""
+    spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
 
 
 @contextmanager
 def small_batches(spark: SparkSession):
     """Arrow batches of at most BATCH_BYTES for what runs inside; the session's own setting is back afterwards."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(BATCH_BYTES))
+    before = spark.conf.get(BATCH_KEY, None)
+    keep_batches_small(spark)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(key)
+            spark.conf.unset(BATCH_KEY)
         else:
-            spark.conf.set(key, before)
+            spark.conf.set(BATCH_KEY, before)
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -83,6 +88,18 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of numbers from the driver, as an Arrow table: a list would start Python workers on the executors, which stay a while."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = StructType.fromDDL(schema)
+    columns = zip(*rows, strict=True) if rows else [()] * len(kind)
+    arrow = to_arrow_schema(kind)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow), kind)
+
+
 def forget_caches() -> None:
     home = sys.modules.get("stratal_worker_cache")
     for old in [k for k in vars(home) if not k.startswith("__")] if home else []:
@@ -90,10 +107,12 @@ def forget_caches() -> None:
 
 
 def process_cache(name: str, make):
-    """A value that a Python worker process keeps across its tasks, until an operator asks for another one."""
+    """A value that a Python worker process keeps across its tasks, until an operator asks for another one: what was kept
+    before is then given back to the system before anything else is made."""
     home = sys.modules.setdefault("stratal_worker_cache", types.ModuleType("stratal_worker_cache"))
     if not hasattr(home, name):
         forget_caches()
+        release()
         setattr(home, name, make())
     return getattr(home, name)
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratal.llm.common import by_bytes, fold_held_out, texts_of, written
+from stratal.llm.common import by_bytes, fold_held_out, local_rows, texts_of, written
 
 MAX_TRAIN_ROWS = 8_000
 MAX_TRAIN_CHARS = 20_000_000
@@ -25,7 +25,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~fold_held_out(F.col("doc_id")))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
-    ids = F.broadcast(spark.createDataFrame([(r["doc_id"], r["label"], k) for k, r in enumerate(chosen)], "doc_id long, label int, place int"))
+    ids = F.broadcast(local_rows(spark, [(r["doc_id"], r["label"], k) for k, r in enumerate(chosen)], "doc_id long, label int, place int"))
     texts = texts_of(docs).withColumn("h", F.xxhash64("text"))
     least = texts.select("doc_id", "h", F.length("text").alias("n")).join(ids, "doc_id").groupBy("place").agg(F.min(F.struct("h", "n")).alias("r"))
     taken, reached = [], 0
@@ -33,7 +33,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
         if reached + n <= max_chars:
             reached += n
             taken.append((chosen[place]["doc_id"], h, chosen[place]["label"]))
-    taken = F.broadcast(spark.createDataFrame(taken, "doc_id long, h long, label int"))
+    taken = F.broadcast(local_rows(spark, taken, "doc_id long, h long, label int"))
     found = texts.join(taken, ["doc_id", "h"]).groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
     return written(found.repartition(SAMPLE_PARTS), "sample")
 

@@ -83,3 +83,30 @@ def test_odd_rows_and_clashing_columns(spark, tmp_path):
     assert len(ids) == len([i for i in ids if i is None]) + len({i for i in ids if i is not None})  # repeats are gone
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted({str(r["doc_id"]) for r in packed}) == sorted({str(i) for i in ids})
+
+
+def test_results_of_python_workers_come_in_small_batches(spark, tmp_path):
+    """Whole texts pass through the workers' result of a stage by 4 MB, not by Spark's 10,000 rows."""
+    _write(spark, tmp_path, [(k, f"{k} calm river " * 2_000, "en", "s", 1, 1, 1.0) for k in range(400)])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").coalesce(1)
+    key, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    try:
+        for stage in (corpus_pipeline.quality_classifier, corpus_pipeline.toxicity_classifier, corpus_pipeline.benchmark_leaks):
+            spark.conf.unset(key)
+            stage(spark, docs, str(tmp_path))
+            assert int(spark.conf.get(key)) <= 4_000_000
+        sizes = docs.select("text").mapInArrow(lambda batches: (b.append_column("n", [b.num_rows] * b.num_rows).select(["n"]) for b in batches), "n long")
+        assert max(r["n"] for r in sizes.collect()) < 400
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def test_a_worker_gives_back_what_it_kept_before_it_makes_more(monkeypatch):
+    from stratal.llm import common
+
+    freed = []
+    monkeypatch.setattr(common, "release", lambda: freed.append("freed"))
+    common.process_cache("first_of_two", list)
+    common.process_cache("second_of_two", lambda: freed.append("made"))
+    assert freed[-2:] == ["freed", "made"]
+    common.forget_caches()
