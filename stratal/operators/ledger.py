@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratal.sources.shared import written
+
 HASH_DIGITS = 12
 TERMINAL = ["queued", "local_complete", "published"]
 
@@ -64,12 +66,22 @@ def seal_violations(wanted: DataFrame, items: DataFrame, deliveries: DataFrame,
 
 
 def seal(wanted: DataFrame, items: DataFrame, deliveries: DataFrame, seals: DataFrame) -> DataFrame:
-    """The seal rows to append; raises without writing anything if the run can't have all of its items."""
-    bad = seal_violations(wanted, items, deliveries, seals).limit(5).collect()
-    if bad:
-        kind = KeyError if any(r["problem"] == "unknown" for r in bad) else RuntimeError
-        raise kind(f"the run can't be sealed: {[tuple(r) for r in bad]}")
-    return wanted.select("run_id", "item_id").join(seals.select("item_id"), "item_id", "left_anti")
+    """The seal rows to append; raises without appending anything if the run can't have all of its items.
+
+    Rows that are known, not delivered and not sealed are the ones to append, found once and kept in the shared folder. Only
+    where some rows are not among them is it asked whether the run has these already or may not have them.
+    """
+    new = wanted.select("run_id", "item_id").join(items.select("item_id"), "item_id", "left_semi")
+    for log in (deliveries, seals):
+        new = new.join(log.select("item_id"), "item_id", "left_anti")
+    new = written(new, "seal")
+    if new.count() < wanted.count():
+        # ordered, as a bare limit looks for its rows in one partition, then in four, and so on
+        bad = seal_violations(wanted, items, deliveries, seals).orderBy("item_id", "problem").limit(5).collect()
+        if bad:
+            kind = KeyError if any(r["problem"] == "unknown" for r in bad) else RuntimeError
+            raise kind(f"the run can't be sealed: {[tuple(r) for r in bad]}")
+    return new
 
 
 def delivered_by(seals: DataFrame, runs: DataFrame) -> DataFrame:
